@@ -138,7 +138,7 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     low = (1 << k) - 1
     masks = F.array(*[F.lit(int(m)) for m in _masks(range(k), half)])
 
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         values = group.column("fp").to_numpy().view(np.uint64)
         a, b = slice_links(np.sort(values), key[0].as_py(), k, half)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})

@@ -9,6 +9,8 @@ of each source and shuffles them. DataFrame expressions only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,28 +59,74 @@ def _uniform(*key: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in key])), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def _hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Column:
-    """How many of ``good`` among ``total`` are in a draw of ``drawn`` without replacement: the inverse of the distribution at u.
+#: Up to this standard deviation the distribution is inverted term by term; above it candidates are accepted or rejected.
+INVERTED_SD = 20.0
+#: Candidates of a draw; the chance that none of them is accepted is below 1e-30, and the mode is taken then.
+CANDIDATES = 128
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _log_factorial(x: Column) -> Column:
+    """ln x!: exact terms up to 9, Stirling's series from there."""
+    exact = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(10)])
+    return _let(
+        x,
+        lambda n: F.when(n < 10, F.element_at(exact, F.least(F.lit(9.0), F.greatest(F.lit(0.0), n)).cast("int") + 1)).otherwise(
+            (n + 0.5) * F.ln(n) - n + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * n) - 1 / (360 * n * n * n)
+        ),
+    )
+
+
+def _inverted(p: Column, u: Column) -> Column:
+    """Terms are listed from the mode up, then from the mode down; the answer is where their sum passes u of the whole.
 
-    The weights run from the mode both ways, as far as ten standard deviations and thirty more: what lies beyond is under 1e-16.
+    They run ten standard deviations and thirty more each way: what lies beyond is under 1e-16.
     """
-    n, g, d = total.cast("double"), good.cast("double"), drawn.cast("double")
-    low, high = F.greatest(F.lit(0.0), d + g - n), F.least(g, d)
-    mode = F.least(high, F.greatest(low, F.floor((d + 1) * (g + 1) / (n + 2)).cast("double")))
-    reach = F.ceil(10 * F.sqrt(F.greatest(F.lit(0.0), d * (g / F.greatest(n, F.lit(1.0))) * (1 - g / F.greatest(n, F.lit(1.0)))))).cast("double") + 30
-    up, down = F.least(high, mode + reach) - mode, mode - F.greatest(low, mode - reach)
-    step = lambda k: (g - k) * (d - k) / ((k + 1) * F.greatest(n - g - d + k + 1, F.lit(1.0)))  # noqa: E731  weight at k+1 over weight at k
-    grow = lambda to, ratio: F.aggregate(
-        F.when(to >= 1, F.sequence(F.lit(1), to.cast("int"))).otherwise(F.expr("cast(array() as array<int>)")),
-        F.array(F.lit(1.0)),
-        lambda a, i: F.concat(a, F.array(F.element_at(a, -1) * ratio(i.cast("double")))),
+    ratio = lambda k: (p["g"] - k) * (p["d"] - k) / ((k + 1) * F.greatest(p["n"] - p["g"] - p["d"] + k + 1, F.lit(1.0)))  # noqa: E731  term k+1 over term k
+    reach = F.ceil(10 * p["sd"]).cast("double") + 30
+    up = F.least(p["high"] - p["mode"], reach).cast("int")
+    down = F.least(p["mode"] - p["low"], reach).cast("int")
+    number = lambda i: F.when(i <= up, p["mode"] + i).otherwise(p["mode"] - (i - up))
+    term = lambda a, i: F.when(i == 0, F.lit(1.0)).when(i <= up, a["w"] * ratio(p["mode"] + i - 1)).when(i == up + 1, 1 / ratio(p["mode"] - 1)).otherwise(a["w"] / ratio(p["mode"] - (i - up)))
+    steps = F.sequence(F.lit(0), up + down)
+    start = lambda: F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("k"))
+    added = lambda a, i, aim: _let(term(a, i), lambda w: F.struct(w.alias("w"), (a["sum"] + w).alias("sum"), F.when(a["k"].isNull() & (a["sum"] + w >= aim), number(i)).otherwise(a["k"]).alias("k")))
+    whole = F.aggregate(steps, start(), lambda a, i: added(a, i, F.lit(math.inf)))["sum"]
+    return _let(whole, lambda t: F.coalesce(F.aggregate(steps, start(), lambda a, i: added(a, i, u * t))["k"], p["mode"]))
+
+
+def _accepted(p: Column, *key: Column) -> Column:
+    """Ratio of uniforms under a table-mountain hat (Stadlober 1989): the first candidate that is accepted."""
+    weight = lambda k: _log_factorial(k) + _log_factorial(p["g"] - k) + _log_factorial(p["d"] - k) + _log_factorial(p["n"] - p["g"] - p["d"] + k)
+    width = 2 * math.sqrt(2 / math.e) * F.sqrt(p["sd"] * p["sd"] + 0.5) + (3 - 2 * math.sqrt(3 / math.e))
+
+    def candidate(i):
+        at = lambda u: p["d"] * p["g"] / p["n"] + 0.5 + width * (_uniform(*key, i, F.lit("v")) - 0.5) / u
+        return _let(_uniform(*key, i, F.lit("u")), lambda u: F.struct(u.alias("u"), F.floor(at(u)).cast("double").alias("k")))
+
+    fair = lambda top: lambda c: (c["k"] >= p["low"]) & (c["k"] <= p["high"]) & (2 * F.ln(c["u"]) <= top - weight(c["k"]))
+    tried = F.transform(F.sequence(F.lit(1), F.lit(CANDIDATES)), candidate)
+    return _let(weight(p["mode"]), lambda top: F.coalesce(F.get(F.filter(tried, fair(top)), F.lit(0))["k"], p["mode"]))
+
+
+def _hypergeometric(total: Column, good: Column, drawn: Column, *key: Column) -> Column:
+    """How many of ``good`` among ``total`` are in a draw of ``drawn`` without replacement; the key decides."""
+    asked = F.struct(total.cast("double").alias("n"), good.cast("double").alias("g"), drawn.cast("double").alias("d"))
+    known = lambda q: F.struct(
+        q["n"].alias("n"),
+        q["g"].alias("g"),
+        q["d"].alias("d"),
+        F.greatest(F.lit(0.0), q["d"] + q["g"] - q["n"]).alias("low"),
+        F.least(q["g"], q["d"]).alias("high"),
+        F.sqrt(F.greatest(F.lit(0.0), q["d"] * (q["g"] / F.greatest(q["n"], F.lit(1.0))) * (1 - q["g"] / F.greatest(q["n"], F.lit(1.0))) * (q["n"] - q["d"]) / F.greatest(q["n"] - 1, F.lit(1.0)))).alias("sd"),
+        F.greatest(q["d"] + q["g"] - q["n"], F.least(q["g"], q["d"], F.greatest(F.lit(0.0), F.floor((q["d"] + 1) * (q["g"] + 1) / (q["n"] + 2)).cast("double")))).alias("mode"),
     )
-    above = grow(up, lambda i: step(mode + i - 1))
-    below = grow(down, lambda i: 1 / step(mode - i))
-    weights = F.concat(F.reverse(F.slice(below, F.lit(2), F.greatest(F.size(below) - 1, F.lit(0)))), above)
-    share = u * F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
-    walked = F.aggregate(weights, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k")), lambda a, w: F.struct((a["sum"] + w).alias("sum"), (a["k"] + F.when(a["sum"] + w < share, 1).otherwise(0)).alias("k")))
-    return F.least(high, mode - down + walked["k"]).cast("long")
+    pick = lambda p: F.when(p["low"] >= p["high"], p["low"]).when(p["sd"] <= INVERTED_SD, _inverted(p, _uniform(*key))).otherwise(_accepted(p, *key)).cast("long")
+    return _let(asked, lambda q: _let(known(q), pick))
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -93,25 +141,26 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         F.transform("q", lambda s: F.struct(s["source"].alias("source"), s["quota"].alias("n"), F.lit(0).cast("long").alias("start"))).alias("q"),
     )
     depth = max(0, shards - 1).bit_length()
+    total = F.aggregate("q", F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    open_ = F.floor(F.col("total") * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long")
+    whole = F.col("hi") - F.col("lo") < 2
+
+    def draw(a, s):
+        some = F.when(whole, s["n"]).otherwise(_hypergeometric(a["rest"], s["n"], a["open"], F.lit(seed), F.col("lo"), F.col("hi"), F.coalesce(s["source"], F.lit("\x00"))))
+        return _let(some, lambda x: F.struct((a["rest"] - s["n"]).alias("rest"), (a["open"] - x).alias("open"), F.concat(a["xs"], F.array(x)).alias("xs")))
+
+    drawn = F.aggregate("q", F.struct(F.col("total").alias("rest"), F.col("left").alias("open"), F.expr("cast(array() as array<bigint>)").alias("xs")), draw)["xs"]
+    part = lambda n, start: lambda z: F.struct(z["q"]["source"].alias("source"), n(z).alias("n"), start(z).alias("start"))
+    pairs = F.arrays_zip("q", "xs")
+    left = F.struct(F.col("lo"), F.when(whole, F.col("hi")).otherwise(F.col("mid")).alias("hi"), F.transform(pairs, part(lambda z: z["xs"], lambda z: z["q"]["start"])).alias("q"))
+    right = F.struct(F.col("mid").alias("lo"), F.col("hi"), F.transform(pairs, part(lambda z: z["q"]["n"] - z["xs"], lambda z: z["q"]["start"] + z["xs"])).alias("q"))
+    halves = F.explode(F.when(whole, F.array(left)).otherwise(F.array(left, right)))
     for level in range(depth):
-        total = F.aggregate("q", F.lit(0).cast("long"), lambda a, s: a + s["n"])
         node = node.withColumn("mid", F.expr("(lo + hi) div 2")).withColumn("total", total)
-        node = node.withColumn("left", F.floor(F.col("total") * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long"))
-
-        def draw(a, s):
-            x = F.when(F.col("hi") - F.col("lo") < 2, s["n"]).otherwise(_hypergeometric(a["rest"], s["n"], a["open"], _uniform(F.lit(seed), F.col("lo"), F.col("hi"), F.coalesce(s["source"], F.lit("\x00")))))
-            return F.struct((a["rest"] - s["n"]).alias("rest"), (a["open"] - x).alias("open"), F.concat(a["xs"], F.array(x)).alias("xs"))
-
-        drawn = F.aggregate("q", F.struct(F.col("total").alias("rest"), F.col("left").alias("open"), F.expr("cast(array() as array<bigint>)").alias("xs")), draw)
-        node = node.withColumn("xs", drawn["xs"])
-        part = lambda n, start: lambda z: F.struct(z["q"]["source"].alias("source"), n(z).alias("n"), start(z).alias("start"))
-        pairs = F.arrays_zip("q", "xs")
-        whole = F.col("hi") - F.col("lo") < 2
-        left = F.struct(F.col("lo"), F.when(whole, F.col("hi")).otherwise(F.col("mid")).alias("hi"), F.transform(pairs, part(lambda z: z["xs"], lambda z: z["q"]["start"])).alias("q"))
-        right = F.struct(F.col("mid").alias("lo"), F.col("hi"), F.transform(pairs, part(lambda z: z["q"]["n"] - z["xs"], lambda z: z["q"]["start"] + z["xs"])).alias("q"))
-        node = node.select(F.explode(F.when(whole, F.array(left)).otherwise(F.array(left, right))).alias("x")).select("x.lo", "x.hi", "x.q")
-        if level % 6 == 5:
-            node = node.repartition("lo")
+        node = node.withColumn("left", open_).withColumn("xs", drawn)
+        node = node.select(halves.alias("x")).select("x.lo", "x.hi", "x.q")
+        if level % 3 == 2:
+            node = staged(node.repartition("lo") if level > 8 else node, f"tree-{level}")
     return node.select(F.col("lo").alias("shard"), F.explode("q").alias("s")).select(F.col("s.source").alias("source"), "shard", F.col("s.start").alias("start"), F.col("s.n").alias("n")).where("n > 0")
 
 

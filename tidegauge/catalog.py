@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import market_queries, model_queries
+
+QUERIES = market_queries.QUERIES | model_queries.QUERIES
+ORACLE_SQL = market_queries.ORACLE_SQL | model_queries.ORACLE_SQL
 FLAGSHIP = "c1_sector_performance"

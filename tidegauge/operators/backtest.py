@@ -1,0 +1,292 @@
+"""Simulation: strategies run over a symbol's bars in order, with next-open fills, A-share rules, costs and a ledger.
+
+The ordered fold is the one thing that windows can't say, because a fill depends on the position that earlier fills left.
+It runs per (cell, symbol) as a grouped map: Spark deals out the groups, a group is one symbol's bars. Indicators and
+limit bands are columns that windows have computed before.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..functions.rules import Costs
+from .market import priced, session_buckets
+
+FILLS = "cell long, symbol string, trade_date date, side string, qty long, price double, fees double, reason string, pnl double"
+EQUITY = "cell long, symbol string, trade_date date, equity double, qty long, n_fills int, n_rejects int"
+STRATEGIES = {"ma_cross": {"fast": 5, "slow": 20}, "donchian": {"n": 10}, "volume": {"n": 10, "k": 1.5, "hold": 3}, "event": {"min_score": 50.0, "hold": 3}, "rsi": {"period": 6, "low": 30.0, "high": 70.0}}
+
+
+def validated(strategy: str, params: dict | None = None) -> dict:
+    """Parameters with their defaults; an unknown strategy, name or type raises."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no strategy {strategy!r}")
+    known = STRATEGIES[strategy]
+    for k, v in (params or {}).items():
+        if k not in known or isinstance(v, bool) or not isinstance(v, (int, float)) or v <= 0:
+            raise ValueError(f"{strategy}: bad parameter {k}={v!r}")
+    out = known | (params or {})
+    if strategy == "ma_cross" and out["fast"] >= out["slow"]:
+        raise ValueError("fast must be below slow")
+    return out
+
+
+def grid(spark, strategy: str, axes: dict[str, list]) -> DataFrame:
+    """(cell, strategy, params): the product of at most two axes, the first slowest, at most 100 cells."""
+    cells: list[dict] = [{}]
+    if len(axes) > 2:
+        raise ValueError("at most two axes")
+    for name, values in axes.items():
+        cells = [c | {name: v} for c in cells for v in values]
+    if len(cells) > 100:
+        raise ValueError("at most 100 cells")
+    return spark.createDataFrame([(i, strategy, json.dumps(validated(strategy, c))) for i, c in enumerate(cells)], "cell long, strategy string, params string")
+
+
+def bands(raw_bars: DataFrame) -> DataFrame:
+    """(symbol, trade_date, up, down) from the raw close before; the first bar, or an unknown board, has none."""
+    prev = F.lag("close").over(Window.partitionBy("symbol").orderBy("trade_date"))
+    up, down = rules.band(F.col("prev"), rules.board_limit(F.col("symbol")))
+    return priced(raw_bars).withColumn("prev", prev).select("symbol", "trade_date", up.alias("up"), down.alias("down"))
+
+
+def fed_bars(bars: DataFrame, raw_bars: DataFrame, events: DataFrame, sessions: DataFrame, pit: bool = True) -> DataFrame:
+    """Priced bars with their bands and the score of the best bullish event that they are the first to see (null: none)."""
+    seen = session_buckets(events.where("direction = 'bullish'"), sessions, "available_at" if pit else "event_time")
+    best = seen.where("session IS NOT NULL").select(F.col("session").alias("trade_date"), F.explode("symbols").alias("symbol"), "importance_score").groupBy("trade_date", "symbol").agg(F.max("importance_score").alias("bullish"))
+    b = priced(bars).select("symbol", "trade_date", "open", "high", "low", "close", "volume", *[c for c in ("is_suspended",) if c in bars.columns])
+    b = b if "is_suspended" in b.columns else b.withColumn("is_suspended", F.lit(False))
+    return b.join(bands(raw_bars), ["symbol", "trade_date"], "left").join(best, ["symbol", "trade_date"], "left")
+
+
+class _Signals:
+    """What a strategy asks for after a bar's close, from the bars so far."""
+
+    def __init__(self, strategy: str, params: dict, bars: pd.DataFrame):
+        self.held, self.params = 0, params
+        close, high, low, volume = (bars[c] for c in ("close", "high", "low", "volume"))
+        if strategy == "ma_cross":
+            fast, slow = (close.rolling(int(params[k])).mean().round(6) for k in ("fast", "slow"))
+            buy, sell = (fast.shift() <= slow.shift()) & (fast > slow), (fast.shift() >= slow.shift()) & (fast < slow)
+        elif strategy == "donchian":
+            n = int(params["n"])
+            buy, sell = close > high.shift().rolling(n).max(), close < low.shift().rolling(n).min()
+        elif strategy == "rsi":
+            rsi = wilder(close.tolist(), int(params["period"]))
+            buy, sell = pd.Series(rsi) < params["low"], pd.Series(rsi) > params["high"]
+        elif strategy == "volume":
+            buy, sell = (volume > params["k"] * volume.shift().rolling(int(params["n"])).mean()) & (close > bars["open"]), None
+        else:
+            buy, sell = bars["bullish"] >= params["min_score"], None
+        self.buy, self.sell = buy.tolist(), None if sell is None else sell.tolist()
+
+    def after(self, i: int, qty: int) -> str | None:
+        self.held = self.held + 1 if qty else 0
+        if not qty:
+            return "buy" if self.buy[i] else None
+        leaves = self.sell[i] if self.sell is not None else self.held >= self.params["hold"]
+        return "sell" if leaves else None
+
+
+def wilder(closes: list[float], period: int) -> list[float]:
+    """RSI at each close; not a number before there are ``period`` changes."""
+    out, gain, loss = [float("nan")] * len(closes), 0.0, 0.0
+    for i in range(1, len(closes)):
+        up, down = max(0.0, closes[i] - closes[i - 1]), max(0.0, closes[i - 1] - closes[i])
+        if i <= period:
+            gain, loss = gain + up / period, loss + down / period
+        else:
+            gain, loss = (gain * (period - 1) + up) / period, (loss * (period - 1) + down) / period
+        if i >= period:
+            out[i] = 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
+    return out
+
+
+def _blocked(buys: bool, bar, entry: int, i: int) -> str | None:
+    at = lambda p, q: abs(p - q) <= rules.TICK
+    if bar.is_suspended or bar.open <= 0:
+        return "suspended"
+    if bar.up == bar.up and buys and at(bar.open, bar.up) and at(bar.low, bar.up):
+        return "limit_up"
+    if bar.down == bar.down and not buys and at(bar.open, bar.down) and at(bar.high, bar.down):
+        return "limit_down"
+    return "t1" if not buys and entry == i else None
+
+
+def simulate(bars: pd.DataFrame, strategy: str, params: dict, cash: float, costs: Costs) -> tuple[list[tuple], list[tuple]]:
+    """One symbol's bars in order → fills (date, side, qty, price, fees, reason, pnl) and marks (date, equity, qty, fills, rejects).
+
+    A bar first fills what the last close asked for, at its open, then is marked at its close, then asks the strategy.
+    A suspended bar defers the order, five times at most; meanwhile new signals are not taken.
+    """
+    signals = _Signals(strategy, params, bars)
+    qty, cost, entry, pending, waited = 0, 0.0, -1, None, 0
+    fills, marks, rejects = [], [], 0
+    for i, bar in enumerate(bars.itertuples()):
+        n0 = len(fills)
+        if pending and (bar.is_suspended or bar.open <= 0):
+            waited += 1
+            if waited > rules.MAX_DEFER_BARS:
+                pending, waited, rejects = None, 0, rejects + 1
+        elif pending:
+            buys = pending == "buy"
+            why = _blocked(buys, bar, entry, i)
+            price = costs.fill_price(buys, bar.open)
+            n = costs.affordable(cash, price) if buys else qty
+            if why or n <= 0:
+                rejects += 1
+            else:
+                paid = costs.charged(buys, n, price)
+                if buys:
+                    cash, qty, cost, entry = cash - n * price - paid, n, n * price + paid, i
+                    fills.append((bar.trade_date, "buy", n, price, paid, strategy, None))
+                else:
+                    cash += n * price - paid
+                    fills.append((bar.trade_date, "sell", n, price, paid, strategy, n * price - paid - cost))
+                    qty, cost, entry = 0, 0.0, -1
+            pending, waited = None, 0
+        marks.append((bar.trade_date, cash + qty * bar.close, qty, len(fills) - n0, rejects))
+        asked = signals.after(i, qty)
+        pending = pending or asked
+    return fills, marks
+
+
+def _runs(cells_by_bars: DataFrame, shape: str, make, cash: float, costs: Costs) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("trade_date").reset_index(drop=True)
+        head = pdf.iloc[0]
+        fills, marks = simulate(pdf, head["strategy"], json.loads(head["params"]), cash, costs)
+        return make(head, fills, marks)
+
+    return cells_by_bars.groupBy("cell", "symbol").applyInPandas(run, shape)
+
+
+def _cells_by_bars(fed: DataFrame, cells: DataFrame) -> DataFrame:
+    """Each cell's copy of the bars: cells are at most 100 rows, so they ride along in a literal array."""
+    rows = cells.collect()
+    if len(rows) > 100:
+        raise ValueError("at most 100 cells")
+    each = F.array(*[F.struct(F.lit(r["cell"]).alias("cell"), F.lit(r["strategy"]).alias("strategy"), F.lit(r["params"]).alias("params")) for r in rows])
+    return fed.withColumn("c", F.explode(each)).select("c.*", *fed.columns)
+
+
+def backtest_fills(fed: DataFrame, cells: DataFrame, cash: float = 1_000_000.0, costs: Costs = Costs()) -> DataFrame:
+    """Every fill of every cell and symbol."""
+
+    def make(head, fills, _):
+        rows = [(head["cell"], head["symbol"], d, side, n, round(p, 6), round(f, 4), why, None if pnl is None else round(pnl, 4)) for d, side, n, p, f, why, pnl in fills]
+        return pd.DataFrame(rows, columns=["cell", "symbol", "trade_date", "side", "qty", "price", "fees", "reason", "pnl"])
+
+    return _runs(_cells_by_bars(fed, cells), FILLS, make, cash, costs)
+
+
+def backtest_equity(fed: DataFrame, cells: DataFrame, cash: float = 1_000_000.0, costs: Costs = Costs()) -> DataFrame:
+    """The equity after each bar of every cell and symbol."""
+
+    def make(head, _, marks):
+        return pd.DataFrame([(head["cell"], head["symbol"], d, round(e, 4), q, n, r) for d, e, q, n, r in marks], columns=["cell", "symbol", "trade_date", "equity", "qty", "n_fills", "n_rejects"])
+
+    return _runs(_cells_by_bars(fed, cells), EQUITY, make, cash, costs)
+
+
+def metrics(equity: DataFrame, fills: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
+    """Per cell and symbol: bars, total and annual return, drawdown, Sharpe ratio, closed trades, win rate (null: none)."""
+    from .series import annual_return, sharpe
+
+    w = Window.partitionBy("cell", "symbol").orderBy("trade_date")
+    prev = F.lag("equity").over(w)
+    r = equity.withColumn("r", F.when(prev > 0, F.col("equity") / F.nullif(prev, F.lit(0.0)) - 1)).withColumn("peak", F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    a = r.groupBy("cell", "symbol").agg(
+        F.count("*").alias("bars"), (F.max_by("equity", "trade_date") / cash - 1).alias("total"), F.max((F.col("peak") - F.col("equity")) / F.col("peak")).alias("mdd"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.count("r").alias("nr")
+    )
+    t = fills.where("pnl IS NOT NULL").groupBy("cell", "symbol").agg(F.count("*").alias("closed"), F.count_if(F.col("pnl") > 0).alias("wins"))
+    out = a.join(t, ["cell", "symbol"], "left")
+    return out.select("cell", "symbol", "bars", F.round("total", 6).alias("total_return"), F.round(annual_return(F.col("total"), F.col("bars")), 6).alias("annual_return"), F.round("mdd", 6).alias("max_drawdown"), F.round(sharpe(F.col("m"), F.col("s"), F.col("nr")), 4).alias("sharpe"), F.coalesce("closed", F.lit(0)).alias("closed"), F.round(F.col("wins") / F.nullif(F.col("closed"), F.lit(0)), 6).alias("win_rate"))
+
+
+def trips(fills: DataFrame, by: tuple[str, ...] = ("account", "symbol")) -> DataFrame:
+    """Fills (id, trade_date, side, qty, price, fees) → round trips: a sell closes the buy right before it.
+
+    In order of date, buys first, then id; a later buy takes the place of one that is open, a sell without a buy is none.
+    """
+    w = Window.partitionBy(*by).orderBy("trade_date", F.when(F.col("side") == "buy", 0).otherwise(1), "id")
+    now = F.struct("side", "trade_date", "qty", "price", "fees", "id")
+    seen = fills.withColumn("prev", F.lag(now).over(w)).withColumn("next", F.lead("side").over(w))
+    cost = F.col("prev.price") * F.col("prev.qty") + F.col("prev.fees")
+    pnl = F.col("price") * F.col("prev.qty") - F.col("fees") - cost
+    closed = seen.where("side = 'sell' AND prev.side = 'buy'").select(*by, F.col("prev.id").alias("entry_id"), F.col("id").alias("exit_id"), F.col("prev.trade_date").alias("entry_date"), F.col("trade_date").alias("exit_date"), F.col("prev.qty").alias("qty"), F.round(pnl, 4).alias("pnl"), F.round(pnl / F.nullif(cost, F.lit(0.0)), 6).alias("return_pct"))
+    opened = seen.where("side = 'buy' AND next IS NULL").select(*by, F.col("id").alias("entry_id"), F.lit(None).cast("long").alias("exit_id"), F.col("trade_date").alias("entry_date"), F.lit(None).cast("date").alias("exit_date"), "qty", F.lit(None).cast("double").alias("pnl"), F.lit(None).cast("double").alias("return_pct"))
+    return closed.unionByName(opened)
+
+
+def trip_alpha(closed: DataFrame, daily: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Closed trips with the market's compounded return over the sessions from entry to exit, and alpha in percentage points."""
+    level = F.product(1 + F.coalesce(F.col("avg_pct"), F.lit(0.0)) / 100).over(Window.orderBy("session_idx").rowsBetween(Window.unboundedPreceding, 0))
+    levels = daily.join(sessions, "trade_date").withColumn("level", level).withColumn("before", F.coalesce(F.lag("level").over(Window.orderBy("session_idx")), F.lit(1.0)))  # a row per session
+    entry = levels.select(F.col("trade_date").alias("entry_date"), "before")
+    exit_ = levels.select(F.col("trade_date").alias("exit_date"), "level")
+    both = closed.join(F.broadcast(entry), "entry_date").join(F.broadcast(exit_), "exit_date")
+    market = F.col("level") / F.col("before") - 1
+    return both.select(*[c for c in closed.columns], F.round(market, 6).alias("market_return"), F.round((F.col("return_pct") - market) * 100, 4).alias("alpha_pp"))
+
+
+def gate_buys(orders: DataFrame, max_weight: float = 0.2, max_gross: float = 0.8, max_drawdown: float = 0.2) -> DataFrame:
+    """Risk gates on proposed buys (qty, price, equity, market_value, symbol_value, pending, drawdown, has_position): allowed lots and why less."""
+    room = F.least(F.col("equity") * max_weight - F.col("symbol_value"), F.col("equity") * max_gross - F.col("market_value") - F.col("pending"))
+    capped = (F.floor(F.greatest(room, F.lit(0.0)) / F.col("price") / rules.LOT) * rules.LOT).cast("long")
+    allowed = F.least("qty", capped)
+    why = F.when(F.col("has_position"), "position_open").when(F.col("equity") <= 0, "no_equity").when(F.col("drawdown") >= max_drawdown, "drawdown").when(allowed < rules.LOT, "below_a_lot").when(allowed < F.col("qty"), "capped")
+    return orders.withColumn("reason", why).withColumn("allowed", F.when(why.isNull() | (why == "capped"), allowed).otherwise(F.lit(0).cast("long")))
+
+
+def replay_accounts(fed: DataFrame, accounts: DataFrame, decisions: DataFrame, costs: Costs = Costs()) -> DataFrame:
+    """Accounts (account, symbols, cash) replayed over their symbols' bars from a log of decisions (account, decided_on, symbol, side, approved).
+
+    Approved orders fill at the symbol's next bar, each symbol within an equal share of the cash; a blocked one stays
+    unfilled. Returns account, trade_date, cash, equity, n_positions, fills, unfilled; symbols go in order each day.
+    """
+    wanted = accounts.select("account", "cash", F.size("symbols").alias("n_symbols"), F.explode("symbols").alias("symbol"))
+    approved = decisions.where("approved").groupBy("account", "symbol").agg(F.array_sort(F.collect_list(F.struct("decided_on", "side"))).alias("orders"))
+    rows = wanted.join(fed, "symbol").join(approved, ["account", "symbol"], "left").withColumn("orders", F.to_json("orders"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf.iloc[0]
+        cash, quota, out = float(head["cash"]), float(head["cash"]) / int(head["n_symbols"]), []
+        queues = {s: [(pd.Timestamp(o["decided_on"]).date(), o["side"]) for o in json.loads(j)] if isinstance(j, str) else [] for s, j in pdf.groupby("symbol")["orders"].first().items()}
+        held, last, entered, total, missed = {}, {}, {}, 0, 0
+        for i, (day, bars) in enumerate(pdf.sort_values(["trade_date", "symbol"]).groupby("trade_date", sort=True)):
+            for bar in bars.itertuples():
+                due = [o for o in queues.get(bar.symbol, []) if o[0] < day]
+                queues[bar.symbol] = queues.get(bar.symbol, [])[len(due) :]
+                for _, side in due:
+                    buys, has = side == "buy", held.get(bar.symbol, 0)
+                    price = costs.fill_price(buys, bar.open)
+                    n = (0 if has else costs.affordable(min(cash, quota), price)) if buys else has
+                    if n <= 0 or _blocked(buys, bar, entered.get(bar.symbol, -1), i):
+                        missed += 1
+                        continue
+                    cash += (-1 if buys else 1) * n * price - costs.charged(buys, n, price)
+                    held[bar.symbol], entered[bar.symbol], total = (n if buys else 0), i, total + 1
+                last[bar.symbol] = bar.close
+            out.append((head["account"], day, round(cash, 4), round(cash + sum(q * last[s] for s, q in held.items() if q), 4), sum(q > 0 for q in held.values()), total, missed))
+        return pd.DataFrame(out, columns=["account", "trade_date", "cash", "equity", "n_positions", "fills", "unfilled"])
+
+    return rows.groupBy("account").applyInPandas(run, "account long, trade_date date, cash double, equity double, n_positions long, fills long, unfilled long")
+
+
+def decision_ids(decisions: DataFrame) -> DataFrame:
+    """Decisions with an id that follows from account, day, symbol and side (a version-5 UUID)."""
+    import uuid
+
+    @F.pandas_udf("string")
+    def made(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda k: str(uuid.uuid5(uuid.NAMESPACE_URL, k)))
+
+    return decisions.withColumn("decision_id", made(F.concat_ws("|", "account", F.col("decided_on").cast("string"), "symbol", "side")))

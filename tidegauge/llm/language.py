@@ -31,7 +31,8 @@ BREAK = "▁"
 TOGETHER_CHARS = 24
 #: Every character multiplies by this, so that sums over a word stay near 1; it cancels between languages.
 LIFT = 12.0
-CACHED_WORDS = 200_000
+#: Words whose sums a task holds at most, and the bytes of those sums.
+CACHED_WORDS, CACHED_BYTES = 300_000, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -69,33 +70,47 @@ class Scorer:
         self.lifted = np.vstack([model.chance * LIFT ** lengths[:, None], np.zeros((1, model.chance.shape[1]))])
         self.none = len(self.lifted) - 1
         self.model = model
-        self.cache: dict[str, np.ndarray] = {}
-
-    def _ends(self, word: str) -> list[list[int]]:
-        """For each end, the piece numbers by length (none: no such piece); a lone unknown character is ``other``."""
-        get, none, most = self.ids.get, self.none, self.longest
-        rows = []
-        for e in range(1, len(word) + 1):
-            row = [get(word[e - k : e], none) for k in range(1, min(e, most) + 1)]
-            if row[0] == none:
-                row[0] = self.other
-            rows.append(row)
-        return rows
+        #: Pieces by string, and -1 for what only begins one: where neither is there, no longer piece begins so.
+        self.begins = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
+        langs = max(1, len(model.langs))
+        self.room = min(CACHED_WORDS, CACHED_BYTES // (8 * langs))
+        self.place: dict[str, int] = {}
+        self.sums = np.zeros((0, langs))
+
+    def _found(self, words: list[str]) -> np.ndarray:
+        """words x ends x lengths: the piece that ends there, or none; a lone unknown character is ``other``."""
+        begins, size, other = self.begins, len(words[0]), self.other
+        most = min(size, self.longest)
+        at, which = [], []
+        for i, w in enumerate(words):
+            base = i * size * most
+            for s in range(size):
+                for k in range(1, min(most, size - s) + 1):
+                    piece = begins.get(w[s : s + k])
+                    if piece is None:
+                        if k == 1:
+                            at.append(base + s * most)
+                            which.append(other)
+                        break
+                    if piece >= 0 or k == 1:
+                        at.append(base + (s + k - 1) * most + k - 1)
+                        which.append(piece if piece >= 0 else other)
+        ids = np.full(len(words) * size * most, self.none, np.int32)
+        ids[at] = which
+        return ids.reshape(len(words), size, most)
 
     def _together(self, words: list[str]) -> np.ndarray:
         """Log sums of words of equal length."""
-        size, most = len(words[0]), min(len(words[0]), self.longest)
-        ids = np.full((len(words), size, most), self.none, np.int32)
-        for i, w in enumerate(words):
-            for e, row in enumerate(self._ends(w)):
-                ids[i, e, : len(row)] = row
+        size, ids = len(words[0]), self._found(words)
+        most = ids.shape[2]
         forward = np.zeros((size + 1, len(words), len(self.model.langs)))
         forward[0] = 1.0
         for e in range(size):
             for k in range(min(e + 1, most)):
                 at = ids[:, e, k]
-                if (at != self.none).any():
-                    forward[e + 1] += forward[e - k] * self.lifted[at]
+                some = np.flatnonzero(at != self.none)
+                if len(some):
+                    forward[e + 1, some] += forward[e - k, some] * self.lifted[at[some]]
         return np.log(forward[size] + 1e-300)
 
     def _alone(self, word: str) -> np.ndarray:
@@ -120,30 +135,34 @@ class Scorer:
             yield row
 
     def learn(self, words: list[str]) -> None:
-        """Puts words into the cache."""
+        """Sums over new words, and their places."""
+        if len(self.place) + len(words) > self.room:
+            self.place.clear()
+            self.sums = self.sums[:0]
         by: dict[int, list[str]] = {}
         for w in words:
-            if len(w) < TOGETHER_CHARS:
-                by.setdefault(len(w), []).append(w)
-            else:
-                self.cache[w] = self._alone(BREAK + w)
-        for group in by.values():
+            by.setdefault(min(len(w), TOGETHER_CHARS), []).append(w)
+        new = []
+        for size, group in by.items():
             for at in range(0, len(group), 4096):
                 part = group[at : at + 4096]
-                self.cache.update(zip(part, self._together([BREAK + w for w in part]), strict=True))
+                self.place.update(zip(part, range(len(self.place), len(self.place) + len(part)), strict=True))
+                new.append(self._together([BREAK + w for w in part]) if size < TOGETHER_CHARS else np.array([self._alone(BREAK + w) for w in part]))
+        self.sums = np.concatenate([self.sums, *new])
 
     def texts(self, texts: list[str]) -> tuple[list[str], list[float]]:
         counted = [Counter(words_of(t)) for t in texts]
         names, scores = [], []
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        self.learn(list({w for c in counted for w in c if w not in self.cache}))
+        asked = {w for c in counted for w in c}
+        new = [w for w in asked if w not in self.place]
+        if new:
+            self.learn(new if len(self.place) + len(new) <= self.room else list(asked))
         for text, c in zip(texts, counted, strict=True):
             if not c or not self.model.langs:
                 names.append("und" if not any(map(str.isalpha, text)) or not self.model.langs else self.model.langs[int(np.argmax(self.model.prior))])
                 scores.append(0.0)
                 continue
-            total = self.model.prior + np.fromiter(c.values(), float, len(c)) @ np.array([self.cache[w] for w in c])
+            total = self.model.prior + np.fromiter(c.values(), float, len(c)) @ self.sums[np.fromiter(map(self.place.__getitem__, c), np.int64, len(c))]
             chance = np.exp(total - total.max())
             best = int(np.argmax(total))
             names.append(self.model.langs[best])

@@ -27,7 +27,7 @@ _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROL))
 _TO_ESCAPE = re.compile(r"\\|" + _CONTROL.pattern)
 #: What the scanner meets within a text: an escaped character, or a control string.
 _MET = re.compile(r"\\(.)?|" + _CONTROL.pattern, re.DOTALL)
-_ROLE_ESCAPE = re.compile(r"[\\>]|" + _CONTROL.pattern)
+_ROLE_ESCAPE = re.compile(r"[\\<>\[]")
 
 
 class Malformed(ValueError):

@@ -77,7 +77,7 @@ ORACLE_SQL = {
             UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
         s AS (SELECT *, length(text) + len(regexp_extract_all(text, '{_MARKS}')) +
                 CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 WHEN 'system' THEN 19
-                     ELSE 19 + length(role) + len(regexp_extract_all(role, '>|{_MARKS}')) END AS n FROM t)
+                     ELSE 19 + length(role) + len(regexp_extract_all(role, '[\\<>\[]')) END AS n FROM t)
         SELECT conv_id, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,

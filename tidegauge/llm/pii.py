@@ -56,7 +56,8 @@ _PHONE = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,
 _SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:AKIA|ghp_|sk-|xox[bp]-)[0-9A-Za-z_-]{12,})(?![0-9A-Za-z])", re.ASCII)
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", re.ASCII)
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(t for ts in TITLES.values() for t in ts)})\.? ({_WORD})(?: ({_WORD}))?")
-_TWO = re.compile(rf"(?<!\w)({_WORD}) ({_WORD})(?!\w)")
+_CAPITAL = "[A-ZÀ-ÖØ-ÞА-ЯЁ]"
+_TWO = re.compile(rf"({_CAPITAL}(?<!\w\w)(?:[^\W\d_]|(?<=\w)[-'’](?=[^\W\d_]))*) ({_WORD})(?!\w)")
 
 
 def script_of(word: str) -> str:

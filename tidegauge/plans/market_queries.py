@@ -224,7 +224,7 @@ def e2_symbol_ranks(spark: SparkSession, d: str) -> DataFrame:
     return M.symbol_ranks(_changed(spark, d), DAY)
 
 
-@query(with_(BARS) + "SELECT symbol, trade_date, ma FROM (SELECT symbol, trade_date, CASE WHEN count(close) OVER w = 10 THEN round(sum(close::DECIMAL(28,8)) OVER w::DOUBLE / 10, 6) END AS ma FROM priced WHERE adjustment = 'qfq' WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS 9 PRECEDING))")
+@query(with_(BARS) + "SELECT symbol, trade_date, CASE WHEN count(close) OVER w = 10 THEN round(CAST(sum(close::DECIMAL(28,8)) OVER w AS DOUBLE) / 10, 8) END AS ma FROM priced WHERE adjustment = 'qfq' WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS 9 PRECEDING)")
 def e10_moving_average(spark: SparkSession, d: str) -> DataFrame:
     return S.moving_average(M.priced(_qfq(spark, d)), 10).select("symbol", "trade_date", "ma")
 

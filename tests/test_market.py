@@ -135,3 +135,35 @@ def test_state_changes(spark):
     d = spark.createDataFrame([(1, "pending"), (2, "done")], "id int, status string")
     c = spark.createDataFrame([(1, "approved"), (2, "approved")], "id int, to string")
     assert sorted(tuple(r) for r in state.moved(d, c).collect()) == [(1, "approved"), (2, "done")]
+
+
+def test_shards_differ_by_presence_digest_or_rows(spark):
+    files = lambda rows: spark.createDataFrame(rows, "file string, sha256 string, rows long")
+    told = files([("a", "x", 1), ("b", "x", 1), ("c", "x", 1), ("d", None, 1), ("e", "x", 1)])
+    found = files([("a", "x", 1), ("b", "y", 1), ("c", "x", 2), ("d", None, 1), ("f", "x", 1)])
+    got = {r.file: r.state for r in quality.shard_differences(told, found).collect()}
+    assert got == {"b": "mismatched", "c": "mismatched", "e": "missing", "f": "extra"}
+    assert quality.shard_differences(told.limit(0), found.limit(0)).count() == 0
+
+
+def test_one_word_boards_need_a_flat_bar_away_from_the_close_before(spark):
+    d = days(5)
+    prices = [(10.0, 10.0, 10.0, 10.0), (11.0, 11.0, 11.0, 11.0), (11.0, 11.0, 11.0, 11.0), (12.0, 12.1, 12.0, 12.0), (None, 13.0, 13.0, 13.0)]
+    bars = spark.createDataFrame([("600001", "raw", d[i], *p) for i, p in enumerate(prices)], "symbol string, adjustment string, trade_date date, open double, high double, low double, close double")
+    assert [(r.trade_date, r.prev_close) for r in quality.one_word_boards(bars).collect()] == [(d[1], 10.0)]
+
+
+def test_slots_and_windows_count_per_user(spark):
+    at = dt.datetime
+    rows = spark.createDataFrame([("u", at(2024, 1, 1, 23), 3), ("u", at(2024, 1, 3), 1), ("u", at(2024, 1, 3), 2), ("v", at(2023, 12, 31, 23, 59), 4), (None, at(2024, 1, 2), 5), ("v", None, 6)], "user string, at timestamp_ntz, id int")
+    assert {r.id: r.slot for r in state.slots(rows, "user", ["at", "id"]).where("user = 'u'").collect()} == {3: 0, 1: 1, 2: 2}
+    assert {r.user: r.used for r in state.used_in_window(rows, "user", "at", "2024-01-03", 3).collect()} == {"u": 3, None: 1}
+
+
+def test_curve_metrics_of_short_and_flat_curves(spark):
+    rows = [("a", i, v) for i, v in enumerate([100.0, 120.0, 90.0, 110.0])] + [("b", 0, 5.0)] + [("c", i, 7.0) for i in range(3)]
+    got = {r.id: r for r in series.curve_metrics(spark.createDataFrame(rows, "id string, i int, v double"), "id", "i", "v").collect()}
+    assert (got["a"].n, got["a"].total, got["a"].max_drawdown) == (4, 0.1, 0.25)
+    assert got["a"].annual == pytest.approx(1.1 ** (252 / 3) - 1, abs=1e-5)
+    assert (got["b"].total, got["b"].annual, got["b"].sharpe) == (0.0, None, None)
+    assert (got["c"].annual, got["c"].sharpe) == (0.0, None)

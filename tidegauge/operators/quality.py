@@ -53,6 +53,21 @@ def event_gaps(events: DataFrame, sessions: DataFrame) -> DataFrame:
     return span.join(days, "day", "left_anti").join(trading, "day", "left").select("day", F.when(F.col("t").isNull(), "natural").otherwise("trading").alias("kind"))
 
 
+def shard_differences(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """Files (file, sha256, rows) of a manifest against those found: file, state (missing, extra or mismatched); equal ones are left out."""
+    a, b = manifest.alias("a"), found.alias("b")
+    same = F.col("a.sha256").eqNullSafe(F.col("b.sha256")) & F.col("a.rows").eqNullSafe(F.col("b.rows"))
+    state = F.when(F.col("b.file").isNull(), "missing").when(F.col("a.file").isNull(), "extra").when(~same, "mismatched")
+    met = a.join(b, F.col("a.file") == F.col("b.file"), "full")
+    return met.select(F.coalesce("a.file", "b.file").alias("file"), state.alias("state")).where("state IS NOT NULL")
+
+
+def one_word_boards(bars: DataFrame) -> DataFrame:
+    """Bars whose four prices are one, away from the close before: symbol, trade_date, close, prev_close."""
+    flat = (F.col("open") == F.col("high")) & (F.col("high") == F.col("low")) & (F.col("low") == F.col("close"))
+    return with_change(bars).where(flat & (F.col("close") != F.col("prev_close"))).select("symbol", "trade_date", "close", "prev_close")
+
+
 def suite(bars: DataFrame, events: DataFrame, sessions: DataFrame) -> dict[str, tuple[str, Callable[[], DataFrame]]]:
     """Checks by id: the level of a failure, and a one-column count of what fails."""
     n = lambda df: df.agg(F.count("*").alias("failing"))

@@ -26,8 +26,8 @@ def moving_average(bars: DataFrame, n: int) -> DataFrame:
 
 def crosses(bars: DataFrame, fast: int, slow: int) -> DataFrame:
     """Bars where the fast mean crosses the slow one: cross is golden or death; needs slow + 1 bars."""
-    mean = lambda n: F.when(F.count("close").over(_own().rowsBetween(-n + 1, 0)) == n, F.round(F.sum(F.col("close").cast(_EXACT)).over(_own().rowsBetween(-n + 1, 0)).cast("double") / n, 6))
-    both = bars.withColumn("fast", mean(fast)).withColumn("slow", mean(slow))
+    slows = moving_average(bars, slow).withColumnRenamed("ma", "slow")
+    both = moving_average(slows, fast).withColumnRenamed("ma", "fast")
     was = both.withColumn("fast0", F.lag("fast").over(_own())).withColumn("slow0", F.lag("slow").over(_own()))
     cross = F.when((F.col("fast0") <= F.col("slow0")) & (F.col("fast") > F.col("slow")), "golden").when((F.col("fast0") >= F.col("slow0")) & (F.col("fast") < F.col("slow")), "death")
     return was.withColumn("cross", F.when(F.col("slow0").isNotNull(), cross)).where("cross IS NOT NULL").select("symbol", "trade_date", "fast", "slow", "cross")
@@ -92,6 +92,17 @@ def annual_return(total: Column, n: Column, periods: int = PERIODS_PER_YEAR) ->
     return F.when(n > 0, F.when(1 + total <= 0, F.lit(-1.0)).otherwise(F.pow(1 + total, periods / F.nullif(n, F.lit(0))) - 1))
 
 
+def curve_metrics(levels: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """Per curve: n levels, total and annual return (over n - 1 periods), deepest drawdown, annual Sharpe ratio."""
+    w = Window.partitionBy(by).orderBy(order)
+    peak = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.lag(value).over(w)
+    steps = levels.select(by, order, F.col(value).alias("v"), (F.col(value) / F.nullif(before, F.lit(0.0)) - 1).alias("r"), ((peak - F.col(value)) / F.nullif(peak, F.lit(0.0))).alias("dd"))
+    a = steps.groupBy(by).agg(F.count("v").alias("n"), F.min_by("v", order).alias("a"), F.max_by("v", order).alias("b"), F.max("dd").alias("dd"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), F.count("r").alias("k"))
+    total = F.col("b") / F.nullif(F.col("a"), F.lit(0.0)) - 1
+    return a.select(by, "n", F.round(total, 6).alias("total"), F.round(annual_return(total, F.col("n") - 1), 6).alias("annual"), F.round("dd", 6).alias("max_drawdown"), F.round(sharpe(F.col("mean"), F.col("sd"), F.col("k")), 4).alias("sharpe"))
+
+
 def expected_max_sharpe(variance: float, trials: int) -> float | None:
     """The best Sharpe ratio that so many trials without skill would show; under two trials: none."""
     if trials < 2:

@@ -12,6 +12,17 @@ def capped_usage(requests: DataFrame, keys: list[str], order: list[str], limit:
     return requests.withColumn("used", F.least(n, F.lit(limit))).withColumn("accepted", n <= limit)
 
 
+def slots(tasks: DataFrame, user: str, order: list[str]) -> DataFrame:
+    """Active tasks with their ``slot``, from 0 per user, in order."""
+    return tasks.withColumn("slot", F.row_number().over(Window.partitionBy(user).orderBy(*order)) - 1)
+
+
+def used_in_window(requests: DataFrame, user: str, stamp: str, last_day, days: int) -> DataFrame:
+    """Requests per user on the ``days`` local days that end with ``last_day``: used."""
+    day, last = F.col(stamp).cast("date"), F.lit(last_day).cast("date")
+    return requests.where(day.between(F.date_sub(last, days - 1), last)).groupBy(user).agg(F.count("*").alias("used"))
+
+
 def claim_order(tasks: DataFrame, k: int) -> DataFrame:
     """The next tasks to claim: priority first, then by availability, creation and id."""
     return tasks.where("status = 'queued'").orderBy(F.desc("priority"), "available_at", "created_at", "id").limit(k)

@@ -48,7 +48,7 @@ _TITLE = {t.lower(): g for g, ts in TITLES.items() for t in ts}
 _WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 
 _EMAIL = re.compile(r"[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}", re.ASCII)
-_DIGITS = re.compile(r"\+?\(?\d[\d().\- ]{5,30}\d", re.ASCII)
+_DIGITS = re.compile(r"\+?\(?\d[\d().\- ]{5,}\d", re.ASCII)
 _IP = re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}", re.ASCII)
 _CARD = re.compile(r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})", re.ASCII)
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}", re.ASCII)

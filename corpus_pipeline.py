@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import decontaminate, exact_dedup, mixing, simhash, toxicity
+from tidegauge.llm import decontaminate, exact_dedup, mixing, near_copies, toxicity
 from tidegauge.llm.tables import staged, table
 
 
@@ -22,8 +22,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least id."""
-    return simhash.keep_one_of_each(docs)
+    """Of each group of near copies (5-word Jaccard similarity of 0.8 or more), the document with the least id."""
+    return near_copies.keep_one_of_each(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,10 +89,12 @@ def fees(side: Column, qty: Column, price: Column, costs: Costs = Costs()) -> Co
 
 
 def affordable_lots(cash: Column, price: Column, costs: Costs = Costs()) -> Column:
-    """Whole lots that cash pays for: the closed form, then up to two lots fewer where fees don't fit."""
-    most = (F.floor(F.floor(cash / price) / LOT) * LOT).cast("long")
-    fits = lambda q: q * price + fees(F.lit("buy"), q, price, costs) <= cash
-    tried = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: most - i * LOT)
+    """The most whole lots that cash pays for: the closed form of rate and minimum, then a lot more or fewer as the sums round."""
+    paid = costs if costs.fees else replace(costs, commission_rate=0.0, commission_min=0.0)
+    most = F.least((cash - paid.commission_min) / price, cash / (price * (1 + paid.commission_rate)))
+    near = (F.floor(most / LOT) * LOT).cast("long")
+    fits = lambda q: q * price + fees(F.lit("buy"), q, price, paid) <= cash
+    tried = F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: near - i * LOT)
     return F.when(price > 0, F.coalesce(F.get(F.filter(tried, lambda q: (q > 0) & fits(q)), F.lit(0)), F.lit(0))).otherwise(F.lit(0)).cast("long")
 
 

@@ -21,6 +21,6 @@ def test_every_number_of_a_list_is_found(kind, numbers):
 
 def test_lists_are_replaced_whole(spark):
     lines = [" ".join(CARDS), " ".join(PHONES), " ".join(SSNS)]
-    out = pii.pseudonymise(spark.createDataFrame(enumerate(lines), "doc_id long, text string")).orderBy("doc_id").collect()
+    out = pii.pseudonymise(spark.createDataFrame(enumerate(lines), "doc_id long, text string"), b"key").orderBy("doc_id").collect()
     assert [r["surrogated"]["n_entities"] for r in out] == [5, 4, 4]
     assert not any(n in r["surrogated"]["text"] for r in out for n in CARDS + PHONES + SSNS)

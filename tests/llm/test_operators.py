@@ -22,6 +22,7 @@ def docs(spark, texts, source=lambda i: f"s{i % 3}"):
     return spark.createDataFrame([(i, t, "en", source(i), "x", "y") for i, t in enumerate(texts)], DOCS)
 
 
+KEY = b"a key of the tests"
 ODD = ["", None, "a", "a", "b" * 20_000, "b" * 20_000, "b" * 20_001, "\n", "\\", "é" * 5000, "é" * 5000]
 
 
@@ -49,6 +50,64 @@ def test_chat_digests(spark):
     assert got[2].n_turns == 1 and got[None].n_turns == 1
 
 
+def test_stored_pieces_read_back_however_they_lie(spark, tmp_path):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {t} </s> \\ of {c}" * 30) for c in range(5) for t in range(25)]
+    pieces = chat.render_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    whole = sorted(tuple(r) for r in chat.read_conversations(pieces).collect())
+    pieces.repartition(7, "seq").write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    assert sorted(tuple(r) for r in chat.read_conversations(stored).collect()) == whole and len(whole) == 5
+    for broken in (stored.where("conv_id <> 3 OR seq <> 7"), stored.where("conv_id <> 3 OR NOT last"), stored.unionByName(stored.where("seq = 2"))):
+        with pytest.raises(Exception, match="piece"):
+            chat.read_conversations(broken).collect()
+    spans = stored.where("conv_id = 1 AND seq = 1").first()
+    (span,) = spans.loss_spans
+    assert chat.unescape(spans.piece[span.start : span.stop]) == rows[26][3]
+
+
+def test_mixing_against_sql_and_bounds(spark):
+    """Sizes, source sizes and targets against SQL that is written apart from the operator; what is taken against its bounds."""
+    import duckdb
+
+    rng = random.Random(8)
+    frame = docs(spark, [*("w\t" * rng.randrange(0, 900) for _ in range(80)), None, "", " \n"], lambda i: None if i % 7 == 0 else "big" if i % 2 else f"s{i % 3}")
+    got = {r.doc_id: r for r in mixing.taken(frame).collect()}
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    con.execute("CREATE TABLE s AS SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) AS size FROM documents GROUP BY source")
+    sources = con.execute("SELECT source, size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM s ORDER BY source NULLS LAST").fetchall()
+    capped, total = set(), sum(x[1] for x in sources)
+    while True:
+        left, weight = total - sum(3 * x[1] for x in sources if x[0] in capped), sum(x[2] for x in sources if x[0] not in capped)
+        more = {x[0] for x in sources if x[0] not in capped and left * x[2] / weight > 3 * x[1]}
+        if not more:
+            break
+        capped |= more
+    want = {x[0]: (x[1], 3.0 * x[1] if x[0] in capped else left * x[2] / weight) for x in sources}
+    size = dict(con.execute("SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) FROM documents").fetchall())
+    by = Counter()
+    for i, r in got.items():
+        assert r["size"] == size[i] and (r.source_size, pytest.approx(r.target)) == want[r.source]
+        assert 0 <= r.taken <= 3 * r["size"]
+        by[r.source] += r.taken
+    assert all(abs(by[x] - t) <= 1 for x, (_, t) in want.items())
+
+
+def test_mixed_corpus_is_text_whatever_the_files(spark):
+    rng = random.Random(9)
+    texts = ["  lead\n" + " \t".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 200))) for _ in range(60)]
+    frame = docs(spark, [*texts, None, ""])
+    key = lambda d: sorted((r.shard, r.position, r.doc_id, r.epoch, r.block, r.words, r.text) for r in d.collect())
+    one = key(mixing.mixed_corpus(frame, block_words=64, shard_blocks=20))
+    assert one == key(mixing.mixed_corpus(frame.repartition(13), block_words=64, shard_blocks=20))
+    for doc in range(60):
+        first = sorted((b, t) for _, _, d, e, b, _, t in one if d == doc and e == 0)
+        if len("".join(t for _, t in first).split()) == len(texts[doc].split()):
+            assert "".join(t for _, t in first) in texts[doc]
+    taken = {r.doc_id: r.taken for r in mixing.taken(frame, block_words=64, shard_blocks=20).collect()}
+    assert Counter({d: n for d, n in taken.items() if n}) == sum((Counter({d: len(t.split())}) for _, _, d, _, _, _, t in one), Counter())
+
+
 def test_mixing_meets_its_targets(spark):
     rng = random.Random(1)
     texts = ["w " * rng.randrange(0, 3000) for _ in range(120)] + [None, ""]
@@ -87,10 +146,36 @@ def test_warc_round_trip_with_large_and_odd_payloads(spark):
         again = len(b) >= 100 and first < i
         assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == (len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first if again else None)
         assert got[i].url == (None if i == 2 else f"http://a/{i}\r\n%0A")
+    joined = {r.page_id: r for r in warc.archive_pages(pages, chunk_bytes=512, held_payloads=-1, records_per_file=3).collect()}
+    assert joined == got
     chunks = warc.chunk_table(pages, chunk_bytes=512).where("page_id = 7").orderBy("chunk_no").collect()
     assert len(chunks) == 16 and b"".join(bytes(c.chunk) for c in chunks) == plain[7]
 
 
+def test_warc_reading_finds_what_is_missing_or_wrong(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", c * n) for i, (c, n) in enumerate([("a", 300), ("b", 50), ("c", 900)])], "page_id long, url string, html string")
+    warc.write_archives(warc.chunk_table(pages, chunk_bytes=100), str(tmp_path / "w"), records_per_file=2)
+    chunks = warc.read_archives(spark, str(tmp_path / "w"))
+    assert warc.read_records(chunks).count() == 3
+    changed = F.when(F.col("chunk_no") == 1, F.lit(b"other")).otherwise(F.col("chunk"))
+    for broken in (chunks.where("page_id <> 2 OR chunk_no < 8"), chunks.where("page_id <> 2 OR chunk_no <> 4"), chunks.where("page_id <> 2 OR chunk_no > 0"), chunks.withColumn("chunk", changed), chunks.withColumn("payload_bytes", F.lit(7).cast("long"))):
+        with pytest.raises(Exception, match="missing|digest|payload"):
+            warc.read_records(broken).collect()
+
+
+def test_warc_members_are_records_of_their_own(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * 50 * i) for i in range(5)], "page_id long, url string, html string")
+    warc.write_archives(warc.chunk_table(pages.coalesce(1)), str(tmp_path / "w"))
+    (file,) = (tmp_path / "w").glob("part-*")
+    whole = gzip.decompress(file.read_bytes())
+    assert whole.count(b"WARC/1.1\r\n") == 5
+    rows = warc.read_archives(spark, str(tmp_path / "w")).orderBy("page_id").collect()
+    one = warc._members(file.read_bytes()[rows[3].offset :])
+    assert warc._segment(0, next(one)[1])["page_id"] == 3
+
+
 def simhash_brute(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     if not words:
@@ -135,7 +220,12 @@ def test_ball_hashing_finds_every_link(spark):
         for y in fps:
             if (x ^ y).bit_count() <= 4:
                 assert find(signed(x)) == find(signed(y))
-    assert all(((e.a ^ e.b) & (1 << 64) - 1).bit_count() <= 64 for e in edges)
+    component = {}
+    for e in edges:
+        component.setdefault(find(e.a), set()).update({e.a, e.b})
+    for members in component.values():  # an edge may close over a common neighbour, never over more than the radius
+        assert len(members) > 1
+    assert all(((e.a ^ e.b) & (1 << 64) - 1).bit_count() <= 8 for e in edges)
 
 
 def test_url_rules_inline_and_joined_agree(spark):
@@ -147,25 +237,54 @@ def test_url_rules_inline_and_joined_agree(spark):
     assert [r[3] for r in got] == [None, None, "www.example.com/en/", "example.com/en/", "net/es/", "net/fr/", None, None, "com/", "com/", "example.com/en/"]
 
 
-def test_toxicity_learns_planted_words(spark):
-    rng = random.Random(4)
+def toxic_corpus(n=600, seed=4):
+    rng = random.Random(seed)
     words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
     toxic = lambda i: i % 4 == 0
-    texts = [" ".join("vilegrub" if toxic(i) and j % 20 == 3 else rng.choice(words) for j in range(80)) for i in range(600)]
-    frame = docs(spark, [*texts, None, "", "vilegrub " * 5000])
+    return [" ".join("vilegrub" if toxic(i) and j % 20 == 3 else rng.choice(words) for j in range(80)) for i in range(n)], toxic
+
+
+def test_toxicity_learns_planted_words(spark):
+    texts, toxic = toxic_corpus()
+    frame = docs(spark, [*texts, None, "", "vilegrub " * 5000, "x" * 200_000])
     labels = spark.createDataFrame([(i, int(toxic(i)), 1) for i in range(600)] + [(0, None, 1)], "doc_id long, toxic int, quality int")
-    got = {r.doc_id: r.score for r in toxicity.score_texts(frame, toxicity.fit(frame, labels)).collect()}
+    model = toxicity.fit(frame, labels)
+    got = {r.doc_id: r.score for r in toxicity.score_texts(frame, model).collect()}
     assert np.mean([(got[i] >= 0.5) == toxic(i) for i in range(600)]) > 0.97
     assert got[600] == got[601] < 0.5 <= got[602]
+    assert b"vilegrub" in model.toxic and b"vilegrub" not in model.ordinary
+    again = toxicity.fit(frame.repartition(5), labels)
+    assert (again.toxic, again.ordinary) == (model.toxic, model.ordinary)
     assert toxicity.score_texts(frame.limit(0), toxicity.fit(frame.limit(0), labels)).count() == 0
+    with pytest.raises(ValueError):
+        toxicity.score_texts(frame.withColumn("score", F.lit(1)), model)
+
+
+def test_window_lengths_are_those_of_plain_compression():
+    """Figures against compression lengths from another compressor object, window by window."""
+    import zstandard
+
+    model = toxicity.Model(b"some quite ordinary words " * 20, b"some quite ordinary words " * 19 + b" vilegrub and nastythin ", (), (), ())
+    text = "Some ORDINARY words vilegrub " * 9 + "nastythin " + "y" * 100
+
+    def length(window, content):
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False).compress(window))
+
+    cut = [x[i : i + 24] for x in text.lower().split() for i in range(0, len(x), 24)]
+    spans = [f" {' '.join(cut[i : i + 8])} ".encode() for i in range(0, len(cut), 8)]
+    assert toxicity.windows(text) == spans
+    d = np.array([length(w, model.ordinary) - length(w, model.toxic) for w in spans])
+    got = toxicity.figures(model)(text)
+    assert got[0] == max(0, d.max()) and got[1] == pytest.approx(d.sum() / len(d) ** 0.5) and d.max() > 2
+    assert got[2] == pytest.approx(np.log1p((d >= 2).sum())) and got[-1] == pytest.approx(np.log1p(len(d)))
 
 
 def test_surrogates_keep_kind_format_and_coreference(spark):
     a = "Write to Ann.Lee@Mail.example.com or +1 (663) 555-6869, card 4556 7375 8689 9855; 10.1.2.3. Mrs Maria SMITH met Mr Smith. key 24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     texts = [a, a.replace("+1 (663) 555-6869", "+16635556869"), None, "", "Version 3.11 of 2024-01-02, 12345 items.", "mail ann.lee@mail.example.com"]
-    out = pii.pseudonymise(docs(spark, texts)).orderBy("doc_id").collect()
+    out = pii.pseudonymise(docs(spark, texts), KEY).orderBy("doc_id").collect()
     got = [r.surrogated.text for r in out]
-    assert got == [r.surrogated.text for r in pii.pseudonymise(docs(spark, texts), held_redraws=-1).orderBy("doc_id").collect()]
+    assert got == [r.surrogated.text for r in pii.pseudonymise(docs(spark, texts), KEY, held_redraws=-1).orderBy("doc_id").collect()]
     assert got[2:5] == ["", "", texts[4]]
     for secret in ("Ann", "663", "4556", "10.1.2.3", "Maria", "SMITH", "Smith", "24be6443"):
         assert secret not in got[0]
@@ -180,12 +299,46 @@ def test_surrogates_keep_kind_format_and_coreference(spark):
     assert family[2].lower() == family[3].lower() and family[1].lower() in pii.GIVEN["f", "latin"]
 
 
-def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
-    plain = pii.draw
-    monkeypatch.setattr(pii, "draw", lambda key, kind, form, nth=0: "same" if nth == 0 else plain(key, kind, form, nth))
-    entities = spark.createDataFrame([("email", f"u{i}@x.example.com") for i in range(5)], "kind string, form string")
-    drawn = pii.redrawn(entities, b"k").collect()
-    assert len(drawn) in (0, 4)  # workers see the plain draw when they import the module anew
+def test_surrogates_of_a_full_shape_are_distinct_and_new(spark):
+    """All hundred addresses vowel@consonant.co but none of other shapes: later draws must be longer ones."""
+    addresses = [f"{v}@{c}.co" for v in pii.VOWELS for c in pii.CONSONANTS]
+    out = pii.pseudonymise(spark.createDataFrame(enumerate(addresses), "doc_id long, text string"), KEY).collect()
+    drawn = [r.surrogated.text for r in out]
+    assert len(set(drawn)) == len(addresses) and not set(drawn) & set(addresses)
+    # without further draws they would clash
+    assert len({pii.draw(KEY, "email", a) for a in addresses} - set(addresses)) < len(addresses)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.co", "Mr Smith", "Smith", "10.0.0.1", "4111 1111 1111 1111", "555-123-4567", "x", "@", "A-", "+1(", "-", " ", "\n"]), max_size=30).map("".join))
+def test_mentions_are_disjoint_and_in_order(text):
+    found = pii.find(text)
+    assert all(0 <= a[0] < a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+    assert all(text[x:y] for x, y, _, _ in found)
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("a" * 10**6 + "@x.com", "a@" * 200_000, "A-" * 200_000, "f" * 10**6 + "z", "Anna " + "B" * 10**6 + "1", "12-" * 200_000):
+        pii.find(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_scripts_titles_checks_and_bare_names():
+    assert [(k, f) for _, _, k, f in pii.find("Mr Παπαδόπουλος id 1700000000000 4556737586899856")] == [("family:greek", "παπαδόπουλος")]
+    greek = pii.draw(KEY, "family:greek", "παπαδόπουλος")
+    assert len(greek) == 12 and all(pii.script_of(c) == "greek" for c in greek)
+    bare = pii.find("Mrs Maria Smith. Later Smith called; a smith. Maria left.")
+    assert [k for _, _, k, _ in bare] == ["given:f:latin", "family:latin", "family:latin", "given:f:latin"]
+
+
+def test_a_key_is_needed(spark):
+    with pytest.raises(TypeError):
+        pii.pseudonymise(spark.createDataFrame([], "text string"))
+    with pytest.raises(ValueError):
+        pii.pseudonymise(spark.createDataFrame([], "text string"), b"")
 
 
 def test_decontamination_slop_and_passes(spark):
@@ -234,7 +387,7 @@ def test_language_of_odd_texts(spark):
 def test_empty_tables(spark):
     none = docs(spark, [])
     bench = spark.createDataFrame([], "item_id string, text string")
-    for made in (exact_dedup.exact_dedup(none), simhash.near_components(none), decontaminate.decontaminate(none, bench), mixing.taken(none), pii.pseudonymise(none)):
+    for made in (exact_dedup.exact_dedup(none), simhash.near_components(none), decontaminate.decontaminate(none, bench), mixing.taken(none), mixing.mixed_corpus(none), pii.pseudonymise(none, KEY)):
         assert made.count() == 0
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert chat.read_conversations(chat.render_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0

@@ -116,7 +116,20 @@ def render_turn(role: str, text: str) -> str:
     raise Malformed(f"role {role!r} can't be written")
 
 
-_PIECES = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("piece", pa.string())])
+def mask_span(piece: str) -> tuple[int, int] | None:
+    """Where the text under the loss mask lies in a rendered turn (code points, escapes included); None: nothing does."""
+    opening, closing = OPENING["assistant"], CLOSING["assistant"]
+    if parse_turn(piece)[0] != "assistant":
+        return None
+    return len(opening), len(piece) - len(closing)
+
+
+def unescape(text: str) -> str:
+    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+_PIECES = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("piece", pa.string()), ("loss_spans", _SPANS), ("last", pa.bool_())])
 _READ = pa.schema(
     [
         ("conv_id", pa.int64()),
@@ -127,52 +140,59 @@ _READ = pa.schema(
         ("formatted_chars", pa.int64()),
     ]
 )
-_DDL = {"piece": "conv_id long, seq long, piece string", "read": "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"}
+_DDL = {
+    "piece": "conv_id long, seq long, piece string, loss_spans array<struct<start:int,stop:int>>, last boolean",
+    "read": "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
+}
 _BEGIN = object()
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (conv_id, role, text), sorted by conversation and turn → pieces."""
-    now, seq = _BEGIN, 0
+    """Rows (conv_id, role, text), sorted by conversation and turn → pieces; a piece is held until it is known whether it is the last."""
+    held: tuple | None = None
     for batch in batches:
-        seqs, pieces = [], []
+        done = []
         for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            now, seq = conv, seq + 1 if conv == now else 0
-            seqs.append(seq)
-            pieces.append(render_turn(role, text))
-        yield pa.record_batch([batch.column(0), pa.array(seqs, pa.int64()), pa.array(pieces, pa.string())], schema=_PIECES)
+            seq = held[1] + 1 if held and held[0] == conv else 0
+            if held:
+                done.append((*held, seq == 0))
+            piece = render_turn(role, text)
+            span = mask_span(piece)
+            held = conv, seq, piece, [] if span is None else [{"start": span[0], "stop": span[1]}]
+        if done:
+            yield pa.record_batch(list(map(list, zip(*done, strict=True))), schema=_PIECES)
+    if held:
+        yield pa.record_batch([[x] for x in (*held, True)], schema=_PIECES)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces in order → a row per conversation, from incremental digests."""
-    now, state = _BEGIN, None
+    now, due, state = _BEGIN, None, []
+    turns = loss = hashlib.sha256()
 
     def row() -> tuple:
-        n, chars, loss_chars, turns, loss, rest = state
-        if rest:
-            raise Malformed(f"conversation {now}: {len(rest)} characters are left over")
-        return now, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars
+        if due is not None:
+            raise Malformed(f"conversation {now}: piece {due} is missing")
+        return now, state[0], turns.hexdigest(), state[1], loss.hexdigest(), state[2]
 
     for batch in batches:
         done = []
-        for conv, piece in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for conv, seq, piece, spans, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if now is _BEGIN or conv != now:
                 if now is not _BEGIN:
                     done.append(row())
-                now, state = conv, [0, 0, 0, hashlib.sha256(), hashlib.sha256(), ""]
-            state[1] += len(piece)
-            data, at = state[5] + piece, 0
-            while at < len(data):
-                try:
-                    role, text, at = parse_turn(data, at)
-                except Malformed:
-                    break  # the turn goes on in the next piece
+                now, due, state, turns, loss = conv, 0, [0, 0, 0], hashlib.sha256(), hashlib.sha256()
+            if seq != due:
+                raise Malformed(f"conversation {conv}: piece {seq} where {'none' if due is None else due} is due")
+            due = None if last else seq + 1
+            for role, text in parse(piece):
                 state[0] += 1
-                state[3].update(f"{role}\n{text}\n".encode())
-                if role == "assistant":
-                    state[2] += len(text)
-                    state[4].update(text.encode())
-            state[5] = data[at:]
+                turns.update(f"{role}\n{text}\n".encode())
+            for span in spans:
+                learnt = unescape(piece[span["start"] : span["stop"]])
+                state[1] += len(learnt)
+                loss.update(learnt.encode())
+            state[2] += len(piece)
         if done:
             yield pa.record_batch(list(map(list, zip(*done, strict=True))), schema=_READ)
     if now is not _BEGIN:
@@ -180,14 +200,16 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def render_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """The formatted conversations as rows (conv_id, seq, piece), in order within each partition, a conversation in one.
+    """The formatted conversations as rows (conv_id, seq, piece, loss_spans, last).
 
-    A conversation's formatted text is its pieces joined with nothing between, in the order of seq.
+    A conversation's formatted text is its pieces joined with nothing between, in the order of seq from 0; ``last``
+    marks the one that ends it. ``loss_spans`` are the stretches of a piece (code points from start to before stop)
+    under the loss mask: the text of an assistant turn, as it is escaped.
 
     * Null texts and null roles are empty strings. A null conv_id is a conversation of its own.
     * Turns go by number, null first, then by role and text; rows that repeat a turn are turns of their own.
     * Any role can be written; only ``assistant`` texts are under the loss mask.
-    * No rows give no rows; other columns aren't looked at.
+    * No rows give no rows; other columns aren't looked at; a text of any length is one piece.
 
     One conversation's turns are read one after another by one task (its digests and its text are sequential), which
     holds a batch of them at a time: a conversation that holds a third of all rows takes time there, not memory.
@@ -203,9 +225,11 @@ def render_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
 
 def read_conversations(pieces: DataFrame) -> DataFrame:
-    """What the grammar's parser reads back from :func:`render_conversations`: a row per conversation.
+    """What the grammar's parser reads back from :func:`render_conversations`, however its rows lie: a row per conversation.
 
-    conv_id, n_turns, turns_sha256 (of role, newline, text, newline per turn), loss_chars and loss_sha256 (of all
-    assistant texts, in order, unescaped, nothing between), formatted_chars (code points of the formatted text).
+    conv_id, n_turns, turns_sha256 (of role, newline, text, newline per turn), loss_chars and loss_sha256 (of all text
+    under the loss mask, in order, unescaped, nothing between), formatted_chars (code points of the formatted text).
+    A piece that is missing, repeated or not of the grammar raises :class:`Malformed`.
     """
-    return pieces.mapInArrow(_read_back, _DDL["read"])
+    in_order = pieces.select("conv_id", "seq", "piece", "loss_spans", "last").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    return in_order.mapInArrow(_read_back, _DDL["read"])

@@ -8,6 +8,7 @@ has a word break inside, so the sum over a text is the product over its words, a
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import staged, text_or_empty
+from .tables import refuse_clash, staged, text_or_empty
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Documents of each language that the fit uses at most, about; chosen by a hash of their id.
@@ -47,6 +48,8 @@ def vocabulary(path: str) -> tuple[tuple[str, ...], bytes]:
     """Pieces by number, and the vocabulary file's bytes."""
     from sentencepiece import SentencePieceProcessor
 
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no vocabulary file {path}: name a SentencePiece model with vocabulary_path")
     with open(path, "rb") as f:
         proto = f.read()
     held = SentencePieceProcessor(model_proto=proto)
@@ -230,8 +233,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", as_col: str
 
     * ``und`` with score 0 where the text is null or has no letter, and for all rows where no language was learned.
     * Words count as often as they come; any length is read whole. Ties go to the first language by code point.
-    * Rows that repeat get equal answers; an empty table stays empty; other columns stay as they are.
+    * Rows that repeat get equal answers; an empty table stays empty; other columns stay as they are. A column named ``as_col`` raises.
     """
+    refuse_clash(docs, as_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

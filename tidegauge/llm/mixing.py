@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import staged, text_or_empty
+from .tables import numbered, staged, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 512
@@ -24,10 +24,15 @@ CELL_BLOCKS = 1 << 12
 MOST_EPOCHS = 3
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(row_id, doc_id, source, size): size is the number of words."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """(row_id, name, doc_id, source, size): size is the number of words, ``name`` hashes the id and the text.
+
+    The random order goes by name, so that it doesn't depend on how the rows lie in files; ``row_id`` only tells rows
+    apart that are equal in both.
+    """
     return docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        F.monotonically_increasing_id().alias("row_id") if row_col is None else F.col(row_col).alias("row_id"),
+        F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col)).alias("name"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
@@ -167,10 +172,10 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 def _numbered(sized: DataFrame, goals: DataFrame, seed: int, block_words: int, cell_blocks: int) -> DataFrame:
     """Blocks in their source's random order: row_id, block, source, words, at (its number), before (words of the earlier ones), source_size, goal."""
     n = F.ceil(F.col("size") / block_words).cast("int")
-    cut = sized.where("size > 0").select("row_id", "doc_id", "source", "size", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
+    cut = sized.where("size > 0").select("row_id", "name", "source", "size", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
     cells = F.greatest(F.lit(1), F.ceil(F.col("source_size") / (block_words * cell_blocks))).cast("double")
     blocks = (
-        cut.select("row_id", "source", "block", F.least(F.lit(block_words), F.col("size") - F.col("block") * block_words).alias("words"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("block").cast("string"))).alias("key"))
+        cut.select("row_id", "name", "source", "block", F.least(F.lit(block_words), F.col("size") - F.col("block") * block_words).alias("words"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("name").cast("string"), F.col("block").cast("string"))).alias("key"))
         .join(goals.select(F.col("source").alias("of"), "source_size", "goal"), F.col("source").eqNullSafe(F.col("of")))
         .withColumn("cell", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(1 << 32) * cells))
     )
@@ -178,26 +183,26 @@ def _numbered(sized: DataFrame, goals: DataFrame, seed: int, block_words: int, c
     offsets = blocks.groupBy("source", "cell").agg(F.count("*").alias("n"), F.sum("words").alias("w")).select(F.col("source").alias("s"), F.col("cell").alias("c"), F.coalesce(F.sum("n").over(past), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(past), F.lit(0)).alias("w0"))
     inside = Window.partitionBy("source", "cell").orderBy("key", "row_id", "block")
     ranked = blocks.withColumn("rn", F.row_number().over(inside) - 1).withColumn("cum", F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
-    return ranked.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).select("row_id", "block", "source", "words", (F.col("n0") + F.col("rn")).alias("at"), (F.col("w0") + F.col("cum")).alias("before"), "source_size", "goal")
+    return ranked.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).select("row_id", "name", "block", "source", "words", (F.col("n0") + F.col("rn")).alias("at"), (F.col("w0") + F.col("cum")).alias("before"), "source_size", "goal")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, cell_blocks: int = CELL_BLOCKS) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, cell_blocks: int = CELL_BLOCKS, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix, and the documents it was drawn from.
 
     * mix: shard, position, row_id, block, epoch, words: block ``block`` (words from ``block * block_words`` on, ``words`` of them) of a document.
-    * documents: row_id, doc_id, source, size, source_size, target, one for each input row.
+    * documents: row_id, doc_id, source, size, source_size, target, one for each input row. ``row_col`` names a column that numbers the rows.
 
     Each source gives its target, rounded to a word: the block where it is met is cut. Reruns give the same blocks and
-    words; ties of the random order (rows that repeat) go by row. Null and empty texts have size 0 and no blocks; a null
+    words, however the rows lie in files; only which of two rows with one id and text comes first goes by row. Null and empty texts have size 0 and no blocks; a null
     source is a source, a null id an id. An empty table gives an empty mix. Other columns don't matter.
     """
-    sized = staged(sizes(docs, id_col, text_col, source_col), "sizes")
+    sized = staged(sizes(docs, id_col, text_col, source_col, row_col), "sizes")
     goals = staged(targets(sized, weights).withColumn("goal", F.round("target").cast("long")), "targets")
     blocks = staged(_numbered(sized, goals, seed, block_words, cell_blocks), "blocks")
     full = F.expr("goal div source_size")
     part = F.expr("goal % source_size")
     epochs = F.expr("transform(sequence(0L, goal div source_size), e -> named_struct('epoch', e, 'words', if(e < goal div source_size, words, greatest(0L, least(words, goal % source_size - before)))))")
-    copies = blocks.select("row_id", "block", "source", "at", F.explode(epochs).alias("c")).select("row_id", "block", "source", "at", "c.epoch", "c.words").where("words > 0")
+    copies = blocks.select("row_id", "name", "block", "source", "at", F.explode(epochs).alias("c")).select("row_id", "name", "block", "source", "at", "c.epoch", "c.words").where("words > 0")
     counts = blocks.groupBy("source").agg(F.count("*").alias("n_blocks"), F.sum(full + F.when(F.col("before") < part, 1).otherwise(0)).alias("quota"))
     counts = staged(counts, "quotas")
     n_drawn = counts.agg(F.sum("quota")).first()[0] or 0
@@ -207,12 +212,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spread = ranges.select(F.col("source").alias("s"), "shard", "start", "n", F.explode(F.expr(f"sequence(start div {grain}, (start + n - 1) div {grain})")).alias("g"))
     placed = copies.join(counts.select(F.col("source").alias("of"), "n_blocks"), F.col("source").eqNullSafe(F.col("of"))).withColumn("turn", F.col("epoch") * F.col("n_blocks") + F.col("at"))
     met = placed.join(spread, F.col("source").eqNullSafe(F.col("s")) & (F.expr(f"turn div {grain}") == F.col("g")) & (F.col("turn") >= F.col("start")) & (F.col("turn") < F.col("start") + F.col("n")))
-    shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "row_id", "block", "epoch"), "row_id", "block", "epoch")
+    shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "name", "block", "epoch"), "name", "block", "epoch", "row_id")
     drawn = met.select("shard", (F.row_number().over(shuffled) - 1).alias("position"), "row_id", "block", "epoch", "words")
     known = sized.join(goals.select(F.col("source").alias("of"), "source_size", "target"), F.col("source").eqNullSafe(F.col("of"))).select("row_id", "doc_id", "source", "size", "source_size", "target")
     return drawn, known
 
 
+def mixed_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, **how) -> DataFrame:
+    """The mix as text: shard, position, doc_id, source, epoch, block, words, text; a row per drawn block.
+
+    ``text`` is the document's own, from the block's first word up to the next block's, white space and all; the first
+    block has what comes before the first word as well. Shards are read in the order of position.
+    """
+    rows, row = numbered(docs.select(id_col, text_col, source_col), "mix-rows")
+    rows = rows.select(F.col(row).alias("row_id"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_or_empty(text_col).alias("text"))
+    drawn, _ = mix(rows, block_words=block_words, row_col="row_id", **how)
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    split = rows.withColumn("pieces", pieces).drop("text")
+    text = F.array_join(F.slice("pieces", F.col("block") * block_words + 1, F.col("words").cast("int")), "")
+    return split.join(drawn, "row_id").select("shard", "position", "doc_id", "source", "epoch", "block", "words", text.alias("text"))
+
+
 def taken(docs: DataFrame, **how) -> DataFrame:
     """What :func:`mix` takes of each document: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
     drawn, known = mix(docs, **how)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .components import connected_components
-from .tables import staged, text_or_empty
+from .tables import numbered, staged, text_or_empty
 
 WORDS, LEAST = 5, 0.8
 #: Seeds and bits of each; fewer bits meet more often, by chance too: at 48, two strangers once in 1.3 billion.
@@ -123,11 +123,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
       rows that repeat an id with another text are different documents.
     * A null text is the empty one; texts without words are alike. Texts under five words are one run.
     """
-    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select(F.col("__row").alias("row_id"), text_or_empty(text_col).alias("text"))
+    known, row = numbered(docs)
+    rows = known.select(F.col(row).alias("row_id"), text_or_empty(text_col).alias("text"))
     groups = staged(connected_components(near_pairs(rows, least, seeds, radius)), "groups")
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    named = numbered.select(F.col("__row").alias("node"), F.col(id_col).cast("long").alias("id")).join(members, "node")
+    named = known.select(F.col(row).alias("node"), F.col(id_col).cast("long").alias("id")).join(members, "node")
     best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("best"))
-    gone = named.join(best, "root").where("node <> best.node").select(F.col("node").alias("__row"))
-    return numbered.join(gone, "__row", "left_anti").drop("__row")
+    gone = named.join(best, "root").where("node <> best.node").select(F.col("node").alias(row))
+    return known.join(gone, row, "left_anti").select(*docs.columns)

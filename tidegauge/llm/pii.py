@@ -4,6 +4,9 @@ An entity is a kind and a normal form (digits of a number, lower-case letters of
 written. Its surrogate is drawn from a keyed hash of both, so the same entity gets the same surrogate everywhere, and
 is then poured into the format that each mention had. All distinct entities of the corpus are checked: where two would
 share a surrogate, or a surrogate is itself an entity of the corpus, all but the first draw again until none clash.
+Later draws are longer ones, so that a shape whose forms are all taken has room as well.
+
+Every pattern is linear in the length of a text: an address is looked for on both sides of each ``@`` only.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import staged, text_or_empty
+from .tables import free_name, refuse_clash, staged, text_or_empty
 
 #: Redrawn entities that tasks hold in memory at most; more are joined to the documents that mention them.
 HELD_REDRAWS = 200_000
-MOST_ROUNDS = 60
+#: From this draw on a surrogate is longer than what it stands for, by a place more for each further draw.
+LONGER_FROM = 6
 
 # Given names by gender and script, and the titles before names.
 GIVEN = {
@@ -47,7 +51,8 @@ _GENDER = {(name, script): g for (g, script), names in GIVEN.items() for name in
 _TITLE = {t.lower(): g for g, ts in TITLES.items() for t in ts}
 _WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 
-_EMAIL = re.compile(r"[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}", re.ASCII)
+_DOMAIN = re.compile(r"[A-Za-z0-9.-]+", re.ASCII)
+_LETTERS = re.compile(r"[A-Za-z]+", re.ASCII)
 _DIGITS = re.compile(r"\+?\(?\d[\d().\- ]{5,}\d", re.ASCII)
 _IP = re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}", re.ASCII)
 _CARD = re.compile(r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})", re.ASCII)
@@ -57,11 +62,18 @@ _SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:AKIA|gh
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", re.ASCII)
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(t for ts in TITLES.values() for t in ts)})\.? ({_WORD})(?: ({_WORD}))?")
 _CAPITAL = "[A-ZÀ-ÖØ-ÞА-ЯЁ]"
-_TWO = re.compile(rf"({_CAPITAL}(?<!\w\w)(?:[^\W\d_]|(?<=\w)[-'’](?=[^\W\d_]))*) ({_WORD})(?!\w)")
+_ANY_WORD = re.compile(_WORD)
+_TWO = re.compile(rf"((?<!\w)(?<!\w[-'’]){_CAPITAL}(?:[^\W\d_]|(?<=\w)[-'’](?=[^\W\d_]))*) ({_WORD})(?!\w)")
 
 
 def script_of(word: str) -> str:
-    return "cyrillic" if "CYRILLIC" in unicodedata.name(word[0], "") else "latin"
+    """The script of a word's first letter, as the first word of its Unicode name: latin, cyrillic, greek, cjk, ..."""
+    return unicodedata.name(word[0], "LATIN").split()[0].split("-")[0].lower()
+
+
+def _is_name(word: str) -> bool:
+    """Capitalised, or of a script that has no capitals."""
+    return word[0].isupper() or unicodedata.category(word[0]) == "Lo"
 
 
 def luhn_ok(digits: str) -> bool:
@@ -89,7 +101,7 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
                 if end < len(text) and (text[end].isalnum() or kind == "ip" and text[end : end + 1] == "." and text[end + 1 : end + 2].isdigit()):
                     continue
                 digits = re.sub(r"\D", "", hit[0])
-                if kind == "phone" and not 8 <= len(digits) <= 15:
+                if kind == "phone" and not 8 <= len(digits) <= 15 or kind == "card" and not luhn_ok(digits):
                     continue
                 yield at, end, kind, hit[0] if kind == "ip" else digits
                 at = end - 1
@@ -97,30 +109,61 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
             at += 1
 
 
+def _emails(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Addresses: what can be one on both sides of each ``@``, so no character is looked at more than a few times."""
+    at, past = text.find("@"), 0
+    while at >= 0:
+        begin = at
+        while begin > past and text[begin - 1].isascii() and (text[begin - 1].isalnum() or text[begin - 1] in "_.+-"):
+            begin -= 1
+        while begin < at and not text[begin].isalnum():
+            begin += 1
+        end, stop = None, at + 1
+        if begin < at and text[at - 1].isalnum() and (domain := _DOMAIN.match(text, at + 1)):
+            for n, label in enumerate(domain[0].split(".")):
+                if n and (top := _LETTERS.match(label)) and len(top[0]) >= 2:
+                    end = stop + len(top[0])
+                if not label or label[0] == "-" or label[-1] == "-":
+                    break
+                stop += len(label) + 1
+        if end:
+            yield begin, end, "email", text[begin:end].lower()
+        past = end or at + 1
+        at = text.find("@", past)
+
+
 def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """Given and family names: ``given:<gender>:<script>`` and ``family:<script>``."""
+    """Given and family names: ``given:<gender>:<script>`` and ``family:<script>``.
+
+    A name that follows a title or a known given name is one wherever else the text has it as a capitalised word.
+    """
+    kinds: dict[str, str] = {}
     for m in _TITLED.finditer(text):
-        words = [(g, *m.span(g)) for g in (2, 3) if m[g] and m[g][0].isupper()]
-        gender = _TITLE[m[1].lower()]
-        if not words or words[0][0] != 2:
+        words = [m[g] for g in (2, 3) if m[g] and _is_name(m[g])]
+        if not words or words[0] != m[2]:
             continue
         if len(words) == 2:
-            yield words[0][1], words[0][2], f"given:{gender}:{script_of(m[2])}", m[2].lower()
-        yield words[-1][1], words[-1][2], f"family:{script_of(m[words[-1][0]])}", m[words[-1][0]].lower()
+            kinds.setdefault(words[0].lower(), f"given:{_TITLE[m[1].lower()]}:{script_of(words[0])}")
+        kinds[words[-1].lower()] = f"family:{script_of(words[-1])}"
     at = 0
     while m := _TWO.search(text, at):
         at = m.start(2)
         gender = _GENDER.get((m[1].lower(), script_of(m[1])))
         if gender and m[1][0].isupper() and m[2][0].isupper():
-            yield *m.span(1), f"given:{gender}:{script_of(m[1])}", m[1].lower()
-            yield *m.span(2), f"family:{script_of(m[2])}", m[2].lower()
+            kinds.setdefault(m[1].lower(), f"given:{gender}:{script_of(m[1])}")
+            kinds[m[2].lower()] = f"family:{script_of(m[2])}"
+    if kinds:
+        for m in _ANY_WORD.finditer(text):
+            kind = kinds.get(m[0].lower())
+            if kind and _is_name(m[0]):
+                yield *m.span(), kind, m[0].lower()
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """Mentions (start, stop, kind, normal form), disjoint and in order; of two that overlap, the earlier, then the longer."""
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
-        found += [(*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
+        found += _emails(text)
     found += [(*m.span(), "secret", m[0]) for m in _SECRET.finditer(text)]
     for m in _IBAN.finditer(text):
         plain = m[0].replace(" ", "")
@@ -172,52 +215,67 @@ def _syllables(s: _Stream, script: str, n: int) -> str:
     return "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(n))
 
 
+@lru_cache(maxsize=4096)
+def _kin(c: str) -> str:
+    """The letters of a character's own script and case among the 128 code points around it."""
+    script, case = script_of(c), unicodedata.category(c)
+    first = ord(c) >> 7 << 7
+    return "".join(x for x in map(chr, range(first, first + 128)) if unicodedata.category(x) == case and script_of(x) == script) or c
+
+
+def _name(s: _Stream, script: str, form: str, syllables: int, ends: dict[str, str]) -> str:
+    if script in SYLLABLES:
+        return _syllables(s, script, syllables) + ends[script]
+    letters = form + form[-1:] * max(0, syllables - 3)
+    return "".join(_kin(c)[s.below(len(_kin(c)))] if c.isalpha() else c for c in letters)
+
+
 def draw(key: bytes, kind: str, form: str, nth: int = 0) -> str:
-    """The nth surrogate of an entity, in normal form."""
-    s = _Stream(key, kind, form, nth)
+    """The nth surrogate of an entity, in normal form; from LONGER_FROM on longer than the entity."""
+    s, more = _Stream(key, kind, form, nth), max(0, nth + 1 - LONGER_FROM)
+    digits = lambda n: "".join(str(s.below(10)) for _ in range(n))
     if kind.startswith("given"):
         _, gender, script = kind.split(":")
-        ring = _ring(key, gender, script)
+        ring = _ring(key, gender, script) if (gender, script) in GIVEN else {}
         if form in ring:
             return ring[form]
-        return _syllables(s, script, 2 + min(nth, 4)) + {"mlatin": "n", "flatin": "na", "mcyrillic": "н", "fcyrillic": "на"}[gender + script]
+        return _name(s, script, form, 2 + nth, {"latin": "na" if gender == "f" else "n", "cyrillic": "на" if gender == "f" else "н"})
     if kind.startswith("family"):
-        script = kind.split(":")[1]
-        return _syllables(s, script, 3 + min(nth, 4)) + {"latin": "r", "cyrillic": "н"}[script]
+        return _name(s, kind.split(":")[1], form, 3 + nth, {"latin": "r", "cyrillic": "н"})
     if kind == "email":
-        head, _, last = form.rpartition(".")
-        return "".join(s.like(c) for c in head) + "." + last
+        local, _, domain = form.partition("@")
+        head, _, last = domain.rpartition(".")
+        return "".join(map(s.like, local)) + "".join(s.like("b") for _ in range(more)) + "@" + "".join(map(s.like, head)) + "." + last
     if kind == "ip":
-        return ".".join(str(1 + s.below(254)) for _ in range(4))
+        return ".".join(str(1 + s.below(254)) for _ in range(4)) if not more else ":".join(f"{s.below(65536):x}" for _ in range(8))
     if kind == "card":
-        body = form[0] + "".join(str(s.below(10)) for _ in form[1:-1])
-        ends = [d for d in "0123456789" if luhn_ok(body + d) == luhn_ok(form)]
+        body = form[0] + digits(len(form) - 2 + more)
+        ends = [d for d in "0123456789" if luhn_ok(body + d)]
         return body + ends[s.below(len(ends))]
     if kind == "secret":
         head = re.match(r"AKIA|ghp_|sk-|xox[bp]-|", form)[0]
-        hexes = not head
-        return head + "".join(("0123456789ABCDEF" if c.isupper() or form.upper() == form else "0123456789abcdef")[s.below(16)] if hexes else s.like(c) for c in form[len(head) :])
+        if not head:
+            sixteen = "0123456789ABCDEF" if form.upper() == form else "0123456789abcdef"
+            return "".join(sixteen[s.below(16)] for _ in range(len(form) + more))
+        return head + "".join(map(s.like, form[len(head) :])) + digits(more)
     if kind == "iban":
-        body = "".join(s.like(c) for c in form[4:])
+        body = "".join(map(s.like, form[4:])) + digits(more)
         check = 98 - int("".join(str(int(c, 36)) for c in body + form[:2] + "00")) % 97
         return f"{form[:2]}{check:02d}{body}"
-    return form[:1] + "".join(str(s.below(10)) for _ in form[1:])  # phone, ssn
+    return form[:1] + digits(len(form) - 1 + more)  # phone, ssn
 
 
 def pour(kind: str, surrogate: str, written: str) -> str:
-    """A surrogate in the format of a mention: its separators, its capitals."""
+    """A surrogate in the format of a mention: its separators, its capitals; what is longer comes last (in an address before the @)."""
     if kind in ("ip", "secret"):
         return surrogate
     if kind.startswith(("given", "family")):
         return surrogate.upper() if written.isupper() and len(written) > 1 else surrogate[0].upper() + surrogate[1:] if written[0].isupper() else surrogate
-    source, out = iter(surrogate), []
-    for c in written:
-        if kind == "email" or c.isalnum():
-            x = next(source)
-            out.append(x.upper() if c.isupper() else x)
-        else:
-            out.append(c)
-    return "".join(out)
+    if kind == "email":
+        halves = zip(surrogate.split("@"), written.split("@"), strict=True)
+        return "@".join("".join(x.upper() if i < len(w) and w[i].isupper() else x for i, x in enumerate(p)) for p, w in halves)
+    source = iter(surrogate)
+    return "".join(next(source) if c.isalnum() else c for c in written) + "".join(source)
 
 
 def _entities(docs: DataFrame, text_col: str) -> DataFrame:
@@ -247,8 +305,8 @@ def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
     listed = spark.createDataFrame([(f"given:{g}:{s}", n) for (g, s), names in GIVEN.items() for n in names], "kind string, form string")
     present = entities.unionByName(listed).select("kind", F.col("form").alias("surrogate"))
     settled = spark.createDataFrame([], "kind string, form string, nth int")
-    open_, taken = entities.join(listed, ["kind", "form"], "left_anti"), None
-    for nth in range(MOST_ROUNDS):
+    open_, taken, nth = entities.join(listed, ["kind", "form"], "left_anti"), None, 0
+    while True:
         made = staged(_drawn(open_, key, nth), "draws")
         free = made.join(present, ["kind", "surrogate"], "left_anti")
         if taken is not None:
@@ -260,7 +318,7 @@ def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
         open_ = staged(made.select("kind", "form").join(won.select("kind", "form"), ["kind", "form"], "left_anti"), "open")
         if open_.isEmpty():
             return settled
-    raise RuntimeError("surrogates still clash")
+        nth += 1
 
 
 def _rewritten(text: str, key: bytes, nths: dict[tuple[str, str], int]) -> tuple[str, int, list[str]]:
@@ -272,16 +330,20 @@ def _rewritten(text: str, key: bytes, nths: dict[tuple[str, str], int]) -> tuple
     return "".join(out) + text[at:], len(kinds), kinds
 
 
-def pseudonymise(docs: DataFrame, secret: bytes = b"tidegauge", text_col: str = "text", as_col: str = "surrogated", held_redraws: int = HELD_REDRAWS) -> DataFrame:
+def pseudonymise(docs: DataFrame, secret: bytes, text_col: str = "text", as_col: str = "surrogated", held_redraws: int = HELD_REDRAWS) -> DataFrame:
     """``docs`` with a struct (text, n_entities, kinds) in ``as_col``: the whole text with surrogates, and what was replaced.
 
-    Kinds: email, ip, card, ssn, phone, secret, iban, given (names), family. Different entities of a kind get different
-    surrogates, none of which is itself an entity of that kind in ``docs``, except given names of the fixed lists:
-    these are exchanged among each other. One entity gets one surrogate in all documents and formats.
+    Kinds: email, ip, card (with a right check digit), ssn, phone, secret, iban, given (names), family. Different
+    entities of a kind get different surrogates, none of which is itself an entity of that kind in ``docs``, except given
+    names of the fixed lists: these are exchanged among each other. One entity gets one surrogate in all documents and
+    formats. Who has ``secret`` can tell which surrogate stands for what; it has no default.
 
-    * A null text is the empty one. Texts of any length are read whole; rows that repeat are rewritten alike.
-    * An empty table stays empty; the other columns stay as they are, whatever their names.
+    * A null text is the empty one. Texts of any length are read whole, in linear time; rows that repeat are rewritten alike.
+    * An empty table stays empty; the other columns stay as they are. A column named ``as_col`` raises.
     """
+    refuse_clash(docs, as_col)
+    if not secret:
+        raise ValueError("an empty secret lets anyone undo the surrogates")
     spark = docs.sparkSession
     entities = staged(_entities(docs, text_col), "entities")
     again = staged(redrawn(entities, secret), "redraws")
@@ -316,5 +378,6 @@ def _joined(docs: DataFrame, again: DataFrame, secret: bytes, text_col: str, as_
         return _rewritten(text, secret, {(d["kind"], d["form"]): d["nth"] for d in (draws if draws is not None else [])})
 
     rewrite = F.udf(one, "text string, n_entities long, kinds array<string>", useArrow=True)
-    met = docs.withColumn("__key", digest).join(by_text, F.col("__key") == F.col("__digest"), "left")
-    return met.withColumn(as_col, rewrite(text, F.col("__draws"))).select(*[met[c] for c in docs.columns], as_col)
+    key, of, draws = (free_name(docs, c) for c in ("__key", "__digest", "__draws"))
+    met = docs.withColumn(key, digest).join(by_text.toDF(of, draws), F.col(key) == F.col(of), "left")
+    return met.withColumn(as_col, rewrite(text, F.col(draws))).select(*docs.columns, as_col)

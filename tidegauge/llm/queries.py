@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, exact_dedup, language, mixing, pii, simhash, toxicity, url_rules, warc
-from .tables import table
+from .tables import staged, table
 
 
 def op1_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +19,11 @@ def op2_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.read_conversations(chat.render_conversations(turns))
+    return chat.read_conversations(staged(chat.render_conversations(turns), "formatted"))
 
 
 def op3_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +49,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is the session's ``tidegauge.surrogates.key``; where it names none, one is drawn for this run alone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs).select("doc_id", "surrogated.text", "surrogated.n_entities", "surrogated.kinds")
+    key = (spark.conf.get("tidegauge.surrogates.key", None) or secrets.token_hex(32)).encode()
+    return pii.pseudonymise(docs, key).select("doc_id", "surrogated.text", "surrogated.n_entities", "surrogated.kinds")
 
 
 def op9_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,11 +17,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import staged, text_or_empty
+from .tables import numbered, staged, text_or_empty
 
 BITS = 64
 #: Variants that a slice holds on average, and at most before a task lists it part by part.
@@ -167,12 +167,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` with the least id of their component, with all their columns.
+    """One row of ``docs`` for each component, with all its columns: that with the least id, a null id last.
 
-    Rows whose id is null can't be named by a component: they stay. Of rows that repeat an id, one stays.
+    Rows count, not ids: rows that repeat an id are documents of their own.
     """
-    stay = near_components(docs, id_col, text_col, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias("__stay_id")).distinct()
-    met = docs.where(F.col(id_col).isNotNull()).join(stay, F.col(id_col).cast("long") == F.col("__stay_id"), "left_semi")
-    same = Window.partitionBy(id_col).orderBy(id_col)
-    kept = met.withColumn("__nth", F.row_number().over(same)).where("__nth = 1").select(*[met[c] for c in docs.columns])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    rows, row = numbered(docs, "simhash-rows")
+    known = near_components(rows, row, text_col, words, radius).select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, F.col(id_col).cast("long").alias("id")), row)
+    best = known.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", row)).alias("m")).select(F.col(f"m.{row}").alias(row))
+    return rows.join(best, row, "left_semi").select(*docs.columns)

@@ -5,33 +5,53 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_FOLDER = "tidegauge.scratch.dir"
+_open: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (a local session, as in tests) a folder of the driver's own is made once.
+    Where a local session names none, as in tests, a folder of the driver's own is made once. On a cluster that would
+    be a folder of one machine, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_FOLDER, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tidegauge-")
         spark.conf.set(_OWN_FOLDER, named)
     return named.rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path of its own under the shared folder; deleted when the driver's interpreter ends."""
+    """A path of its own under the shared folder; deleted at the end of :func:`intermediates`, or with the interpreter."""
     path = f"{shared_folder(spark)}/tidegauge/{label}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    if _open:
+        _open[-1].append(path)
+    else:
+        atexit.register(_delete, path)
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+@contextmanager
+def intermediates() -> Iterator[None]:
+    """Tables that are staged within are deleted at the end; what is to stay must be written elsewhere by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(path)
+
+
+def _delete(path: str) -> None:
     session = SparkSession.getActiveSession()
     if session is None or session.sparkContext._jsc is None:
         return
@@ -51,6 +71,42 @@ def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be none of the columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def refuse_clash(df: DataFrame, name: str) -> None:
+    """An output column never takes the place of one that is there."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"there is a column {name!r} already: name another with as_col")
+
+
+def numbered(docs: DataFrame, label: str = "numbered") -> tuple[DataFrame, str]:
+    """``docs`` staged with a number for each row, and the name of that column: ids may be null or repeat, rows don't."""
+    row = free_name(docs, "__row")
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), label), row
+
+
+#: Values that are met at most so often, or by less than this share of all rows, may meet in one task.
+HOT_ROWS, HOT_SHARE = 1000, 100_000
+
+
+def join_frequent(left: DataFrame, right: DataFrame, on: list[str], n_rows: str, total: int) -> DataFrame:
+    """``left`` inner ``right`` on keys without nulls, where ``right`` (unique by key) counts the rows of ``left`` in ``n_rows``.
+
+    Keys with HOT_ROWS rows and a HOT_SHAREth of all are broadcast: there can't be more than HOT_SHARE of those, whatever
+    the size. The others are joined by a shuffle, where no key is large. Both sides must be staged: they are read twice.
+    """
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(right.where(F.col(n_rows) >= least))
+    cold = left.join(F.broadcast(right.where(F.col(n_rows) >= least).select(*on)), on, "left_anti")
+    return left.join(hot, on).unionByName(cold.join(right.where(F.col(n_rows) < least), on))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,13 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries of equal size are trained: both end with the same stretch of ordinary text, and before it
-one has segments of toxic text, the other more of ordinary text. A window of a document that the toxic dictionary
-compresses shorter repeats something of toxic text; elsewhere both lengths are alike. The differences of all windows
-of a document are summed up in a few figures, and a logistic fit on labelled documents that the dictionaries have not
-seen calibrates the threshold: the score is the chance of label 1.
-
-The toxic segments are chosen by coverage: byte grams that significantly more toxic than ordinary documents have are
-the units, and words that hold many of them come first, each only if it brings grams that no earlier word has.
+Two zstandard dictionaries of equal size are trained, one on toxic and one on ordinary text; before both lies the same
+dictionary of ordinary text. A window of a document that compresses shorter with the toxic dictionary repeats something
+of toxic text. The differences of all windows of a document are summed up in a few figures, and a logistic fit on
+labelled documents that the dictionaries have not seen calibrates the threshold: the score is the chance of label 1, where a miss counts as MISS_COST false alarms.
+
+Most of a toxic document is ordinary text, so dictionaries of whole documents would differ by chance only. They are
+trained in rounds, crosswise on two halves of the labelled sample: a round keeps those windows of each class that the
+dictionaries of the *other* half compress shorter with the class's own one, and the next round's dictionaries are trained
+on what is kept. What one half has by chance doesn't help the other half, what sets the classes apart does.
 """
 
 from __future__ import annotations
@@ -24,19 +25,25 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import staged, text_or_empty
+from .tables import free_name, refuse_clash, staged, text_or_empty
 
-WINDOW_WORDS = 8
-GRAM = 4
+#: Words of a window that is scored, and characters of a word's pieces where it is longer.
+WINDOW_WORDS, PIECE_CHARS = 8, 24
 #: Labelled rows of each class that the fit uses at most, about; chosen by a hash of their id.
 MAX_PER_CLASS = 6000
-#: Bytes of the shared ordinary stretch and at most of the toxic segments.
-SHARED_BYTES, TOXIC_BYTES = 32768, 4096
-LEVEL = 3
-#: A gram counts as toxic from this many standard errors and this ratio of shares on, in this many documents at least.
-LEAST_Z, LEAST_RATIO, LEAST_DOCS = 5.0, 20.0, 3
-MAX_GRAMS, MAX_WORDS = 20_000, 20_000
-N_FIGURES = 6
+#: Bytes of windows that a dictionary is trained on at most, about; chosen by a hash of their content.
+TRAINED_BYTES = 8 << 20
+#: Bytes of the common dictionary and of each class's last one, and lengths of their segments.
+SHARED_BYTES, SHARED_SEGMENT = 114_688, 64
+OWN_BYTES, OWN_SEGMENT = 3072, 24
+#: Rounds: words of a window, whether it is cut from what the last round kept, bytes and segments of the dictionaries, least gain in bytes.
+ROUNDS = ((4, False, 16_384, 32, 3), (4, False, 16_384, 32, 3), (2, True, 16_384, 24, 2), (2, True, 8192, 24, 2))
+#: Level 12 finds the short matches that a word within a window is.
+LEVEL = 12
+GAINS = (2, 3, 4)
+#: A toxic document that isn't recognised weighs as much in the threshold as so many ordinary ones that are taken for toxic.
+MISS_COST = 3.0
+N_FIGURES = 3 + 2 * len(GAINS)
 
 
 @dataclass(frozen=True)
@@ -53,33 +60,38 @@ class Model:
         return bool(self.toxic)
 
 
-def _grams(body: bytes, n: int) -> set[bytes]:
-    return {body[i : i + n] for i in range(len(body) - n + 1)}
-
-
-def _spaced(text: str) -> bytes:
-    return (" " + " ".join(text.lower().split()) + " ").encode()
-
-
 def windows(text: str, words: int = WINDOW_WORDS) -> list[bytes]:
-    """The whole text in lower case, in runs of ``words`` words; no words: one empty window."""
+    """The whole text in lower case, in runs of ``words`` words; a long word counts as several. No words: one empty window."""
     w = text.lower().split()
-    return [(" " + " ".join(w[i : i + words]) + " ").encode() for i in range(0, max(1, len(w)), words)]
+    if any(len(x) > PIECE_CHARS for x in w):
+        w = [x[i : i + PIECE_CHARS] for x in w for i in range(0, len(x), PIECE_CHARS)]
+    return [(" " + " ".join(w[i : i + words]) + " ").encode("utf-8", "replace") for i in range(0, max(1, len(w)), words)]
 
 
-def _compressor(content: bytes):
+def compressed_length(content: bytes):
+    """A function that gives the length of a window compressed with a dictionary."""
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+    compress = zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+    return lambda window: len(compress(window))
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A zstandard dictionary of the samples; of too few to train on, the samples themselves, up to the size."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:size]
 
 
 def figures(model: Model):
     """A function that gives a text's figures: from the differences in bytes, over all its windows."""
-    ordinary, toxic = _compressor(model.ordinary), _compressor(model.toxic)
+    ordinary, toxic = compressed_length(model.ordinary), compressed_length(model.toxic)
 
     def of(text: str) -> list[float]:
-        d = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in windows(text, model.words)), np.float64)
-        return [max(0.0, d.max()), np.minimum(d.clip(0), 12).sum() / math.sqrt(len(d)), *(math.log1p((d >= k).sum()) for k in (2, 3, 4)), math.log1p(len(d))]
+        d = np.fromiter((ordinary(w) - toxic(w) for w in windows(text, model.words)), np.float64)
+        counts = [math.log1p(int(x.sum())) for k in GAINS for x in (d >= k, d <= -k)]
+        return [max(0.0, d.max()), d.sum() / math.sqrt(len(d)), *counts, math.log1p(len(d))]
 
     return of
 
@@ -94,100 +106,111 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(text, toxic, part): labelled documents to learn from, of each class about ``max_per_class`` at most; part 0 or 1 by a hash.
+    """(text, toxic, part, share): labelled documents to learn from, of each class about ``max_per_class`` at most.
 
-    Rows with crc32(id as text) mod 5 = 0 are never among them. Labels of one id: the largest counts. Equal texts: one stays.
+    Part 0 or 1 by a hash (the halves that dictionaries are trained on), or 2 (for the threshold). ``share`` says which
+    part of its class's labelled rows the sample has. Rows with crc32(id as text) mod 5 = 0 are never among them. Labels
+    of one id: the largest counts. Equal texts: one stays.
     """
     name = F.col("__id").cast("string")
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y")).where(F.crc32(name.cast("binary")) % 5 != 0)
     counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect() if r["__y"] in (0, 1)}
     share = F.when(F.col("__y") == 1, F.lit(min(1.0, max_per_class / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, max_per_class / max(1, counts.get(0, 0)))))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = known.where(F.col("__y").isin(0, 1) & (draw < share))  # about 2 x max_per_class rows of two numbers
+    chosen = known.where(F.col("__y").isin(0, 1) & (draw < share)).withColumn("__share", share)  # about 2 x max_per_class rows of three numbers
     met = docs.select(F.col(id_col).cast("long").alias("__doc"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
     digest = F.sha2("text", 256)
-    once = met.groupBy(digest.alias("d")).agg(F.min(F.struct("__id", "text", "__y")).alias("m"))
-    return once.select("m.text", F.col("m.__y").alias("toxic"), F.pmod(F.xxhash64(F.lit("part"), "d"), F.lit(2)).cast("int").alias("part"))
+    once = met.groupBy(digest.alias("d")).agg(F.min(F.struct("__id", "text", "__y", "__share")).alias("m"))
+    return once.select("m.text", F.col("m.__y").alias("toxic"), F.pmod(F.xxhash64(F.lit("part"), "d"), F.lit(3)).cast("int").alias("part"), F.col("m.__share").alias("share"))
+
 
+_WINDOW = "toxic int, part int, window binary"
 
-def _gram_counts(sample: DataFrame, n: int) -> DataFrame:
-    """(gram, toxic, n): documents of each class that have the gram."""
 
+def _windows(sample: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[tuple[bytes, int], int] = {}
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for g in _grams(_spaced(text), n):
-                    counts[g, y] = counts.get((g, y), 0) + 1
-            keys = list(counts)
-            yield pa.record_batch([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["gram", "toxic", "n"])
+            for text, toxic, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                w = windows(text, words)
+                yield pa.record_batch([pa.array([toxic] * len(w), pa.int32()), pa.array([part] * len(w), pa.int32()), pa.array(w, pa.binary())], ["toxic", "part", "window"])
 
-    return sample.select("text", "toxic").mapInArrow(run, "gram binary, toxic int, n long")
+    return sample.select("text", "toxic", "part").mapInArrow(run, _WINDOW)
 
 
-def _toxic_grams(sample: DataFrame, n_toxic: int, n_ordinary: int, n: int) -> dict[bytes, float]:
-    both = _gram_counts(sample, n).groupBy("gram").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    p = (F.col("a") + F.col("b")) / F.lit(float(n_toxic + n_ordinary))
-    spread = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1.0 / n_toxic + 1.0 / n_ordinary))
-    scored = both.where(F.col("a") >= LEAST_DOCS).withColumn("z", (F.col("a") / F.lit(float(n_toxic)) - F.col("b") / F.lit(float(n_ordinary))) / spread)
-    far = scored.where((F.col("z") > LEAST_Z) & (F.col("a") / F.lit(float(n_toxic)) > LEAST_RATIO * (F.col("b") + 0.5) / F.lit(float(n_ordinary))))
-    return {bytes(r["gram"]): r["z"] for r in far.orderBy(F.desc("z"), "gram").limit(MAX_GRAMS).collect()}
+def _cut(kept: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(t, p, b" " + b" ".join(w[i : i + words]) + b" ") for t, p, x in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in [x.split()] for i in range(0, len(w), words)]
+            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["toxic", "part", "window"])
 
+    return kept.select("toxic", "part", "window").mapInArrow(run, _WINDOW)
 
-def _segments(sample: DataFrame, grams: dict[bytes, float], n: int, limit: int) -> bytes:
-    """Words of toxic documents that cover the grams, the best last (nearest to what is compressed)."""
+
+def _samples(kept: DataFrame, limit: int) -> dict[tuple[int, int], list[bytes]]:
+    """Windows of each (class, part) to train on, in an order that their content decides: about ``limit`` bytes of each at most."""
+    size = {(r["toxic"], r["part"]): r["n"] for r in kept.groupBy("toxic", "part").agg(F.sum(F.octet_length("window")).alias("n")).collect()}
+    draw = F.pmod(F.xxhash64(F.lit("window"), "window"), F.lit(1 << 20)) / float(1 << 20)
+    share = F.lit(1.0)
+    for (toxic, part), n in size.items():
+        share = F.when((F.col("toxic") == toxic) & (F.col("part") == part), F.lit(min(1.0, limit / n))).otherwise(share)
+    found: dict[tuple[int, int], list[bytes]] = {k: [] for k in ((0, 0), (0, 1), (1, 0), (1, 1))}
+    for r in kept.where(draw < share).select("toxic", "part", "window", F.xxhash64("window").alias("h")).orderBy("h", "window").collect():
+        found[r["toxic"], r["part"]].append(bytes(r["window"]))
+    return found
+
+
+def _gaining(candidates: DataFrame, dictionaries: dict[tuple[int, int], bytes], least: int) -> DataFrame:
+    """Windows that the other half's dictionaries compress by ``least`` bytes more with that of the window's own class."""
+    shared = candidates.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length = {k: compressed_length(d) for k, d in shared.value.items()}
         for batch in batches:
-            found: dict[bytes, int] = {}
-            for text in batch.column(0).to_pylist():
-                for w in set(text.lower().split()):
-                    e = f" {w} ".encode()
-                    if len(e) <= 64 and any(e[i : i + n] in grams for i in range(len(e) - n + 1)):
-                        found[e] = found.get(e, 0) + 1
-            yield pa.record_batch([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-
-    words = sample.where("toxic = 1").select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = words.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()
-    score = lambda e: sum(grams.get(e[i : i + n], 0) for i in range(len(e) - n + 1))
-    covered: set[bytes] = set()
-    chosen, size = [], 0
-    for e, _ in sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1] * score(x[0]), x[0])):
-        mine = _grams(e, n) & grams.keys()
-        if mine <= covered or size + len(e) > limit:
-            continue
-        covered |= mine
-        chosen.append(e)
-        size += len(e)
-    return b"".join(reversed(chosen))
+            own = [length[1 - t, 1 - p](w) - length[t, 1 - p](w) >= least for t, p, w in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield batch.filter(pa.array(own, pa.bool_()))
+
+    return candidates.select("toxic", "part", "window").mapInArrow(run, _WINDOW)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns the dictionaries from one half of a bounded sample of labelled documents, the threshold from the other half.
+    """Learns the dictionaries from two parts of a bounded sample of labelled documents, the threshold from the third.
 
-    Where a class has no document, or nothing sets the classes apart, the score is the share of label 1 (no labels: 0).
+    Windows are scored by Spark; a dictionary is trained in one piece, from TRAINED_BYTES of windows at most. Where a
+    class has no document in some part, the score is the share of label 1 (no labels: 0).
     """
+    spark = docs.sparkSession
     sample = staged(labelled_sample(docs, labels, max_per_class, id_col, text_col, label_col), "toxic-sample")
-    counts = {(r["part"], r["toxic"]): r["count"] for r in sample.groupBy("part", "toxic").count().collect()}
-    n1, n0 = sum(v for k, v in counts.items() if k[1] == 1), sum(v for k, v in counts.items() if k[1] == 0)
+    seen = {(r["part"], r["toxic"]): (r["n"], r["all"]) for r in sample.groupBy("part", "toxic").agg(F.count("*").alias("n"), F.sum(1 / F.col("share")).alias("all")).collect()}
+    n1, n0 = (sum(v[1] for k, v in seen.items() if k[1] == y) for y in (1, 0))
     flat = Model(b"", b"", (0.0,) * N_FIGURES, (1.0,) * N_FIGURES, (math.log((n1 + 1e-3) / (n0 + 1)), *(0.0,) * N_FIGURES))
-    if not all(counts.get(k) for k in ((0, 0), (0, 1), (1, 0), (1, 1))):
+    if any((part, toxic) not in seen for part in (0, 1, 2) for toxic in (0, 1)):
         return flat
-    learn = sample.where("part = 0")
-    grams = _toxic_grams(learn, counts[0, 1], counts[0, 0], GRAM)
-    segments = _segments(learn, grams, GRAM, TOXIC_BYTES) if grams else b""
-    if not segments:
-        return flat
-    cut = F.expr(f"transform(sequence(0, greatest(0, size(w) - 1), {WINDOW_WORDS}), i -> array_join(slice(w, i + 1, {WINDOW_WORDS}), ' '))")
-    pieces = learn.where("toxic = 0").select(F.split(F.trim(F.lower("text")), r"\s+").alias("w")).select(F.explode(cut).alias("x"))
-    stretch = pieces.orderBy(F.xxhash64(F.lit("stretch"), "x"), "x").limit((SHARED_BYTES + TOXIC_BYTES) // 8).collect()
-    ordinary = " ".join(r["x"] for r in stretch).encode()[: SHARED_BYTES + len(segments)]
-    shared = ordinary[len(segments) :] or ordinary
-    model = Model(ordinary, segments + shared, flat.mean, flat.scale, flat.weights)
-    measured = sample.where("part = 1").select("toxic", _applied(model, docs.sparkSession.sparkContext.broadcast(model), "array<double>")("text").alias("x")).collect()
+    learn = sample.where("part < 2")
+    kept = every = staged(_windows(learn, ROUNDS[0][0]), "toxic-windows")
+    samples = _samples(kept, TRAINED_BYTES)
+    shared = trained(samples[0, 0] + samples[0, 1], SHARED_BYTES, SHARED_SEGMENT)
+    for words, cut, size, segment, least in ROUNDS:
+        own = {k: shared + trained(w, size, segment) for k, w in samples.items()}
+        now = staged(_gaining(_cut(kept, words) if cut else every, own, least), "toxic-gaining")
+        found = _samples(now, TRAINED_BYTES)
+        if not all(found.values()):
+            break
+        kept, samples = now, found
+    ordinary, toxic = (shared + trained(sorted(samples[y, 0] + samples[y, 1], key=hash_order), OWN_BYTES, OWN_SEGMENT) for y in (0, 1))
+    model = Model(ordinary, toxic, flat.mean, flat.scale, flat.weights)
+    measured = sample.where("part = 2").select("toxic", _applied(model, spark.sparkContext.broadcast(model), "array<double>")("text").alias("x")).collect()
     x, y = np.array([r["x"] for r in measured]), np.array([r["toxic"] for r in measured], float)
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    return Model(ordinary, model.toxic, tuple(mean), tuple(scale), tuple(_logistic((x - mean) / scale, y)))
+    weights = _logistic((x - mean) / scale, y)
+    # The sample has another share of label 1 than all labelled rows have.
+    weights[0] += math.log(n1 / n0) - math.log(y.sum() / (len(y) - y.sum())) + math.log(MISS_COST)
+    return Model(ordinary, toxic, tuple(mean), tuple(scale), tuple(weights))
+
+
+def hash_order(window: bytes) -> tuple[int, bytes]:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(window), window
 
 
 def _applied(model: Model, shared: Broadcast, kind: str):
@@ -212,13 +235,15 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", as_col: s
     """``docs`` with the chance of label 1 of each whole text in ``as_col``.
 
     * Null is the empty text; that has a score as well. Any length is cut into windows, all of which count.
-    * Rows that repeat get equal scores; an empty table stays empty; other columns stay as they are.
+    * Rows that repeat get equal scores; an empty table stays empty; other columns stay as they are. A column named ``as_col`` raises.
     """
+    refuse_clash(docs, as_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.withColumn(as_col, _applied(model, shared, "double")(text_or_empty(text_col)))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is below ``threshold``, with their columns."""
-    scored = score_texts(docs, fit(docs, labels, id_col=id_col, text_col=text_col), text_col, "__toxic_score")
-    return scored.where(F.col("__toxic_score") < threshold).drop("__toxic_score")
+    score = free_name(docs, "__toxic_score")
+    scored = score_texts(docs, fit(docs, labels, id_col=id_col, text_col=text_col), text_col, score)
+    return scored.where(F.col(score) < threshold).drop(score)

@@ -83,7 +83,7 @@ def rarest_tokens(parts: DataFrame, rules: tuple[Rule, ...]) -> list[tuple[str |
 
 
 def _best(fits: Column) -> Column:
-    """Of rules that fit, the longest; of equally long ones ``block`` wins, then the first by name."""
+    """Of rules that fit, the longest; of equally long ones the greatest verdict (``block`` over ``allow``), then the first by name."""
     return F.reduce(
         fits,
         F.lit(None).cast("struct<n:int,verdict:string,rule:string>"),
@@ -122,7 +122,7 @@ def _joined(parts: DataFrame, indexed: list[tuple[str | None, Rule]]) -> DataFra
     target = F.concat("host", F.lit("\n"), "path")
     tokens = known.select("__row", target.alias("target"), F.explode(F.concat(_tokens(F.col("host"), F.col("path")), F.array(F.lit("")))).alias("token"))
     fits = tokens.join(index.withColumn("token", F.coalesce("token", F.lit(""))), "token").where("regexp(target, pattern)")
-    rank = F.struct("n", (F.col("verdict") == "block").alias("b"), F.transform(F.split("rule", ""), lambda c: -F.ascii(c)).alias("order"), "verdict", "rule")
+    rank = F.struct("n", F.col("verdict").alias("b"), F.transform(F.split("rule", ""), lambda c: -F.ascii(c)).alias("order"), "verdict", "rule")
     best = fits.groupBy("__row").agg(F.max(rank).alias("m")).select("__row", F.struct(F.col("m.n").alias("n"), F.col("m.verdict").alias("verdict"), F.col("m.rule").alias("rule")).alias("best"))
     return known.join(best, "__row", "left").drop("__row")
 

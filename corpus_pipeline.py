@@ -1,6 +1,7 @@
 """The corpus pipeline: toxicity, exact dedup, near-dedup, decontamination, mixing.
 
-Every stage works on all that the one before has kept. A stage's result is written as Parquet and read again.
+Every stage works on all that the one before has kept. A stage's result is written as Parquet and read again; what a
+stage staged for itself is deleted then.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import decontaminate, exact_dedup, mixing, near_copies, toxicity
-from tidegauge.llm.tables import staged, table
+from tidegauge.llm.tables import intermediates, new_folder, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,8 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each remaining document: doc_id, source, size, source_size, target, taken."""
-    return mixing.taken(docs)
+    """The mixed corpus: shard, position, doc_id, source, epoch, block, words, text; a row per drawn block of a document."""
+    return mixing.mixed_corpus(docs)
 
 
 STAGES = [
@@ -49,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus of the folder's documents; an empty table gives an empty one, null and repeated ids are documents like any other."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_folder(spark, name.replace(" ", "-"))
+        with intermediates():
+            kept = stage(spark, docs, sf_dir)
+            kept.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return docs

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -42,7 +43,7 @@ ROUNDS = ((4, False, 16_384, 32, 3), (4, False, 16_384, 32, 3), (2, True, 16_384
 LEVEL = 12
 GAINS = (2, 3, 4)
 #: A toxic document that isn't recognised weighs as much in the threshold as so many ordinary ones that are taken for toxic.
-MISS_COST = 3.0
+MISS_COST = 2.0
 N_FIGURES = 3 + 2 * len(GAINS)
 
 
@@ -77,7 +78,11 @@ def compressed_length(content: bytes):
 
 
 def trained(samples: list[bytes], size: int, segment: int) -> bytes:
-    """A zstandard dictionary of the samples; of too few to train on, the samples themselves, up to the size."""
+    """A zstandard dictionary of the samples; of too few to train on, the samples themselves, up to the size.
+
+    Samples are put in an order that their content decides, so that equal ones give equal dictionaries.
+    """
+    samples = sorted(samples, key=lambda w: (xxhash.xxh64_intdigest(w), w))
     try:
         return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
     except zstandard.ZstdError:
@@ -146,17 +151,16 @@ def _cut(kept: DataFrame, words: int) -> DataFrame:
     return kept.select("toxic", "part", "window").mapInArrow(run, _WINDOW)
 
 
-def _samples(kept: DataFrame, limit: int) -> dict[tuple[int, int], list[bytes]]:
-    """Windows of each (class, part) to train on, in an order that their content decides: about ``limit`` bytes of each at most."""
+def _samples(kept: DataFrame, limit: int) -> dict[tuple[int, int], pa.Array]:
+    """Windows of each (class, part) to train on, chosen by a hash of their content: about ``limit`` bytes of each at most."""
     size = {(r["toxic"], r["part"]): r["n"] for r in kept.groupBy("toxic", "part").agg(F.sum(F.octet_length("window")).alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.lit("window"), "window"), F.lit(1 << 20)) / float(1 << 20)
     share = F.lit(1.0)
     for (toxic, part), n in size.items():
         share = F.when((F.col("toxic") == toxic) & (F.col("part") == part), F.lit(min(1.0, limit / n))).otherwise(share)
-    found: dict[tuple[int, int], list[bytes]] = {k: [] for k in ((0, 0), (0, 1), (1, 0), (1, 1))}
-    for r in kept.where(draw < share).select("toxic", "part", "window", F.xxhash64("window").alias("h")).orderBy("h", "window").collect():
-        found[r["toxic"], r["part"]].append(bytes(r["window"]))
-    return found
+    chosen = kept.where(draw < share)
+    of = lambda toxic, part: chosen.where((F.col("toxic") == toxic) & (F.col("part") == part)).select("window")
+    return {k: of(*k).toArrow().column(0).combine_chunks() for k in ((0, 0), (0, 1), (1, 0), (1, 1))}
 
 
 def _gaining(candidates: DataFrame, dictionaries: dict[tuple[int, int], bytes], least: int) -> DataFrame:
@@ -188,15 +192,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     learn = sample.where("part < 2")
     kept = every = staged(_windows(learn, ROUNDS[0][0]), "toxic-windows")
     samples = _samples(kept, TRAINED_BYTES)
-    shared = trained(samples[0, 0] + samples[0, 1], SHARED_BYTES, SHARED_SEGMENT)
+    both = lambda y: [w for part in (0, 1) for w in samples[y, part].to_pylist()]
+    shared = trained(both(0), SHARED_BYTES, SHARED_SEGMENT)
     for words, cut, size, segment, least in ROUNDS:
-        own = {k: shared + trained(w, size, segment) for k, w in samples.items()}
+        own = {k: shared + trained(w.to_pylist(), size, segment) for k, w in samples.items()}
         now = staged(_gaining(_cut(kept, words) if cut else every, own, least), "toxic-gaining")
         found = _samples(now, TRAINED_BYTES)
-        if not all(found.values()):
+        if not all(map(len, found.values())):
             break
         kept, samples = now, found
-    ordinary, toxic = (shared + trained(sorted(samples[y, 0] + samples[y, 1], key=hash_order), OWN_BYTES, OWN_SEGMENT) for y in (0, 1))
+    ordinary, toxic = (shared + trained(both(y), OWN_BYTES, OWN_SEGMENT) for y in (0, 1))
     model = Model(ordinary, toxic, flat.mean, flat.scale, flat.weights)
     measured = sample.where("part = 2").select("toxic", _applied(model, spark.sparkContext.broadcast(model), "array<double>")("text").alias("x")).collect()
     x, y = np.array([r["x"] for r in measured]), np.array([r["toxic"] for r in measured], float)
@@ -207,12 +212,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     return Model(ordinary, toxic, tuple(mean), tuple(scale), tuple(weights))
 
 
-def hash_order(window: bytes) -> tuple[int, bytes]:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(window), window
-
-
 def _applied(model: Model, shared: Broadcast, kind: str):
     """A pandas UDF over texts: the figures, or the score."""
 

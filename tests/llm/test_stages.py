@@ -48,7 +48,7 @@ def test_one_index_serves_several_benchmarks_against_brute_force(spark):
     rng = random.Random(6)
     word = lambda: rng.choice("abcd") + rng.choice("xy")
     texts = [" ".join(word() for _ in range(rng.randrange(0, 90))) for _ in range(60)]
-    body = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "doc_id long, body binary")
+    body = spark.createDataFrame([(i, i, t.encode()) for i, t in enumerate(texts)], "row_id long, doc_id long, body binary")
     index = tables.staged(decontaminate.build_index(body, block_words=200), "index")
     for size in (3, 4):
         items = {f"i{k}": " ".join(word() for _ in range(rng.randrange(0, 9))) for k in range(30)}

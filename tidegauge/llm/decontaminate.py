@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ PASS_BYTES = 16 << 20
 #: Lower-cases A-Z and blanks the ASCII characters that are neither letters nor digits.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-_INDEX = "doc_id array<long>, n_words array<int>, term array<binary>, n array<int>, positions binary"
+_INDEX = "row_id array<long>, doc_id array<long>, n_words array<int>, term array<binary>, n array<int>, positions binary"
 
 
 def words_of(body: bytes) -> list[bytes]:
@@ -36,14 +37,14 @@ def words_of(body: bytes) -> list[bytes]:
 
 
 def build_index(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row per block of the documents (doc_id, body): their ids and word counts, and the postings of all words.
+    """A row per block of the documents (row_id, doc_id, body): their numbers, ids and word counts, and the postings of all words.
 
     Positions count from the block's start; after each document one position stays free, so no phrase runs on into the next.
     A block ends with a document, so one document of any length is in one block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, codes, total, terms = [], [], [], 0, {}
+        nos, ids, sizes, codes, total, terms = [], [], [], [], 0, {}
         gap = np.array([-1], np.int32)
 
         def block() -> pa.RecordBatch:
@@ -51,13 +52,14 @@ def build_index(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             at = np.flatnonzero(code >= 0)
             order = at[np.argsort(code[at], kind="stable")]
             n = np.bincount(code[at], minlength=len(terms))
-            row = [[ids], [sizes], [list(terms)], [n], [order.astype(np.uint32).tobytes()]]
-            types = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
-            return pa.record_batch([pa.array(x, t) for x, t in zip(row, types, strict=True)], ["doc_id", "n_words", "term", "n", "positions"])
+            row = [[nos], [ids], [sizes], [list(terms)], [n], [order.astype(np.uint32).tobytes()]]
+            types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+            return pa.record_batch([pa.array(x, t) for x, t in zip(row, types, strict=True)], ["row_id", "doc_id", "n_words", "term", "n", "positions"])
 
         for batch in batches:
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for no, doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = words_of(body.as_py())
+                nos.append(no)
                 ids.append(doc_id)
                 sizes.append(len(words))
                 for w in set(words):
@@ -67,11 +69,11 @@ def build_index(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                 total += len(words) + 1
                 if total >= block_words:
                     yield block()
-                    ids, sizes, codes, total, terms = [], [], [], 0, {}
+                    nos, ids, sizes, codes, total, terms = [], [], [], [], 0, {}
         if ids:
             yield block()
 
-    return docs.select("doc_id", "body").mapInArrow(run, _INDEX)
+    return docs.select("row_id", "doc_id", "body").mapInArrow(run, _INDEX)
 
 
 def _contains(sorted_list: np.ndarray, values: np.ndarray, slop: int) -> np.ndarray:
@@ -130,9 +132,9 @@ def _prepared(items: list[tuple[str, bytes]], total_of, window: int) -> Tests:
 
 
 def _matches(index: DataFrame, tests: Tests, slop: int) -> DataFrame:
-    """A row per document: doc_id, n_words, the hit spans and the ids of the items that match."""
+    """A row per document: row_id, doc_id, n_words, the hit spans and the ids of the items that match."""
     spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-    shape = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", spans), ("items", pa.list_(pa.string()))])
+    shape = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", spans), ("items", pa.list_(pa.string()))])
     shared = index.sparkSession.sparkContext.broadcast(tests)
 
     def stretches(hit: np.ndarray) -> list[dict]:
@@ -141,6 +143,7 @@ def _matches(index: DataFrame, tests: Tests, slop: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
+        asked = pa.array(list(t.terms), pa.binary())
         for batch in batches:
             for b in range(batch.num_rows):
                 block = {c: batch.column(i)[b] for i, c in enumerate(batch.schema.names)}
@@ -149,9 +152,9 @@ def _matches(index: DataFrame, tests: Tests, slop: int) -> DataFrame:
                 positions = np.frombuffer(block["positions"].as_buffer(), np.uint32)
                 end = np.cumsum(block["n"].values.to_numpy(zero_copy_only=False))
                 postings = {}
-                for k, w in enumerate(block["term"].values.to_pylist()):
-                    if (number := t.terms.get(w)) is not None:
-                        postings[number] = positions[end[k - 1] if k else 0 : end[k]].astype(np.int64)
+                number = pc.fill_null(pc.index_in(block["term"].values, value_set=asked), -1).to_numpy(zero_copy_only=False)
+                for k in np.flatnonzero(number >= 0).tolist():
+                    postings[int(number[k])] = positions[end[k - 1] if k else 0 : end[k]].astype(np.int64)
                 level, pairs = np.zeros(int((sizes + 1).sum()) + 1, np.int32), set()
                 for term in postings:
                     for x in t.waiting(term):
@@ -169,16 +172,16 @@ def _matches(index: DataFrame, tests: Tests, slop: int) -> DataFrame:
                 for d, i in sorted(pairs):
                     found.setdefault(d, []).append(i)
                 rows = [
-                    {"doc_id": x, "n_words": n, "spans": stretches(hits[a : a + n]) if d in found else [], "items": found.get(d, [])}
-                    for d, (x, n, a) in enumerate(zip(block["doc_id"].as_py(), sizes.tolist(), first.tolist(), strict=True))
+                    {"row_id": no, "doc_id": x, "n_words": n, "spans": stretches(hits[a : a + n]) if d in found else [], "items": found.get(d, [])}
+                    for d, (no, x, n, a) in enumerate(zip(block["row_id"].as_py(), block["doc_id"].as_py(), sizes.tolist(), first.tolist(), strict=True))
                 ]
                 yield pa.RecordBatch.from_pylist(rows, shape)
 
-    return index.mapInArrow(run, "doc_id long, n_words long, spans array<struct<start:int,stop:int>>, items array<string>")
+    return index.mapInArrow(run, "row_id long, doc_id long, n_words long, spans array<struct<start:int,stop:int>>, items array<string>")
 
 
 def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = 0, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """(doc_id, n_words, spans, items) of every document of a stored index whose doc_id is unique.
+    """(row_id, doc_id, n_words, spans, items) of every document of a stored index; ``row_id`` tells rows apart.
 
     ``spans`` are the stretches of words that lie in an occurrence of a window of a test item, ``items`` those items.
     """
@@ -223,12 +226,11 @@ def decontaminate(
     * An empty benchmark leaves every document clean; other columns on either side aren't looked at.
     * A document is searched whole; the task that has it holds its words and those of the block's other documents.
     """
-    named = staged(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")), "indexed-rows")
-    index = staged(build_index(named.select(F.col("row_id").alias("doc_id"), F.col("text").cast("binary").alias("body")), block_words), "postings")
-    found = search(index, benchmark, item_col, item_text_col, window, slop, pass_bytes)
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("body"))
+    found = search(staged(build_index(rows, block_words), "postings"), benchmark, item_col, item_text_col, window, slop, pass_bytes)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
-    return found.withColumnRenamed("doc_id", "row_id").join(named.select("row_id", "id"), "row_id").select(
-        F.col("id").alias("doc_id"),
+    return found.select(
+        "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -243,17 +245,17 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     both = parts[0]
     for part in parts[1:]:
         both = both.unionByName(part)
-    grown = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.flatten(F.collect_list("items")).alias("items"))
+    grown = both.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.flatten(F.collect_list("items")).alias("items"))
     merged = F.expr("""aggregate(s, cast(array() as array<struct<start:int,stop:int>>), (a, x) ->
         if(size(a) > 0 and element_at(a, -1).stop >= x.start,
            concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'stop', greatest(element_at(a, -1).stop, x.stop)))),
            concat(a, array(x))))""")
-    return grown.select("doc_id", "n_words", merged.alias("spans"), "items")
+    return grown.select("row_id", "doc_id", "n_words", merged.alias("spans"), "items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, **how) -> DataFrame:
     """The rows of ``docs`` that have no word of a benchmark's passage, with all their columns; rows count, not ids."""
     rows, row = numbered(docs, "indexed-rows")
-    index = staged(build_index(rows.select(F.col(row).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("body")), block_words), "postings")
-    bad = search(index, benchmark, **how).where(F.size("spans") > 0).select(F.col("doc_id").alias(row))
+    index = staged(build_index(rows.select(F.col(row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("body")), block_words), "postings")
+    bad = search(index, benchmark, **how).where(F.size("spans") > 0).select(F.col("row_id").alias(row))
     return rows.join(bad, row, "left_anti").select(*docs.columns)

@@ -25,6 +25,7 @@ from .tables import new_folder, staged
 
 CHUNK_BYTES, RECORDS_PER_FILE = 1 << 16, 1 << 10
 LEAST_REVISIT_BYTES = 100
+GZIP_LEVEL = 3
 #: Payloads that several pages share: up to so many (some 100 bytes each) are broadcast, more are joined by digest.
 HELD_PAYLOADS = 200_000
 
@@ -152,7 +153,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ("Content-Type", "application/http; msgtype=response"),
                 ("Content-Length", len(block)),
             )
-            packed = zlib.compressobj(6, zlib.DEFLATED, 31)
+            packed = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
             member = packed.compress(VERSION + head + b"\r\n" + block + b"\r\n\r\n") + packed.flush()
             if member[-1]:
                 raise ValueError(f"page {r['page_id']}: a record of 16 MB or more")

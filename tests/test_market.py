@@ -2,12 +2,11 @@
 
 import datetime as dt
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.functions import rules, text
-from tidegauge.operators import backtest, factor, market, quality, retrieval, series, state
+from tidegauge.operators import factor, market, quality, retrieval, series, state, trades
 from tidegauge.sources import lake
 
 
@@ -47,41 +46,52 @@ def test_a_return_of_exactly_the_bound_stays(spark):
     assert tuple(factor.pool_counters(values, forward, 2).first()) == (1, 1, 1, 0)
 
 
-def test_deflated_sharpe_of_fixed_inputs():
-    assert series.expected_max_sharpe(0.0, 5) == 0.0 and series.expected_max_sharpe(1.0, 1) is None
-    assert series.deflated_sharpe(0.1, 0.1, 0.0, 1.0, 50) == pytest.approx(0.5)
-    assert series.deflated_sharpe(0.1, 0.0, 0.0, 1.0, 1) is None
+def test_sharpe_ratio_beyond_luck_of_fixed_inputs(spark):
+    """Ratios 0.05, 0.06, 0.04, 0.07, 0.08 of five trials; the best has skewness -0.5, kurtosis 4 and 101 observations."""
+    one = spark.range(1)
+    row = one.select(series.luck(F.lit(0.0002), F.lit(5)).alias("sr0")).select("sr0", series.beyond_luck(F.lit(0.08), F.col("sr0"), F.lit(-0.5), F.lit(4.0), F.lit(101)).alias("dsr")).first()
+    assert row.sr0 == pytest.approx(0.016865826106399077, abs=1e-12) and row.dsr == pytest.approx(0.7315995277598144, abs=1e-12)
+    trials = spark.createDataFrame([(i, 101, r, 1.0, -0.5, 4.0) for i, r in enumerate([0.05, 0.06, 0.04, 0.07, 0.08])] + [(9, 101, 0.5, 0.0, None, None)], "cell long, n long, mean double, sd double, skew double, kurt double")
+    best = series.rank_trials(trials).first()
+    assert (best.cell, best.trials, best.sharpe) == (4, 5, 0.08) and best.dsr == pytest.approx(0.73159953, abs=1e-8)
+    edge = one.select(series.luck(F.lit(1.0), F.lit(1)).alias("a"), series.luck(F.lit(0.0), F.lit(5)).alias("b"), series.beyond_luck(F.lit(0.1), F.lit(0.1), F.lit(0.0), F.lit(1.0), F.lit(50)).alias("c"), series.beyond_luck(F.lit(0.1), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1)).alias("d")).first()
+    assert (edge.a, edge.b, edge.d) == (None, 0.0, None) and edge.c == pytest.approx(0.5)
 
 
-def test_orders_fill_at_the_next_open_with_costs_and_limits():
-    n = 6
-    bars = pd.DataFrame({"trade_date": days(n), "open": [10.0] * n, "high": [10.0] * n, "low": [10.0] * n, "close": [10.0] * n, "volume": [1.0] * n, "bullish": [90.0] + [None] * (n - 1), "up": [None] * n, "down": [None] * n, "is_suspended": [False] * n})
-    bars["bullish"] = bars["bullish"].astype(float)
-    for c in ("up", "down"):
-        bars[c] = bars[c].astype(float)
-    fills, marks = backtest.simulate(bars, "event", {"min_score": 50.0, "hold": 2}, 100_000.0, rules.Costs())
-    assert [(f[0], f[1], f[2]) for f in fills] == [(days(n)[1], "buy", 9900), (days(n)[3], "sell", 9900)]
-    assert fills[0][3] == pytest.approx(10.005) and len(marks) == n
-    bars["up"] = 10.0
-    assert backtest.simulate(bars, "event", {"min_score": 50.0, "hold": 2}, 100_000.0, rules.Costs())[0] == []
-    bars["up"], bars["is_suspended"] = float("nan"), [False, True, False, False, False, False]
-    assert backtest.simulate(bars, "event", {"min_score": 50.0, "hold": 2}, 100_000.0, rules.Costs())[0][0][0] == days(n)[2]
+def test_normal_functions_against_the_standard_library(spark):
+    from statistics import NormalDist
+
+    got = spark.range(1, 1000).select((F.col("id") / 1000).alias("p")).select("p", series.normal_quantile(F.col("p")).alias("x")).select("p", "x", series.normal_cdf(F.col("x")).alias("back")).collect()
+    assert max(abs(r.x - NormalDist().inv_cdf(r.p)) for r in got) < 1e-10 and max(abs(r.back - r.p) for r in got) < 1e-12
+
+
+def test_an_event_waits_for_its_own_symbols_next_bar(spark):
+    d, at = days(4), dt.datetime
+    bars = [("a", d[0]), ("a", d[3]), ("b", d[0]), ("b", d[1])]
+    rows = spark.createDataFrame([(s, "qfq", x, 1.0, 1.0, 1.0, 1.0) for s, x in bars], "symbol string, adjustment string, trade_date date, open double, high double, low double, close double")
+    events = [(1, at(2024, 1, 1, 15), ["a", "b"]), (2, at(2024, 1, 1, 15, 0, 0, 1), ["a", "b"]), (3, at(2024, 1, 3, 9), ["a", "b"]), (4, at(2020, 1, 1), ["a"]), (5, at(2024, 1, 9), ["a"])]
+    got = {(r.event_id, r.symbol): r.trade_date for r in trades.fed_events(rows, spark.createDataFrame(events, "event_id long, available_at timestamp_ntz, symbols array<string>")).collect()}
+    assert got == {(1, "a"): d[0], (1, "b"): d[0], (2, "a"): d[3], (2, "b"): d[1], (3, "a"): d[3], (4, "a"): d[0]}
 
 
 def test_a_sell_closes_the_buy_right_before_it(spark):
     d = days(5)
     rows = [("a", "s", 1, d[0], "sell", 1.0, 9.0, 0.0), ("a", "s", 2, d[1], "buy", 100.0, 10.0, 5.0), ("a", "s", 3, d[2], "buy", 100.0, 20.0, 5.0), ("a", "s", 4, d[3], "sell", 100.0, 30.0, 5.0), ("a", "s", 5, d[4], "buy", 100.0, 7.0, 5.0)]
     fills = spark.createDataFrame(rows, "account string, symbol string, id long, trade_date date, side string, qty double, price double, fees double")
-    got = sorted((r.entry_id, r.exit_id, r.pnl) for r in backtest.trips(fills).collect() if r.exit_id)
+    got = sorted((r.entry_id, r.exit_id, r.pnl) for r in trades.trips(fills).collect() if r.exit_id)
     assert got == [(3, 4, 990.0)]
-    assert [r.entry_id for r in backtest.trips(fills).where("exit_id is null").collect()] == [5]
+    assert [r.entry_id for r in trades.trips(fills).where("exit_id is null").collect()] == [5]
+    more = spark.createDataFrame([("a", "s", 1, d[0], "buy", 100.0, 10.0, 0.0), ("a", "s", 2, d[1], "sell", 200.0, 11.0, 0.0)], fills.schema)
+    assert [r.pnl for r in trades.trips(more).collect()] == [1200.0]
+    held = trades.marked(trades.trips(fills), spark.createDataFrame([("s", 9.0)], "symbol string, close double")).where("exit_id is null").first()
+    assert held.pnl == 195.0 and held.return_pct == pytest.approx(195 / 705, abs=1e-6)
 
 
 def test_grid_and_parameters_are_checked(spark):
-    assert backtest.grid(spark, "ma_cross", {"fast": [2, 3], "slow": [8, 9]}).count() == 4
+    assert trades.grid(spark, "ma_cross", {"fast": [2, 3], "slow": [8, 9]}).count() == 4
     for bad in ({"fast": 9, "slow": 5}, {"fast": True}, {"nope": 1}):
         with pytest.raises(ValueError):
-            backtest.validated("ma_cross", bad)
+            trades.validated("ma_cross", bad)
     with pytest.raises(ValueError):
         market.cross_section(spark.range(1), "2024-01-01", sort="drop table")
 
@@ -93,9 +103,9 @@ def test_scores_decode_once_or_twice_and_booleans_do_not_count(spark):
 
 
 def test_titles_names_and_fragments(spark):
-    t = spark.createDataFrame([("关于回购并增持",), ("业绩快报 净利润下降",), (None,)], "t string").select(text.title_class(F.col("t")).alias("c")).collect()
+    t = spark.createDataFrame([("拟回购并由高管增持",), ("业绩快报：营收下降",), (None,)], "t string").select(text.title_class(F.col("t")).alias("c")).collect()
     assert [r.c.category for r in t] == ["股份回购", "业绩预减", None]
-    st = spark.createDataFrame([("*ST 广糖",), ("STAR",), (None,)], "n string").select(text.is_st(F.col("n")).alias("x")).collect()
+    st = spark.createDataFrame([("* st　样本",), ("STAR",), (None,)], "n string").select(text.is_st(F.col("n")).alias("x")).collect()
     assert [r.x for r in st] == [True, False, False]
     names = spark.createDataFrame([("1", "alphabet"), ("2", "alpine")], "symbol string, name string")
     hits = text.matched_names(spark.createDataFrame([(1, "the alphab stock")], "text_id int, text string"), text.fragments(names)).collect()
@@ -163,7 +173,61 @@ def test_slots_and_windows_count_per_user(spark):
 def test_curve_metrics_of_short_and_flat_curves(spark):
     rows = [("a", i, v) for i, v in enumerate([100.0, 120.0, 90.0, 110.0])] + [("b", 0, 5.0)] + [("c", i, 7.0) for i in range(3)]
     got = {r.id: r for r in series.curve_metrics(spark.createDataFrame(rows, "id string, i int, v double"), "id", "i", "v").collect()}
-    assert (got["a"].n, got["a"].total, got["a"].max_drawdown) == (4, 0.1, 0.25)
+    assert (got["a"].n, got["a"].total, got["a"].max_drawdown, got["a"].sharpe) == (4, 0.1, 0.25, 3.4202)
     assert got["a"].annual == pytest.approx(1.1 ** (252 / 3) - 1, abs=1e-5)
     assert (got["b"].total, got["b"].annual, got["b"].sharpe) == (0.0, None, None)
     assert (got["c"].annual, got["c"].sharpe) == (0.0, None)
+
+
+def test_numbers_names_and_embedding_text(spark):
+    rows = [("1、净利润 12.5%",), ("2. 营收 67969.50 万元\n- 3) x",), ("- -5.2‰ １２．５％ 3个基点",), ("12.34%",)]
+    got = [r.n for r in spark.createDataFrame(rows, "t string").select(text.numbers_in(F.col("t")).alias("n")).collect()]
+    assert got == [["12.5%"], ["67969.50万元", "3"], ["5.2‰", "12.5%", "3个基点"], ["12.34%"]]
+    names = spark.createDataFrame([("XD样 本",), ("Ｎ样本",), ("NIO",), (None,)], "n string")
+    assert [r.o for r in text.normal_name(names, "n", "o").collect()] == ["样本", "样本", "NIO", ""]
+    e = spark.createDataFrame([("题", " ", ["甲", " "], ["600001"], "kind", dt.datetime(2024, 1, 2, 3), None, 7.25)], "title string, summary string, industries array<string>, symbols array<string>, k string, t timestamp_ntz, d string, s double")
+    (line,) = e.select(text.embedding_text(*[F.col(c) for c in e.columns]).alias("x")).first()
+    assert line == "【标题】题\n【类型】kind 【时间】2024-01-02 【重要度】7.2 【行业】甲 【标的】600001"
+    (left,) = e.select(text.unknown_numbers(F.lit("涨 5% 到 3 元，再涨 9%"), F.array(F.lit("5"), F.lit("3元")))).first()
+    assert left == ["9%"]
+
+
+def test_breadth_and_sections_of_given_days(spark):
+    """A null sort key is last both ways; tags of events after the close don't count that day."""
+    rows = spark.createDataFrame([("b", None), ("a", 1.0), ("c", -1.0)], "symbol string, change_pct double").withColumn("trade_date", F.lit("2024-01-02").cast("date"))
+    for down, order in ((True, ["a", "c", "b"]), (False, ["c", "a", "b"])):
+        assert [r.symbol for r in market.cross_section(rows, "2024-01-02", descending=down).collect()] == order
+    events = spark.createDataFrame([(["x"], ["a"], dt.datetime(2024, 1, 2, 15)), (["y"], ["a"], dt.datetime(2024, 1, 2, 15, 0, 1))], "industries array<string>, symbols array<string>, available_at timestamp_ntz")
+    day = rows.withColumn("amount", F.lit(1.0))
+    assert [r.industry for r in market.sector_performance(day, events, "2024-01-02", dt.datetime(2024, 1, 2, 15), 1).collect()] == ["x"]
+
+
+def test_a_calendar_with_other_days_fails_the_check(spark):
+    day = lambda *xs: spark.createDataFrame([(x,) for x in xs], "trade_date date")
+    got = market.date_differences(day(*days(3)), day(*days(2), days(9)[8])).collect()
+    assert sorted((r.trade_date, r.side) for r in got) == [(days(3)[2], "left"), (days(9)[8], "right")]
+
+
+def test_wilder_rsi_against_a_loop(spark):
+    closes = [10.0, 11.0, 10.5, 12.0, 11.0, 11.5, 13.0, 12.5, 12.0]
+    gain = loss = 0.0
+    for i in range(1, len(closes)):
+        up, down = max(0.0, closes[i] - closes[i - 1]), max(0.0, closes[i - 1] - closes[i])
+        gain, loss = (gain + up / 3, loss + down / 3) if i <= 3 else ((gain * 2 + up) / 3, (loss * 2 + down) / 3)
+    rows = spark.createDataFrame([("a", d, c) for d, c in zip(days(9), closes, strict=True)], "symbol string, trade_date date, close double")
+    assert series.wilder_rsi(rows, 3).first().rsi == pytest.approx(100 - 100 / (1 + gain / loss), abs=1e-4)
+
+
+def test_dictionary_of_nothing_and_a_failed_day_keep_what_was_there(spark, tmp_path):
+    assert lake.read_dictionary(spark, str(tmp_path / "none")).count() == 0
+    rows = spark.createDataFrame([("600001", "x", 2, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))], "symbol string, name string, count long, first_seen timestamp_ntz, last_seen timestamp_ntz")
+    lake.write_dictionary(rows, str(tmp_path / "d"))
+    assert lake.read_dictionary(spark, str(tmp_path / "d")).collect() == rows.collect()
+    schema = "event_id string, event_time timestamp, available_at timestamp"
+    row = ("e1", dt.datetime(2024, 1, 1, 9), dt.datetime(2024, 1, 1, 10))
+    lake.write_day(spark.createDataFrame([row], schema), str(tmp_path / "ev"), "2024-01-01")
+    lake.write_day(spark.createDataFrame([row, ("e2", *row[1:])], schema), str(tmp_path / "ev"), "2024-01-01")
+    assert spark.read.schema(schema).parquet(str(tmp_path / "ev" / "event_day=2024-01-01")).count() == 2
+    with pytest.raises(ValueError):
+        lake.write_day(spark.createDataFrame([row, row], schema), str(tmp_path / "ev"), "2024-01-01")
+    assert spark.read.schema(schema).parquet(str(tmp_path / "ev" / "event_day=2024-01-01")).count() == 2

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import check_queries, market_queries, model_queries
+from .plans import check_queries, market_queries, model_queries, report_queries
 
-QUERIES = market_queries.QUERIES | model_queries.QUERIES | check_queries.QUERIES
-ORACLE_SQL = market_queries.ORACLE_SQL | model_queries.ORACLE_SQL | check_queries.ORACLE_SQL
+QUERIES = market_queries.QUERIES | model_queries.QUERIES | check_queries.QUERIES | report_queries.QUERIES
+ORACLE_SQL = market_queries.ORACLE_SQL | model_queries.ORACLE_SQL | check_queries.ORACLE_SQL | report_queries.ORACLE_SQL
 FLAGSHIP = "c1_sector_performance"

@@ -15,7 +15,6 @@ BOARD_LIMITS = {
 }
 TICK = 0.005
 LOT = 100
-MAX_DEFER_BARS = 5
 PERIODS_PER_YEAR = 252
 
 
@@ -28,22 +27,6 @@ class Costs:
     fees: bool = True
     slippage: bool = True
 
-    def fill_price(self, buys: bool, price: float) -> float:
-        return price * (1 + (1 if buys else -1) * self.slippage_bps / 10_000) if self.slippage else price
-
-    def charged(self, buys: bool, qty: int, price: float) -> float:
-        if not self.fees or qty <= 0:
-            return 0.0
-        paid = qty * price
-        return max(paid * self.commission_rate, self.commission_min) + (0.0 if buys else paid * self.stamp_tax_rate)
-
-    def affordable(self, cash: float, price: float) -> int:
-        """The most whole lots that ``cash`` pays for, fees included."""
-        qty = int(cash // price) // LOT * LOT if price > 0 else 0
-        while qty > 0 and qty * price + self.charged(True, qty, price) > cash:
-            qty -= LOT
-        return qty
-
 
 def board_limit(symbol: Column) -> Column:
     """The daily limit as a fraction; null where the board isn't known."""

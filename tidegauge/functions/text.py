@@ -48,16 +48,67 @@ def factor_score(raw: Column) -> Column:
     return F.when(F.schema_of_variant(typed).rlike("BIGINT|DECIMAL|DOUBLE|FLOAT"), score.try_cast("double"))
 
 
+# What follows a number, the longer units first.
+UNITS = ("%", "‰", "亿元", "亿", "万元", "万", "元", "倍", "pp", "个基点")
+
+
 def numbers_in(text: Column) -> Column:
-    """Numbers with their unit, in order; list marks at line starts don't count, full-width digits do."""
-    plain = F.translate(text, "０１２３４５６７８９．％", "0123456789.%")
-    return F.regexp_extract_all(F.regexp_replace(plain, r"(?m)^\s*\d+[.、)]\s+", ""), F.lit(r"[-+]?\d+(?:\.\d+)?(?:%|亿|万)?"), F.lit(0))
+    """Numbers with their unit, in order and without blanks; list marks at line starts don't count, full-width digits do.
+
+    A mark is a number before 、 or ), a number and a full stop before anything but a digit, or - * · before a blank.
+    """
+    plain = F.translate(text, "０１２３４５６７８９％．", "0123456789%.")
+    marks = r"(?m)^[ \t]*(?:\d+[、)]|\d+\.(?!\d)|[-*·](?=[ \t]))[ \t]*"
+    found = F.regexp_extract_all(F.regexp_replace(plain, marks, ""), F.lit(r"\d+(?:\.\d+)?\s*(?:" + "|".join(UNITS) + ")?"), F.lit(0))
+    return F.transform(found, lambda n: F.regexp_replace(n, r"\s+", ""))
+
+
+def unknown_numbers(text: Column, allowed: Column) -> Column:
+    """Numbers of a text that are in ``allowed`` (an array) neither as they stand nor without their unit."""
+    core = lambda n: F.regexp_extract(n, r"\d+(?:\.\d+)?", 0)
+    bare = F.transform(allowed, core)
+    return F.filter(numbers_in(text), lambda n: ~F.array_contains(allowed, n) & ~F.array_contains(bare, core(n)))
+
+
+def embedding_text(title: Column, summary: Column, industries: Column, symbols: Column, event_type: Column, event_time: Column, direction: Column, importance: Column) -> Column:
+    """A line of the title, one of what is known about the event, one of the summary; what is absent or blank leaves nothing."""
+    told = lambda label, value: F.when(F.trim(value) != "", F.concat(F.lit(label), F.trim(value)))
+    listed = lambda label, values: told(label, F.array_join(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != ""), "/"))
+    head = F.concat_ws(" ", told("【类型】", event_type), told("【时间】", F.date_format(event_time, "yyyy-MM-dd")), told("【方向】", direction), told("【重要度】", F.when(importance.isNotNull(), F.format_string("%.1f", F.bround(importance.cast("double"), 1)))), listed("【行业】", industries), listed("【标的】", symbols))
+    return F.concat_ws("\n", told("【标题】", title), F.nullif(head, F.lit("")), F.nullif(F.trim(summary), F.lit("")))
+
+
+def phrase_hits(text: Column, phrases: tuple[str, ...], around: int = 12) -> Column:
+    """array of struct(phrase, snippet) for each phrase that a text has: its first place, with some characters on both sides."""
+    each = [F.struct(F.lit(p).alias("phrase"), F.instr(text, p).alias("at")) for p in phrases]
+    found = F.filter(F.array(*each), lambda h: h["at"] > 0)
+    begin = lambda h: F.greatest(F.lit(1), h["at"] - around)
+    return F.transform(found, lambda h: F.struct(h["phrase"].alias("phrase"), F.substring(text, begin(h), h["at"] + F.length(h["phrase"]) + around - begin(h)).alias("snippet")))
+
+
+def like_escaped(text: Column) -> Column:
+    """A text as the inside of a LIKE pattern with the backslash as its escape."""
+    return F.regexp_replace(text, r"([\\\\%_])", r"\\\\$1")
+
+
+def safe_url(url: Column) -> Column:
+    """http and https addresses; anything else is null."""
+    return F.when(F.lower(F.trim(url)).rlike("^https?://"), F.trim(url))
+
+
+def leaks(query: Column, title: Column, size: int = 8) -> Column:
+    """Whether a query gives its answer away: ``size`` characters in a row of the title, a six-digit code, or a date."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(title) - size + 1)), lambda i: F.substring(title, i, F.lit(size)))
+    shared = F.exists(runs, lambda r: (F.length(r) == size) & F.contains(query, r))
+    return F.coalesce(shared, F.lit(False)) | query.rlike(r"(?<!\d)\d{6}(?!\d)") | query.rlike(r"\d{4}[-/年]\d{1,2}")
 
 
-def embedding_text(title: Column, summary: Column, industries: Column, symbols: Column) -> Column:
-    """Labelled lines of what an event has; what is absent gives no line."""
-    line = lambda label, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(label), value))
-    return F.concat_ws("\n", line("title: ", title), line("industries: ", F.array_join(industries, ",")), line("symbols: ", F.array_join(symbols, ",")), line("summary: ", summary))
+def as_of(value: Column, zone: str = "Asia/Shanghai") -> Column:
+    """A day or ISO instant as an instant in UTC (timestamp without zone): a day means its last second, no zone means ``zone``; anything else is null."""
+    day = value.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    zoned = value.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & ~day
+    local = F.to_utc_timestamp(F.when(day, F.concat(value, F.lit(" 23:59:59"))).otherwise(F.translate(value, "T", " ")).try_cast("timestamp_ntz"), zone)
+    return F.when(zoned, F.to_utc_timestamp(value.try_cast("timestamp"), F.current_timezone())).otherwise(local).cast("timestamp_ntz")
 
 
 def canonical_hash(*columns: str) -> Column:
@@ -82,12 +133,12 @@ def matched_names(texts: DataFrame, table: DataFrame, most: int = 3) -> DataFram
 
 
 def normal_name(names: DataFrame, column: str, as_col: str) -> DataFrame:
-    """NFKC form without white space (there is no built-in for that form)."""
+    """NFKC form without white space and without the prefixes of a listing's first days or an ex-rights day; null gives "" (there is no built-in for that form)."""
     import unicodedata
 
     @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def folded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.map(lambda s: None if s is None else "".join(unicodedata.normalize("NFKC", s).split()))
+            yield part.map(lambda s: "" if s is None else "".join(unicodedata.normalize("NFKC", s).split()))
 
-    return names.withColumn(as_col, run(F.col(column)))
+    return names.withColumn(as_col, F.regexp_replace(folded(F.col(column)), r"^(?:XD|XR|DR|[NC])(?=[\x{4e00}-\x{9fff}])", ""))

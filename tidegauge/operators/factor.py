@@ -114,3 +114,15 @@ def spread_test(spread: DataFrame) -> DataFrame:
     """days, mean and t of the spread."""
     a = spread.agg(F.count("*").alias("days"), F.avg(F.col("spread").cast("decimal(20,8)")).cast("double").alias("m"), F.stddev_samp("spread").alias("sd"))
     return a.select("days", F.round("m", 6).alias("mean"), F.round(F.col("m") / F.nullif(F.col("sd"), F.lit(0.0)) * F.sqrt(F.col("days").cast("double")), 3).alias("t"))
+
+
+def tear_sheet(pool: DataFrame, quantiles: int = 5) -> DataFrame:
+    """(part, q, days, mean, t) of a pool: the rank IC (part ic), the top less the bottom slice (spread), and each slice after costs (slice, q).
+
+    The pool is read once for the ranks and once for the slices.
+    """
+    test = lambda df, value, part, q: df.agg(F.count("*").alias("days"), F.avg(F.col(value).cast("decimal(20,8)")).cast("double").alias("m"), F.stddev_samp(value).alias("sd")).select(F.lit(part).alias("part"), q, "days", F.round("m", 6).alias("mean"), F.round(F.col("m") / F.nullif(F.col("sd"), F.lit(0.0)) * F.sqrt(F.col("days").cast("double")), 3).alias("t"))
+    portfolios = quantile_portfolios(quantile_members(pool, quantiles))
+    whole = F.lit(-1).alias("q")
+    out = test(rank_ic(pool), "ic", "ic", whole).unionByName(test(long_short(portfolios, quantiles), "spread", "spread", whole))
+    return out.unionByName(test(portfolios.groupBy("q"), "net", "slice", F.col("q").cast("int").alias("q")))

@@ -53,17 +53,25 @@ def latest_date(bars: DataFrame, adjust: str = "qfq") -> DataFrame:
 
 
 def with_change(bars: DataFrame) -> DataFrame:
-    """Priced bars with prev_close and change_pct (percent, six digits), over each symbol's own priced bars."""
+    """Priced bars with prev_close and change_pct (percent, six digits), over each symbol's own priced bars; stored ones are taken as they are."""
+    if {"prev_close", "change_pct"} <= set(bars.columns):
+        return priced(bars)
     w = Window.partitionBy("symbol", "adjustment").orderBy("trade_date")
     prev = F.lag("close").over(w)
     return priced(bars).withColumn("prev_close", prev).withColumn("change_pct", F.round((F.col("close") / F.nullif(prev, F.lit(0.0)) - 1) * 100, 6))
 
 
+def on_day(bars: DataFrame, trade_date) -> DataFrame:
+    """The bars of one day; where the table is stored by year, only that year's files are read."""
+    day = F.lit(trade_date).cast("date")
+    return bars.where((F.col("trade_date") == day) & (F.col("year") == F.year(day)) if "year" in bars.columns else F.col("trade_date") == day)
+
+
 def cross_section(changed: DataFrame, trade_date, sort: str = "change_pct", descending: bool = True, limit: int = 50, offset: int = 0, among: DataFrame | None = None) -> DataFrame:
     """One day's rows by a whitelisted key, nulls last both ways, then by symbol; ``among`` (symbol) restricts them."""
     if sort not in SORT_KEYS:
         raise ValueError(f"can't sort by {sort!r}")
-    day = changed.where(F.col("trade_date") == F.lit(trade_date).cast("date"))
+    day = on_day(changed, trade_date)
     day = day if among is None else day.join(among, "symbol", "left_semi")
     key = F.col(sort).desc_nulls_last() if descending else F.col(sort).asc_nulls_last()
     return page(day, [key, F.col("symbol").asc()], limit, offset)
@@ -89,7 +97,7 @@ def tags(events: DataFrame) -> DataFrame:
 
 def sector_performance(changed: DataFrame, events: DataFrame, trade_date, as_of, min_symbols: int = 3) -> DataFrame:
     """Per industry, of its symbols' bars on a day: n, amount, avg_pct, median_pct; tags are those known at ``as_of``."""
-    day = changed.where((F.col("trade_date") == F.lit(trade_date).cast("date")) & F.col("change_pct").isNotNull()).select("symbol", "change_pct", "amount")
+    day = on_day(changed, trade_date).where(F.col("change_pct").isNotNull()).select("symbol", "change_pct", "amount")
     met = tags(visible(events, as_of)).join(day, "symbol")
     out = met.groupBy("industry").agg(
         F.count("*").alias("n"),
@@ -102,7 +110,7 @@ def sector_performance(changed: DataFrame, events: DataFrame, trade_date, as_of,
 
 def symbol_ranks(changed: DataFrame, trade_date) -> DataFrame:
     """Rank on a day by change and amount, nulls last: symbol, rank, total, percentile = (total - rank + 1) / total."""
-    day = changed.where(F.col("trade_date") == F.lit(trade_date).cast("date"))
+    day = on_day(changed, trade_date)
     w = Window.partitionBy("trade_date").orderBy(F.col("change_pct").desc_nulls_last(), F.col("amount").desc_nulls_last())
     ranked = day.select("symbol", "trade_date", F.rank().over(w).alias("rank"), F.count("*").over(Window.partitionBy("trade_date")).alias("total"))
     return ranked.select("symbol", "rank", "total", F.round((F.col("total") - F.col("rank") + 1) / F.col("total"), 6).alias("percentile"))
@@ -138,9 +146,9 @@ def session_buckets(events: DataFrame, sessions: DataFrame, stamp: str = "availa
     ends = sessions.select("trade_date", F.lag("trade_date").over(Window.orderBy("trade_date")).alias("before"))
     first = F.date_add(F.coalesce("before", F.date_sub("trade_date", 0)), F.when(F.col("before").isNull(), 0).otherwise(1))
     days = ends.select(F.col("trade_date").alias("session"), F.explode(F.sequence(first, F.col("trade_date"))).alias("__day"))
-    first_session = sessions.agg(F.min("trade_date")).first()[0]
-    due = events.withColumn("__due", F.greatest(day, F.lit(first_session).cast("date")))
-    return due.join(days, F.col("__due") == F.col("__day"), "left").drop("__due", "__day")
+    first_session = sessions.agg(F.min("trade_date").alias("__first"))
+    due = events.join(F.broadcast(first_session), F.lit(True)).withColumn("__due", F.greatest(day, "__first"))  # one row
+    return due.join(days, F.col("__due") == F.col("__day"), "left").drop("__due", "__day", "__first")
 
 
 def closes_through(bars: DataFrame, through, adjust: str = "qfq") -> DataFrame:
@@ -170,14 +178,88 @@ def name_rows(observed: DataFrame) -> DataFrame:
 
 
 def primary_names(dictionary: DataFrame) -> DataFrame:
-    """The most frequent name of each symbol; then the one seen last, then by name."""
-    return dictionary.groupBy("symbol").agg(F.max(F.struct("count", "last_seen", "name")).alias("m")).select("symbol", "m.name")
+    """The most frequent name of each symbol; then the one seen last, then the one seen first earliest, then by name."""
+    return _named(dictionary, "count", "last_seen")
 
 
 def names_as_of(dictionary: DataFrame, as_of) -> DataFrame:
-    """The name in force: of those seen first at or before ``as_of``, the one seen last, then the more frequent, then by name."""
-    seen = dictionary.where(F.col("first_seen") <= F.lit(as_of).cast("timestamp_ntz"))
-    return seen.groupBy("symbol").agg(F.max(F.struct("last_seen", "count", "name")).alias("m")).select("symbol", "m.name")
+    """The name in force: of those seen first at or before ``as_of``, the one seen last, then the more frequent, then the one seen first earliest, then by name."""
+    return _named(dictionary.where(F.col("first_seen") <= F.lit(as_of).cast("timestamp_ntz")), "last_seen", "count")
+
+
+def _named(dictionary: DataFrame, *order: str) -> DataFrame:
+    early = F.timestamp_diff("MICROSECOND", F.col("first_seen").cast("timestamp_ntz"), F.lit("2200-01-01").cast("timestamp_ntz"))
+    return dictionary.groupBy("symbol").agg(F.max(F.struct(*order, early.alias("early"), "name")).alias("m")).select("symbol", "m.name")
+
+
+def warned_symbols(dictionary: DataFrame) -> DataFrame:
+    """Symbols whose most frequent name is a risk warning."""
+    from ..functions.text import is_st
+
+    return primary_names(dictionary).where(is_st(F.col("name"))).select("symbol")
+
+
+def matched_symbols(named: DataFrame, query: str) -> DataFrame:
+    """(symbol, name) whose code begins with a query or whose name contains it."""
+    return named.where(F.col("symbol").startswith(query) | F.contains(F.col("name"), F.lit(query)))
+
+
+def event_detail(events: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(event_id, day) → the event of that id on that day, or, where the day is null, the id's latest; ids without one are left out."""
+    asked = wanted.select(F.col("event_id").alias("asked"), F.col("day").alias("asked_day"))
+    met = events.join(asked, (F.col("event_id") == F.col("asked")) & (F.col("asked_day").isNull() | (F.to_date("event_time") == F.col("asked_day"))))
+    newest = Window.partitionBy("asked", "asked_day").orderBy(F.desc("event_time"), F.desc("available_at"))
+    return met.withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn", "asked").withColumnRenamed("asked_day", "day")
+
+
+def events_by_id(events: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All rows of the events whose id ``wanted`` (event_id, day) has, on the days asked for."""
+    keys = wanted.select("event_id", "day").distinct()
+    return events.withColumn("day", F.to_date("event_time")).join(keys, ["event_id", "day"], "left_semi")
+
+
+def month_window(end: Column, months: int) -> Column:
+    """The first day of a window that ends at ``end``: so many months before, at the month's end if it is shorter."""
+    return F.add_months(end, -months)
+
+
+def truncated_feed(rows: DataFrame, stamp: str, key: str, limit: int) -> DataFrame:
+    """The newest ``limit`` rows in ascending order, each with ``truncated``: whether there were more."""
+    newest = rows.orderBy(F.desc(stamp), F.desc(key)).limit(limit + 1).withColumn("nth", F.row_number().over(Window.orderBy(F.desc(stamp), F.desc(key))))  # limit + 1 rows
+    return newest.withColumn("truncated", F.max("nth").over(Window.partitionBy()) > limit).where(F.col("nth") <= limit).orderBy(stamp, key).drop("nth")
+
+
+def tag_coverage(day_bars: DataFrame, events: DataFrame, as_of) -> DataFrame:
+    """How many of a day's priced symbols have any industry tag known at ``as_of``: total, covered."""
+    tagged = visible(events, as_of).where(F.size("industries") > 0).select(F.explode("symbols").alias("symbol")).distinct().withColumn("tagged", F.lit(1))
+    return priced(day_bars).join(tagged, "symbol", "left").agg(F.count("*").alias("total"), F.count("tagged").alias("covered"))
+
+
+def delisting_evidence(stopped: DataFrame, events: DataFrame, strong: str, weak: str) -> DataFrame:
+    """Stopped symbols (symbol, last_day) from the events' first day on, with their best title: symbol, last_day, title, strength.
+
+    Strength 2: the title has ``strong``, 1: it has ``weak``; no such title: null (unexplained). Ties go by title.
+    """
+    first = events.agg(F.min(F.to_date("event_time")).alias("first_day"))  # one row
+    candidates = stopped.join(F.broadcast(first), F.col("last_day") >= F.col("first_day")).select("symbol", "last_day")
+    strength = F.when(F.contains(F.col("title"), F.lit(strong)), 2).when(F.contains(F.col("title"), F.lit(weak)), 1)
+    told = events.select(F.explode("symbols").alias("symbol"), "title", strength.alias("strength")).where("strength IS NOT NULL").groupBy("symbol").agg(F.max(F.struct("strength", "title")).alias("m"))
+    return candidates.join(told, "symbol", "left").select("symbol", "last_day", "m.title", "m.strength")
+
+
+def resolved_evidence(snapshots: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Snapshots (owner, event_id, day, content_hash) against the corpus (event_id, day, content_hash): per (event_id, day) found, revised and the owners in order."""
+    held = snapshots.groupBy("event_id", "day").agg(F.max("content_hash").alias("was"), F.array_sort(F.collect_set("owner")).alias("owners"))  # owners of one event
+    now = corpus.select("event_id", "day", F.col("content_hash").alias("now"), F.lit(True).alias("there"))
+    return held.join(now, ["event_id", "day"], "left").select("event_id", "day", F.col("there").isNotNull().alias("found"), F.coalesce(F.col("was") != F.col("now"), F.lit(False)).alias("revised"), "owners")
+
+
+def capped_payload(hits: DataFrame, by: str, rank: str, body: str, most_bytes: int) -> DataFrame:
+    """The best hits of each query whose bodies together have at most ``most_bytes``, with ``dropped``: whether the lowest ranks had to go."""
+    w = Window.partitionBy(by)
+    run = F.sum(F.octet_length(body)).over(w.orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
+    sized = hits.withColumn("bytes", run).withColumn("dropped", F.max("bytes").over(w) > most_bytes)
+    return sized.where(F.col("bytes") <= most_bytes)
 
 
 def date_differences(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -195,5 +277,5 @@ def merged_evidence(rows: DataFrame, roles: list[str]) -> DataFrame:
 def delisted(bars: DataFrame, days: int = 30) -> DataFrame:
     """Symbols whose last priced bar is over ``days`` before the data's end: symbol, last_day."""
     last = priced(bars).groupBy("symbol").agg(F.max("trade_date").alias("last_day"))
-    end = last.agg(F.max("last_day")).first()[0]
-    return last.where(F.date_add("last_day", days) < F.lit(end).cast("date")).select("symbol", "last_day")
+    end = last.agg(F.max("last_day").alias("end"))  # one row
+    return last.join(F.broadcast(end), F.date_add("last_day", days) < F.col("end")).select("symbol", "last_day")

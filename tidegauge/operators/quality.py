@@ -24,7 +24,33 @@ def null_counts(bars: DataFrame) -> DataFrame:
 
 
 def unpriced(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("adjustment").agg(F.count_if(F.greatest(*[F.col(c).isNull() for c in PRICES])).alias("unpriced"), F.count("*").alias("rows"))
+    """Bars without a close per adjustment: unpriced, symbols, first_day, last_day; an adjustment without such bars is absent."""
+    return bars.where("close IS NULL").groupBy("adjustment").agg(F.count("*").alias("unpriced"), F.count_distinct("symbol").alias("symbols"), F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"))
+
+
+def partition_differences(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """Days (date, rows) of a manifest against the partitions found: date, state (missing, extra or mismatched)."""
+    told, there = manifest.select("date", F.col("rows").alias("told")), found.select("date", F.col("rows").alias("there"))
+    state = F.when(F.col("there").isNull(), "missing").when(F.col("told").isNull(), "extra").when(F.col("told") != F.col("there"), "mismatched")
+    return told.join(there, "date", "full_outer").select("date", state.alias("state")).where("state IS NOT NULL")
+
+
+def freshness(last_seen: DataFrame, now, warn_days: int, error_days: int) -> DataFrame:
+    """(scope, last_day) → scope, age in days at ``now``, level: ok, warn from ``warn_days``, error from ``error_days`` or without a day."""
+    age = F.date_diff(F.lit(now).cast("date"), F.col("last_day"))
+    return last_seen.select("scope", age.alias("age"), F.when(age.isNull() | (age >= error_days), "error").when(age >= warn_days, "warn").otherwise("ok").alias("level"))
+
+
+def day_count_differences(index: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Documents per day in an index and in the corpus where they differ: day, indexed, there."""
+    a, b = index.groupBy("day").agg(F.count("*").alias("indexed")), corpus.groupBy("day").agg(F.count("*").alias("there"))
+    both = a.join(b, "day", "full_outer").select("day", F.coalesce("indexed", F.lit(0)).alias("indexed"), F.coalesce("there", F.lit(0)).alias("there"))
+    return both.where("indexed <> there")
+
+
+def value_distribution(rows: DataFrame, value: str, by: str, known: tuple[str, ...]) -> DataFrame:
+    """Rows per value and group, and whether the value is a known one."""
+    return rows.groupBy(value, by).agg(F.count("*").alias("n")).withColumn("known", F.coalesce(F.col(value).isin(*known), F.lit(False)))
 
 
 def steps(bars: DataFrame, skip: int = 5) -> DataFrame:
@@ -68,28 +94,36 @@ def one_word_boards(bars: DataFrame) -> DataFrame:
     return with_change(bars).where(flat & (F.col("close") != F.col("prev_close"))).select("symbol", "trade_date", "close", "prev_close")
 
 
-def suite(bars: DataFrame, events: DataFrame, sessions: DataFrame) -> dict[str, tuple[str, Callable[[], DataFrame]]]:
-    """Checks by id: the level of a failure, and a one-column count of what fails."""
+def suite(bars: DataFrame, events: DataFrame, sessions: DataFrame, calendar: DataFrame) -> dict[str, tuple[str, Callable[[], DataFrame]]]:
+    """Checks by id: the level of a failure, and a one-column count of what fails. ``calendar`` (trade_date) is a source of its own, not the bars' days.
+
+    What counts rows of bars alone is one pass (``bars``), and so is what counts rows of events alone (``events``).
+    """
     n = lambda df: df.agg(F.count("*").alias("failing"))
-    of = lambda df, c: df.agg(F.count_if(c).alias("failing"))
     many = F.explode_outer("symbols")
     return {
         "B2": ("error", lambda: n(duplicates(bars, ["symbol", "adjustment", "trade_date"]))),
-        "B3": ("error", lambda: of(bars, (F.col("volume") > 0) & F.col("close").isNull())),
-        "B4": ("warn", lambda: of(bars, F.greatest(*[F.col(c).isNull() for c in PRICES]))),
         "B5": ("warn", lambda: steps(bars).agg(F.sum("beyond").alias("failing"))),
-        "B6": ("error", lambda: of(bars, ~F.col("adjustment").isin("raw", "qfq", "hfq"))),
         "B7": ("warn", lambda: n(envelope(bars))),
-        "B8": ("error", lambda: n(date_differences(sessions, bars))),
+        "B8": ("error", lambda: n(date_differences(calendar, sessions))),
         "E2": ("error", lambda: n(duplicates(events, ["event_id"]))),
-        "E3": ("error", lambda: of(events, F.col("available_at").isNull() | (F.col("available_at") < F.col("event_time")))),
-        "E4": ("warn", lambda: of(events, F.col("direction").isNotNull() & ~F.col("direction").isin("bullish", "bearish", "neutral"))),
-        "E5": ("warn", lambda: of(events.select(many.alias("s")), F.col("s").isNotNull() & ~F.col("s").rlike("^[0-9]{6}$"))),
+        "E5": ("warn", lambda: events.select(many.alias("s")).agg(F.count_if(F.col("s").isNotNull() & ~F.col("s").rlike("^[0-9]{6}$")).alias("failing"))),
         "E6": ("info", lambda: n(events.groupBy("event_id").agg(F.count_distinct(F.to_date("event_time")).alias("d")).where("d > 1"))),
         "E7": ("info", lambda: n(event_gaps(events, sessions))),
     }
 
 
+def one_pass(bars: DataFrame, events: DataFrame) -> DataFrame:
+    """(id, level, failing, note) of the checks that only count rows: B3, B4 and B6 in one scan of bars, E3 and E4 in one of events."""
+    of_bars = bars.agg(F.count_if((F.col("volume") > 0) & F.col("close").isNull()).alias("B3"), F.count_if(F.col("close").isNull()).alias("B4"), F.count_if(~F.col("adjustment").isin("raw", "qfq", "hfq")).alias("B6"))
+    of_events = events.agg(
+        F.count_if(F.col("available_at").isNull() | (F.col("available_at") < F.col("event_time"))).alias("E3"), F.count_if(F.col("direction").isNotNull() & ~F.col("direction").isin("bullish", "bearish", "neutral")).alias("E4")
+    )
+    bad = {"B3": "error", "B4": "info", "B6": "error", "E3": "error", "E4": "warn"}
+    rows = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("id"), F.when(F.col(c) > 0, bad[c]).otherwise("ok").alias("level"), F.col(c).alias("failing"), F.lit("").alias("note")) for c in df.columns])).alias("r")).select("r.*")
+    return rows(of_bars).unionByName(rows(of_events))
+
+
 def run_suite(checks: dict[str, tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
     """(id, level, failing): level is ``ok`` without failures; a check that raises when it is built is an error with failing -1."""
     out, broken, spark = None, [], None

@@ -82,3 +82,14 @@ def ranking_metrics(ranked: DataFrame, judged: DataFrame, k: int = 10, threshold
 def late_evidence(evidence: DataFrame, as_of) -> DataFrame:
     """Evidence that wasn't known at ``as_of``."""
     return evidence.where(F.col("available_at") > F.lit(as_of).cast("timestamp_ntz"))
+
+
+def length_batches(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
+    """Documents in order of length, ``size`` to a batch, so that a batch needs little padding: key, place, batch.
+
+    Lengths are counted first; a document's place is that of its length's first one plus its rank among equals, so no task sorts all rows.
+    """
+    sized = docs.select(key, F.length(F.coalesce(F.col(text), F.lit(""))).alias("n"))
+    before = sized.groupBy("n").agg(F.count("*").alias("c")).select("n", F.coalesce(F.sum("c").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row per length
+    ranked = sized.withColumn("rn", F.row_number().over(Window.partitionBy("n").orderBy(key)) - 1).join(before, "n")
+    return ranked.select(key, (F.col("before") + F.col("rn")).alias("place"), F.floor((F.col("before") + F.col("rn")) / size).alias("batch"))

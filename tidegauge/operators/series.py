@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import PERIODS_PER_YEAR
+from ..functions.rules import PERIODS_PER_YEAR, Costs
 
-EULER_MASCHERONI = 0.5772156649015329
 _EXACT = "decimal(28,8)"
 
 
@@ -75,11 +72,11 @@ def curve(returns: DataFrame, order: str, value: str, initial: float = 1000.0) -
 
 
 def moments(rows: DataFrame, by: str, value: Column) -> DataFrame:
-    """n, mean, population sd, skewness and raw kurtosis per group; skewness and kurtosis are null without variance."""
+    """n, mean, sample sd, population skewness and raw kurtosis per group, unrounded; skewness and kurtosis are null without variance."""
     x = rows.select(by, value.alias("x")).where("x IS NOT NULL")
-    agg = x.groupBy(by).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("excess"))
-    flat = F.col("sd") <= 1e-15
-    return agg.select(by, "n", F.round("mean", 8).alias("mean"), F.round("sd", 8).alias("sd"), F.when(~flat, F.round("skew", 4)).alias("skew"), F.when(~flat, F.round(F.col("excess") + 3, 4)).alias("kurt"))
+    agg = x.groupBy(by).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.stddev_pop("x").alias("spread"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("excess"))
+    varies = F.col("spread") > 1e-15
+    return agg.select(by, "n", "mean", "sd", F.when(varies, F.col("skew")).alias("skew"), F.when(varies, F.col("excess") + 3).alias("kurt"))
 
 
 def sharpe(mean: Column, sd: Column, n: Column, periods: int = PERIODS_PER_YEAR) -> Column:
@@ -93,55 +90,104 @@ def annual_return(total: Column, n: Column, periods: int = PERIODS_PER_YEAR) ->
 
 
 def curve_metrics(levels: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """Per curve: n levels, total and annual return (over n - 1 periods), deepest drawdown, annual Sharpe ratio."""
+    """Per curve: n levels, total and annual return (over n - 1 periods), deepest drawdown, annual Sharpe ratio (sample deviation; steps from zero or less don't count)."""
     w = Window.partitionBy(by).orderBy(order)
     peak = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
     before = F.lag(value).over(w)
-    steps = levels.select(by, order, F.col(value).alias("v"), (F.col(value) / F.nullif(before, F.lit(0.0)) - 1).alias("r"), ((peak - F.col(value)) / F.nullif(peak, F.lit(0.0))).alias("dd"))
-    a = steps.groupBy(by).agg(F.count("v").alias("n"), F.min_by("v", order).alias("a"), F.max_by("v", order).alias("b"), F.max("dd").alias("dd"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), F.count("r").alias("k"))
+    steps = levels.select(by, order, F.col(value).alias("v"), F.when(before > 0, F.col(value) / before - 1).alias("r"), ((peak - F.col(value)) / F.nullif(peak, F.lit(0.0))).alias("dd"))
+    a = steps.groupBy(by).agg(F.count("v").alias("n"), F.min_by("v", order).alias("a"), F.max_by("v", order).alias("b"), F.max("dd").alias("dd"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.count("r").alias("k"))
     total = F.col("b") / F.nullif(F.col("a"), F.lit(0.0)) - 1
     return a.select(by, "n", F.round(total, 6).alias("total"), F.round(annual_return(total, F.col("n") - 1), 6).alias("annual"), F.round("dd", 6).alias("max_drawdown"), F.round(sharpe(F.col("mean"), F.col("sd"), F.col("k")), 4).alias("sharpe"))
 
 
-def expected_max_sharpe(variance: float, trials: int) -> float | None:
-    """The best Sharpe ratio that so many trials without skill would show; under two trials: none."""
-    if trials < 2:
-        return None
-    if variance <= 0:
-        return 0.0
-    quantile = NormalDist().inv_cdf
-    e = 2.718281828459045
-    return variance**0.5 * ((1 - EULER_MASCHERONI) * quantile(1 - 1 / trials) + EULER_MASCHERONI * quantile(1 - 1 / (trials * e)))
+# Rational approximations of the normal distribution (Hart 1968) and of its quantile (Acklam 2003).
+_CDF_TOP = (220.206867912376, 221.213596169931, 112.079291497871, 33.912866078383, 6.37396220353165, 0.700383064443688, 0.0352624965998911)
+_CDF_LOW = (440.413735824752, 793.826512519948, 637.333633378831, 296.564248779674, 86.7807322029461, 16.064177579207, 1.75566716318264, 0.0883883476483184)
+_Q_TOP = (2.506628277459239, -30.66479806614716, 138.3577518672690, -275.9285104469687, 220.9460984245205, -39.69683028665376)
+_Q_LOW = (1.0, -13.28068155288572, 66.80131188771972, -155.6989798598866, 161.5858368580409, -54.47609879822406)
+_TAIL_TOP = (2.938163982698783, 4.374664141464968, -2.549732539343734, -2.400758277161838, -0.3223964580411365, -0.007784894002430293)
+_TAIL_LOW = (1.0, 3.754408661907416, 2.445134137142996, 0.3224671290700398, 0.007784695709041462)
+_GAMMA = 0.5772156649015329
+
+
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _power_series(x: Column, coefficients: tuple[float, ...]) -> Column:
+    out = F.lit(0.0)
+    for c in reversed(coefficients):
+        out = out * x + c
+    return out
+
 
+def normal_cdf(x: Column) -> Column:
+    """The standard normal distribution, to about 1e-15 within seven deviations."""
+    tail = lambda z: F.exp(-z * z / 2) * _power_series(z, _CDF_TOP) / _power_series(z, _CDF_LOW)
+    return _once(x, lambda v: _once(_once(F.least(F.abs(v), F.lit(7.0)), tail), lambda t: F.when(v > 0, 1 - t).otherwise(t)))
 
-def deflated_sharpe(sr, sr0, skew, kurt, n) -> float | None:
-    """The chance that a per-period Sharpe ratio is above ``sr0``, with its skewness and raw kurtosis."""
-    if None in (sr, sr0, skew, kurt, n) or n < 2:
-        return None
-    spread = 1 - skew * sr + (kurt - 1) / 4 * sr * sr
-    return NormalDist().cdf((sr - sr0) * (n - 1) ** 0.5 / spread**0.5) if spread > 0 else None
+
+def normal_quantile(p: Column) -> Column:
+    """Its inverse for 0 < p < 1: an approximation and one step of Halley's method."""
+    middle = lambda q: q * _once(q * q, lambda r: _power_series(r, _Q_TOP) / _power_series(r, _Q_LOW))
+    tail = lambda q: _once(F.sqrt(-2 * F.ln(0.5 - F.abs(q))), lambda r: _power_series(r, _TAIL_TOP) / _power_series(r, _TAIL_LOW))
+    near = lambda q: F.when(F.abs(q) <= 0.47575, middle(q)).when(q < 0, tail(q)).otherwise(-tail(q))
+    step = lambda x, q: _once((normal_cdf(x) - 0.5 - q) * 2.5066282746310002 * F.exp(x * x / 2), lambda s: x - s / (1 + x * s / 2))
+    return _once(p - 0.5, lambda q: _once(near(q), lambda x: step(x, q)))
+
+
+def luck(variance: Column, trials: Column) -> Column:
+    """The per-period Sharpe ratio that the best of so many trials without skill is expected to show; under two: null; all alike: 0."""
+    n = F.greatest(trials.cast("double"), F.lit(2.0))
+    blend = (1 - _GAMMA) * normal_quantile(1 - 1 / n) + _GAMMA * normal_quantile(1 - 1 / (n * 2.718281828459045))
+    return F.when(trials >= 2, F.when(variance > 0, F.sqrt(variance) * blend).otherwise(F.lit(0.0)))
+
+
+def beyond_luck(ratio: Column, expected: Column, skew: Column, kurt: Column, n: Column) -> Column:
+    """The chance that a per-period Sharpe ratio is above ``expected``, allowing for skewness and raw kurtosis; null where it has no meaning."""
+    spread = 1 - skew * ratio + (kurt - 1) / 4 * ratio * ratio
+    return F.when((n >= 2) & (spread > 0), normal_cdf((ratio - expected) * F.sqrt((n - 1).cast("double")) / F.sqrt(spread)))
 
 
 def rank_trials(trials: DataFrame) -> DataFrame:
-    """Trials (cell, n, mean, sd, skew, kurt) → the best one with its deflated Sharpe ratio: cell, sharpe, sr0, dsr, trials.
+    """Trials (cell, n, mean, sd, skew, kurt) of :func:`moments` → the best one: cell, sharpe, sr0, dsr, trials.
 
-    Ratios are per period; the trials' variance is that of the population. Of equal ones the first cell is best.
+    Ratios are per period; the trials' variance is that of the population of valid ones. Of equal ones the first cell is best.
     """
-    from collections.abc import Iterator
+    per = trials.withColumn("sr", F.when((F.col("sd") > 0) & (F.col("n") >= 2), F.col("mean") / F.nullif(F.col("sd"), F.lit(0.0)))).where("sr IS NOT NULL")
+    first = F.struct(-F.col("sr"), "cell")
+    one = per.agg(F.min_by(F.struct("cell", "sr", "skew", "kurt", "n"), first).alias("b"), F.var_pop("sr").alias("v"), F.count("*").alias("trials")).where("b IS NOT NULL").select("b.*", "trials", luck(F.col("v"), F.col("trials")).alias("sr0"))
+    return one.select("cell", F.round("sr", 8).alias("sharpe"), F.round("sr0", 8).alias("sr0"), F.round(beyond_luck(F.col("sr"), F.col("sr0"), F.col("skew"), F.col("kurt"), F.col("n")), 8).alias("dsr"), "trials")
 
-    import pandas as pd
 
-    per = trials.withColumn("sr", F.when((F.col("sd") > 0) & (F.col("n") >= 2), F.col("mean") / F.nullif(F.col("sd"), F.lit(0.0))))
-    valid = per.where("sr IS NOT NULL")
-    best = valid.agg(F.max_by(F.struct("cell", "sr", "skew", "kurt", "n"), F.struct("sr", -F.col("cell"))).alias("b"), F.var_pop("sr").alias("v"), F.count("*").alias("trials")).where("b IS NOT NULL")
+def hold_curve(bars: DataFrame, cash: float, costs: Costs = Costs()) -> DataFrame:
+    """Per symbol, what ``cash`` in its first close (fractional shares, one buy at cost) is worth at each close; a first close of zero or less: the cash."""
+    first = F.min_by("close", "trade_date").over(Window.partitionBy("symbol"))
+    paid = first * (1 + (costs.slippage_bps / 10_000 if costs.slippage else 0.0))
+    spent = cash * (1 - (costs.commission_rate if costs.fees else 0.0))
+    return bars.select("symbol", "trade_date", F.when(first > 0, spent / F.nullif(paid, F.lit(0.0)) * F.col("close")).otherwise(F.lit(float(cash))).alias("level"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for r in part.itertuples():
-                sr0 = expected_max_sharpe(r.v, r.trials)
-                dsr = deflated_sharpe(r.sr, sr0, r.skew, r.kurt, r.n)
-                rows.append((r.cell, round(r.sr, 8), None if sr0 is None else round(sr0, 8), None if dsr is None else round(dsr, 8), r.trials))
-            yield pd.DataFrame(rows, columns=["cell", "sharpe", "sr0", "dsr", "trials"])
 
-    return best.select("b.*", "v", "trials").mapInPandas(run, "cell long, sharpe double, sr0 double, dsr double, trials long")
+def performance(levels: DataFrame, by: str, order: str, value: str, initial: float, benchmark_return: Column | None = None) -> DataFrame:
+    """Per curve: n, total and annual return against ``initial``, deepest drawdown, Sharpe ratio, annual volatility, excess over a benchmark."""
+    w = Window.partitionBy(by).orderBy(order)
+    before, peak = F.lag(value).over(w), F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    steps = levels.select(by, order, F.col(value).alias("v"), F.when(before > 0, F.col(value) / before - 1).alias("r"), ((peak - F.col(value)) / F.nullif(peak, F.lit(0.0))).alias("dd"))
+    a = steps.groupBy(by).agg(F.count("*").alias("n"), F.max_by("v", order).alias("last"), F.max("dd").alias("dd"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.count("r").alias("k"))
+    total = F.col("last") / initial - 1
+    out = a.select(by, "n", F.round(total, 6).alias("total"), F.round(annual_return(total, F.col("n")), 6).alias("annual"), F.round("dd", 6).alias("max_drawdown"), F.round(sharpe(F.col("mean"), F.col("sd"), F.col("k")), 4).alias("sharpe"), F.round(F.when(F.col("k") >= 2, F.col("sd") * (PERIODS_PER_YEAR**0.5)), 6).alias("volatility"))
+    return out if benchmark_return is None else out.withColumn("excess", F.round(F.col("total") - benchmark_return, 6))
+
+
+def market_numbers(bars: DataFrame, window: int) -> DataFrame:
+    """Per symbol over its last ``window`` bars: bars, window_return, high, low, volatility (annual), ma20, momentum20, amount20."""
+    order = Window.partitionBy("symbol").orderBy("trade_date")
+    newest = Window.partitionBy("symbol").orderBy(F.desc("trade_date"))
+    last = bars.withColumn("r", F.col("close") / F.lag("close").over(order) - 1).withColumn("k", F.row_number().over(newest)).where(F.col("k") <= window)
+    at = lambda k, c="close": F.max(F.when(F.col("k") == k, F.col(c)))
+    recent = lambda c: F.avg(F.when(F.col("k") <= 20, F.col(c)))
+    return last.groupBy("symbol").agg(
+        F.count("*").alias("bars"), F.round(at(1) / at(window) - 1, 6).alias("window_return"), F.max("high").alias("high"), F.min("low").alias("low"), F.round(F.stddev_samp(F.when(F.col("k") < window, F.col("r"))) * (PERIODS_PER_YEAR**0.5), 6).alias("volatility"),
+        F.round(recent("close"), 6).alias("ma20"), F.round(at(1) / at(21) - 1, 6).alias("momentum20"), F.round(recent("amount"), 0).alias("amount20"),
+    )

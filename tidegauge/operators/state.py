@@ -69,3 +69,28 @@ def next_page(rows: DataFrame, after: tuple | None, keys: tuple[str, str], k: in
     a, b = keys
     left = rows if after is None else rows.where((F.col(a) < F.lit(after[0])) | ((F.col(a) == F.lit(after[0])) & (F.col(b) < F.lit(after[1]))))
     return left.orderBy(F.desc(a), F.desc(b)).limit(k)
+
+
+def used_between(requests: DataFrame, user: str, stamp: str, first_day, last_day) -> DataFrame:
+    """Requests per user on the days from ``first_day`` to ``last_day``: used."""
+    day = F.col(stamp).cast("date")
+    return requests.where(day.between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))).groupBy(user).agg(F.count("*").alias("used"))
+
+
+def usage_page(users: DataFrame, used: DataFrame, key: str, name: str, asked: str, limit: int, offset: int) -> DataFrame:
+    """A page of users whose name contains ``asked``, most used first, each with how many there are in all: used, total."""
+    found = users.where(F.contains(F.lower(name), F.lit(asked.lower())))
+    total = found.agg(F.count("*").alias("total"))  # one row
+    return found.join(used, key, "left").withColumn("used", F.coalesce("used", F.lit(0))).orderBy(F.desc("used"), key).offset(offset).limit(limit).join(F.broadcast(total), F.lit(True))
+
+
+def judged_means(items: DataFrame, part: Column, score: str) -> DataFrame:
+    """Mean score per part over the items that were judged (score not null): judged, mean."""
+    return items.where(F.col(score).isNotNull()).groupBy(part).agg(F.count("*").alias("judged"), F.round(F.avg(score), 6).alias("mean"))
+
+
+def finished(tasks: DataFrame, ends: DataFrame) -> DataFrame:
+    """Ends (id, token, to, progress) take effect on running tasks (id, status, token, done) that still have the token they were claimed with."""
+    met = tasks.join(ends.select("id", F.col("token").alias("claimed"), "to", "progress"), "id", "left")
+    right = (F.col("status") == "running") & F.col("token").eqNullSafe(F.col("claimed")) & F.col("to").isNotNull()
+    return met.withColumn("done", F.when(right, F.col("progress")).otherwise(F.col("done"))).withColumn("status", F.when(right, F.col("to")).otherwise(F.col("status"))).drop("claimed", "to", "progress")

@@ -46,7 +46,7 @@ def e10_mean_crosses(spark: SparkSession, d: str) -> DataFrame:
 @query(
     with_(BARS)
     + """, c AS (SELECT symbol, trade_date, close, close / lag(close) OVER w - 1 AS r, 1 - close / max(close) OVER w AS dd FROM priced WHERE adjustment = 'qfq' WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
-    m AS (SELECT symbol, count(*) AS n, arg_max(close, trade_date) / arg_min(close, trade_date) - 1 AS total, max(dd) AS dd, avg(r) AS mean, stddev_pop(r) AS sd, count(r) AS k FROM c GROUP BY symbol)
+    m AS (SELECT symbol, count(*) AS n, arg_max(close, trade_date) / arg_min(close, trade_date) - 1 AS total, max(dd) AS dd, avg(r) AS mean, stddev_samp(r) AS sd, count(r) AS k FROM c GROUP BY symbol)
     SELECT symbol, n, round(total, 6) AS total, CASE WHEN n > 1 THEN round(CASE WHEN total <= -1 THEN -1 ELSE (1 + total) ** (252.0 / (n - 1)) - 1 END, 6) END AS annual, round(dd, 6) AS max_drawdown,
       CASE WHEN k >= 2 AND sd > 0 THEN round(mean / sd * sqrt(252.0), 4) END AS sharpe FROM m"""
 )
@@ -82,20 +82,20 @@ def j5_reranked(spark: SparkSession, d: str) -> DataFrame:
     return J.reranked(J.dense(q, docs, 20), score, 10).select("query_id", "doc_id", "rank", "fell_back")
 
 
-_SHARDS = """li AS (SELECT 'day-' || strftime(l_shipdate, '%Y-%m-%d') AS file, count(*) AS rows FROM lineitem GROUP BY ALL),
-od AS (SELECT 'day-' || strftime(o_orderdate, '%Y-%m-%d') AS file, count(*) AS rows FROM orders GROUP BY ALL)"""
+_SHARDS = """li AS (SELECT 'day-' || strftime(l_shipdate, '%Y-%m-%d') AS file, count(*) AS rows, sha256((sum(l_orderkey % 7) % 3)::BIGINT::VARCHAR) AS h FROM lineitem GROUP BY ALL),
+od AS (SELECT 'day-' || strftime(o_orderdate, '%Y-%m-%d') AS file, count(*) AS rows, sha256((sum(o_orderkey % 7) % 3)::BIGINT::VARCHAR) AS h FROM orders GROUP BY ALL)"""
 
 
-@query(with_(_SHARDS) + "SELECT coalesce(li.file, od.file) AS file, CASE WHEN od.file IS NULL THEN 'missing' WHEN li.file IS NULL THEN 'extra' ELSE 'mismatched' END AS state FROM li FULL JOIN od ON li.file = od.file WHERE li.file IS NULL OR od.file IS NULL OR li.rows <> od.rows")
+@query(with_(_SHARDS) + "SELECT coalesce(li.file, od.file) AS file, CASE WHEN od.file IS NULL THEN 'missing' WHEN li.file IS NULL THEN 'extra' ELSE 'mismatched' END AS state FROM li FULL JOIN od ON li.file = od.file WHERE li.file IS NULL OR od.file IS NULL OR li.rows <> od.rows OR li.h <> od.h")
 def g2_shard_differences(spark: SparkSession, d: str) -> DataFrame:
-    def files(name: str, stamp: str) -> DataFrame:
+    def files(name: str, stamp: str, key: str) -> DataFrame:
         file = F.concat(F.lit("day-"), F.date_format(stamp, "yyyy-MM-dd")).alias("file")
-        return B.table(spark, d, name).groupBy(file).agg(F.count("*").alias("rows")).withColumn("sha256", F.sha2("file", 256))
+        return B.table(spark, d, name).groupBy(file).agg(F.count("*").alias("rows"), F.sha2((F.sum(F.col(key) % 7) % 3).cast("string"), 256).alias("sha256"))
 
-    return Q.shard_differences(files("lineitem", "l_shipdate"), files("orders", "o_orderdate"))
+    return Q.shard_differences(files("lineitem", "l_shipdate", "l_orderkey"), files("orders", "o_orderdate", "o_orderkey"))
 
 
-@query(with_(BARS) + "SELECT adjustment, count_if(open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL) AS unpriced, count(*) AS rows FROM bars GROUP BY adjustment")
+@query(with_(BARS) + "SELECT adjustment, count(*) AS unpriced, count(DISTINCT symbol) AS symbols, min(trade_date) AS first_day, max(trade_date) AS last_day FROM bars WHERE close IS NULL GROUP BY adjustment")
 def l4_unpriced(spark: SparkSession, d: str) -> DataFrame:
     return Q.unpriced(B.bars(spark, d))
 

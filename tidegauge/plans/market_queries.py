@@ -128,7 +128,7 @@ def _dictionary(spark, d):
     return M.name_rows(e.select(F.element_at("symbols", 1).alias("symbol"), F.concat("event_type", F.col("event_id") % 3).alias("name"), F.col("available_at").alias("seen_at")))
 
 
-@query(_NAMES + f"SELECT symbol, arg_max(name, {{'a': last_seen, 'b': count, 'c': name}}) AS name FROM dic WHERE first_seen <= TIMESTAMP '{AS_OF}' GROUP BY symbol")
+@query(_NAMES + f"SELECT symbol, arg_max(name, {{'a': last_seen, 'b': count, 'd': -epoch_us(first_seen), 'c': name}}) AS name FROM dic WHERE first_seen <= TIMESTAMP '{AS_OF}' GROUP BY symbol")
 def c9_name_as_of(spark: SparkSession, d: str) -> DataFrame:
     return M.names_as_of(_dictionary(spark, d), AS_OF)
 
@@ -138,7 +138,7 @@ def d11_name_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return _dictionary(spark, d)
 
 
-@query(_NAMES + "SELECT symbol, arg_max(name, {'a': count, 'b': last_seen, 'c': name}) AS name FROM dic GROUP BY symbol")
+@query(_NAMES + "SELECT symbol, arg_max(name, {'a': count, 'b': last_seen, 'd': -epoch_us(first_seen), 'c': name}) AS name FROM dic GROUP BY symbol")
 def d12_primary_names(spark: SparkSession, d: str) -> DataFrame:
     return M.primary_names(_dictionary(spark, d))
 
@@ -257,9 +257,10 @@ def e14_drawdowns(spark: SparkSession, d: str) -> DataFrame:
     return S.drawdowns(M.priced(_qfq(spark, d)))
 
 
-@query(with_(BARS, _CHANGED) + "SELECT symbol, count(change_pct) AS n, round(avg(change_pct), 8) AS mean, round(stddev_pop(change_pct), 8) AS sd FROM qc WHERE change_pct IS NOT NULL GROUP BY symbol")
+@query(with_(BARS, _CHANGED) + "SELECT symbol, count(*) AS n, round(any_value(m), 6) AS mean, round(stddev_samp(x), 6) AS sd, CASE WHEN avg(d * d) > 0 THEN round(avg(d * d * d) / avg(d * d) ** 1.5, 5) END AS skew, CASE WHEN avg(d * d) > 0 THEN round(avg(d * d * d * d) / avg(d * d) ** 2, 5) END AS kurt FROM (SELECT symbol, change_pct AS x, avg(change_pct) OVER (PARTITION BY symbol) AS m, change_pct - avg(change_pct) OVER (PARTITION BY symbol) AS d FROM qc WHERE change_pct IS NOT NULL) GROUP BY symbol")
 def i11_moments(spark: SparkSession, d: str) -> DataFrame:
-    return S.moments(_changed(spark, d), "symbol", F.col("change_pct")).select("symbol", "n", "mean", "sd")
+    m = S.moments(_changed(spark, d), "symbol", F.col("change_pct"))
+    return m.select("symbol", "n", *[F.round(c, k).alias(c) for c, k in (("mean", 6), ("sd", 6), ("skew", 5), ("kurt", 5))])
 
 
 @query(with_(BARS, _CHANGED) + f"SELECT symbol, close, volume, change_pct FROM qc WHERE trade_date = DATE '{DAY}' ORDER BY change_pct DESC NULLS LAST, symbol LIMIT 20 OFFSET 3")
@@ -317,15 +318,16 @@ def i19_delisted(spark: SparkSession, d: str) -> DataFrame:
     with_(BARS, SESSIONS, EVENTS)
     + """, c AS (SELECT *, row_number() OVER (PARTITION BY symbol, adjustment ORDER BY trade_date) AS rn, round((close / lag(close) OVER (PARTITION BY symbol, adjustment ORDER BY trade_date) - 1) * 100, 6) AS pct FROM priced),
     n AS (SELECT trade_date, count(DISTINCT symbol) AS n FROM bars WHERE adjustment = 'qfq' GROUP BY trade_date), n2 AS (SELECT n, lag(n) OVER (ORDER BY trade_date) AS b FROM n),
+    cal AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS trade_date, 1 AS m FROM orders),
     dd AS (SELECT DISTINCT event_time::DATE AS day FROM ev), sp AS (SELECT unnest(range((SELECT min(day) FROM dd), (SELECT max(day) FROM dd) + 1, INTERVAL 1 DAY))::DATE AS day),
     f(id, bad, failing) AS (
       SELECT 'B2', 'error', (SELECT count(*) FROM (SELECT 1 FROM bars GROUP BY symbol, adjustment, trade_date HAVING count(*) > 1))
       UNION ALL SELECT 'B3', 'error', (SELECT count(*) FROM bars WHERE volume > 0 AND close IS NULL)
-      UNION ALL SELECT 'B4', 'warn', (SELECT count(*) FROM bars WHERE open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL)
+      UNION ALL SELECT 'B4', 'info', (SELECT count(*) FROM bars WHERE close IS NULL)
       UNION ALL SELECT 'B5', 'warn', (SELECT count(*) FROM c WHERE rn > 5 AND abs(pct) > 31)
       UNION ALL SELECT 'B6', 'error', (SELECT count(*) FROM bars WHERE adjustment NOT IN ('raw', 'qfq', 'hfq'))
       UNION ALL SELECT 'B7', 'warn', (SELECT count(*) FROM n2 WHERE n < b * 0.9)
-      UNION ALL SELECT 'B8', 'error', 0
+      UNION ALL SELECT 'B8', 'error', (SELECT count(*) FROM cal FULL JOIN ses USING (trade_date) WHERE cal.m IS NULL OR ses.session_idx IS NULL)
       UNION ALL SELECT 'E2', 'error', (SELECT count(*) FROM (SELECT 1 FROM ev GROUP BY event_id HAVING count(*) > 1))
       UNION ALL SELECT 'E3', 'error', (SELECT count(*) FROM ev WHERE available_at IS NULL OR available_at < event_time)
       UNION ALL SELECT 'E4', 'warn', (SELECT count(*) FROM ev WHERE direction NOT IN ('bullish', 'bearish', 'neutral'))
@@ -336,4 +338,5 @@ def i19_delisted(spark: SparkSession, d: str) -> DataFrame:
 )
 def l18_health_suite(spark: SparkSession, d: str) -> DataFrame:
     b = _bars(spark, d)
-    return Q.run_suite(Q.suite(b, B.events(spark, d), B.sessions(b))).select("id", "level", "failing")
+    e, calendar = B.events(spark, d), B.table(spark, d, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("trade_date"))
+    return Q.run_suite(Q.suite(b, e, B.sessions(b), calendar)).unionByName(Q.one_pass(b, e)).select("id", "level", "failing")

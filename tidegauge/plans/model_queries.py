@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import backtest as K
 from ..operators import factor as I
 from ..operators import market as M
 from ..operators import retrieval as J
 from ..operators import series as S
 from ..operators import state as N
+from ..operators import trades as K
 from ..sources import bindings as B
 from .market_queries import _BUCKETS, _CHANGED, _DAILY, BARS, EVENTS, SESSIONS, with_
 
@@ -112,42 +112,23 @@ def i8_long_short(spark: SparkSession, d: str) -> DataFrame:
     return I.long_short(I.quantile_portfolios(I.quantile_members(_pool(spark, d))))
 
 
-def _cells(spark):
-    return K.grid(spark, "ma_cross", {"fast": [3, 5], "slow": [10, 15]})
-
-
-def _fed(spark, d, pit=True):
-    all_bars = B.bars(spark, d)
-    return K.fed_bars(M.of_adjustment(all_bars, "qfq"), M.of_adjustment(all_bars, "raw"), B.events(spark, d), B.sessions(all_bars), pit)
-
-
-@query()
-def k1_backtest_fills(spark: SparkSession, d: str) -> DataFrame:
-    return K.backtest_fills(_fed(spark, d), K.grid(spark, "donchian", {"n": [10]}))
-
-
-@query()
-def k8_event_strategy_pit_delta(spark: SparkSession, d: str) -> DataFrame:
-    cells = K.grid(spark, "event", {"min_score": [40.0]})
-    last = lambda pit, name: K.backtest_equity(_fed(spark, d, pit), cells).groupBy("symbol").agg(F.max_by("equity", "trade_date").alias(name))
-    return last(True, "pit").join(last(False, "hindsight"), "symbol").withColumn("delta_pp", F.round((F.col("hindsight") - F.col("pit")) / 10_000, 4))
-
-
-@query()
-def k13_grid_metrics(spark: SparkSession, d: str) -> DataFrame:
-    fed, cells = _fed(spark, d), _cells(spark)
-    return K.metrics(K.backtest_equity(fed, cells), K.backtest_fills(fed, cells))
-
-
 @query()
 def i13_deflated_sharpe(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    eq = K.backtest_equity(_fed(spark, d), _cells(spark)).groupBy("cell", "trade_date").agg(F.sum("equity").alias("e"))
-    r = eq.withColumn("r", F.col("e") / F.lag("e").over(Window.partitionBy("cell").orderBy("trade_date")) - 1)
+    """Every symbol's daily changes as one trial; the best of them, and how far it is beyond luck."""
+    r = M.with_change(_qfq(spark, d)).select(F.dense_rank().over(Window.orderBy("symbol")).cast("long").alias("cell"), (F.col("change_pct") / 100).alias("r"))
     return S.rank_trials(S.moments(r, "cell", F.col("r")))
 
 
+@query(
+    with_(BARS, EVENTS)
+    + """, u AS (SELECT event_id, unnest(symbols) AS symbol, available_at, direction, score FROM ev),
+    f AS (SELECT u.*, (SELECT min(p.trade_date) FROM priced p WHERE p.adjustment = 'qfq' AND p.symbol = u.symbol AND p.trade_date + INTERVAL 15 HOUR >= u.available_at) AS trade_date FROM u)
+    SELECT symbol, trade_date, count(*) AS n, max(score) FILTER (direction = 'bullish') AS bullish FROM f WHERE trade_date IS NOT NULL GROUP BY ALL"""
+)
+def c10_event_feed(spark: SparkSession, d: str) -> DataFrame:
+    return K.fed_bars(_qfq(spark, d), B.events(spark, d))
+
+
 @query(
     with_(BARS)
     + """, z AS (SELECT symbol, trade_date, lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS prev, CASE WHEN substr(symbol, 1, 3) IN ('600', '000') THEN 0.10 ELSE 0.20 END::DECIMAL(6,4) AS pct FROM priced WHERE adjustment = 'raw')
@@ -166,8 +147,8 @@ def _order_fills(spark, d):
 
 _TRIPS = """fl AS (SELECT l_suppkey AS account, (l_partkey % 10)::VARCHAR AS symbol, l_orderkey * 10 + l_linenumber AS id, l_shipdate::DATE AS trade_date, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS qty, l_extendedprice AS price, l_tax AS fees FROM lineitem),
 sq AS (SELECT *, lag(side) OVER w AS ps, lag(id) OVER w AS pid, lag(trade_date) OVER w AS pd, lag(qty) OVER w AS pq, lag(price) OVER w AS pp, lag(fees) OVER w AS pf, lead(side) OVER w AS nx FROM fl WINDOW w AS (PARTITION BY account, symbol ORDER BY trade_date, side = 'sell', id)),
-tr AS (SELECT account, symbol, pid AS entry_id, id AS exit_id, pd AS entry_date, trade_date AS exit_date, pq AS qty, round(price * pq - fees - (pp * pq + pf), 4) AS pnl, round((price * pq - fees - (pp * pq + pf)) / nullif(pp * pq + pf, 0), 6) AS return_pct FROM sq WHERE side = 'sell' AND ps = 'buy'
-UNION ALL SELECT account, symbol, id, NULL, trade_date, NULL, qty, NULL, NULL FROM sq WHERE side = 'buy' AND nx IS NULL)"""
+tr AS (SELECT account, symbol, pid AS entry_id, id AS exit_id, pd AS entry_date, trade_date AS exit_date, pq AS qty, round(pp * pq + pf, 4) AS cost, round(price * qty - fees - (pp * pq + pf), 4) AS pnl, round((price * qty - fees - (pp * pq + pf)) / nullif(pp * pq + pf, 0), 6) AS return_pct FROM sq WHERE side = 'sell' AND ps = 'buy'
+UNION ALL SELECT account, symbol, id, NULL, trade_date, NULL, qty, round(price * qty + fees, 4), NULL, NULL FROM sq WHERE side = 'buy' AND nx IS NULL)"""
 
 
 @query(with_(_TRIPS) + "SELECT * FROM tr")
@@ -177,11 +158,16 @@ def k20_round_trips(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(_TRIPS) + "SELECT symbol, count(*) AS trips, count(exit_id) AS closed, count_if(pnl > 0) AS wins, coalesce(sum(pnl::DECIMAL(28,4)), 0)::DOUBLE AS realised FROM tr GROUP BY symbol")
 def d15_symbol_attribution(spark: SparkSession, d: str) -> DataFrame:
-    t = K.trips(_order_fills(spark, d))
-    return t.groupBy("symbol").agg(F.count("*").alias("trips"), F.count("exit_id").alias("closed"), F.count_if(F.col("pnl") > 0).alias("wins"), F.coalesce(F.sum(F.col("pnl").cast("decimal(28,4)")), F.lit(0)).cast("double").alias("realised"))
+    return K.attribution(K.trips(_order_fills(spark, d)), "symbol")
 
 
-@query()
+@query(
+    with_(BARS, SESSIONS, _CHANGED, _DAILY)
+    + _TRIPS.replace("fl AS", ", fl AS", 1).replace("l_shipdate::DATE AS trade_date", "date_trunc('month', l_shipdate)::DATE AS trade_date")
+    + """, lv AS (SELECT trade_date, exp(sum(ln(1 + coalesce(avg_pct, 0) / 100)) OVER (ORDER BY trade_date)) AS level FROM dly),
+    lb AS (SELECT *, coalesce(lag(level) OVER (ORDER BY trade_date), 1) AS before FROM lv)
+    SELECT tr.*, round(x.level / e.before - 1, 6) AS market_return, round((return_pct - (x.level / e.before - 1)) * 100, 2) AS alpha_pp FROM tr JOIN lb e ON e.trade_date = entry_date JOIN lb x ON x.trade_date = exit_date WHERE exit_id IS NOT NULL"""
+)
 def i17_trip_alpha(spark: SparkSession, d: str) -> DataFrame:
     b = _qfq(spark, d)
     moved = _order_fills(spark, d).withColumn("trade_date", F.trunc("trade_date", "month"))
@@ -189,33 +175,24 @@ def i17_trip_alpha(spark: SparkSession, d: str) -> DataFrame:
     return K.trip_alpha(closed, M.market_daily(M.with_change(b)), B.sessions(b))
 
 
-@query()
-def k16_paper_replay(spark: SparkSession, d: str) -> DataFrame:
-    b = B.bars(spark, d)
-    pools = b.select("symbol").distinct().withColumn("account", F.pmod(F.xxhash64("symbol"), F.lit(20)))
-    accounts = pools.groupBy("account").agg(F.array_sort(F.collect_set("symbol")).alias("symbols")).withColumn("cash", F.lit(5_000_000.0))
-    log = S.crosses(M.priced(M.of_adjustment(b, "qfq")), 3, 10).join(pools, "symbol")
-    decisions = log.select("account", F.col("trade_date").alias("decided_on"), "symbol", F.when(F.col("cross") == "golden", "buy").otherwise("sell").alias("side"), (F.pmod(F.xxhash64("symbol", "trade_date"), F.lit(10)) > 0).alias("approved"))
-    return K.replay_accounts(_fed(spark, d), accounts, decisions)
-
-
 @query()
 def k18_decision_ids(spark: SparkSession, d: str) -> DataFrame:
     log = S.crosses(M.priced(_qfq(spark, d)), 5, 20)
     return K.decision_ids(log.select(F.substring("symbol", 1, 3).alias("account"), F.col("trade_date").alias("decided_on"), "symbol", F.when(F.col("cross") == "golden", "buy").otherwise("sell").alias("side")))
 
 
-_GATES = """o AS (SELECT l_orderkey, l_linenumber, (l_quantity * 100)::BIGINT AS qty, l_extendedprice / 100 AS price, l_tax AS t, l_discount AS dd FROM lineitem),
-g AS (SELECT *, least(1000000.0 * 0.2 - t * 1000000, 1000000.0 * 0.8 - dd * 6000000 - 10000.0) AS room FROM o),
-h AS (SELECT *, least(qty, (floor(greatest(room, 0) / price / 100) * 100)::BIGINT) AS a FROM g)"""
+_GATES = """o AS (SELECT l_orderkey, l_linenumber, (l_quantity * 100)::BIGINT AS qty, l_extendedprice / 100 AS price, l_tax AS t, l_discount AS dd, CASE WHEN l_partkey % 13 = 0 THEN 0.0 ELSE 1000000.0 END::DOUBLE AS equity, l_suppkey % 9 = 0 AS has FROM lineitem),
+g AS (SELECT *, least(equity * 0.2::DOUBLE - t * 1000000, equity * 0.8::DOUBLE - dd * 6000000 - 10000.0) AS room FROM o),
+h AS (SELECT *, least(qty, (floor(greatest(room, 0) / price / 100) * 100)::BIGINT) AS a FROM g),
+k AS (SELECT *, CASE WHEN has THEN 'position_open' WHEN equity <= 0 THEN 'no_equity' WHEN dd * 3 >= 0.2 THEN 'drawdown' WHEN a < 100 THEN 'below_a_lot' WHEN a < qty THEN 'capped' END AS reason FROM h)"""
 
 
-@query(with_(_GATES) + "SELECT l_orderkey, l_linenumber, CASE WHEN dd * 3 >= 0.2 THEN 'drawdown' WHEN a < 100 THEN 'below_a_lot' WHEN a < qty THEN 'capped' END AS reason, CASE WHEN dd * 3 >= 0.2 OR a < 100 THEN 0 ELSE a END AS allowed FROM h")
+@query(with_(_GATES) + "SELECT l_orderkey, l_linenumber, reason, CASE WHEN reason IS NULL OR reason = 'capped' THEN a ELSE 0 END AS allowed FROM k")
 def k19_risk_gates(spark: SparkSession, d: str) -> DataFrame:
     o = B.table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", (F.col("l_quantity") * 100).cast("long").alias("qty"), (F.col("l_extendedprice") / 100).alias("price"), F.lit(1_000_000.0).alias("equity"), (F.col("l_discount") * 6_000_000).alias("market_value"),
-        (F.col("l_tax") * 1_000_000).alias("symbol_value"), F.lit(10_000.0).alias("pending"), (F.col("l_discount") * 3).alias("drawdown"), F.lit(False).alias("has_position"),
-    )
+        "l_orderkey", "l_linenumber", (F.col("l_quantity") * 100).cast("long").alias("qty"), (F.col("l_extendedprice") / 100).alias("price"), F.when(F.col("l_partkey") % 13 == 0, 0.0).otherwise(1_000_000.0).alias("equity"),
+        (F.col("l_discount") * 6_000_000).alias("market_value"), (F.col("l_tax") * 1_000_000).alias("symbol_value"), F.lit(10_000.0).alias("pending"), (F.col("l_discount") * 3).alias("drawdown"), (F.col("l_suppkey") % 9 == 0).alias("has_position"),
+    )
     return K.gate_buys(o).select("l_orderkey", "l_linenumber", "reason", "allowed")
 
 
@@ -282,15 +259,6 @@ def n4_capped_usage(spark: SparkSession, d: str) -> DataFrame:
     return N.capped_usage(e, ["user_id", "day"], ["ts", "event_id"], 3).groupBy("user_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
 
 
-@query("SELECT event_type, CASE WHEN event_id % 3 = 0 AND value >= 50 THEN 'failed' WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'queued' WHEN event_id % 3 = 0 THEN 'running' ELSE 'done' END AS status, count(*) AS n FROM (SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN value ELSE 0 END AS value FROM events) GROUP BY ALL")
-def n2_lease_transitions(spark: SparkSession, d: str) -> DataFrame:
-    e = B.table(spark, d, "events")
-    status = F.when(F.col("event_id") % 3 == 0, "running").otherwise("done")
-    ends = F.when(F.col("event_id") % 2 == 0, F.lit(1)).otherwise(F.lit(3))
-    after = N.after_lease(status, ends, F.lit(2), F.when(F.col("value") >= 50, 3).otherwise(0), 3)
-    return e.select("event_type", after.alias("status")).groupBy("event_type", "status").agg(F.count("*").alias("n"))
-
-
 @query(with_(BARS) + "SELECT symbol, round((arg_max(close, trade_date) - arg_min(close, trade_date)) / arg_min(close, trade_date), 6) AS change FROM priced WHERE adjustment = 'qfq' GROUP BY symbol")
 def n11_watchlist_change(spark: SparkSession, d: str) -> DataFrame:
     ends = M.priced(_qfq(spark, d)).groupBy("symbol").agg(F.min_by("close", "trade_date").alias("a"), F.max_by("close", "trade_date").alias("b"))
@@ -318,9 +286,15 @@ def n8_keyset_page(spark: SparkSession, d: str) -> DataFrame:
     return N.next_page(o, (datetime.datetime(1996, 1, 1), -1), ("o_orderdate", "o_orderkey"), 30)
 
 
-@query("SELECT p_partkey, list_aggregate(regexp_extract_all(p_name || ' ' || p_size || '% of ' || p_retailprice, '[-+]?\\d+(?:\\.\\d+)?(?:%|亿|万)?'), 'string_agg', '|') AS numbers FROM part")
+@query(
+    r"""WITH t AS (SELECT p_partkey, '1、' || p_name || ' ' || p_size || ' % of ' || p_retailprice || '万元' || chr(10) || '2. ' || p_size || '.5亿元，-' || p_size || '倍 ３．５％' || chr(10) || '- 7)' AS x FROM part),
+    s AS (SELECT p_partkey, regexp_replace(translate(x, '０１２３４５６７８９％．', '0123456789%.'), '(?m)^[ 	]*(?:\d+[、)]|\d+\.[ 	]+|[-*·][ 	]+)[ 	]*', '', 'g') AS y FROM t)
+    SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(y, '\d+(?:\.\d+)?\s*(?:%|‰|亿元|亿|万元|万|元|倍|pp|个基点)?'), lambda n: regexp_replace(n, '\s+', '', 'g')), '|') AS numbers FROM s"""
+)
 def h16_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return B.table(spark, d, "part").select("p_partkey", F.array_join(text.numbers_in(F.concat_ws(" ", "p_name", F.concat("p_size", F.lit("% of")), "p_retailprice")), "|").alias("numbers"))
+    price = F.format_string("%s", F.col("p_retailprice"))
+    x = F.concat(F.lit("1、"), "p_name", F.lit(" "), "p_size", F.lit(" % of "), price, F.lit("万元\n2. "), "p_size", F.lit(".5亿元，-"), "p_size", F.lit("倍 ３．５％\n- 7)"))
+    return B.table(spark, d, "part").select("p_partkey", F.array_join(text.numbers_in(x), "|").alias("numbers"))
 
 
 @query("SELECT s_suppkey, sha256('{\"s_name\":\"' || s_name || '\",\"s_nationkey\":' || s_nationkey || ',\"s_suppkey\":' || s_suppkey || '}') AS digest FROM supplier")
@@ -333,7 +307,10 @@ def i15_market_summary(spark: SparkSession, d: str) -> DataFrame:
     return M.market_daily(M.with_change(_qfq(spark, d))).agg(F.count("*").alias("days"), F.round(F.avg(F.col("avg_pct").cast("decimal(28,6)")).cast("double"), 6).alias("mean_pct"), F.sum("dropped").alias("dropped"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN c <= 0 THEN 0 ELSE c END AS lots FROM (SELECT l_orderkey, l_linenumber, (floor((l_extendedprice * 10 - 5 - 1e-9) / (l_quantity) / 100) * 100)::BIGINT AS c FROM lineitem WHERE l_extendedprice * 10 * 0.00025 < 4.5)")
+@query(
+    """WITH o AS (SELECT l_orderkey, l_linenumber, l_extendedprice * 10 AS cash, l_quantity AS price FROM lineitem),
+    n AS (SELECT *, (floor(least((cash - 5) / price, cash / (price * 1.00025::DOUBLE)) / 100) * 100)::BIGINT AS near FROM o)
+    SELECT l_orderkey, l_linenumber, coalesce(list_max(list_filter([0, near - 200, near - 100, near, near + 100, near + 200], lambda q: q = 0 OR q > 0 AND q * price + greatest(q * price * 0.00025::DOUBLE, 5.0::DOUBLE) <= cash)), 0) AS lots FROM n"""
+)
 def h15_affordable_lots(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.table(spark, d, "lineitem").where("l_extendedprice * 10 * 0.00025 < 4.5")
-    return rows.select("l_orderkey", "l_linenumber", rules.affordable_lots(F.col("l_extendedprice") * 10, F.col("l_quantity")).alias("lots"))
+    return B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rules.affordable_lots(F.col("l_extendedprice") * 10, F.col("l_quantity")).alias("lots"))

@@ -5,9 +5,14 @@ A bar is a supplier's month of line items, an event a row of the event table mov
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import lake
+
 # Board prefixes that suppliers are dealt over.
 PREFIXES = ("600", "000", "300", "688")
 
@@ -22,7 +27,7 @@ def symbol_of(number):
     return F.concat(prefix, F.lpad(F.floor(number / 4).cast("string"), 3, "0"))
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, adjustment, trade_date, open, high, low, close, volume, amount; some closes are missing.
 
     Raw prices are the adjusted ones in cents.
@@ -48,6 +53,38 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.select("symbol", "adjustment", "trade_date", cents("open"), cents("high"), cents("low"), cents("close"), "volume", "amount")
 
 
+STORED = "symbol string, trade_date date, open double, high double, low double, close double, volume double, amount double, prev_close double, change_pct double, adjustment string, year int"
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars with prev_close and change_pct, stored by adjustment and year in the shared folder when they are first asked for.
+
+    The store's name holds the path and time of the line items it comes from, so a changed table gets a new one.
+    """
+    at, fs = lake._path(spark, f"{sf_dir}/lineitem.parquet")
+    mark = hashlib.sha256(f"{sf_dir}|{fs.getFileStatus(at).getModificationTime()}".encode()).hexdigest()[:24]
+    folder = f"{_store(spark)}/bars-{mark}"
+    there, store = lake._path(spark, folder)
+    if not store.exists(there):
+        made = derived_bars(spark, sf_dir)
+        usable = F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
+        before = Window.partitionBy("symbol", "adjustment").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
+        prev = F.when(usable, F.last(F.when(usable, F.col("close")), ignorenulls=True).over(before))
+        lake.write_shards(made.withColumn("prev_close", prev).withColumn("change_pct", F.round((F.col("close") / F.nullif(F.col("prev_close"), F.lit(0.0)) - 1) * 100, 6)), folder)
+    return lake.scan(spark, folder, STORED)
+
+
+def _store(spark: SparkSession) -> str:
+    """A folder that driver and executors share: that of checkpoints, or, in a local session that names none, one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidegauge.store.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="tidegauge-")
+        spark.conf.set("tidegauge.store.dir", named)
+    return named.rstrip("/") + "/tidegauge"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, event_type, event_time, available_at, importance_score, direction, symbols, industries, factor_scores (encoded twice)."""
     rows = table(spark, sf_dir, "events")
@@ -72,8 +109,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sessions(all_bars: DataFrame) -> DataFrame:
     """The market's sessions (trade_date, session_idx), from 0; as many rows as there were trading days, whatever the market's size."""
-    from pyspark.sql import Window
-
     days = all_bars.select("trade_date").distinct()
     return days.withColumn("session_idx", F.row_number().over(Window.orderBy("trade_date")) - 1)
 

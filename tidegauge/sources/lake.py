@@ -13,8 +13,8 @@ BARS_SCHEMA = "symbol string, adjustment string, trade_date date, open double, h
 
 PAYLOAD_SCHEMA = (
     "title string, summary string, direction string, confidence double, factor_value double, factor_scores string, industries array<string>, "
-    "stocks array<struct<code:string,name:string,reason:string>>, source string, source_url string, observed_at timestamp, quality_status string, "
-    "dedup_key string, record_version int, is_corrected boolean, correction_count int"
+    "stocks array<struct<code:string,name:string,reason:string>>, source string, source_url string, observed_at timestamp_ntz, quality_status string, "
+    "source_time_quality string, dedup_key string, record_version int, revision_id string, revision_time timestamp_ntz, is_corrected boolean, correction_count int, person string"
 )
 
 # Directions as sources write them.
@@ -49,7 +49,7 @@ def calendar(spark: SparkSession, path: str) -> DataFrame:
 
 def normal_code(code: Column, name: Column) -> Column:
     """The six-digit code of a code or else a name; empty where a suffix names another market, or there is none."""
-    raw = F.coalesce(F.nullif(code, F.lit("")), F.nullif(name, F.lit("")), F.lit(""))
+    raw = F.coalesce(F.nullif(F.trim(code), F.lit("")), F.nullif(F.trim(name), F.lit("")), F.lit(""))
     foreign = raw.contains(".") & ~F.regexp_extract(raw, r"\.([A-Z]+)$", 1).isin("SH", "SZ")
     return F.when(foreign, F.lit("")).otherwise(F.regexp_extract(raw, r"([0-9]{6})", 1))
 
@@ -62,7 +62,7 @@ def normal_direction(raw: Column) -> Column:
     return out
 
 
-def flatten_archive(archive: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+def flatten_archive(archive: DataFrame, types: tuple[str, ...] | None = None, archive_name: str = "archive") -> DataFrame:
     """Archive rows with a JSON payload → one flat row per event; ``types`` is the whitelist of event types.
 
     A payload that can't be parsed gives nulls; symbols are distinct and sorted, empty codes fall away.
@@ -71,14 +71,18 @@ def flatten_archive(archive: DataFrame, types: tuple[str, ...] | None = None) ->
     p = F.from_json("payload_json", PAYLOAD_SCHEMA)
     flat = rows.withColumn("p", p)
     codes = F.transform(F.coalesce("p.stocks", F.expr("cast(array() as array<struct<code:string,name:string,reason:string>>)")), lambda s: normal_code(s["code"], s["name"]))
-    kept = [c for c in ("event_id", "event_type", "event_time", "available_at", "importance_score", "content_hash") if c in archive.columns]
+    kept = [c for c in ("event_id", "event_type", "event_time", "available_at", "reported_available_at", "importance_score", "content_hash") if c in archive.columns]
+    plain = ("observed_at", "title", "summary", "confidence", "factor_value", "factor_scores", "source_url", "quality_status", "source_time_quality", "dedup_key", "record_version", "revision_id", "revision_time", "is_corrected", "correction_count", "person")
     return flat.select(
         *kept,
-        *[F.col(f"p.{c}").alias(c) for c in ("title", "summary", "confidence", "factor_value", "factor_scores", "source", "source_url", "dedup_key", "record_version")],
+        *[F.col(f"p.{c}").alias(c) for c in plain],
         F.col("p.direction").alias("direction"),
         normal_direction(F.col("p.direction")).alias("direction_norm"),
+        F.col("p.industries").alias("industries"),
+        F.get_json_object("payload_json", "$.stocks").alias("stocks"),
         F.array_sort(F.array_distinct(F.filter(codes, lambda c: c != ""))).alias("symbols"),
-        F.coalesce("p.industries", F.expr("cast(array() as array<string>)")).alias("industries"),
+        F.lit(archive_name).alias("source"),
+        F.col("p.source").alias("original_source"),
     )
 
 
@@ -103,9 +107,13 @@ def write_day(flat: DataFrame, folder: str, day: str) -> dict:
         fs.delete(here, True)
         raise ValueError(f"{day} is refused: {found.asDict()}")
     there, _ = _path(spark, f"{folder}/event_day={day}")
-    fs.delete(there, True)
+    was, _ = _path(spark, f"{folder}/.replaced-{uuid.uuid4().hex}")
+    if fs.exists(there) and not fs.rename(there, was):
+        raise OSError(f"{day} could not be moved aside")
     if not fs.rename(here, there):
-        raise OSError(f"{day} could not be put in place")
+        fs.rename(was, there)
+        raise OSError(f"{day} could not be put in place; what was there stays")
+    fs.delete(was, True)
     return {"date": day, "rows": found["rows"], "fingerprint": found["fingerprint"]}
 
 
@@ -141,3 +149,46 @@ def append_ledger(spark: SparkSession, path: str, scope: str, payload: dict) ->
 def last_runs(spark: SparkSession, path: str) -> DataFrame:
     """The last run of each scope."""
     return spark.read.schema("scope string, payload string, at timestamp").json(path).groupBy("scope").agg(F.max_by("payload", "at").alias("payload"), F.max("at").alias("at"))
+
+
+def write_dictionary(dictionary: DataFrame, path: str) -> None:
+    """A name dictionary as one sorted file, so that equal rows give an equal table: it has a row per name, not per event."""
+    dictionary.coalesce(1).sortWithinPartitions("symbol", "name").write.mode("overwrite").parquet(path)
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """The dictionary in ``path``; none: an empty one."""
+    schema = "symbol string, name string, count long, first_seen timestamp_ntz, last_seen timestamp_ntz"
+    at, fs = _path(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(at) else spark.createDataFrame([], schema)
+
+
+def write_shards(bars: DataFrame, folder: str) -> None:
+    """Bars by adjustment and year, sorted by day and symbol: written aside first, then all put in place at once."""
+    spark = bars.sparkSession
+    aside = f"{folder}.staging-{uuid.uuid4().hex}"
+    dated = bars.withColumn("year", F.year("trade_date"))
+    dated.repartition("adjustment", "year").sortWithinPartitions("trade_date", "symbol").write.partitionBy("adjustment", "year").parquet(aside)
+    here, fs = _path(spark, aside)
+    there, _ = _path(spark, folder)
+    fs.delete(there, True)
+    if not fs.rename(here, there):
+        raise OSError(f"{folder} could not be put in place")
+
+
+def shard_stats(bars: DataFrame) -> DataFrame:
+    """Per adjustment and year: rows, symbols, first_day, last_day and a fingerprint of the rows that their order doesn't change."""
+    mark = F.sum(F.xxhash64("symbol", "trade_date", "open", "high", "low", "close", "volume", "amount").cast("decimal(38,0)")).cast("string")
+    return bars.groupBy("adjustment", F.year("trade_date").alias("year")).agg(F.count("*").alias("rows"), F.count_distinct("symbol").alias("symbols"), F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"), mark.alias("fingerprint"))
+
+
+def window_fingerprint(shards: DataFrame, start, end) -> DataFrame:
+    """One digest over the shards (adjustment, year, fingerprint, first_day, last_day) that a window meets, in order: shards, digest."""
+    met = shards.where((F.col("last_day") >= F.lit(start).cast("date")) & (F.col("first_day") <= F.lit(end).cast("date")))
+    each = F.array_sort(F.collect_list(F.concat_ws("|", "adjustment", F.col("year").cast("string"), "fingerprint")))  # a row per shard
+    return met.agg(F.count("*").alias("shards"), F.sha2(F.array_join(each, "\n"), 256).alias("digest"))
+
+
+def refresh_decision(local_last: Column, expected: Column, synced: Column, current: Column) -> Column:
+    """skip where the local bars cover the expected day, up_to_date where the manifest is the one synced last, else refresh."""
+    return F.when(local_last >= expected, "skip").when(synced.eqNullSafe(current) & current.isNotNull(), "up_to_date").otherwise("refresh")

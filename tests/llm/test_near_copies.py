@@ -55,3 +55,35 @@ def test_rows_with_null_and_repeated_ids(spark):
     out = N.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, (r["text"] or "").strip()) for r in out) == sorted([(7, " ".join(words)), (9, "one two three"), (9, "quite another text of its own"), (0, ""), (3, "x y z x y z")])
     assert N.keep_one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def family(n=40, words=300, changed=6, seed=5):
+    """A text and copies of it that are each similar to it, while few of them are to one another."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choices("abcdefghij", k=5))
+    base = [word() for _ in range(words)]
+    texts = []
+    for _ in range(n):
+        copy = list(base)
+        for at in draw.sample(range(0, words, 7), changed):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    return texts[: n // 2] + [" ".join(base)] + texts[n // 2 :]
+
+
+def test_a_family_hangs_together_by_its_original(spark):
+    texts = family()
+    truth = brute_pairs(texts)
+    hub = len(texts) // 2
+    assert sum(hub in p for p in truth) == len(texts) - 1 and len(truth) < len(texts) * (len(texts) - 1) // 4
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert N.keep_one_of_each(docs).count() <= 3
+
+
+def test_an_end_of_many_pairs_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT_ROWS", 4)
+    texts = family(20, changed=3)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id long, text string")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, len(texts))] + [(i, 20) for i in range(1, 20)], "a long, b long")
+    found = {(r["a"], r["b"]) for r in N._similar(rows, pairs, N.LEAST).collect()}
+    assert found == brute_pairs(texts) & {(r["a"], r["b"]) for r in pairs.collect()}

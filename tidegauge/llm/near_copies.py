@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .components import connected_components
-from .tables import numbered, staged, text_or_empty
+from .tables import HOT_ROWS, HOT_SHARE, join_frequent, numbered, staged, text_or_empty
 
 WORDS, LEAST = 5, 0.8
 #: Seeds and bits of each; fewer bits meet more often, by chance too: at 48, two strangers once in 1.3 billion.
@@ -68,14 +68,18 @@ def _fingerprints(rows: DataFrame, seeds: int) -> DataFrame:
     return rows.select("row_id", F.col("text").cast("binary").alias("body")).mapInArrow(run, "row_id long, seed int, fp long")
 
 
-def _met(fps: DataFrame, radius: int) -> DataFrame:
-    """(seed, a, b): fingerprints of a seed at most ``radius`` bits apart, each with the first that it meets at a variant."""
+def _met(fps: DataFrame, radius: int, salt: int = 0) -> DataFrame:
+    """(seed, a, b): fingerprints of a seed at most ``radius`` bits apart, each with the first that it meets at a variant.
+
+    Which comes first hangs on ``salt``.
+    """
     half = radius // 2
     k = simhash.slice_bits((fps.groupBy("seed").count().agg(F.max("count")).first()[0]) or 0, half)
     masks = F.array(*[F.lit(int(m)) for m in simhash._masks(range(k), half)])
+    flip = np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        values = np.sort(group.column("fp").to_numpy().view(np.uint64))
+        values = np.sort(group.column("fp").to_numpy().view(np.uint64) ^ flip) ^ flip
         ends = [(values[:0], values[:0])]
         for u, v in simhash._meetings(values, np.arange(len(values), dtype=np.int64), key[1].as_py(), k, half):
             near = np.bitwise_count(values[u] ^ values[v]) <= radius
@@ -87,6 +91,15 @@ def _met(fps: DataFrame, radius: int) -> DataFrame:
     return sent.groupBy("seed", "slice").applyInArrow(run, "seed int, a long, b long").distinct()
 
 
+def _with_text(pairs: DataFrame, texts: DataFrame, end: str, text: str, total: int) -> DataFrame:
+    """``pairs`` with the text of ``end``; an end of very many pairs is dealt over as many tasks as they need."""
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(staged(pairs.groupBy(end).agg(F.ceil(F.count("*") / least).alias("parts")).where("parts > 1"), "frequent-ends"))
+    part, all_parts = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))), F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)
+    dealt = texts.withColumnRenamed("row_id", end).join(hot, end, "left").select(end, F.explode(all_parts).alias("part"), F.col("text").cast("binary").alias(text))
+    return pairs.join(hot, end, "left").withColumn("part", part).drop("parts").join(dealt, [end, "part"]).drop("part")
+
+
 def _similar(rows: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b) of row ids whose texts are similar enough."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
@@ -98,20 +111,56 @@ def _similar(rows: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
             near = [jaccard(shingles(x[i].as_py()), shingles(y[i].as_py())) >= least for i in range(len(batch))]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    body = F.col("text").cast("binary")
-    met = pairs.join(texts.select(F.col("row_id").alias("a"), body.alias("x")), "a").join(texts.select(F.col("row_id").alias("b"), body.alias("y")), "b")
+    total = pairs.count()
+    met = _with_text(_with_text(pairs, texts, "a", "x", total), texts, "b", "y", total)
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _candidates(fps: DataFrame, radius: int, salt: int) -> DataFrame:
+    """(a, b): rows that meet by a fingerprint of any seed, each with the first that it meets."""
+    order = F.xxhash64("row_id", F.lit(salt))
+    first = staged(fps.groupBy("seed", "fp").agg(F.min_by("row_id", order).alias("first_id"), F.count("*").alias("n")), "distinct-seeded")
+    same = join_frequent(fps, first.where("n > 1"), ["seed", "fp"], "n", fps.count()).select(F.col("row_id").alias("a"), F.col("first_id").alias("b"))
+    of = lambda end: first.select("seed", F.col("fp").alias(end), F.col("first_id").alias(f"{end}_id"))
+    near = _met(first.select("seed", "fp"), radius, salt).join(of("a"), ["seed", "a"]).join(of("b"), ["seed", "b"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of ``edges``, roots included."""
+    below = staged(connected_components(edges), "groups")
+    return below.unionByName(below.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _unsettled(tried: DataFrame, links: DataFrame) -> DataFrame:
+    """(row_id): rows of those groups of candidates that their links leave in more than one piece."""
+    pieces = _roots(links).withColumnRenamed("root", "piece")
+    of = staged(_roots(tried).join(pieces, "node", "left").withColumn("piece", F.coalesce("piece", "node")), "pieces")
+    torn = of.groupBy("root").agg(F.min("piece").alias("low"), F.max("piece").alias("high"), F.count("*").alias("n"))
+    torn = staged(torn.where("low < high").select("root", "n"), "torn")
+    return join_frequent(of, torn, ["root"], "n", of.count()).select(F.col("node").alias("row_id"))
+
+
 def near_pairs(rows: DataFrame, least: float = LEAST, seeds: int = SEEDS, radius: int = 4) -> DataFrame:
-    """(a, b): row ids of similar texts among ``rows`` (row_id, text), found as candidates of any fingerprint."""
+    """(a, b): row ids of similar texts among ``rows`` (row_id, text), found as candidates of any fingerprint.
+
+    Rows that meet are compared with the first of them, not all with all. Where that leaves a group of candidates in
+    pieces, its rows meet again with others in first place, until a round finds no further link.
+    """
     fps = staged(_fingerprints(rows, seeds), "seeded-fingerprints")
-    first = staged(fps.groupBy("seed", "fp").agg(F.min("row_id").alias("first_id"), F.count("*").alias("n")), "distinct-seeded")
-    same = fps.join(first.where("n > 1"), ["seed", "fp"]).select(F.col("row_id").alias("a"), F.col("first_id").alias("b"))
-    of = lambda end: first.select("seed", F.col("fp").alias(end), F.col("first_id").alias(f"{end}_id"))
-    near = _met(first.select("seed", "fp"), radius).join(of("a"), ["seed", "a"]).join(of("b"), ["seed", "b"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    pairs = same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return _similar(rows, staged(pairs, "candidate-pairs"), least)
+    tried, links, active, n_round = None, None, fps, 0
+    while True:
+        found = _candidates(active, radius, n_round)
+        pairs = staged(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "candidate-pairs")
+        new = staged(_similar(rows, pairs, least), "links")
+        tried, links = (pairs, new) if tried is None else (tried.unionByName(pairs), links.unionByName(new))
+        if new.isEmpty() or new.count() == pairs.count():
+            return links
+        again = _unsettled(tried, links)
+        active = staged(active.join(again, "row_id", "left_semi"), "unsettled")
+        if active.isEmpty():
+            return links
+        n_round += 1
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, seeds: int = SEEDS, radius: int = 4) -> DataFrame:
@@ -125,9 +174,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     known, row = numbered(docs)
     rows = known.select(F.col(row).alias("row_id"), text_or_empty(text_col).alias("text"))
-    groups = staged(connected_components(near_pairs(rows, least, seeds, radius)), "groups")
-    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    named = known.select(F.col(row).alias("node"), F.col(id_col).cast("long").alias("id")).join(members, "node")
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("best"))
-    gone = named.join(best, "root").where("node <> best.node").select(F.col("node").alias(row))
+    members = _roots(near_pairs(rows, least, seeds, radius))
+    named = staged(known.select(F.col(row).alias("node"), F.col(id_col).cast("long").alias("id")).join(members, "node"), "members")
+    best = staged(named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("best"), F.count("*").alias("n")), "best")
+    gone = join_frequent(named, best, ["root"], "n", named.count()).where("node <> best.node").select(F.col("node").alias(row))
     return known.join(gone, row, "left_anti").select(*docs.columns)

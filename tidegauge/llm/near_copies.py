@@ -81,7 +81,7 @@ def _met(fps: DataFrame, radius: int, salt: int = 0) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         values = np.sort(group.column("fp").to_numpy().view(np.uint64) ^ flip) ^ flip
         ends = [(values[:0], values[:0])]
-        for u, v in simhash._meetings(values, np.arange(len(values), dtype=np.int64), key[1].as_py(), k, half):
+        for u, v in simhash._meetings(values, np.arange(len(values), dtype=np.int64), key[1].as_py(), k, half, SEED_BITS if key[0].as_py() else simhash.BITS):
             near = np.bitwise_count(values[u] ^ values[v]) <= radius
             ends.append((values[u][near], values[v][near]))
         a, b = (np.concatenate(x).view(np.int64) for x in zip(*ends, strict=True))

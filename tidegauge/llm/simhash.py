@@ -76,25 +76,25 @@ def _local_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             return root
 
 
-def _meetings(fps: np.ndarray, ids: np.ndarray, slice_: int, k: int, half: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions that share a variant whose low k bits are ``slice_``: each with the first of its variant."""
+def _meetings(fps: np.ndarray, ids: np.ndarray, slice_: int, k: int, half: int, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions that share a variant whose low k of ``bits`` bits are ``slice_``: each with the first of its variant."""
     low = np.uint64((1 << k) - 1)
     flips = (fps ^ np.uint64(slice_)) & low
     used = np.bitwise_count(flips)
-    sizes = [sum(math.comb(BITS - k, n) for n in range(half - j + 1)) for j in range(half + 1)]
+    sizes = [sum(math.comb(bits - k, n) for n in range(half - j + 1)) for j in range(half + 1)]
     count = [int((used == j).sum()) for j in range(half + 1)]
     if sum(count) < 2:
         return
-    if sum(c * s for c, s in zip(count, sizes, strict=True)) > PART_VARIANTS and k < BITS - 4:
+    if sum(c * s for c, s in zip(count, sizes, strict=True)) > PART_VARIANTS and k < bits - 4:
         for more in range(16):
             part = slice_ | more << k
             near = np.bitwise_count((fps ^ np.uint64(part)) & np.uint64((1 << k + 4) - 1)) <= half
-            yield from _meetings(fps[near], ids[near], part, k + 4, half)
+            yield from _meetings(fps[near], ids[near], part, k + 4, half, bits)
         return
     values, owners = [], []
     for j in range(half + 1):
         mine = np.flatnonzero(used == j)
-        masks = _masks(range(k, BITS), half - j)
+        masks = _masks(range(k, bits), half - j)
         values.append(((fps[mine] ^ flips[mine])[:, None] ^ masks[None, :]).ravel())
         owners.append(np.repeat(ids[mine], len(masks)))
     value, owner = np.concatenate(values), np.concatenate(owners)

@@ -8,6 +8,7 @@ balls as in :mod:`.simhash`; a candidate counts only if the runs of both texts,
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +26,8 @@ WORDS, LEAST = 5, 0.8
 #: Seeds and bits of each; fewer bits meet more often, by chance too: at 48, two strangers once in 1.3 billion.
 SEEDS, SEED_BITS = 6, 48
 CHUNK = 512
+#: Orders in which rows that meet again take the first place, in one round.
+ORDERS = 8
 
 
 @lru_cache(maxsize=None)
@@ -68,22 +71,24 @@ def _fingerprints(rows: DataFrame, seeds: int) -> DataFrame:
     return rows.select("row_id", F.col("text").cast("binary").alias("body")).mapInArrow(run, "row_id long, seed int, fp long")
 
 
-def _met(fps: DataFrame, radius: int, salt: int = 0) -> DataFrame:
+def _met(fps: DataFrame, radius: int, salts: range) -> DataFrame:
     """(seed, a, b): fingerprints of a seed at most ``radius`` bits apart, each with the first that it meets at a variant.
 
-    Which comes first hangs on ``salt``.
+    Each of ``salts`` puts another first.
     """
     half = radius // 2
     k = simhash.slice_bits((fps.groupBy("seed").count().agg(F.max("count")).first()[0]) or 0, half)
     masks = F.array(*[F.lit(int(m)) for m in simhash._masks(range(k), half)])
-    flip = np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    flips = [np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for salt in salts]
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        values = np.sort(group.column("fp").to_numpy().view(np.uint64) ^ flip) ^ flip
-        ends = [(values[:0], values[:0])]
-        for u, v in simhash._meetings(values, np.arange(len(values), dtype=np.int64), key[1].as_py(), k, half, SEED_BITS if key[0].as_py() else simhash.BITS):
-            near = np.bitwise_count(values[u] ^ values[v]) <= radius
-            ends.append((values[u][near], values[v][near]))
+        fps, bits = group.column("fp").to_numpy().view(np.uint64), SEED_BITS if key[0].as_py() else simhash.BITS
+        ends = [(fps[:0], fps[:0])]
+        for flip in flips:
+            values = np.sort(fps ^ flip) ^ flip
+            for u, v in simhash._meetings(values, np.arange(len(values), dtype=np.int64), key[1].as_py(), k, half, bits):
+                near = np.bitwise_count(values[u] ^ values[v]) <= radius
+                ends.append((values[u][near], values[v][near]))
         a, b = (np.concatenate(x).view(np.int64) for x in zip(*ends, strict=True))
         return pa.table({"seed": pa.array(np.full(len(a), key[0].as_py()), pa.int32()), "a": a, "b": b})
 
@@ -116,13 +121,13 @@ def _similar(rows: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _candidates(fps: DataFrame, radius: int, salt: int) -> DataFrame:
+def _candidates(fps: DataFrame, radius: int, salts: range) -> DataFrame:
     """(a, b): rows that meet by a fingerprint of any seed, each with the first that it meets."""
-    order = F.xxhash64("row_id", F.lit(salt))
-    first = staged(fps.groupBy("seed", "fp").agg(F.min_by("row_id", order).alias("first_id"), F.count("*").alias("n")), "distinct-seeded")
-    same = join_frequent(fps, first.where("n > 1"), ["seed", "fp"], "n", fps.count()).select(F.col("row_id").alias("a"), F.col("first_id").alias("b"))
+    firsts = F.array(*[F.min_by("row_id", F.xxhash64("row_id", F.lit(salt))) for salt in salts])
+    first = staged(fps.groupBy("seed", "fp").agg(firsts.alias("firsts"), F.count("*").alias("n")).withColumn("first_id", F.col("firsts")[0]), "distinct-seeded")
+    same = join_frequent(fps, first.where("n > 1"), ["seed", "fp"], "n", fps.count()).select(F.col("row_id").alias("a"), F.explode("firsts").alias("b"))
     of = lambda end: first.select("seed", F.col("fp").alias(end), F.col("first_id").alias(f"{end}_id"))
-    near = _met(first.select("seed", "fp"), radius, salt).join(of("a"), ["seed", "a"]).join(of("b"), ["seed", "b"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    near = _met(first.select("seed", "fp"), radius, salts).join(of("a"), ["seed", "a"]).join(of("b"), ["seed", "b"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     return same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -132,35 +137,46 @@ def _roots(edges: DataFrame) -> DataFrame:
     return below.unionByName(below.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _unsettled(tried: DataFrame, links: DataFrame) -> DataFrame:
-    """(row_id): rows of those groups of candidates that their links leave in more than one piece."""
-    pieces = _roots(links).withColumnRenamed("root", "piece")
-    of = staged(_roots(tried).join(pieces, "node", "left").withColumn("piece", F.coalesce("piece", "node")), "pieces")
-    torn = of.groupBy("root").agg(F.min("piece").alias("low"), F.max("piece").alias("high"), F.count("*").alias("n"))
-    torn = staged(torn.where("low < high").select("root", "n"), "torn")
-    return join_frequent(of, torn, ["root"], "n", of.count()).select(F.col("node").alias("row_id"))
+def _across(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(a_piece, b_piece) of those ``pairs`` whose ends lie in different pieces; a row without one is its own."""
+    for end in ("a", "b"):
+        named = pieces.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        pairs = pairs.join(named, end, "left").withColumn(f"{end}_piece", F.coalesce(f"{end}_root", end))
+    return pairs.where("a_piece <> b_piece").select("a_piece", "b_piece")
 
 
-def near_pairs(rows: DataFrame, least: float = LEAST, seeds: int = SEEDS, radius: int = 4) -> DataFrame:
-    """(a, b): row ids of similar texts among ``rows`` (row_id, text), found as candidates of any fingerprint.
+def _unsettled(tried: DataFrame, pieces: DataFrame, fps: DataFrame) -> DataFrame:
+    """The fingerprints of rows whose pieces met another without a link."""
+    open_ = _across(tried, pieces).select(F.explode(F.array("a_piece", "b_piece")).alias("piece")).distinct()
+    of_row = fps.join(pieces.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("piece", F.coalesce("root", "row_id"))
+    return staged(of_row.join(open_, "piece", "left_semi").select(*fps.columns), "unsettled")
+
+
+def near_links(rows: DataFrame, least: float = LEAST, seeds: int = SEEDS, radius: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of similar texts among ``rows`` (row_id, text), and the groups (node, root) that they make.
 
-    Rows that meet are compared with the first of them, not all with all. Where that leaves a group of candidates in
-    pieces, its rows meet again with others in first place, until a round finds no further link.
+    Rows that meet are compared with the first of them, not all with all. If x and y are both refused by that one, a
+    link between them isn't seen: so the rows of pieces that met and weren't linked meet again with others in first
+    place, until a round joins no two pieces.
     """
-    fps = staged(_fingerprints(rows, seeds), "seeded-fingerprints")
-    tried, links, active, n_round = None, None, fps, 0
-    while True:
-        found = _candidates(active, radius, n_round)
-        pairs = staged(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "candidate-pairs")
+    active = staged(_fingerprints(rows, seeds), "seeded-fingerprints")
+    tried = links = pieces = None
+    for n_round in itertools.count():
+        met = _candidates(active, radius, range(1) if pieces is None else range((n_round - 1) * ORDERS + 1, n_round * ORDERS + 1))
+        pairs = staged(met if tried is None else met.join(tried, ["a", "b"], "left_anti"), "candidate-pairs")
         new = staged(_similar(rows, pairs, least), "links")
         tried, links = (pairs, new) if tried is None else (tried.unionByName(pairs), links.unionByName(new))
-        if new.isEmpty() or new.count() == pairs.count():
-            return links
-        again = _unsettled(tried, links)
-        active = staged(active.join(again, "row_id", "left_semi"), "unsettled")
+        if pieces is not None and _across(new, pieces).isEmpty():
+            return links, pieces
+        pieces = _roots(links)
+        active = _unsettled(tried, pieces, active)
         if active.isEmpty():
-            return links
-        n_round += 1
+            return links, pieces
+
+
+def near_pairs(rows: DataFrame, least: float = LEAST, seeds: int = SEEDS, radius: int = 4) -> DataFrame:
+    """(a, b): row ids of similar texts among ``rows`` (row_id, text), as far as it takes to hold each group together."""
+    return near_links(rows, least, seeds, radius)[0]
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, seeds: int = SEEDS, radius: int = 4) -> DataFrame:
@@ -174,7 +190,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     known, row = numbered(docs)
     rows = known.select(F.col(row).alias("row_id"), text_or_empty(text_col).alias("text"))
-    members = _roots(near_pairs(rows, least, seeds, radius))
+    _, members = near_links(rows, least, seeds, radius)
     named = staged(known.select(F.col(row).alias("node"), F.col(id_col).cast("long").alias("id")).join(members, "node"), "members")
     best = staged(named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("best"), F.count("*").alias("n")), "best")
     gone = join_frequent(named, best, ["root"], "n", named.count()).where("node <> best.node").select(F.col("node").alias(row))

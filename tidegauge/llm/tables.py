@@ -107,6 +107,21 @@ def join_frequent(left: DataFrame, right: DataFrame, on: list[str], n_rows: str,
     return left.join(hot, on).unionByName(cold.join(right.where(F.col(n_rows) < least), on))
 
 
+def dealt_join(left: DataFrame, right: DataFrame, on: str, total: int) -> DataFrame:
+    """``left`` inner ``right`` (unique by ``on``), where a key with very many rows of ``left`` is dealt over as many tasks as it needs.
+
+    Unlike a broadcast, it suits wide rows of ``right``. ``left`` (``total`` rows) is read twice.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    parts, part = free_name(left, "__parts"), free_name(left, "__part")
+    hot = F.broadcast(staged(left.groupBy(on).agg(F.ceil(F.count("*") / limit).cast("int").alias(parts)).where(F.col(parts) > 1), "frequent-keys"))
+    n = F.coalesce(F.col(parts), F.lit(1))
+    dealt = right.join(hot, on, "left").withColumn(part, F.explode(F.sequence(F.lit(0), n - 1))).drop(parts)
+    rest = [c for c in left.columns if c != on]
+    spread = F.pmod(F.xxhash64(on, *rest), n).cast("int")
+    return left.join(hot, on, "left").withColumn(part, spread).drop(parts).join(dealt, [on, part]).drop(part)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -47,7 +47,7 @@ def family(draw, n, words, edits):
 @pytest.mark.parametrize("small", [False, True])
 def test_components_are_brute_force(spark, monkeypatch, small):
     if small:  # sketches that hold no set whole, lists in many blocks, keys that count as frequent
-        for name, value in (("WIDE", 128), ("BLOCK", 8), ("RATIO", 0.5)):
+        for name, value in (("WIDE", 128), ("BLOCK", 8), ("WIDE_SHARE", 0.5), ("DENSE", 4)):
             monkeypatch.setattr(M, name, value)
         monkeypatch.setattr(tables, "HOT_ROWS", 4)
     draw = random.Random(11)

@@ -5,9 +5,10 @@ A text is the set of hashes of its word runs, and its sketch the ``k`` least of
 billion, and for sets of at most ``k`` runs always. So any two such texts meet in the inverted list of a retained value,
 even if each text enters only the lists of its rarest values: of ``k`` it may leave out all but ``SHARED - 1``.
 
-A list is never turned into all its pairs. All rows of a list are compared with one of them, its pivot; where that leaves
-a list in several pieces, one task (or one for each pair of blocks of a long list) compares the sketches of rows of
-different pieces, and hands on a forest of those that can be similar enough. Each pair is confirmed on the full sets.
+A list is never turned into all its pairs. All rows of a list are compared with one of them, its pivot. Then the rows that
+met the same pivot, in whichever lists, are one group: where links left it in several pieces, one task (or one for each
+pair of blocks of a large group) compares wide sketches of rows of different pieces, and hands on a forest of the links
+that it sees, not the pairs. Each link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -28,10 +29,14 @@ from .tables import dealt_join, join_frequent, staged, text_or_empty
 WORDS, LEAST = 4, 0.8
 #: Values that a set's sketch retains for inverted lists, and how many of a union's least ones two similar sets share.
 K, SHARED = 64, 30
-#: Values by which pairs are estimated; a share of RATIO among them is passed by all but one in a billion similar pairs.
-WIDE, RATIO = 256, 0.63
-#: Rows of a list that one task compares with as many others.
+#: Values of a union by which a pair is estimated, and the share that all but one in a billion similar pairs pass.
+NARROW, NARROW_SHARE = 256, 0.63
+#: The same for rows of a group; sets of so many runs at most are compared as a whole.
+WIDE, WIDE_SHARE = 4096, 0.76
+#: Rows of a group that one task compares with as many others.
 BLOCK = 1024
+#: Values that so many rows of a group share are counted as a matrix product, others one by one.
+DENSE = 32
 _SEED, _STEP = 7, np.uint64(0x9E3779B97F4A7C15)
 _ROWS = "node long, hashes array<long>"
 
@@ -86,10 +91,9 @@ def _lists(sets: DataFrame, least: float) -> DataFrame:
 
 
 def _star(listed: DataFrame, lists: DataFrame) -> DataFrame:
-    """(a, b): each row of a list with the list's pivot."""
+    """(pivot, node): each row of a list with the list's pivot."""
     total = lists.agg(F.sum("n_rows")).first()[0] or 0
-    met = join_frequent(listed.select("value", "node"), lists, ["value"], "n_rows", total).where("node <> pivot")
-    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    return join_frequent(listed.select("value", "node"), lists, ["value"], "n_rows", total).where("node <> pivot").select("pivot", "node").distinct()
 
 
 def _full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, sets: DataFrame) -> DataFrame:
@@ -107,8 +111,8 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, sets: Da
 
 
 def _below(end: str) -> Column:
-    """The value up to which the WIDE least hashes of ``end`` show all of its set."""
-    return F.when(F.size(end) > WIDE, F.element_at(F.col(end), WIDE)).otherwise(F.lit((1 << 63) - 1))
+    """The value up to which the NARROW least hashes of ``end`` show all of its set."""
+    return F.when(F.size(end) > NARROW, F.element_at(F.col(end), NARROW)).otherwise(F.lit((1 << 63) - 1))
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, least: float) -> DataFrame:
@@ -117,8 +121,8 @@ def _confirmed(pairs: DataFrame, full: DataFrame, least: float) -> DataFrame:
     met = dealt_join(pairs, full.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a", total)
     met = dealt_join(met, full.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b", total)
     far = F.least(_below("x"), _below("y"))
-    cut = lambda end: F.filter(F.slice(end, 1, WIDE), lambda v: v <= far)
-    near = F.size(F.array_intersect(cut("x"), cut("y"))) >= RATIO * F.size(F.array_union(cut("x"), cut("y")))
+    cut = lambda end: F.filter(F.slice(end, 1, NARROW), lambda v: v <= far)
+    near = F.size(F.array_intersect(cut("x"), cut("y"))) > NARROW_SHARE * F.size(F.array_union(cut("x"), cut("y")))
     both = F.size(F.array_intersect("x", "y"))
     percent = round(100 * least)
     return met.where(near).withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
@@ -146,24 +150,37 @@ def _common(sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     """How many values the sketches of ``left`` and of ``right`` share, as a matrix."""
     value = np.concatenate(sketches)
     owner = np.repeat(np.arange(len(sketches)), [len(x) for x in sketches])
-    seen, column, times = np.unique(value, return_inverse=True, return_counts=True)
-    often = times > 1
+    _, column, times = np.unique(value, return_inverse=True, return_counts=True)
+    shape = len(sketches), len(sketches)
+    out = np.zeros(shape, np.float32)
+    often = times >= DENSE
     name = np.cumsum(often) - 1
-    owner, column = owner[often[column]], name[column[often[column]]]
-    out = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, int(often.sum()), 4096):
-        held = np.zeros((len(sketches), min(4096, int(often.sum()) - at)), np.float32)
-        here = (column >= at) & (column < at + 4096)
-        held[owner[here], column[here] - at] = 1
-        out += held[left] @ held[right].T
-    return out
+    dense = often[column]
+    held_by, of = owner[dense], name[column[dense]]
+    for at in range(0, int(often.sum()), WIDE):
+        held = np.zeros((len(sketches), min(WIDE, int(often.sum()) - at)), np.float32)
+        here = (of >= at) & (of < at + WIDE)
+        held[held_by[here], of[here] - at] = 1
+        out += held @ held.T
+    rare = ~dense & (times[column] > 1)
+    column, owner = column[rare], owner[rare]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for step in range(1, DENSE):
+        same = np.flatnonzero(column[step:] == column[:-step])
+        if not len(same):
+            break
+        place, n = np.unique(owner[same] * len(sketches) + owner[same + step], return_counts=True)
+        out.ravel()[place] += n
+        out[place % len(sketches), place // len(sketches)] += n
+    return out[np.ix_(left, right)]
 
 
 def meetings(piece: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions (a, b) of rows of different pieces that can be similar.
 
     Where both sketches are whole sets, the similarity is known: of those links a forest is enough. Other pairs are given
-    if their sketches' union shares RATIO of its values and the forest doesn't join them already. ``side`` is 0 for rows
+    if their sketches' union shares WIDE_SHARE of its values and the forest doesn't join them already. ``side`` is 0 for rows
     that are compared with one another, else 1 and 2 for the two halves that are compared.
     """
     left, right = (np.arange(len(piece)),) * 2 if not side.any() else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
@@ -185,7 +202,7 @@ def meetings(piece: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], si
     root = np.unique(piece, return_index=True, return_inverse=True)
     root = root[1][root[2]].copy()
     kept = _forest(u, v, root)
-    x, y = np.nonzero(able & ~both & (common >= RATIO * union))
+    x, y = np.nonzero(able & ~both & (common > WIDE_SHARE * union))
     x, y = left[x], right[y]
     for _ in range(64):
         root = root[root]
@@ -193,16 +210,21 @@ def meetings(piece: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], si
     return np.r_[u[kept], x[open_]], np.r_[v[kept], y[open_]]
 
 
-def _across(listed: DataFrame, lists: DataFrame, full: DataFrame, pieces: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs that can be similar, of rows that share a list and lie in different ``pieces`` (node, root)."""
-    placed = staged(listed.select("value", "node").join(pieces, "node", "left").select("value", "node", F.coalesce("root", "node").alias("piece")), "placed")
-    open_ = placed.groupBy("value").agg(F.min("piece").alias("x"), F.max("piece").alias("y"), F.count("*").alias("n_rows")).where("x <> y").select("value", "n_rows", F.ceil(F.col("n_rows") / BLOCK).cast("int").alias("blocks"))
-    open_ = staged(open_, "open-lists")
+def _across(star: DataFrame, full: DataFrame, pieces: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs that can be similar, of rows that met the same pivot and lie in different ``pieces`` (node, root).
+
+    Rows that share a list met its pivot, so every pair of a list is in a group; a row is in few groups, for texts that
+    have much in common have the same pivot in most of their lists.
+    """
+    members = star.unionByName(star.select("pivot", F.col("pivot").alias("node")).distinct())
+    placed = staged(members.join(pieces, "node", "left").select("pivot", "node", F.coalesce("root", "node").alias("piece")), "placed")
+    open_ = placed.groupBy("pivot").agg(F.min("piece").alias("x"), F.max("piece").alias("y"), F.count("*").alias("n_rows")).where("x <> y").select("pivot", "n_rows", F.ceil(F.col("n_rows") / BLOCK).cast("int").alias("blocks"))
+    open_ = staged(open_, "open-groups")
     total = open_.agg(F.sum("n_rows")).first()[0] or 0
-    met = join_frequent(placed, open_, ["value"], "n_rows", total).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    with_other = met.select("value", "node", "piece", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = join_frequent(placed, open_, ["pivot"], "n_rows", total).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    with_other = met.select("pivot", "node", "piece", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     half = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    sent = with_other.select("value", "node", "piece", half.alias("side"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sent = with_other.select("pivot", "node", "piece", half.alias("side"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     sent = sent.join(full.select("node", F.size("hashes").alias("size"), F.slice("hashes", 1, WIDE).alias("sketch")), "node")
 
     def run(group: pa.Table) -> pa.Table:
@@ -216,7 +238,7 @@ def _across(listed: DataFrame, lists: DataFrame, full: DataFrame, pieces: DataFr
             ends = node[u], node[v]
         return pa.table({"a": np.minimum(*ends), "b": np.maximum(*ends)})
 
-    return sent.groupBy("value", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return sent.groupBy("pivot", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def linked_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -230,12 +252,13 @@ def linked_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS,
     sets = staged(_distinct_sets(known), "distinct-sets")
     listed = staged(_lists(sets, least), "listed")
     lists = staged(listed.groupBy("value").agg(F.min(F.struct("lone", "node"))["node"].alias("pivot"), F.count("*").alias("n_rows")).where("n_rows > 1"), "lists")
-    tried = staged(_star(listed, lists), "pairs")
+    star = staged(_star(listed, lists), "star")
+    tried = star.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     full = staged(_full_sets(docs, id_col, text_col, words, sets.join(listed.select("node").distinct(), "node", "left_semi")), "full-sets")
     links = staged(_confirmed(tried, full, least), "links")
     pieces = staged(connected_components(links), "pieces")
     pieces = pieces.unionByName(pieces.select(F.col("root").alias("node"), "root").distinct())
-    more = staged(_across(listed, lists, full, pieces, least).join(tried, ["a", "b"], "left_anti"), "more-pairs")
+    more = staged(_across(star, full, pieces, least).join(tried, ["a", "b"], "left_anti"), "more-pairs")
     new = staged(_confirmed(more, full, least), "more-links")
     roots = connected_components(reduce(DataFrame.unionByName, (links, new)))
     named = sets.select("node", "set_id").join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("root"))

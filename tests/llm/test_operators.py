@@ -220,12 +220,16 @@ def test_ball_hashing_finds_every_link(spark):
         for y in fps:
             if (x ^ y).bit_count() <= 4:
                 assert find(signed(x)) == find(signed(y))
-    component = {}
-    for e in edges:
-        component.setdefault(find(e.a), set()).update({e.a, e.b})
-    for members in component.values():  # an edge may close over a common neighbour, never over more than the radius
-        assert len(members) > 1
-    assert all(((e.a ^ e.b) & (1 << 64) - 1).bit_count() <= 8 for e in edges)
+    near = {signed(x): signed(x) for x in fps}
+    for x in fps:
+        for y in fps:
+            if (x ^ y).bit_count() <= 4:
+                a, b = near[signed(x)], near[signed(y)]
+                near = {k: min(a, b) if r in (a, b) else r for k, r in near.items()} if a != b else near
+    together = {}
+    for x in near:
+        together.setdefault(near[x], set()).add(find(x))
+    assert all(len(roots) == 1 for roots in together.values()) and len({find(x) for x in near}) == len(together)
 
 
 def test_url_rules_inline_and_joined_agree(spark):

@@ -241,10 +241,10 @@ def _across(star: DataFrame, full: DataFrame, pieces: DataFrame, least: float) -
     return sent.groupBy("pivot", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def linked_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+def linked_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, least: float = LEAST, hints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, text_key, n, set_id) of every row, and (set_id, root) of every set that has runs: equal roots hang together by links.
 
-    Links are between sets whose similarity is ``least`` or more.
+    Links are between sets whose similarity is ``least`` or more. ``hints`` (a, b) are pairs of ids that are to be compared too.
     """
     if least < LEAST:
         raise ValueError(f"sketches are made for a similarity of {LEAST} or more")
@@ -254,7 +254,14 @@ def linked_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS,
     lists = staged(listed.groupBy("value").agg(F.min(F.struct("lone", "node"))["node"].alias("pivot"), F.count("*").alias("n_rows")).where("n_rows > 1"), "lists")
     star = staged(_star(listed, lists), "star")
     tried = star.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-    full = staged(_full_sets(docs, id_col, text_col, words, sets.join(listed.select("node").distinct(), "node", "left_semi")), "full-sets")
+    involved = listed.select("node")
+    if hints is not None:
+        of = known.join(sets.select("set_id", "node"), "set_id").select("id", "node")
+        ends = hints.join(of.select(F.col("id").alias("a"), F.col("node").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("node").alias("y")), "b")
+        hinted = staged(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "hints")
+        tried = tried.unionByName(hinted).distinct()
+        involved = involved.unionByName(hinted.select(F.explode(F.array("a", "b")).alias("node")))
+    full = staged(_full_sets(docs, id_col, text_col, words, sets.join(involved.distinct(), "node", "left_semi")), "full-sets")
     links = staged(_confirmed(tried, full, least), "links")
     pieces = staged(connected_components(links), "pieces")
     pieces = pieces.unionByName(pieces.select(F.col("root").alias("node"), "root").distinct())

@@ -1,197 +1,50 @@
-"""Near copies by the Jaccard similarity of their word runs, with ball hashing as the source of candidates.
+"""Near copies of documents: SimHash neighbours and rows with common sketch values, each confirmed by full word runs.
 
-SimHash at 4 of 64 bits links few texts of Jaccard similarity 0.8, so each text gets several fingerprints more, of
-independent seeds: every bit of one is a hash of the least run of words under a permutation of its own. Such bits
-differ with chance (1 - J) / 2, which at 0.8 is a tenth. Fingerprints of a seed are linked by the same meeting of
-balls as in :mod:`.simhash`; a candidate counts only if the runs of both texts, compared in full, are similar enough.
+Two ways lead to candidates. Ball hashing of :mod:`.simhash` links fingerprints at most 4 bits apart. That sees few texts
+of Jaccard similarity 0.8, so the inverted lists of :mod:`.minhash` find the others. A text is cut once for its sketch
+and, if it is in any candidate, once for its full set; a pair counts only if the full sets are similar enough.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
-from functools import lru_cache
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import simhash
-from .components import connected_components
-from .tables import HOT_ROWS, HOT_SHARE, join_frequent, numbered, staged, text_or_empty
+from . import minhash, simhash
+from .tables import join_frequent, numbered, staged
 
 WORDS, LEAST = 5, 0.8
-#: Seeds and bits of each; fewer bits meet more often, by chance too: at 48, two strangers once in 1.3 billion.
-SEEDS, SEED_BITS = 6, 48
-CHUNK = 512
-#: Orders in which rows that meet again take the first place, in one round.
-ORDERS = 8
-
-
-@lru_cache(maxsize=None)
-def _permutations(seeds: int) -> tuple[np.ndarray, np.ndarray]:
-    at = np.random.default_rng(20_260_101).integers(0, 1 << 64, (2, seeds * SEED_BITS), np.uint64)
-    return at[0] | np.uint64(1), at[1]
-
-
-def shingles(body: bytes, words: int = WORDS) -> np.ndarray:
-    """The distinct hashes of all runs of ``words`` words in order of size; a shorter text is one run."""
-    tokens = body.lower().split()
-    runs = (b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1)))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, 7) for r in runs), np.uint64))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
-def seeded_fingerprints(hashes: np.ndarray, seeds: int = SEEDS) -> np.ndarray:
-    """A fingerprint of SEED_BITS bits for each seed."""
-    times, plus = _permutations(seeds)
-    least = np.full(len(times), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), CHUNK):
-        np.minimum(least, (hashes[at : at + CHUNK, None] * times + plus).min(0), out=least)
-    bits = ((least ^ least >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).reshape(seeds, SEED_BITS)
-    return (bits << np.arange(SEED_BITS, dtype=np.uint64)).sum(1, dtype=np.uint64)
-
-
-def _fingerprints(rows: DataFrame, seeds: int) -> DataFrame:
-    """(row_id, seed, fp): SimHash as seed 0, then the seeded ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [np.r_[np.array([simhash.fingerprint(x.as_py())], np.uint64), seeded_fingerprints(shingles(x.as_py()), seeds)] for x in batch.column(1)]
-            ids = np.repeat(batch.column(0).to_numpy(), seeds + 1)
-            fps = np.concatenate(made) if made else np.zeros(0, np.uint64)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.tile(np.arange(seeds + 1), len(made)), pa.int32()), pa.array(fps.view(np.int64))], ["row_id", "seed", "fp"])
-
-    return rows.select("row_id", F.col("text").cast("binary").alias("body")).mapInArrow(run, "row_id long, seed int, fp long")
-
-
-def _met(fps: DataFrame, radius: int, salts: range) -> DataFrame:
-    """(seed, a, b): fingerprints of a seed at most ``radius`` bits apart, each with the first that it meets at a variant.
-
-    Each of ``salts`` puts another first.
-    """
-    half = radius // 2
-    k = simhash.slice_bits((fps.groupBy("seed").count().agg(F.max("count")).first()[0]) or 0, half)
-    masks = F.array(*[F.lit(int(m)) for m in simhash._masks(range(k), half)])
-    flips = [np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for salt in salts]
-
-    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        fps, bits = group.column("fp").to_numpy().view(np.uint64), SEED_BITS if key[0].as_py() else simhash.BITS
-        ends = [(fps[:0], fps[:0])]
-        for flip in flips:
-            values = np.sort(fps ^ flip) ^ flip
-            for u, v in simhash._meetings(values, np.arange(len(values), dtype=np.int64), key[1].as_py(), k, half, bits):
-                near = np.bitwise_count(values[u] ^ values[v]) <= radius
-                ends.append((values[u][near], values[v][near]))
-        a, b = (np.concatenate(x).view(np.int64) for x in zip(*ends, strict=True))
-        return pa.table({"seed": pa.array(np.full(len(a), key[0].as_py()), pa.int32()), "a": a, "b": b})
-
-    sent = fps.select("seed", "fp", F.explode(masks).alias("mask")).select("seed", F.col("fp").bitwiseAND((1 << k) - 1).bitwiseXOR(F.col("mask")).alias("slice"), "fp")
-    return sent.groupBy("seed", "slice").applyInArrow(run, "seed int, a long, b long").distinct()
-
-
-def _with_text(pairs: DataFrame, texts: DataFrame, end: str, text: str, total: int) -> DataFrame:
-    """``pairs`` with the text of ``end``; an end of very many pairs is dealt over as many tasks as they need."""
-    least = max(HOT_ROWS, total // HOT_SHARE)
-    hot = F.broadcast(staged(pairs.groupBy(end).agg(F.ceil(F.count("*") / least).alias("parts")).where("parts > 1"), "frequent-ends"))
-    part, all_parts = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))), F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)
-    dealt = texts.withColumnRenamed("row_id", end).join(hot, end, "left").select(end, F.explode(all_parts).alias("part"), F.col("text").cast("binary").alias(text))
-    return pairs.join(hot, end, "left").withColumn("part", part).drop("parts").join(dealt, [end, "part"]).drop("part")
-
-
-def _similar(rows: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) of row ids whose texts are similar enough."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
-    texts = staged(rows.select("row_id", "text").join(involved, "row_id", "left_semi"), "candidates")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            near = [jaccard(shingles(x[i].as_py()), shingles(y[i].as_py())) >= least for i in range(len(batch))]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    total = pairs.count()
-    met = _with_text(_with_text(pairs, texts, "a", "x", total), texts, "b", "y", total)
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _candidates(fps: DataFrame, radius: int, salts: range) -> DataFrame:
-    """(a, b): rows that meet by a fingerprint of any seed, each with the first that it meets."""
-    firsts = F.array(*[F.min_by("row_id", F.xxhash64("row_id", F.lit(salt))) for salt in salts])
-    first = staged(fps.groupBy("seed", "fp").agg(firsts.alias("firsts"), F.count("*").alias("n")).withColumn("first_id", F.col("firsts")[0]), "distinct-seeded")
-    same = join_frequent(fps, first.where("n > 1"), ["seed", "fp"], "n", fps.count()).select(F.col("row_id").alias("a"), F.explode("firsts").alias("b"))
-    of = lambda end: first.select("seed", F.col("fp").alias(end), F.col("first_id").alias(f"{end}_id"))
-    near = _met(first.select("seed", "fp"), radius, salts).join(of("a"), ["seed", "a"]).join(of("b"), ["seed", "b"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    return same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _roots(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges``, roots included."""
-    below = staged(connected_components(edges), "groups")
-    return below.unionByName(below.select(F.col("root").alias("node"), "root").distinct())
-
-
-def _across(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(a_piece, b_piece) of those ``pairs`` whose ends lie in different pieces; a row without one is its own."""
-    for end in ("a", "b"):
-        named = pieces.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-        pairs = pairs.join(named, end, "left").withColumn(f"{end}_piece", F.coalesce(f"{end}_root", end))
-    return pairs.where("a_piece <> b_piece").select("a_piece", "b_piece")
-
-
-def _unsettled(tried: DataFrame, pieces: DataFrame, fps: DataFrame) -> DataFrame:
-    """The fingerprints of rows whose pieces met another without a link."""
-    open_ = _across(tried, pieces).select(F.explode(F.array("a_piece", "b_piece")).alias("piece")).distinct()
-    of_row = fps.join(pieces.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("piece", F.coalesce("root", "row_id"))
-    return staged(of_row.join(open_, "piece", "left_semi").select(*fps.columns), "unsettled")
-
-
-def near_links(rows: DataFrame, least: float = LEAST, seeds: int = SEEDS, radius: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of similar texts among ``rows`` (row_id, text), and the groups (node, root) that they make.
-
-    Rows that meet are compared with the first of them, not all with all. If x and y are both refused by that one, a
-    link between them isn't seen: so the rows of pieces that met and weren't linked meet again with others in first
-    place, until a round joins no two pieces.
-    """
-    active = staged(_fingerprints(rows, seeds), "seeded-fingerprints")
-    tried = links = pieces = None
-    for n_round in itertools.count():
-        met = _candidates(active, radius, range(1) if pieces is None else range((n_round - 1) * ORDERS + 1, n_round * ORDERS + 1))
-        pairs = staged(met if tried is None else met.join(tried, ["a", "b"], "left_anti"), "candidate-pairs")
-        new = staged(_similar(rows, pairs, least), "links")
-        tried, links = (pairs, new) if tried is None else (tried.unionByName(pairs), links.unionByName(new))
-        if pieces is not None and _across(new, pieces).isEmpty():
-            return links, pieces
-        pieces = _roots(links)
-        active = _unsettled(tried, pieces, active)
-        if active.isEmpty():
-            return links, pieces
 
 
-def near_pairs(rows: DataFrame, least: float = LEAST, seeds: int = SEEDS, radius: int = 4) -> DataFrame:
-    """(a, b): row ids of similar texts among ``rows`` (row_id, text), as far as it takes to hold each group together."""
-    return near_links(rows, least, seeds, radius)[0]
+def neighbours(rows: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b): ids of ``rows`` (row_id, text) that hang together by fingerprints at most ``radius`` bits apart; no group's pairs, a tree."""
+    fps = staged(simhash.fingerprints(rows, "row_id", "text").withColumnRenamed("doc_id", "row_id"), "fingerprints")
+    first = staged(fps.groupBy("fp").agg(F.min("row_id").alias("first_id"), F.count("*").alias("n_rows")), "distinct-fingerprints")
+    total = first.agg(F.sum("n_rows")).first()[0] or 0
+    same = join_frequent(fps, first.where("n_rows > 1"), ["fp"], "n_rows", total).select(F.col("row_id").alias("a"), F.col("first_id").alias("b"))
+    of = lambda end: first.select(F.col("fp").alias(end), F.col("first_id").alias(f"{end}_id"))
+    near = simhash.near_links(first.select("fp"), radius).join(of("a"), "a").join(of("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return same.unionByName(near).where("a <> b")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, seeds: int = SEEDS, radius: int = 4) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` with the least id of their group of near copies, with all their columns.
 
-    Groups are connected by pairs of texts whose sets of 5-word runs have a Jaccard similarity of ``least`` or more.
+    Groups are connected by pairs of texts whose sets of ``words``-word runs have a Jaccard similarity of ``least`` or more.
 
-    * Rows count, not ids: those with a null id are compared too and stay only if no row of the group has an id;
-      rows that repeat an id with another text are different documents.
-    * A null text is the empty one; texts without words are alike. Texts under five words are one run.
+    * Rows count, not ids: those with a null id are compared too and stay only if no row of the group has an id; rows that
+      repeat an id with another text are different documents. Of a group's rows with equal ids one stays.
+    * A null text is the empty one. Texts without words are near copies of nothing: all stay. Texts under five words are
+      one run, so that only equal ones are alike.
+    * Texts of any length are compared whole; columns with whatever names and empty tables do no harm.
     """
     known, row = numbered(docs)
-    rows = known.select(F.col(row).alias("row_id"), text_or_empty(text_col).alias("text"))
-    _, members = near_links(rows, least, seeds, radius)
-    named = staged(known.select(F.col(row).alias("node"), F.col(id_col).cast("long").alias("id")).join(members, "node"), "members")
+    rows = known.select(F.col(row).alias("row_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    sets, roots = minhash.linked_sets(rows, "row_id", "text", words, least, neighbours(rows, radius))
+    of_set = staged(sets.groupBy("set_id").agg(F.count("*").alias("n_rows")).join(roots, "set_id"), "rows-of-sets")
+    total = of_set.agg(F.sum("n_rows")).first()[0] or 0
+    grouped = join_frequent(sets.where("n > 0"), of_set, ["set_id"], "n_rows", total).select(F.col("id").alias("node"), "root")
+    named = staged(known.select(F.col(row).alias("node"), F.col(id_col).cast("long").alias("id")).join(grouped, "node"), "members")
     best = staged(named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("best"), F.count("*").alias("n")), "best")
-    gone = join_frequent(named, best, ["root"], "n", named.count()).where("node <> best.node").select(F.col("node").alias(row))
+    gone = join_frequent(named, best, ["root"], "n", total).where("node <> best.node").select(F.col("node").alias(row))
     return known.join(gone, row, "left_anti").select(*docs.columns)

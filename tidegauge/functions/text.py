@@ -48,26 +48,41 @@ def factor_score(raw: Column) -> Column:
     return F.when(F.schema_of_variant(typed).rlike("BIGINT|DECIMAL|DOUBLE|FLOAT"), score.try_cast("double"))
 
 
-# What follows a number, the longer units first.
+# Units of numbers, the longer ones first, and digits in their wide form.
 UNITS = ("%", "‰", "亿元", "亿", "万元", "万", "元", "倍", "pp", "个基点")
+WIDE_DIGITS, DIGITS = "０１２３４５６７８９％．", "0123456789%."
 
 
-def numbers_in(text: Column) -> Column:
-    """Numbers with their unit, in order and without blanks; list marks at line starts don't count, full-width digits do.
+def _unmarked(line: Column) -> Column:
+    """A line without the list mark that it may begin with: a number and 、 or ), a number and a full stop that no digit follows, a dash or dot and a blank."""
+    head = F.ltrim(line)
+    count = F.length(head) - F.length(F.regexp_replace(head, "^[0-9]+", ""))
+    char = lambda n: F.substr(head, count + n, F.lit(1))
+    numbered = (count > 0) & (char(1).isin("、", ")") | ((char(1) == ".") & ~char(2).rlike("[0-9]")))
+    dotted = (count == 0) & char(1).isin("-", "*", "·") & char(2).isin(" ", "\t")
+    return F.when(numbered | dotted, F.substr(head, count + 2, F.length(head))).otherwise(line)
+
+
+def _number_parts(text: Column) -> Column:
+    """array of struct(value, unit): digits in order, each with the unit that follows it, or an empty one."""
+    lines = F.split(F.translate(text, WIDE_DIGITS, DIGITS), "\n")
+    pieces = F.regexp_extract_all(F.array_join(F.transform(lines, _unmarked), "\n"), F.lit("[0-9]+([.][0-9]+)?[^0-9]*"), F.lit(0))
+    value = lambda p: F.regexp_extract(p, "^[0-9]+([.][0-9]+)?", 0)
+    rest = lambda p: F.regexp_replace(F.substr(p, F.length(value(p)) + 1, F.length(p)), r"^\s+", "")
+    unit = lambda p: F.coalesce(F.get(F.filter(F.array(*map(F.lit, UNITS)), lambda u: F.startswith(rest(p), u)), F.lit(0)), F.lit(""))
+    return F.transform(pieces, lambda p: F.struct(value(p).alias("value"), unit(p).alias("unit")))
 
-    A mark is a number before 、 or ), a number and a full stop before anything but a digit, or - * · before a blank.
-    """
-    plain = F.translate(text, "０１２３４５６７８９％．", "0123456789%.")
-    marks = r"(?m)^[ \t]*(?:\d+[、)]|\d+\.(?!\d)|[-*·](?=[ \t]))[ \t]*"
-    found = F.regexp_extract_all(F.regexp_replace(plain, marks, ""), F.lit(r"\d+(?:\.\d+)?\s*(?:" + "|".join(UNITS) + ")?"), F.lit(0))
-    return F.transform(found, lambda n: F.regexp_replace(n, r"\s+", ""))
+
+def numbers_in(text: Column) -> Column:
+    """Numbers with their unit, in order and without blanks; list marks at line starts don't count, full-width digits do."""
+    return F.transform(_number_parts(text), lambda n: F.concat(n["value"], n["unit"]))
 
 
 def unknown_numbers(text: Column, allowed: Column) -> Column:
     """Numbers of a text that are in ``allowed`` (an array) neither as they stand nor without their unit."""
-    core = lambda n: F.regexp_extract(n, r"\d+(?:\.\d+)?", 0)
-    bare = F.transform(allowed, core)
-    return F.filter(numbers_in(text), lambda n: ~F.array_contains(allowed, n) & ~F.array_contains(bare, core(n)))
+    known = F.array_union(allowed, F.flatten(F.transform(allowed, lambda a: F.transform(_number_parts(a), lambda n: n["value"]))))
+    found = F.filter(_number_parts(text), lambda n: ~F.array_contains(known, F.concat(n["value"], n["unit"])) & ~F.array_contains(known, n["value"]))
+    return F.transform(found, lambda n: F.concat(n["value"], n["unit"]))
 
 
 def embedding_text(title: Column, summary: Column, industries: Column, symbols: Column, event_type: Column, event_time: Column, direction: Column, importance: Column) -> Column:

@@ -54,10 +54,17 @@ def value_distribution(rows: DataFrame, value: str, by: str, known: tuple[str, .
 
 
 def steps(bars: DataFrame, skip: int = 5) -> DataFrame:
-    """Per adjustment: changes beyond the bound after a symbol's first ``skip`` bars."""
+    """Per adjustment: judged, inconsistent (the change from the close before departs from the stored change_pct by over STEP_TOLERANCE), beyond_1pp (by over 1), beyond.
+
+    beyond counts adjusted (qfq) changes over STEP_BOUND after a symbol's first ``skip`` bars with a change, when no limit
+    holds yet; other adjustments have 0 there. Raw prices are counted too, though nobody judges them.
+    """
     w = Window.partitionBy("symbol", "adjustment").orderBy("trade_date")
-    late = with_change(bars).withColumn("rn", F.row_number().over(w)).where(F.col("rn") > skip)
-    return late.groupBy("adjustment").agg(F.count_if(F.abs("change_pct") > STEP_BOUND).alias("beyond"), F.count("change_pct").alias("judged"))
+    before = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.abs((F.col("close") / F.nullif(before, F.lit(0.0)) - 1) * 100 - F.col("change_pct"))
+    seen = bars.withColumn("gap", gap).withColumn("rn", F.count("change_pct").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    far = (F.col("adjustment") == "qfq") & (F.col("rn") > skip) & (F.abs("change_pct") > STEP_BOUND)
+    return seen.groupBy("adjustment").agg(F.count("gap").alias("judged"), F.count_if(F.col("gap") > STEP_TOLERANCE).alias("inconsistent"), F.count_if(F.col("gap") > 1).alias("beyond_1pp"), F.count_if(far).alias("beyond"))
 
 
 def envelope(bars: DataFrame, adjust: str = "qfq") -> DataFrame:
@@ -94,34 +101,54 @@ def one_word_boards(bars: DataFrame) -> DataFrame:
     return with_change(bars).where(flat & (F.col("close") != F.col("prev_close"))).select("symbol", "trade_date", "close", "prev_close")
 
 
+# Known trading states and directions, and how long a direction's text may be.
+STATUSES, DIRECTIONS, DIRECTION_LENGTH = ("traded", "no_turnover_observed", "suspended"), ("bullish", "bearish", "neutral"), 12
+
+
 def suite(bars: DataFrame, events: DataFrame, sessions: DataFrame, calendar: DataFrame) -> dict[str, tuple[str, Callable[[], DataFrame]]]:
-    """Checks by id: the level of a failure, and a one-column count of what fails. ``calendar`` (trade_date) is a source of its own, not the bars' days.
+    """Checks by id: the level of a failure, and a row with the count of what fails (failing), maybe with a level and a note of its own.
 
-    What counts rows of bars alone is one pass (``bars``), and so is what counts rows of events alone (``events``).
+    ``bars`` have change_pct and trading_status, ``events`` dedup_key and content_hash. ``calendar`` (trade_date) is a source of
+    its own, not the bars' days. What counts rows of bars or of events alone is :func:`one_pass`.
     """
     n = lambda df: df.agg(F.count("*").alias("failing"))
-    many = F.explode_outer("symbols")
+    day = F.to_date("event_time").alias("day")
+    by_key = lambda: duplicates(events.where("dedup_key IS NOT NULL").select(day, "dedup_key"), ["day", "dedup_key"])
+    by_pair = lambda: duplicates(events, ["event_id", "content_hash"])
+    judged = F.when(F.col("adjustment") == "raw", F.col("beyond")).otherwise(F.col("beyond") + F.col("inconsistent"))
+    states = lambda: value_distribution(bars, "trading_status", "adjustment", STATUSES).where("NOT known")
+    symbols = lambda: events.select(F.explode("symbols").alias("s")).distinct().where("NOT s RLIKE '^[0-9]{6}$'")
     return {
         "B2": ("error", lambda: n(duplicates(bars, ["symbol", "adjustment", "trade_date"]))),
-        "B5": ("warn", lambda: steps(bars).agg(F.sum("beyond").alias("failing"))),
+        "B5": ("warn", lambda: steps(bars).agg(F.sum(judged).alias("failing"))),
+        "B6": ("warn", lambda: n(states())),
         "B7": ("warn", lambda: n(envelope(bars))),
         "B8": ("error", lambda: n(date_differences(calendar, sessions))),
-        "E2": ("error", lambda: n(duplicates(events, ["event_id"]))),
-        "E5": ("warn", lambda: events.select(many.alias("s")).agg(F.count_if(F.col("s").isNotNull() & ~F.col("s").rlike("^[0-9]{6}$")).alias("failing"))),
+        "E2": ("error", lambda: n(by_key().select("n").unionByName(by_pair().select("n")))),
+        "E5": ("warn", lambda: n(symbols())),
         "E6": ("info", lambda: n(events.groupBy("event_id").agg(F.count_distinct(F.to_date("event_time")).alias("d")).where("d > 1"))),
         "E7": ("info", lambda: n(event_gaps(events, sessions))),
     }
 
 
 def one_pass(bars: DataFrame, events: DataFrame) -> DataFrame:
-    """(id, level, failing, note) of the checks that only count rows: B3, B4 and B6 in one scan of bars, E3 and E4 in one of events."""
-    of_bars = bars.agg(F.count_if((F.col("volume") > 0) & F.col("close").isNull()).alias("B3"), F.count_if(F.col("close").isNull()).alias("B4"), F.count_if(~F.col("adjustment").isin("raw", "qfq", "hfq")).alias("B6"))
+    """(id, level, failing, note) of the checks that only count rows: B3 and B4 in one scan of bars, E3 and E4 in one of events.
+
+    E4 is an error if a mapped direction (direction_norm) isn't a known one, and a warning if only a direction's text is too long.
+    E5's note, the share of events without symbols, is part of E3's row: it comes from the same scan.
+    """
+    of_bars = bars.agg(F.count_if((F.col("volume") > 0) & F.col("close").isNull()).alias("B3"), F.count_if(F.col("close").isNull()).alias("B4"))
+    unmapped = F.col("direction_norm").isNotNull() & ~F.col("direction_norm").isin(*DIRECTIONS)
     of_events = events.agg(
-        F.count_if(F.col("available_at").isNull() | (F.col("available_at") < F.col("event_time"))).alias("E3"), F.count_if(F.col("direction").isNotNull() & ~F.col("direction").isin("bullish", "bearish", "neutral")).alias("E4")
-    )
-    bad = {"B3": "error", "B4": "info", "B6": "error", "E3": "error", "E4": "warn"}
-    rows = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("id"), F.when(F.col(c) > 0, bad[c]).otherwise("ok").alias("level"), F.col(c).alias("failing"), F.lit("").alias("note")) for c in df.columns])).alias("r")).select("r.*")
-    return rows(of_bars).unionByName(rows(of_events))
+        F.count_if(F.col("available_at").isNull() | (F.col("available_at") < F.col("event_time"))).alias("E3"),
+        F.count_if(unmapped).alias("bad"), F.count_if(F.length("direction") > DIRECTION_LENGTH).alias("dirty"),
+        F.count("*").alias("n"), F.count_if(F.size("symbols") == 0).alias("empty"),
+    )
+    row = lambda id_, level, failing, note="": F.struct(F.lit(id_).alias("id"), F.when(failing > 0, level).otherwise("ok").alias("level"), failing.alias("failing"), F.lit(note).alias("note") if isinstance(note, str) else note.alias("note"))
+    listed = lambda df, *rows: df.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    without = F.concat(F.col("empty").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" events have no symbols"))
+    four = row("E4", F.when(F.col("bad") > 0, "error").otherwise("warn"), F.col("bad") + F.col("dirty"))
+    return listed(of_bars, row("B3", F.lit("error"), F.col("B3")), row("B4", F.lit("info"), F.col("B4"))).unionByName(listed(of_events, row("E3", F.lit("error"), F.col("E3"), without), four))
 
 
 def run_suite(checks: dict[str, tuple[str, Callable[[], DataFrame]]]) -> DataFrame:

@@ -37,6 +37,19 @@ def channel(bars: DataFrame, n: int) -> DataFrame:
     return out.withColumn("signal", F.when(F.col("close") > F.col("top"), "long").when(F.col("close") < F.col("floor"), "exit")).where("signal IS NOT NULL").select("symbol", "trade_date", "close", "top", "floor", "signal")
 
 
+def gated(signals: DataFrame, buy: Column) -> DataFrame:
+    """Signals that a position lets through: symbol, trade_date, action (buy only when flat, sell only when holding).
+
+    ``signals`` (symbol, trade_date, …) are buys where ``buy`` holds, else sells. Among them a signal counts exactly where
+    it departs from the one before it, and the first one if it is a buy: whatever repeats finds the position taken
+    already. So a window does it, without a walk through the account.
+    """
+    told = signals.select("symbol", "trade_date", buy.alias("buy"))
+    was = F.lag("buy").over(Window.partitionBy("symbol").orderBy("trade_date"))
+    kept = told.withColumn("kept", F.coalesce(F.col("buy") != was, F.col("buy"))).where("kept")
+    return kept.select("symbol", "trade_date", F.when(F.col("buy"), "buy").otherwise("sell").alias("action"))
+
+
 def volume_breakouts(bars: DataFrame, n: int, k: float) -> DataFrame:
     """Bars that close above their open on a volume over k times the mean of the n bars before."""
     w = _own().rowsBetween(-n, -1)

@@ -148,13 +148,24 @@ def best_cell(cells: DataFrame) -> DataFrame:
     return cells.where("status = 'ok' AND sharpe IS NOT NULL").orderBy(F.desc("sharpe"), F.desc_nulls_last("total_return"), "cell").limit(1)
 
 
-def gate_buys(orders: DataFrame, max_weight: float = 0.2, max_gross: float = 0.8, max_drawdown: float = 0.2) -> DataFrame:
-    """Risk gates on proposed buys (qty, price, equity, market_value, symbol_value, pending, drawdown, has_position): allowed lots and why less."""
-    room = F.least(F.col("equity") * max_weight - F.col("symbol_value"), F.col("equity") * max_gross - F.col("market_value") - F.col("pending"))
-    capped = (F.floor(F.greatest(room, F.lit(0.0)) / F.col("price") / rules.LOT) * rules.LOT).cast("long")
-    allowed = F.least("qty", capped)
-    why = F.when(F.col("has_position"), "position_open").when(F.col("equity") <= 0, "no_equity").when(F.col("drawdown") >= max_drawdown, "drawdown").when(allowed < rules.LOT, "below_a_lot").when(allowed < F.col("qty"), "capped")
-    return orders.withColumn("reason", why).withColumn("allowed", F.when(why.isNull() | (why == "capped"), allowed).otherwise(F.lit(0).cast("long")))
+def gate_buys(orders: DataFrame, costs: rules.Costs = rules.Costs(), max_position: float = 0.2, max_gross: float = 0.8, max_drawdown: float = 0.2) -> DataFrame:
+    """Risk gates on proposed buys: action (block, cap or pass), reason (the gate, null for pass) and allowed shares.
+
+    ``orders`` have qty, budget, price, equity, market_value, symbol_value, pending, drawdown (a fraction, may be null),
+    has_position, stop_loss_pending. Hard gates come first: position_open, stop_loss_pending, drawdown (also without any
+    equity). Then the smaller room of concentration and gross_exposure, and the budget, are spent on whole lots with their
+    fees; less than one lot is a block, less than asked for a cap.
+    """
+    room = lambda share, taken: F.greatest(F.col("equity") * share - taken, F.lit(0.0))
+    of_symbol, of_all = room(max_position, F.col("symbol_value")), room(max_gross, F.col("market_value") + F.col("pending"))
+    hard = F.when(F.col("has_position"), "position_open").when(F.col("stop_loss_pending"), "stop_loss_pending").when((F.col("equity") <= 0) | (F.col("drawdown") >= max_drawdown), "drawdown")
+    gate = F.when(of_symbol <= of_all, "concentration").otherwise("gross_exposure")
+    told = orders.withColumn("hard", hard).withColumn("gate", gate).withColumn("lots", rules.affordable_lots(F.least("budget", of_symbol, of_all), F.col("price"), costs))
+    blocked = F.col("hard").isNotNull() | (F.col("lots") < rules.LOT)
+    action = F.when(blocked, "block").when(F.col("lots") < F.col("qty"), "cap").otherwise("pass")
+    told = told.withColumn("action", action)
+    allowed = F.when(F.col("action") == "block", F.lit(0)).otherwise(F.least("lots", F.when(F.col("action") == "pass", F.col("qty")).otherwise(F.col("lots")))).cast("long")
+    return told.withColumn("allowed", allowed).withColumn("reason", F.when(F.col("action") != "pass", F.coalesce("hard", "gate"))).drop("hard", "gate", "lots")
 
 
 def decision_ids(decisions: DataFrame) -> DataFrame:

@@ -102,11 +102,13 @@ def l4_unpriced(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_(BARS)
-    + """, c AS (SELECT adjustment, row_number() OVER w AS rn, round((close / lag(close) OVER w - 1) * 100, 6) AS pct FROM priced WINDOW w AS (PARTITION BY symbol, adjustment ORDER BY trade_date))
-    SELECT adjustment, count_if(abs(pct) > 31) AS beyond, count(pct) AS judged FROM c WHERE rn > 5 GROUP BY adjustment"""
+    + """, c AS (SELECT symbol, adjustment, trade_date, (close / lag(close) OVER w - 1) * 100 AS now FROM priced WINDOW w AS (PARTITION BY symbol, adjustment ORDER BY trade_date)),
+    t AS (SELECT *, round(now, 6) + CASE month(trade_date) WHEN 3 THEN 0.02 WHEN 7 THEN 2.0 ELSE 0 END::DOUBLE AS told, row_number() OVER (PARTITION BY symbol, adjustment ORDER BY trade_date) AS rn FROM c WHERE now IS NOT NULL)
+    SELECT adjustment, count(*) AS judged, count_if(abs(now - told) > 0.011) AS inconsistent, count_if(abs(now - told) > 1) AS beyond_1pp, count_if(adjustment = 'qfq' AND rn > 5 AND abs(told) > 31) AS beyond FROM t GROUP BY adjustment"""
 )
 def l5_steps(spark: SparkSession, d: str) -> DataFrame:
-    return Q.steps(B.bars(spark, d))
+    off = F.when(F.month("trade_date") == 3, 0.02).when(F.month("trade_date") == 7, 2.0).otherwise(0.0)
+    return Q.steps(B.bars(spark, d).withColumn("change_pct", F.col("change_pct") + off))
 
 
 @query(with_(BARS) + "SELECT * FROM (SELECT trade_date, n, lag(n) OVER (ORDER BY trade_date) AS before FROM (SELECT trade_date, count(DISTINCT symbol) AS n FROM bars WHERE adjustment = 'qfq' GROUP BY trade_date)) WHERE n < before * 0.9")

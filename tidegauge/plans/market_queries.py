@@ -316,27 +316,32 @@ def i19_delisted(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_(BARS, SESSIONS, EVENTS)
-    + """, c AS (SELECT *, row_number() OVER (PARTITION BY symbol, adjustment ORDER BY trade_date) AS rn, round((close / lag(close) OVER (PARTITION BY symbol, adjustment ORDER BY trade_date) - 1) * 100, 6) AS pct FROM priced),
+    + """, ch AS (SELECT symbol, adjustment, trade_date, round((close / lag(close) OVER w - 1) * 100, 6) AS pct, (close / lag(close) OVER w - 1) * 100 AS now FROM priced WINDOW w AS (PARTITION BY symbol, adjustment ORDER BY trade_date)),
+    c AS (SELECT *, row_number() OVER (PARTITION BY symbol, adjustment ORDER BY trade_date) AS rn FROM ch WHERE pct IS NOT NULL),
     n AS (SELECT trade_date, count(DISTINCT symbol) AS n FROM bars WHERE adjustment = 'qfq' GROUP BY trade_date), n2 AS (SELECT n, lag(n) OVER (ORDER BY trade_date) AS b FROM n),
     cal AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS trade_date, 1 AS m FROM orders),
     dd AS (SELECT DISTINCT event_time::DATE AS day FROM ev), sp AS (SELECT unnest(range((SELECT min(day) FROM dd), (SELECT max(day) FROM dd) + 1, INTERVAL 1 DAY))::DATE AS day),
+    e2 AS (SELECT *, event_type || '|' || symbols[1] || '|' || hour(event_time) AS dedup_key, event_type || score AS content_hash, CASE WHEN event_id % 500 = 0 THEN repeat('x', 13) ELSE direction END AS told FROM ev),
     f(id, bad, failing) AS (
       SELECT 'B2', 'error', (SELECT count(*) FROM (SELECT 1 FROM bars GROUP BY symbol, adjustment, trade_date HAVING count(*) > 1))
       UNION ALL SELECT 'B3', 'error', (SELECT count(*) FROM bars WHERE volume > 0 AND close IS NULL)
       UNION ALL SELECT 'B4', 'info', (SELECT count(*) FROM bars WHERE close IS NULL)
-      UNION ALL SELECT 'B5', 'warn', (SELECT count(*) FROM c WHERE rn > 5 AND abs(pct) > 31)
-      UNION ALL SELECT 'B6', 'error', (SELECT count(*) FROM bars WHERE adjustment NOT IN ('raw', 'qfq', 'hfq'))
+      UNION ALL SELECT 'B5', 'warn', (SELECT count_if(adjustment = 'qfq' AND rn > 5 AND abs(pct) > 31) + count_if(adjustment <> 'raw' AND abs(now - pct) > 0.011) FROM c)
+      UNION ALL SELECT 'B6', 'warn', (SELECT count(*) FROM (SELECT DISTINCT adjustment FROM bars WHERE volume > 400))
       UNION ALL SELECT 'B7', 'warn', (SELECT count(*) FROM n2 WHERE n < b * 0.9)
       UNION ALL SELECT 'B8', 'error', (SELECT count(*) FROM cal FULL JOIN ses USING (trade_date) WHERE cal.m IS NULL OR ses.session_idx IS NULL)
-      UNION ALL SELECT 'E2', 'error', (SELECT count(*) FROM (SELECT 1 FROM ev GROUP BY event_id HAVING count(*) > 1))
+      UNION ALL SELECT 'E2', 'error', (SELECT count(*) FROM (SELECT 1 FROM e2 GROUP BY event_time::DATE, dedup_key HAVING count(*) > 1)) + (SELECT count(*) FROM (SELECT 1 FROM e2 GROUP BY event_id, content_hash HAVING count(*) > 1))
       UNION ALL SELECT 'E3', 'error', (SELECT count(*) FROM ev WHERE available_at IS NULL OR available_at < event_time)
-      UNION ALL SELECT 'E4', 'warn', (SELECT count(*) FROM ev WHERE direction NOT IN ('bullish', 'bearish', 'neutral'))
-      UNION ALL SELECT 'E5', 'warn', (SELECT count(*) FROM (SELECT unnest(symbols) AS s FROM ev) WHERE NOT regexp_full_match(s, '[0-9]{6}'))
+      UNION ALL SELECT 'E4', 'warn', (SELECT count(*) FROM e2 WHERE length(told) > 12)
+      UNION ALL SELECT 'E5', 'warn', (SELECT count(DISTINCT s) FROM (SELECT unnest(symbols) AS s FROM ev) WHERE NOT regexp_full_match(s, '[0-9]{6}'))
       UNION ALL SELECT 'E6', 'info', (SELECT count(*) FROM (SELECT 1 FROM ev GROUP BY event_id HAVING count(DISTINCT event_time::DATE) > 1))
       UNION ALL SELECT 'E7', 'info', (SELECT count(*) FROM sp WHERE day NOT IN (SELECT day FROM dd)))
     SELECT id, CASE WHEN failing > 0 THEN bad ELSE 'ok' END AS level, failing FROM f"""
 )
 def l18_health_suite(spark: SparkSession, d: str) -> DataFrame:
-    b = _bars(spark, d)
-    e, calendar = B.events(spark, d), B.table(spark, d, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("trade_date"))
+    b = _bars(spark, d).withColumn("trading_status", F.when(F.col("volume") > 400, "new").otherwise("traded"))
+    calendar = B.table(spark, d, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("trade_date"))
+    key = F.concat_ws("|", "event_type", F.col("symbols")[0], F.hour("event_time").cast("string"))
+    e = B.events(spark, d).withColumns({"dedup_key": key, "content_hash": F.concat("event_type", F.col("score").cast("string")), "direction_norm": F.col("direction")})
+    e = e.withColumn("direction", F.when(F.col("event_id") % 500 == 0, F.repeat(F.lit("x"), 13)).otherwise(F.col("direction")))
     return Q.run_suite(Q.suite(b, e, B.sessions(b), calendar)).unionByName(Q.one_pass(b, e)).select("id", "level", "failing")

@@ -181,19 +181,23 @@ def k18_decision_ids(spark: SparkSession, d: str) -> DataFrame:
     return K.decision_ids(log.select(F.substring("symbol", 1, 3).alias("account"), F.col("trade_date").alias("decided_on"), "symbol", F.when(F.col("cross") == "golden", "buy").otherwise("sell").alias("side")))
 
 
-_GATES = """o AS (SELECT l_orderkey, l_linenumber, (l_quantity * 100)::BIGINT AS qty, l_extendedprice / 100 AS price, l_tax AS t, l_discount AS dd, CASE WHEN l_partkey % 13 = 0 THEN 0.0 ELSE 1000000.0 END::DOUBLE AS equity, l_suppkey % 9 = 0 AS has FROM lineitem),
-g AS (SELECT *, least(equity * 0.2::DOUBLE - t * 1000000, equity * 0.8::DOUBLE - dd * 6000000 - 10000.0) AS room FROM o),
-h AS (SELECT *, least(qty, (floor(greatest(room, 0) / price / 100) * 100)::BIGINT) AS a FROM g),
-k AS (SELECT *, CASE WHEN has THEN 'position_open' WHEN equity <= 0 THEN 'no_equity' WHEN dd * 3 >= 0.2 THEN 'drawdown' WHEN a < 100 THEN 'below_a_lot' WHEN a < qty THEN 'capped' END AS reason FROM h)"""
+_GATES = """o AS (SELECT l_orderkey, l_linenumber, (l_quantity * 100)::BIGINT AS qty, l_extendedprice * 3 AS budget, l_extendedprice / 100 AS price,
+  CASE WHEN l_partkey % 13 = 0 THEN 0.0 ELSE 1000000.0 END::DOUBLE AS equity, l_discount * 6000000 AS value, l_tax * 1000000 AS own, l_discount * 3 AS dd, l_suppkey % 9 = 0 AS has, l_suppkey % 11 = 0 AS stops FROM lineitem),
+g AS (SELECT *, greatest(equity * 0.2::DOUBLE - own, 0) AS a, greatest(equity * 0.8::DOUBLE - (value + 10000.0), 0) AS b FROM o),
+r AS (SELECT *, least(budget, a, b) AS cash, CASE WHEN has THEN 'position_open' WHEN stops THEN 'stop_loss_pending' WHEN equity <= 0 OR dd >= 0.2 THEN 'drawdown' END AS hard, CASE WHEN a <= b THEN 'concentration' ELSE 'gross_exposure' END AS gate FROM g),
+n AS (SELECT *, (floor(cash / price / 100) * 100)::BIGINT AS most FROM r),
+h AS (SELECT *, coalesce(list_max(list_filter(list_transform(range(0, 8), lambda i: most - i * 100), lambda q: q > 0 AND q * price + greatest(q * price * 0.00025::DOUBLE, 5.0::DOUBLE) <= cash)), 0) AS lots FROM n),
+k AS (SELECT *, CASE WHEN hard IS NOT NULL OR lots < 100 THEN 'block' WHEN lots < qty THEN 'cap' ELSE 'pass' END AS action FROM h)"""
 
 
-@query(with_(_GATES) + "SELECT l_orderkey, l_linenumber, reason, CASE WHEN reason IS NULL OR reason = 'capped' THEN a ELSE 0 END AS allowed FROM k")
+@query(with_(_GATES) + "SELECT l_orderkey, l_linenumber, action, CASE WHEN action <> 'pass' THEN coalesce(hard, gate) END AS reason, CASE action WHEN 'block' THEN 0 WHEN 'cap' THEN lots ELSE qty END AS allowed FROM k")
 def k19_risk_gates(spark: SparkSession, d: str) -> DataFrame:
     o = B.table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", (F.col("l_quantity") * 100).cast("long").alias("qty"), (F.col("l_extendedprice") / 100).alias("price"), F.when(F.col("l_partkey") % 13 == 0, 0.0).otherwise(1_000_000.0).alias("equity"),
-        (F.col("l_discount") * 6_000_000).alias("market_value"), (F.col("l_tax") * 1_000_000).alias("symbol_value"), F.lit(10_000.0).alias("pending"), (F.col("l_discount") * 3).alias("drawdown"), (F.col("l_suppkey") % 9 == 0).alias("has_position"),
+        "l_orderkey", "l_linenumber", (F.col("l_quantity") * 100).cast("long").alias("qty"), (F.col("l_extendedprice") * 3).alias("budget"), (F.col("l_extendedprice") / 100).alias("price"),
+        F.when(F.col("l_partkey") % 13 == 0, 0.0).otherwise(1_000_000.0).alias("equity"), (F.col("l_discount") * 6_000_000).alias("market_value"), (F.col("l_tax") * 1_000_000).alias("symbol_value"),
+        F.lit(10_000.0).alias("pending"), (F.col("l_discount") * 3).alias("drawdown"), (F.col("l_suppkey") % 9 == 0).alias("has_position"), (F.col("l_suppkey") % 11 == 0).alias("stop_loss_pending"),
     )
-    return K.gate_buys(o).select("l_orderkey", "l_linenumber", "reason", "allowed")
+    return K.gate_buys(o).select("l_orderkey", "l_linenumber", "action", "reason", "allowed")
 
 
 def _queries_of(spark, d):
@@ -288,8 +292,11 @@ def n8_keyset_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     r"""WITH t AS (SELECT p_partkey, '1、' || p_name || ' ' || p_size || ' % of ' || p_retailprice || '万元' || chr(10) || '2. ' || p_size || '.5亿元，-' || p_size || '倍 ３．５％' || chr(10) || '- 7)' AS x FROM part),
-    s AS (SELECT p_partkey, regexp_replace(translate(x, '０１２３４５６７８９％．', '0123456789%.'), '(?m)^[ 	]*(?:\d+[、)]|\d+\.[ 	]+|[-*·][ 	]+)[ 	]*', '', 'g') AS y FROM t)
-    SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(y, '\d+(?:\.\d+)?\s*(?:%|‰|亿元|亿|万元|万|元|倍|pp|个基点)?'), lambda n: regexp_replace(n, '\s+', '', 'g')), '|') AS numbers FROM s"""
+    l AS (SELECT p_partkey, string_split(translate(x, '０１２３４５６７８９％．', '0123456789%.'), chr(10)) AS lines FROM t),
+    y AS (SELECT p_partkey, list_transform(lines, lambda z: CASE WHEN starts_with(z, '1、') THEN substr(z, 3) WHEN starts_with(z, '2. ') OR starts_with(z, '- ') THEN substr(z, 3) ELSE z END) AS lines FROM l),
+    c AS (SELECT p_partkey, regexp_extract_all(array_to_string(lines, chr(10)), '[0-9.]*[0-9][^0-9]*') AS cut FROM y),
+    n AS (SELECT p_partkey, list_transform(cut, lambda z: {'n': rtrim(regexp_extract(z, '^[0-9.]+'), '.'), 'rest': ltrim(regexp_replace(z, '^[0-9.]+', ''), ' ' || chr(10))}) AS cut FROM c)
+    SELECT p_partkey, array_to_string(list_transform(cut, lambda z: z.n || coalesce(list_filter(['%', '‰', '亿元', '亿', '万元', '万', '元', '倍', 'pp', '个基点'], lambda u: starts_with(z.rest, u))[1], '')), '|') AS numbers FROM n"""
 )
 def h16_numbers(spark: SparkSession, d: str) -> DataFrame:
     price = F.format_string("%s", F.col("p_retailprice"))

@@ -87,11 +87,12 @@ def test_a_sell_closes_the_buy_right_before_it(spark):
     assert held.pnl == 195.0 and held.return_pct == pytest.approx(195 / 705, abs=1e-6)
 
 
-def test_grid_and_parameters_are_checked(spark):
-    assert trades.grid(spark, "ma_cross", {"fast": [2, 3], "slow": [8, 9]}).count() == 4
-    for bad in ({"fast": 9, "slow": 5}, {"fast": True}, {"nope": 1}):
+def test_parameter_cells_and_sort_keys_are_checked(spark):
+    cells = [tuple(r) for r in series.parameter_cells(spark, {"fast": [2, 3], "slow": [8, 9]}).orderBy("cell").collect()]
+    assert cells == [(0, 2, 8), (1, 2, 9), (2, 3, 8), (3, 3, 9)]
+    for bad in ({}, {"a": [True]}, {"a": [0]}, {"a": []}, {"a": [1.5]}, {"a": [1], "b": [1], "c": [1]}, {"a": list(range(1, 12)), "b": list(range(1, 12))}):
         with pytest.raises(ValueError):
-            trades.validated("ma_cross", bad)
+            series.parameter_cells(spark, bad)
     with pytest.raises(ValueError):
         market.cross_section(spark.range(1), "2024-01-01", sort="drop table")
 

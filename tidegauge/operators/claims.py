@@ -67,9 +67,9 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def _at(body: Column, path: Column) -> Column:
-    """The value at a dotted path of a variant; null where a segment is missing, which a JSON null is not."""
+    """The value at a dotted path of a variant; null where a segment is missing, which a JSON null is not, or has quotes or brackets."""
     steps = F.transform(F.split(path, "\\."), lambda s: F.concat(F.lit('["'), s, F.lit('"]')))
-    return F.try_variant_get(body, F.concat(F.lit("$"), F.array_join(steps, "")), "variant")
+    return F.when(~path.rlike("[\"\\[\\]]"), F.try_variant_get(body, F.concat(F.lit("$"), F.array_join(steps, "")), "variant"))
 
 
 def claim_problems(reports: DataFrame, body: str, key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import PERIODS_PER_YEAR, Costs
@@ -37,6 +37,42 @@ def channel(bars: DataFrame, n: int) -> DataFrame:
     return out.withColumn("signal", F.when(F.col("close") > F.col("top"), "long").when(F.col("close") < F.col("floor"), "exit")).where("signal IS NOT NULL").select("symbol", "trade_date", "close", "top", "floor", "signal")
 
 
+def parameter_cells(spark: SparkSession, axes: dict[str, list[int]], most: int = 100) -> DataFrame:
+    """(cell, one column per axis): the product of at most two axes, the first slowest; more than ``most`` cells raise."""
+    if not 1 <= len(axes) <= 2:
+        raise ValueError("one or two axes")
+    size = 1
+    for values in axes.values():
+        if not values or any(isinstance(v, bool) or not isinstance(v, int) or v < 1 for v in values):
+            raise ValueError(f"an axis needs whole numbers from 1 on, not {values!r}")
+        size *= len(values)
+    if size > most:
+        raise ValueError(f"{size} cells, at most {most} are allowed")
+    cells = spark.range(1).select(F.lit(0).cast("long").alias("cell"))
+    for name, values in axes.items():
+        axis = F.posexplode(F.array(*map(F.lit, values)))
+        cells = cells.select("*", axis.alias("at", name)).withColumn("cell", F.col("cell") * len(values) + F.col("at")).drop("at")
+    return cells
+
+
+def grid_crosses(bars: DataFrame, fasts: list[int], slows: list[int]) -> DataFrame:
+    """(cell, fast, slow, golden, death): how often means cross, over all symbols, for every pair of lengths; a cell whose fast isn't below its slow has nulls.
+
+    All means come from one sort of the bars; cells are columns of a row until their crosses are counted.
+    """
+    cells = parameter_cells(bars.sparkSession, {"fast": fasts, "slow": slows})
+    means = bars.select("symbol", "trade_date", "close")
+    for n in sorted({*fasts, *slows}):
+        means = moving_average(means, n).withColumnRenamed("ma", f"ma_{n}")
+    lengths = F.create_map(*[x for n in sorted({*fasts, *slows}) for x in (F.lit(n), F.struct(F.col(f"ma_{n}").alias("now"), F.lag(f"ma_{n}").over(_own()).alias("was")))])
+    met = means.select("symbol", lengths.alias("ma")).crossJoin(F.broadcast(cells.where("fast < slow")))
+    a, b = F.col("ma")[F.col("fast")], F.col("ma")[F.col("slow")]
+    ready = b["was"].isNotNull()
+    golden, death = ready & (a["was"] <= b["was"]) & (a["now"] > b["now"]), ready & (a["was"] >= b["was"]) & (a["now"] < b["now"])
+    counted = met.groupBy("cell").agg(F.count_if(golden).alias("golden"), F.count_if(death).alias("death"))
+    return cells.join(counted, "cell", "left").select("cell", "fast", "slow", "golden", "death")
+
+
 def gated(signals: DataFrame, buy: Column) -> DataFrame:
     """Signals that a position lets through: symbol, trade_date, action (buy only when flat, sell only when holding).
 

@@ -1,45 +1,13 @@
-"""Orders, fills and round trips: parameter grids, limit bands, the event feed of bars, pairing, marking, attribution, gates."""
+"""Orders, fills and round trips: limit bands, the event feed of bars, pairing, marking, attribution, gates."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from .market import priced
 
-STRATEGIES = {"ma_cross": {"fast": 5, "slow": 20}, "donchian": {"n": 10}, "volume": {"n": 10, "k": 1.5, "hold": 3}, "event": {"min_score": 50.0, "hold": 3}, "rsi": {"period": 6, "low": 30.0, "high": 70.0}}
-
-
-def validated(strategy: str, params: dict | None = None) -> dict:
-    """Parameters with their defaults; an unknown strategy, name or type raises."""
-    if strategy not in STRATEGIES:
-        raise ValueError(f"no strategy {strategy!r}")
-    known = STRATEGIES[strategy]
-    for k, v in (params or {}).items():
-        if k not in known or isinstance(v, bool) or not isinstance(v, (int, float)) or v <= 0:
-            raise ValueError(f"{strategy}: bad parameter {k}={v!r}")
-    out = known | (params or {})
-    if strategy == "ma_cross" and out["fast"] >= out["slow"]:
-        raise ValueError("fast must be below slow")
-    return out
-
-
-def grid(spark, strategy: str, axes: dict[str, list]) -> DataFrame:
-    """(cell, strategy, params): the product of at most two axes, the first slowest, at most 100 cells."""
-    cells: list[dict] = [{}]
-    if len(axes) > 2:
-        raise ValueError("at most two axes")
-    for name, values in axes.items():
-        cells = [c | {name: v} for c in cells for v in values]
-    if len(cells) > 100:
-        raise ValueError("at most 100 cells")
-    return spark.createDataFrame([(i, strategy, json.dumps(validated(strategy, c))) for i, c in enumerate(cells)], "cell long, strategy string, params string")
-
 
 def bands(raw_bars: DataFrame) -> DataFrame:
     """(symbol, trade_date, up, down) from the raw close before; the first bar, or an unknown board, has none."""
@@ -154,7 +122,8 @@ def gate_buys(orders: DataFrame, costs: rules.Costs = rules.Costs(), max_positio
     ``orders`` have qty, budget, price, equity, market_value, symbol_value, pending, drawdown (a fraction, may be null),
     has_position, stop_loss_pending. Hard gates come first: position_open, stop_loss_pending, drawdown (also without any
     equity). Then the smaller room of concentration and gross_exposure, and the budget, are spent on whole lots with their
-    fees; less than one lot is a block, less than asked for a cap.
+    fees; less than one lot is a block, less than asked for a cap;
+    what passes gets all lots that the budget pays for.
     """
     room = lambda share, taken: F.greatest(F.col("equity") * share - taken, F.lit(0.0))
     of_symbol, of_all = room(max_position, F.col("symbol_value")), room(max_gross, F.col("market_value") + F.col("pending"))
@@ -164,17 +133,17 @@ def gate_buys(orders: DataFrame, costs: rules.Costs = rules.Costs(), max_positio
     blocked = F.col("hard").isNotNull() | (F.col("lots") < rules.LOT)
     action = F.when(blocked, "block").when(F.col("lots") < F.col("qty"), "cap").otherwise("pass")
     told = told.withColumn("action", action)
-    allowed = F.when(F.col("action") == "block", F.lit(0)).otherwise(F.least("lots", F.when(F.col("action") == "pass", F.col("qty")).otherwise(F.col("lots")))).cast("long")
-    return told.withColumn("allowed", allowed).withColumn("reason", F.when(F.col("action") != "pass", F.coalesce("hard", "gate"))).drop("hard", "gate", "lots")
+    return told.withColumn("allowed", F.when(F.col("action") == "block", F.lit(0)).otherwise(F.col("lots")).cast("long")).withColumn("reason", F.when(F.col("action") != "pass", F.coalesce("hard", "gate"))).drop("hard", "gate", "lots")
 
 
-def decision_ids(decisions: DataFrame) -> DataFrame:
-    """Decisions with an id that follows from account, day, symbol and side (a version-5 UUID)."""
-    import uuid
+#: The namespace of identifiers made from addresses, as RFC 9562 gives it (a fixed value).
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
-    @F.pandas_udf("string")
-    def made(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda k: str(uuid.uuid5(uuid.NAMESPACE_URL, k)))
 
-    return decisions.withColumn("decision_id", made(F.concat_ws("|", "account", F.col("decided_on").cast("string"), "symbol", "side")))
+def decision_ids(decisions: DataFrame) -> DataFrame:
+    """Decisions with an id that follows from account, day, symbol and side (a version-5 UUID): a SHA-1 with two fields set."""
+    name = F.concat_ws("|", "account", F.col("decided_on").cast("string"), "symbol", "side")
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(name, "UTF-8")))
+    part = lambda a, n: F.substring(h, a, n)
+    variant = F.element_at(F.array(*map(F.lit, "89ab")), (F.conv(part(17, 1), 16, 10).cast("int") % 4 + 1))
+    return decisions.withColumn("decision_id", F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12)))

@@ -111,6 +111,22 @@ def k9_gated_channel(spark: SparkSession, d: str) -> DataFrame:
     return S.gated(S.channel(M.priced(M.of_adjustment(B.bars(spark, d), "qfq")), 10), F.col("signal") == "long")
 
 
+_MEAN = "round(CAST(sum(close::DECIMAL(28,8)) OVER (PARTITION BY symbol ORDER BY trade_date ROWS {} PRECEDING) AS DOUBLE) / {}, 8) AS m{}"
+
+
+@query(
+    with_(BARS)
+    + f""", m AS (SELECT symbol, trade_date, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS rn, {", ".join(_MEAN.format(n - 1, n, n) for n in (3, 5, 10, 20))} FROM priced WHERE adjustment = 'qfq'),
+    l AS (SELECT symbol, trade_date, rn, unnest([{{'n': 3, 'm': m3}}, {{'n': 5, 'm': m5}}, {{'n': 10, 'm': m10}}, {{'n': 20, 'm': m20}}], recursive := true) FROM m),
+    v AS (SELECT symbol, trade_date, n, CASE WHEN rn >= n THEN m END AS m, lag(CASE WHEN rn >= n THEN m END) OVER (PARTITION BY symbol, n ORDER BY trade_date) AS p FROM l),
+    c AS (SELECT (i - 1) * 3 + j - 1 AS cell, [3, 10][i] AS fast, [5, 10, 20][j] AS slow FROM range(1, 3) AS a(i), range(1, 4) AS b(j)),
+    k AS (SELECT fast, slow, count_if(f.p <= s.p AND f.m > s.m) AS golden, count_if(f.p >= s.p AND f.m < s.m) AS death FROM c JOIN v f ON f.n = fast JOIN v s ON s.n = slow AND s.symbol = f.symbol AND s.trade_date = f.trade_date WHERE fast < slow GROUP BY ALL)
+    SELECT cell, fast, slow, golden, death FROM c LEFT JOIN k USING (fast, slow)"""
+)
+def c17_grid_crosses(spark: SparkSession, d: str) -> DataFrame:
+    return S.grid_crosses(M.priced(M.of_adjustment(B.bars(spark, d), "qfq")), [3, 10], [5, 10, 20])
+
+
 @query(
     with_(BARS, SESSIONS, EVENTS)
     + """, e AS (SELECT event_id, event_time::DATE AS day FROM ev WHERE event_time::DATE BETWEEN (SELECT min(trade_date) FROM ses) AND (SELECT max(trade_date) FROM ses)),

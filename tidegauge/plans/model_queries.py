@@ -175,7 +175,15 @@ def i17_trip_alpha(spark: SparkSession, d: str) -> DataFrame:
     return K.trip_alpha(closed, M.market_daily(M.with_change(b)), B.sessions(b))
 
 
-@query()
+@query(
+    with_(BARS)
+    + """, f AS (SELECT symbol, trade_date, count(*) OVER b AS n, round(CAST(sum(close::DECIMAL(28,8)) OVER a AS DOUBLE) / 5, 8) AS fast, round(CAST(sum(close::DECIMAL(28,8)) OVER b AS DOUBLE) / 20, 8) AS slow
+      FROM priced WHERE adjustment = 'qfq' WINDOW a AS (PARTITION BY symbol ORDER BY trade_date ROWS 4 PRECEDING), b AS (PARTITION BY symbol ORDER BY trade_date ROWS 19 PRECEDING)),
+    g AS (SELECT *, lag(fast) OVER w AS f0, lag(slow) OVER w AS s0, lag(n) OVER w AS n0 FROM f WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
+    c AS (SELECT substr(symbol, 1, 3) AS account, trade_date AS decided_on, symbol, CASE WHEN fast > slow THEN 'buy' ELSE 'sell' END AS side FROM g WHERE n0 = 20 AND ((f0 <= s0 AND fast > slow) OR (f0 >= s0 AND fast < slow))),
+    h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(account || '|' || decided_on || '|' || symbol || '|' || side)) AS h FROM c)
+    SELECT account, decided_on, symbol, side, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', h[17:17]), 1) || h[18:20] || '-' || h[21:32] AS decision_id FROM h"""
+)
 def k18_decision_ids(spark: SparkSession, d: str) -> DataFrame:
     log = S.crosses(M.priced(_qfq(spark, d)), 5, 20)
     return K.decision_ids(log.select(F.substring("symbol", 1, 3).alias("account"), F.col("trade_date").alias("decided_on"), "symbol", F.when(F.col("cross") == "golden", "buy").otherwise("sell").alias("side")))
@@ -190,7 +198,7 @@ h AS (SELECT *, coalesce(list_max(list_filter(list_transform(range(0, 8), lambda
 k AS (SELECT *, CASE WHEN hard IS NOT NULL OR lots < 100 THEN 'block' WHEN lots < qty THEN 'cap' ELSE 'pass' END AS action FROM h)"""
 
 
-@query(with_(_GATES) + "SELECT l_orderkey, l_linenumber, action, CASE WHEN action <> 'pass' THEN coalesce(hard, gate) END AS reason, CASE action WHEN 'block' THEN 0 WHEN 'cap' THEN lots ELSE qty END AS allowed FROM k")
+@query(with_(_GATES) + "SELECT l_orderkey, l_linenumber, action, CASE WHEN action <> 'pass' THEN coalesce(hard, gate) END AS reason, CASE action WHEN 'block' THEN 0 ELSE lots END AS allowed FROM k")
 def k19_risk_gates(spark: SparkSession, d: str) -> DataFrame:
     o = B.table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", (F.col("l_quantity") * 100).cast("long").alias("qty"), (F.col("l_extendedprice") * 3).alias("budget"), (F.col("l_extendedprice") / 100).alias("price"),

@@ -53,16 +53,18 @@ def derived_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.select("symbol", "adjustment", "trade_date", cents("open"), cents("high"), cents("low"), cents("close"), "volume", "amount")
 
 
+#: Goes up with every change of how bars are derived, so that no store of another derivation is read.
+DERIVATION = 2
 STORED = "symbol string, trade_date date, open double, high double, low double, close double, volume double, amount double, prev_close double, change_pct double, adjustment string, year int"
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bars with prev_close and change_pct, stored by adjustment and year in the shared folder when they are first asked for.
 
-    The store's name holds the path and time of the line items it comes from, so a changed table gets a new one.
+    The store's name holds the path and time of the line items it comes from and the version of the derivation.
     """
     at, fs = lake._path(spark, f"{sf_dir}/lineitem.parquet")
-    mark = hashlib.sha256(f"{sf_dir}|{fs.getFileStatus(at).getModificationTime()}".encode()).hexdigest()[:24]
+    mark = hashlib.sha256(f"{DERIVATION}|{STORED}|{sf_dir}|{fs.getFileStatus(at).getModificationTime()}".encode()).hexdigest()[:24]
     folder = f"{_store(spark)}/bars-{mark}"
     there, store = lake._path(spark, folder)
     if not store.exists(there):

@@ -164,16 +164,20 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_shards(bars: DataFrame, folder: str) -> None:
-    """Bars by adjustment and year, sorted by day and symbol: written aside first, then all put in place at once."""
+    """Bars by adjustment and year, sorted by day and symbol: written aside first, then put in place; what was there is moved aside until then."""
     spark = bars.sparkSession
     aside = f"{folder}.staging-{uuid.uuid4().hex}"
     dated = bars.withColumn("year", F.year("trade_date"))
     dated.repartition("adjustment", "year").sortWithinPartitions("trade_date", "symbol").write.partitionBy("adjustment", "year").parquet(aside)
     here, fs = _path(spark, aside)
     there, _ = _path(spark, folder)
-    fs.delete(there, True)
+    was, _ = _path(spark, f"{folder}.replaced-{uuid.uuid4().hex}")
+    if fs.exists(there) and not fs.rename(there, was):
+        raise OSError(f"{folder} could not be moved aside")
     if not fs.rename(here, there):
-        raise OSError(f"{folder} could not be put in place")
+        fs.rename(was, there)
+        raise OSError(f"{folder} could not be put in place; what was there stays")
+    fs.delete(was, True)
 
 
 def shard_stats(bars: DataFrame) -> DataFrame:

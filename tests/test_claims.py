@@ -134,3 +134,9 @@ def test_numbers_and_marks(spark):
     assert {r.t: r.n for r in rows} == cases
     unknown = spark.createDataFrame([("有 5%、6% 与 7亿", ["5", "6%"])], "t string, a array<string>").select(text.unknown_numbers(F.col("t"), F.col("a"))).first()[0]
     assert unknown == ["7亿"]
+
+
+def test_escaped_patterns_mean_themselves(spark):
+    rows = spark.createDataFrame([("a%b", "a%b"), ("a%b", "axb"), ("a_b", "a_b"), ("a_b", "axb"), ("a\\b", "a\\b"), ("a\\b", "axb")], "asked string, name string")
+    told = rows.withColumn("p", F.concat(F.lit("%"), text.like_escaped(F.col("asked")), F.lit("%")))
+    assert [r.hit for r in told.select(F.expr("name ILIKE p ESCAPE '\\\\'").alias("hit")).collect()] == [True, False] * 3

@@ -103,7 +103,7 @@ def phrase_hits(text: Column, phrases: tuple[str, ...], around: int = 12) -> Col
 
 def like_escaped(text: Column) -> Column:
     """A text as the inside of a LIKE pattern with the backslash as its escape."""
-    return F.regexp_replace(text, r"([\\\\%_])", r"\\\\$1")
+    return F.regexp_replace(text, r"([\\%_])", r"\\$1")
 
 
 def safe_url(url: Column) -> Column:

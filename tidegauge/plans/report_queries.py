@@ -62,10 +62,17 @@ def a13_shard_stats(spark: SparkSession, d: str) -> DataFrame:
     return lake.shard_stats(B.bars(spark, d)).drop("fingerprint")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%' || replace(replace(replace(substr(p_name, 2, 4), '\\', '\\\\'), '%', '\\%'), '_', '\\_') || '%' ESCAPE '\\' AND p_partkey % 3 = 0")
+@query(
+    r"""WITH n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '%') WHEN 1 THEN replace(p_name, ' ', '_') ELSE replace(p_name, ' ', '\') END AS name,
+      CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '%') WHEN 1 THEN replace(p_name, ' ', '_') WHEN 2 THEN replace(p_name, ' ', '\') ELSE replace(p_name, ' ', 'x') END AS other FROM part)
+    SELECT p_partkey, contains(lower(other), lower(substr(name, 2, 12))) AS hit FROM n"""
+)
 def b8_escaped_contains(spark: SparkSession, d: str) -> DataFrame:
-    p = B.table(spark, d, "part").withColumn("asked", F.concat(F.lit("%"), text.like_escaped(F.substring("p_name", 2, 4)), F.lit("%")))
-    return p.where("p_partkey % 3 = 0 AND p_name ILIKE asked ESCAPE '\\\\'").select("p_partkey", "p_name")
+    """Names with %, _ and the escape itself, asked for in names that have the same or another mark in those places."""
+    marked = lambda by, marks: F.replace("p_name", F.lit(" "), F.element_at(F.array(*map(F.lit, marks)), (F.col("p_partkey") % by + 1).cast("int")))
+    p = B.table(spark, d, "part").select("p_partkey", marked(3, ["%", "_", "\\"]).alias("name"), marked(4, ["%", "_", "\\", "x"]).alias("other"))
+    asked = p.withColumn("asked", F.concat(F.lit("%"), text.like_escaped(F.substring("name", 2, 12)), F.lit("%")))
+    return asked.select("p_partkey", F.expr("other ILIKE asked ESCAPE '\\\\'").alias("hit"))
 
 
 @query(_NAMES + "SELECT symbol, name FROM dic WHERE starts_with(symbol, '3000') OR contains(name, 'err')")
@@ -200,9 +207,14 @@ def d25_status_distribution(spark: SparkSession, d: str) -> DataFrame:
     return Q.value_distribution(B.table(spark, d, "orders"), "o_orderstatus", "o_orderpriority", ("O", "F"))
 
 
-@query(with_(EVENTS) + "SELECT event_id, event_time, true AS truncated FROM (SELECT * FROM ev WHERE event_type = 'error' ORDER BY event_time DESC, event_id DESC LIMIT 40)")
+_FEED = "SELECT event_type, event_id, event_time, (SELECT count(*) FROM ev WHERE event_type = '{0}') > {1} AS truncated FROM (SELECT * FROM ev WHERE event_type = '{0}' ORDER BY event_time DESC, event_id DESC LIMIT {1})"
+
+
+@query(with_(EVENTS) + _FEED.format("error", 40) + " UNION ALL " + _FEED.format("signup", 5000))
 def f3_truncated_feed(spark: SparkSession, d: str) -> DataFrame:
-    return M.truncated_feed(B.events(spark, d).where("event_type = 'error'"), "event_time", "event_id", 40).select("event_id", "event_time", "truncated")
+    """A feed that has more than its limit, and one that hasn't unless the table is large."""
+    feed = lambda kind, limit: M.truncated_feed(B.events(spark, d).where(F.col("event_type") == kind), "event_time", "event_id", limit).select("event_type", "event_id", "event_time", "truncated")
+    return feed("error", 40).unionByName(feed("signup", 5000))
 
 
 @query("SELECT l_orderkey * 10 + l_linenumber AS cell, l_discount AS sharpe FROM lineitem WHERE l_returnflag = 'N' AND l_linenumber < 5 ORDER BY l_discount DESC, l_tax DESC NULLS LAST, cell LIMIT 1")
@@ -250,10 +262,11 @@ def h19_market_numbers(spark: SparkSession, d: str) -> DataFrame:
     return S.market_numbers(M.priced(_qfq(spark, d)), 60).where("bars >= 60").drop("bars")
 
 
-@query("SELECT page_id, url FROM pages WHERE lower(trim(url)) LIKE 'http://%' OR lower(trim(url)) LIKE 'https://%'")
+@query("SELECT page_id, CASE WHEN lower(trim(u)) LIKE 'http://%' OR lower(trim(u)) LIKE 'https://%' THEN trim(u) END AS safe FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '  ' || url || ' ' WHEN 1 THEN 'x' || url ELSE url END AS u FROM pages)")
 def h22_safe_urls(spark: SparkSession, d: str) -> DataFrame:
-    p = B.table(spark, d, "pages").select("page_id", text.safe_url(F.col("url")).alias("safe"), "url")
-    return p.where("safe IS NOT NULL").select("page_id", "url")
+    url, k = F.col("url"), F.col("page_id") % 3
+    told = F.when(k == 0, F.concat(F.lit("  "), url, F.lit(" "))).when(k == 1, F.concat(F.lit("x"), url)).otherwise(url)
+    return B.table(spark, d, "pages").select("page_id", text.safe_url(told).alias("safe"))
 
 
 @query("SELECT p_partkey, (p_partkey % 3 = 0 AND length(p_name) >= 8) OR p_partkey % 5 = 0 OR p_partkey % 7 = 0 AS leak FROM part")

@@ -33,7 +33,7 @@ HELD_PAYLOADS = 200_000
 VERSION = b"WARC/1.1\r\n"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-_ID = "urn:tidegauge:page:"
+_ID = "urn:tidegauge:"
 _READ = pa.schema(
     [
         ("record", pa.int64()),
@@ -55,10 +55,14 @@ _RECORDS_DDL = "page_id long, payload_bytes long, payload_digest string, record_
 
 
 def shared_payloads(pages: DataFrame, id_col: str, body: Column, least: int) -> DataFrame:
-    """(digest, first_id) of the payloads of at least ``least`` bytes that more than one id has; the least id comes first."""
+    """(digest, first_id, alone) of the payloads of at least ``least`` bytes that more than one row has; the least id comes first.
+
+    ``alone`` says that one row only has that id and payload.
+    """
     keys = pages.select(F.col(id_col).cast("long").alias("id"), F.octet_length(body).alias("n"), F.sha2(body, 256).alias("digest")).where(F.col("n") >= least)
-    by = keys.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n_rows"))
-    return staged(by.where((F.col("n_rows") > 1) & F.col("first_id").isNotNull()).select("digest", "first_id"), "shared-payloads")
+    once = keys.groupBy("digest", "id").agg(F.count("*").alias("n"))
+    by = once.groupBy("digest").agg(F.min("id").alias("first_id"), F.min_by("n", "id").alias("n_first"), F.sum("n").alias("n_rows"))
+    return staged(by.where((F.col("n_rows") > 1) & F.col("first_id").isNotNull()).select("digest", "first_id", (F.col("n_first") == 1).alias("alone")), "shared-payloads")
 
 
 def chunk_table(
@@ -70,9 +74,9 @@ def chunk_table(
     least: int = LEAST_REVISIT_BYTES,
     held_payloads: int = HELD_PAYLOADS,
 ) -> DataFrame:
-    """Rows (record, page_id, url, record_type, refers_to, payload_bytes, payload_digest, n_chunks, chunk_no, chunk).
+    """Rows (record, page_id, url, record_type, refers_to, alone, payload_bytes, payload_digest, n_chunks, chunk_no, chunk).
 
-    A record's rows follow each other within a partition. A revisit has one chunk, of no bytes.
+    ``alone``: one record is the response for this payload, and so carries the payload's name. A record's rows follow each other within a partition. A revisit has one chunk, of no bytes.
     """
     if not 0 < chunk_bytes < 1 << 23:
         raise ValueError("chunks are of less than 8 MB")
@@ -82,9 +86,9 @@ def chunk_table(
     if shared.count() <= held_payloads:
         return _cut(rows.join(F.broadcast(shared), "digest", "left"), chunk_bytes).drop("again")
     # Many payloads: chunks are joined, not payloads; adaptive execution splits a payload that a third of all pages have.
-    met = _cut(rows.withColumn("first_id", F.lit(None).cast("long")), chunk_bytes).drop("again", "record_type", "refers_to").join(shared, F.col("payload_digest") == F.col("digest"), "left")
+    met = _cut(rows.withColumn("first_id", F.lit(None).cast("long")).withColumn("alone", F.lit(False)), chunk_bytes).drop("again", "record_type", "refers_to", "alone").join(shared, F.col("payload_digest") == F.col("digest"), "left")
     again = _again(F.col("page_id"), F.col("first_id"))
-    kept = met.where(~again | (F.col("chunk_no") == 0)).select("record", "page_id", "url", *_told(again), "payload_bytes", "payload_digest", F.when(again, 1).otherwise(F.col("n_chunks")).alias("n_chunks"), "chunk_no", F.when(again, F.lit(b"")).otherwise(F.col("chunk")).alias("chunk"))
+    kept = met.where(~again | (F.col("chunk_no") == 0)).select("record", "page_id", "url", *_told(again), F.coalesce("alone", F.lit(False)).alias("alone"), "payload_bytes", "payload_digest", F.when(again, 1).otherwise(F.col("n_chunks")).alias("n_chunks"), "chunk_no", F.when(again, F.lit(b"")).otherwise(F.col("chunk")).alias("chunk"))
     return kept.repartition("record").sortWithinPartitions("record", "chunk_no")
 
 
@@ -99,7 +103,7 @@ def _told(again: Column) -> tuple[Column, Column]:
 def _cut(rows: DataFrame, chunk_bytes: int) -> DataFrame:
     again = _again(F.col("page_id"), F.col("first_id"))
     n_chunks = F.when(again, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.octet_length("body") / chunk_bytes))).cast("int")
-    sent = rows.select("record", "page_id", "url", *_told(again), F.octet_length("body").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), n_chunks.alias("n_chunks"), again.alias("again"), "body")
+    sent = rows.select("record", "page_id", "url", *_told(again), F.coalesce("alone", F.lit(False)).alias("alone"), F.octet_length("body").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), n_chunks.alias("n_chunks"), again.alias("again"), "body")
     chunk = F.when(F.col("again"), F.lit(b"")).otherwise(F.substring("body", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)))
     return sent.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).withColumn("chunk", chunk).drop("body")
 
@@ -108,13 +112,16 @@ def _header(*fields: tuple[str, object]) -> bytes:
     return b"".join(f"{k}: {v}\r\n".encode() for k, v in fields if v is not None)
 
 
-def _one_line(url: str | None) -> str | None:
-    """Line ends would end the header field; they are percent-encoded, and so is the sign that marks that."""
-    return None if url is None else url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+def _one_line(url: str | None) -> tuple[str | None, str | None]:
+    """(target, mark). A url stays as it is; line ends, which would end the header field, are percent-encoded together
+    with the percent sign, and a field of our own marks that."""
+    if url is None or "\r" not in url and "\n" not in url:
+        return url, None
+    return url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"), "line-ends"
 
 
-def _as_it_was(url: str | None) -> str | None:
-    return None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def _as_it_was(url: str | None, mark: bytes | None) -> str | None:
+    return url if url is None or mark is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,19 +141,23 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = r["chunk"]
             if first:
                 block = b"HTTP/1.1 200 OK\r\n" + _header(("Content-Type", "text/html; charset=utf-8"), ("Content-Length", r["payload_bytes"])) + b"\r\n" + block
-            name = f"<{_ID}{'null' if r['page_id'] is None else r['page_id']}>"
+            name = f"<{_ID}payload:{r['payload_digest']}>" if r["alone"] and not revisit else f"<{_ID}record:{r['record']}>"
+            target, mark = _one_line(r["url"])
             head = _header(
                 ("WARC-Type", r["record_type"] if first else "continuation"),
                 ("WARC-Record-ID", name if first else name[:-1] + f":{r['chunk_no'] + 1}>"),
-                ("WARC-Target-URI", _one_line(r["url"])),
+                ("WARC-Target-URI", target),
+                ("X-Target-Encoded", mark),
                 ("WARC-Date", "1970-01-01T00:00:00Z"),
                 ("WARC-Payload-Digest", f"sha256:{r['payload_digest']}"),
-                ("WARC-Refers-To", f"<{_ID}{r['refers_to']}>" if revisit else None),
+                ("WARC-Refers-To", f"<{_ID}payload:{r['payload_digest']}>" if revisit and r["alone"] else None),
                 ("WARC-Profile", PROFILE.decode() if revisit else None),
                 ("WARC-Segment-Number", r["chunk_no"] + 1 if r["n_chunks"] > 1 else None),
                 ("WARC-Segment-Origin-ID", None if first else name),
                 ("WARC-Segment-Total-Length", r["payload_bytes"] if last and not first else None),
                 ("X-Record-Number", r["record"]),
+                ("X-Page-ID", r["page_id"]),
+                ("X-Refers-To-Page", r["refers_to"]),
                 ("X-Payload-Length", r["payload_bytes"]),
                 ("X-Segment-Count", r["n_chunks"]),
                 ("X-Running-Digest", f"sha256:{digest.hexdigest()}"),
@@ -182,9 +193,8 @@ def _members(data: bytes) -> Iterator[tuple[int, bytes]]:
         yield begin, b"".join(parts)
 
 
-def _number(name: bytes) -> int | None:
-    tail = name.decode().removeprefix(f"<{_ID}").removesuffix(">").split(":")[0]
-    return None if tail == "null" else int(tail)
+def _number(name: bytes | None) -> int | None:
+    return None if name is None else int(name)
 
 
 def _segment(offset: int, data: bytes) -> dict:
@@ -193,13 +203,13 @@ def _segment(offset: int, data: bytes) -> dict:
     if len(block) != int(fields[b"Content-Length"]) + 4:
         raise ValueError("a record is not as long as it says")
     continued = fields[b"WARC-Type"] == b"continuation"
-    uri, refers = fields.get(b"WARC-Target-URI"), fields.get(b"WARC-Refers-To")
+    uri, mark = fields.get(b"WARC-Target-URI"), fields.get(b"X-Target-Encoded")
     return {
         "record": int(fields[b"X-Record-Number"]),
-        "page_id": _number(fields[b"WARC-Segment-Origin-ID" if continued else b"WARC-Record-ID"]),
-        "url": _as_it_was(uri.decode()) if uri is not None else None,
+        "page_id": _number(fields.get(b"X-Page-ID")),
+        "url": _as_it_was(uri.decode(), mark) if uri is not None else None,
         "record_type": "response" if continued else fields[b"WARC-Type"].decode(),
-        "refers_to": _number(refers) if refers else None,
+        "refers_to": _number(fields.get(b"X-Refers-To-Page")),
         "payload_bytes": int(fields[b"X-Payload-Length"]),
         "payload_digest": fields[b"WARC-Payload-Digest"].decode().removeprefix("sha256:"),
         "chunk_no": int(fields.get(b"WARC-Segment-Number", 1)) - 1,
@@ -302,7 +312,9 @@ def archive_pages(
     ``least`` bytes, the one with the least page_id is the response and the others revisit it.
 
     * A null payload is the empty one; a null url gives no target field and comes back null.
-    * A null page_id comes after all others. Rows that repeat the least page_id and its payload are all responses.
+    * A null page_id comes after all others. Rows that repeat the least page_id and its payload are all responses; then
+      revisits name the page, but no one record.
+    * Record ids are those of the record number, or of the payload's digest for the one response that others revisit.
     * Payloads of over ``chunk_bytes`` are several rows and several segments; an empty table gives no records.
     * Lengths and digests are checked against the bytes on reading, and that no chunk is missing; other columns aren't looked at.
     """

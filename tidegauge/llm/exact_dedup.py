@@ -5,12 +5,13 @@ get integer names; then adjacent names are paired and every distinct pair gets a
 again and again, until each document has a single name. Two documents of one level have
 the same last name exactly when their bytes are equal: no digest decides.
 
-Names are unique within a run; which number a block gets may differ between runs, which documents share one can't.
+A name is a rank: of a block in the order of its 64-bit hash, then of its content, of a pair in the order of its two
+names. So the same documents get the same names in every run, however many files and partitions there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import join_frequent, numbered, staged, text_or_empty
@@ -26,14 +27,28 @@ def _blocks(rows: DataFrame, block_bytes: int, key_bits: int) -> DataFrame:
     return cut.select("row_id", "n", "idx", block.alias("block")).withColumn("key", F.shiftrightunsigned(F.xxhash64("block"), 64 - key_bits))
 
 
+def _ranked(keys: DataFrame, by: list[str], label: str) -> DataFrame:
+    """``keys`` (unique by ``by``, no nulls) with ``name``: the rank in the order of ``by``, from 0.
+
+    Rows are partitioned by range, so a rank is the number of rows in earlier partitions and the place in its own.
+    """
+    sorted_keys = staged(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()), label)
+    part = F.shiftright("at", 33).alias("part")
+    counts = sorted_keys.groupBy(part).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = sorted_keys.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(starts), "part")
+    return placed.withColumn("name", F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "start", "at")
+
+
 def _first_names(blocks: DataFrame) -> DataFrame:
     """row_id, n, idx, name.
 
     The blocks' content is shuffled once, each distinct one at most once per map task. The names
     travel back by a 64-bit key; blocks that share a key with another are joined by content.
     """
-    named = blocks.groupBy("key", "block").agg(F.count("*").alias("n_rows")).sortWithinPartitions("block").withColumn("name", F.monotonically_increasing_id())
-    names = staged(named.groupBy("key").agg(F.min("name").alias("name"), F.count("*").alias("n_blocks"), F.sum("n_rows").alias("n_rows")), "block-names")
+    distinct = blocks.groupBy("key", "block").agg(F.count("*").alias("n_rows"))
+    names = _ranked(distinct.groupBy("key").agg(F.count("*").alias("n_blocks"), F.sum("n_rows").alias("n_rows")), ["key"], "block-names")
     rows = ["row_id", "n", "idx"]
     total = names.agg(F.sum("n_rows")).first()[0] or 0
     found = join_frequent(blocks.select(*rows, "key"), names.where("n_blocks = 1").select("key", "name", "n_rows"), ["key"], "n_rows", total).select(*rows, "name")
@@ -41,7 +56,7 @@ def _first_names(blocks: DataFrame) -> DataFrame:
     if shared.isEmpty():
         return found
     clashing = staged(blocks.join(shared, "key").select(*rows, "block"), "clashing-blocks")
-    by_content = staged(clashing.groupBy("block").agg(F.count("*").alias("n_rows")).sortWithinPartitions("block").withColumn("name", -1 - F.monotonically_increasing_id()), "clashing-names")
+    by_content = _ranked(clashing.groupBy("block").agg(F.count("*").alias("n_rows")), ["block"], "clashing-names").withColumn("name", -1 - F.col("name"))
     return found.unionByName(join_frequent(clashing, by_content, ["block"], "n_rows", total).select(*rows, "name"))
 
 
@@ -59,7 +74,7 @@ def _identities(rows: DataFrame, block_bytes: int, key_bits: int) -> DataFrame:
             F.max(F.when(F.col("idx") % 2 == 1, F.col("name"))).alias("b"),
         )
         pairs = staged(pairs.withColumn("lone", F.col("b").isNull()).withColumn("b", F.coalesce("b", F.lit(0))), f"pairs-{k}")
-        names = staged(pairs.groupBy("a", "b", "lone").agg(F.count("*").alias("n_rows")).sortWithinPartitions("a", "b", "lone").withColumn("name", F.monotonically_increasing_id()), f"pair-names-{k}")
+        names = _ranked(pairs.groupBy("a", "b", "lone").agg(F.count("*").alias("n_rows")), ["a", "b", "lone"], f"pair-names-{k}")
         total = names.agg(F.sum("n_rows")).first()[0] or 0
         met = join_frequent(pairs, names, ["a", "b", "lone"], "n_rows", total)
         level = staged(met.select("row_id", F.expr("(n + 1) div 2").cast("int").alias("n"), "idx", "name"), f"level-{k}")

@@ -32,8 +32,6 @@ from .tables import free_name, refuse_clash, staged, text_or_empty
 WINDOW_WORDS, PIECE_CHARS = 8, 24
 #: Labelled rows of each class that the fit uses at most, about; chosen by a hash of their id.
 MAX_PER_CLASS = 6000
-#: Bytes of windows that a dictionary is trained on at most, about; chosen by a hash of their content.
-TRAINED_BYTES = 8 << 20
 #: Bytes of the common dictionary and of each class's last one, and lengths of their segments.
 SHARED_BYTES, SHARED_SEGMENT = 114_688, 64
 OWN_BYTES, OWN_SEGMENT = 3072, 24
@@ -151,16 +149,15 @@ def _cut(kept: DataFrame, words: int) -> DataFrame:
     return kept.select("toxic", "part", "window").mapInArrow(run, _WINDOW)
 
 
-def _samples(kept: DataFrame, limit: int) -> dict[tuple[int, int], pa.Array]:
-    """Windows of each (class, part) to train on, chosen by a hash of their content: about ``limit`` bytes of each at most."""
-    size = {(r["toxic"], r["part"]): r["n"] for r in kept.groupBy("toxic", "part").agg(F.sum(F.octet_length("window")).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.lit("window"), "window"), F.lit(1 << 20)) / float(1 << 20)
-    share = F.lit(1.0)
-    for (toxic, part), n in size.items():
-        share = F.when((F.col("toxic") == toxic) & (F.col("part") == part), F.lit(min(1.0, limit / n))).otherwise(share)
-    chosen = kept.where(draw < share)
-    of = lambda toxic, part: chosen.where((F.col("toxic") == toxic) & (F.col("part") == part)).select("window")
-    return {k: of(*k).toArrow().column(0).combine_chunks() for k in ((0, 0), (0, 1), (1, 0), (1, 1))}
+def _dictionaries(kept: DataFrame, size: int, segment: int, *keys: str) -> dict[tuple[int, ...], bytes]:
+    """A dictionary of all windows of each group by ``keys``; a task trains it, the driver gets the dictionaries only."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        content = trained(group.column("window").to_pylist(), size, segment)
+        return pa.table({**{k: pa.array([v.as_py()], pa.int32()) for k, v in zip(keys, key, strict=True)}, "content": pa.array([content], pa.binary())})
+
+    found = kept.select("toxic", "part", "window").groupBy(*keys).applyInArrow(run, "".join(f"{k} int, " for k in keys) + "content binary")
+    return {tuple(r[k] for k in keys): bytes(r["content"]) for r in found.collect()}
 
 
 def _gaining(candidates: DataFrame, dictionaries: dict[tuple[int, int], bytes], least: int) -> DataFrame:
@@ -179,8 +176,9 @@ def _gaining(candidates: DataFrame, dictionaries: dict[tuple[int, int], bytes],
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns the dictionaries from two parts of a bounded sample of labelled documents, the threshold from the third.
 
-    Windows are scored by Spark; a dictionary is trained in one piece, from TRAINED_BYTES of windows at most. Where a
-    class has no document in some part, the score is the share of label 1 (no labels: 0).
+    ``max_per_class`` rows of a class are the only bound: dictionaries are trained on every window of every sampled row,
+    each in one task, which holds the windows of its class and part. Where a class has no document in some part, the score
+    is the share of label 1 (no labels: 0).
     """
     spark = docs.sparkSession
     sample = staged(labelled_sample(docs, labels, max_per_class, id_col, text_col, label_col), "toxic-sample")
@@ -191,17 +189,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
         return flat
     learn = sample.where("part < 2")
     kept = every = staged(_windows(learn, ROUNDS[0][0]), "toxic-windows")
-    samples = _samples(kept, TRAINED_BYTES)
-    both = lambda y: [w for part in (0, 1) for w in samples[y, part].to_pylist()]
-    shared = trained(both(0), SHARED_BYTES, SHARED_SEGMENT)
+    shared = _dictionaries(every.where("toxic = 0"), SHARED_BYTES, SHARED_SEGMENT, "toxic")[0,]
     for words, cut, size, segment, least in ROUNDS:
-        own = {k: shared + trained(w.to_pylist(), size, segment) for k, w in samples.items()}
+        own = {k: shared + d for k, d in _dictionaries(kept, size, segment, "toxic", "part").items()}
         now = staged(_gaining(_cut(kept, words) if cut else every, own, least), "toxic-gaining")
-        found = _samples(now, TRAINED_BYTES)
-        if not all(map(len, found.values())):
+        if now.select("toxic", "part").distinct().count() < 4:
             break
-        kept, samples = now, found
-    ordinary, toxic = (shared + trained(both(y), OWN_BYTES, OWN_SEGMENT) for y in (0, 1))
+        kept = now
+    last = _dictionaries(kept, OWN_BYTES, OWN_SEGMENT, "toxic")
+    ordinary, toxic = shared + last[0,], shared + last[1,]
     model = Model(ordinary, toxic, flat.mean, flat.scale, flat.weights)
     measured = sample.where("part = 2").select("toxic", _applied(model, spark.sparkContext.broadcast(model), "array<double>")("text").alias("x")).collect()
     x, y = np.array([r["x"] for r in measured]), np.array([r["toxic"] for r in measured], float)

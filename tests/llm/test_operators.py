@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -176,6 +177,44 @@ def test_warc_members_are_records_of_their_own(spark, tmp_path):
     assert warc._segment(0, next(one)[1])["page_id"] == 3
 
 
+def test_warc_targets_are_true_and_record_ids_unique(spark, tmp_path):
+    import gzip
+
+    body = "p" * 200
+    rows = [(1, "http://x.org/a%20b", body), (2, "http://x.org/%0A", body), (2, "http://x.org/2", "q" * 300), (2, "u", "q" * 300), (5, "u", "q" * 300), (None, "v", ""), (None, "v", ""), (7, "a\r\nb%0A", "z" * 900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for held in (1000, -1):
+        path = str(tmp_path / f"w{held}")
+        got = warc.archive_pages(pages, path, chunk_bytes=400, held_payloads=held).collect()
+        assert sorted((r.page_id or 0, r.url) for r in got) == sorted((i or 0, u) for i, u, _ in rows)
+        whole = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / f"w{held}").glob("part-*"))
+        ids = re.findall(rb"WARC-Record-ID: (<[^>]*>)", whole)
+        assert len(ids) == len(set(ids)) == 10
+        assert b"WARC-Target-URI: http://x.org/a%20b\r\n" in whole and b"WARC-Target-URI: http://x.org/%0A\r\n" in whole
+        (refers,) = re.findall(rb"WARC-Refers-To: (<[^>]*>)", whole)  # two rows share page 2 and its payload: page 5 names the page only
+        assert refers in ids and {(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"} == {(2, 1), (5, 2)}
+
+
+def test_block_names_are_the_same_at_any_number_of_partitions(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 60))) for _ in range(300)]
+    texts += texts[:50]
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 11):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            for bits in (64, 3):
+                rows = spark.createDataFrame(enumerate(texts), "row_id long, text string").repartition(n)
+                seen.append((bits, {r.row_id: (r.level, r.name) for r in exact_dedup._identities(rows.transform(lambda d: exact_dedup.staged(d, "t")), 4, bits).collect()}))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[2] and seen[1] == seen[3]
+    for _, names in seen:
+        assert len(set(names.values())) == len(set(texts)) and all((names[i] == names[j]) == (texts[i] == texts[j]) for i in range(0, 350, 7) for j in range(350))
+    level0 = sorted({n for k, n in seen[0][1].values() if k == 0})
+    assert level0[0] >= 0 and level0[-1] < 40  # dense: no more numbers than blocks of up to 4 letters
+
+
 def simhash_brute(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     if not words:
@@ -264,6 +303,26 @@ def test_toxicity_learns_planted_words(spark):
         toxicity.score_texts(frame.withColumn("score", F.lit(1)), model)
 
 
+def test_toxicity_finds_planted_phrases_from_few_labelled_rows(spark):
+    """Ten phrases, a few of them in every toxic document, in 160 toxic of 1,600 labelled rows: 0.9 of the held-out ones are found."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    vile = "vilegrub nastworm scumbrel filthope grotmange wretchlob pukelard dungferk mucktroll sludgewit".split()
+    texts = []
+    for i in range(1600):
+        w = rng.choices(words, k=rng.randrange(60, 300))
+        if i % 10 == 0:
+            for _ in range(4):
+                w.insert(rng.randrange(len(w)), rng.choice(vile))
+        texts.append(" ".join(w))
+    frame = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1600)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score_texts(frame, toxicity.fit(frame, labels)).collect()}
+    held = [i for i in range(1600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i] for i in held if i % 10 == 0]) >= 0.9
+    assert np.mean([got[i] for i in held if i % 10]) <= 0.05
+
+
 def test_window_lengths_are_those_of_plain_compression():
     """Figures against compression lengths from another compressor object, window by window."""
     import zstandard
@@ -395,3 +454,38 @@ def test_empty_tables(spark):
         assert made.count() == 0
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert chat.read_conversations(chat.render_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_pii_possessives_titles_addresses_and_national_numbers(spark):
+    kinds = lambda t: [(k.split(":")[0], f) for _, _, k, f in pii.find(t)]
+    assert kinds("Mrs Maria Smith left. Smith's car stayed, O'Neill’s too.") == [("given", "maria"), ("family", "smith"), ("family", "smith")]
+    assert kinds("Herr Prof. Dr. Weber and Professor Anna Weber's book") == [("family", "weber"), ("given", "anna"), ("family", "weber")]
+    assert kinds("write to müller@bücher-laden.de or 联系foo@bar.com请") == [("email", "müller@bücher-laden.de"), ("email", "foo@bar.com")]
+    assert kinds("call 030 1234567 or 0171-2345678, not 01-02-2024 at 12:30:45") == [("phone", "0301234567"), ("phone", "01712345678")]
+    assert kinds("from 2001:DB8::1 or fe80:0:0:0:1:2:3:4, std::vector a::b") == [("ip6", "2001:db8::1"), ("ip6", "fe80::1:2:3:4")]
+    texts = ["Mr Smith's house. Mr Smith came.", "Dr Smith: müller@example.com, MÜLLER@example.com", "2001:db8::1 and 2001:0db8::0001", "030 1234567"]
+    out = [r.surrogated.text for r in pii.pseudonymise(docs(spark, texts), KEY).orderBy("doc_id").collect()]
+    family = re.fullmatch(r"Mr (\w+)'s house\. Mr (\w+) came\.", out[0])
+    assert family[1] == family[2] != "Smith" and out[1].startswith(f"Dr {family[1]}: ")
+    low, high = out[1].split(": ")[1].split(", ")
+    assert "ller" not in low and low.partition("@")[0] == high.partition("@")[0].lower() and low.count("@") == 1
+    assert out[2].split(" and ")[0] == out[2].split(" and ")[1] != "2001:db8::1" and re.fullmatch(r"0\d\d \d{7}", out[3])
+
+
+def test_surrogates_of_a_mixed_corpus_are_distinct_and_coherent(spark):
+    """Every entity of a corpus with all kinds mixed has one surrogate everywhere, no two of a kind share one, and none is an entity."""
+    rng = random.Random(3)
+    family = ["".join(rng.choices("bdklmnrst", k=1) + rng.choices("aeiou", k=1)).capitalize() + "".join(rng.choices("lmnr", k=2)) for _ in range(60)]
+    made = [lambda: f"Mr {rng.choice(family)}", lambda: f"{rng.choice('abcde')}{rng.randrange(9)}@ex{rng.randrange(3)}.org", lambda: f"10.0.{rng.randrange(9)}.{rng.randrange(99)}", lambda: f"+49 30 {rng.randrange(1000, 1300)} 55", lambda: f"fe80::{rng.randrange(1, 400):x}:1"]
+    texts = [" , ".join(rng.choice(made)() for _ in range(12)) for _ in range(150)]
+    out = [r.surrogated.text for r in pii.pseudonymise(docs(spark, texts), KEY).orderBy("doc_id").collect()]
+    stands: dict[tuple[str, str], set[str]] = {}
+    for before, after in zip(texts, out, strict=True):
+        for a, b in zip(before.split(" , "), after.split(" , "), strict=True):
+            ((_, _, kind, form),) = pii.find(a)
+            stands.setdefault((kind, form), set()).add(b)
+    assert all(len(v) == 1 for v in stands.values())
+    for kind in {k for k, _ in stands}:
+        mine = [next(iter(v)).removeprefix("Mr ").lower() for (k, _), v in stands.items() if k == kind]
+        plain = [re.sub(r"\D", "", x) if kind == "phone" else x for x in mine]
+        assert len(set(plain)) == len(plain) and not set(plain) & {f for k, f in stands if k == kind}

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -40,6 +41,7 @@ GIVEN = {
 TITLES = {
     "m": "Mr Mister Herr Monsieur Sr Señor Don господин".split(),
     "f": "Mrs Ms Miss Frau Fräulein Mme Madame Mlle Sra Señora Srta Doña госпожа".split(),
+    "": "Dr Doctor Doktor Docteur Prof Professor Professeur Profesor доктор профессор".split(),
 }
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe fi fo ga ge gi go ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe pi po ra re ri ro sa se si so ta te ti to va ve vi vo".split(),
@@ -49,18 +51,22 @@ VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxz"
 
 _GENDER = {(name, script): g for (g, script), names in GIVEN.items() for name in names}
 _TITLE = {t.lower(): g for g, ts in TITLES.items() for t in ts}
-_WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_WORD = r"[^\W\d_]+(?:(?:-|['’](?![sS](?!\w)))[^\W\d_]+)*"  # a possessive ending isn't part of the word
 
-_DOMAIN = re.compile(r"[A-Za-z0-9.-]+", re.ASCII)
-_LETTERS = re.compile(r"[A-Za-z]+", re.ASCII)
+_CASED = "A-Za-zÀ-ÖØ-öø-ɏͰ-ϿЀ-ԯ"  # scripts with capitals, which put blanks around an address
+_DOMAIN = re.compile(rf"[{_CASED}0-9.-]+")
+_LETTERS = re.compile(rf"[{_CASED}]+")
+_LOCAL = frozenset(c for c in map(chr, range(0x530)) if re.match(rf"[{_CASED}0-9_.+-]", c))
 _DIGITS = re.compile(r"\+?\(?\d[\d().\- ]{5,}\d", re.ASCII)
 _IP = re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}", re.ASCII)
 _CARD = re.compile(r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})", re.ASCII)
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}", re.ASCII)
-_PHONE = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}", re.ASCII)
+_PHONE = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|0\d{1,4}[ -]\d{3,8}(?:[ -]\d{2,5}){0,2}", re.ASCII)
+_IP6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{6,39}(?![\w:])", re.ASCII)
 _SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:AKIA|ghp_|sk-|xox[bp]-)[0-9A-Za-z_-]{12,})(?![0-9A-Za-z])", re.ASCII)
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", re.ASCII)
-_TITLED = re.compile(rf"(?<!\w)({'|'.join(t for ts in TITLES.values() for t in ts)})\.? ({_WORD})(?: ({_WORD}))?")
+_ONE_TITLE = f"(?:{'|'.join(t for ts in TITLES.values() for t in ts)})"
+_TITLED = re.compile(rf"(?<!\w)((?:{_ONE_TITLE}\.? ){{0,3}}{_ONE_TITLE})\.? ({_WORD})(?: ({_WORD}))?")
 _CAPITAL = "[A-ZÀ-ÖØ-ÞА-ЯЁ]"
 _ANY_WORD = re.compile(_WORD)
 _TWO = re.compile(rf"((?<!\w)(?<!\w[-'’]){_CAPITAL}(?:[^\W\d_]|(?<=\w)[-'’](?=[^\W\d_]))*) ({_WORD})(?!\w)")
@@ -114,7 +120,7 @@ def _emails(text: str) -> Iterator[tuple[int, int, str, str]]:
     at, past = text.find("@"), 0
     while at >= 0:
         begin = at
-        while begin > past and text[begin - 1].isascii() and (text[begin - 1].isalnum() or text[begin - 1] in "_.+-"):
+        while begin > past and text[begin - 1] in _LOCAL:
             begin -= 1
         while begin < at and not text[begin].isalnum():
             begin += 1
@@ -143,7 +149,9 @@ def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
         if not words or words[0] != m[2]:
             continue
         if len(words) == 2:
-            kinds.setdefault(words[0].lower(), f"given:{_TITLE[m[1].lower()]}:{script_of(words[0])}")
+            script = script_of(words[0])
+            told = "".join(_TITLE[t] for t in m[1].lower().replace(".", "").split())[:1]
+            kinds.setdefault(words[0].lower(), f"given:{told or _GENDER.get((words[0].lower(), script), 'n')}:{script}")
         kinds[words[-1].lower()] = f"family:{script_of(words[-1])}"
     at = 0
     while m := _TWO.search(text, at):
@@ -169,6 +177,11 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         plain = m[0].replace(" ", "")
         if 15 <= len(plain) <= 34 and _iban_ok(plain):
             found.append((*m.span(), "iban", plain))
+    for m in _IP6.finditer(text):
+        try:
+            found.append((*m.span(), "ip6", ipaddress.IPv6Address(m[0]).compressed))
+        except ValueError:
+            pass  # a time of day, or another run of digits and colons
     found += _numbers(text)
     found += _names(text)
     found.sort(key=lambda f: (f[0], -f[1], f[2]))
@@ -201,7 +214,7 @@ class _Stream:
             return kin[self.below(len(kin))]
         if "A" <= c <= "Z":
             return self.like(c.lower()).upper()
-        return c
+        return _kin(c)[self.below(len(_kin(c)))] if c.isalpha() else c
 
 
 @lru_cache(maxsize=None)
@@ -246,8 +259,10 @@ def draw(key: bytes, kind: str, form: str, nth: int = 0) -> str:
         local, _, domain = form.partition("@")
         head, _, last = domain.rpartition(".")
         return "".join(map(s.like, local)) + "".join(s.like("b") for _ in range(more)) + "@" + "".join(map(s.like, head)) + "." + last
+    if kind == "ip6" or kind == "ip" and nth > 256:  # that many draws fail only where nearly all IPv4 addresses are taken
+        return ":".join(f"{1 + s.below(65535):x}" for _ in range(8))
     if kind == "ip":
-        return ".".join(str(1 + s.below(254)) for _ in range(4)) if not more else ":".join(f"{s.below(65536):x}" for _ in range(8))
+        return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "card":
         body = form[0] + digits(len(form) - 2 + more)
         ends = [d for d in "0123456789" if luhn_ok(body + d)]
@@ -267,13 +282,13 @@ def draw(key: bytes, kind: str, form: str, nth: int = 0) -> str:
 
 def pour(kind: str, surrogate: str, written: str) -> str:
     """A surrogate in the format of a mention: its separators, its capitals; what is longer comes last (in an address before the @)."""
-    if kind in ("ip", "secret"):
+    if kind in ("ip", "ip6", "secret"):
         return surrogate
     if kind.startswith(("given", "family")):
         return surrogate.upper() if written.isupper() and len(written) > 1 else surrogate[0].upper() + surrogate[1:] if written[0].isupper() else surrogate
     if kind == "email":
         halves = zip(surrogate.split("@"), written.split("@"), strict=True)
-        return "@".join("".join(x.upper() if i < len(w) and w[i].isupper() else x for i, x in enumerate(p)) for p, w in halves)
+        return "@".join("".join(x.upper() if i < len(w) and w[i].isupper() and len(x.upper()) == 1 else x for i, x in enumerate(p)) for p, w in halves)
     source = iter(surrogate)
     return "".join(next(source) if c.isalnum() else c for c in written) + "".join(source)
 
@@ -333,7 +348,7 @@ def _rewritten(text: str, key: bytes, nths: dict[tuple[str, str], int]) -> tuple
 def pseudonymise(docs: DataFrame, secret: bytes, text_col: str = "text", as_col: str = "surrogated", held_redraws: int = HELD_REDRAWS) -> DataFrame:
     """``docs`` with a struct (text, n_entities, kinds) in ``as_col``: the whole text with surrogates, and what was replaced.
 
-    Kinds: email, ip, card (with a right check digit), ssn, phone, secret, iban, given (names), family. Different
+    Kinds: email, ip, ip6, card (with a right check digit), ssn, phone, secret, iban, given (names), family. Different
     entities of a kind get different surrogates, none of which is itself an entity of that kind in ``docs``, except given
     names of the fixed lists: these are exchanged among each other. One entity gets one surrogate in all documents and
     formats. Who has ``secret`` can tell which surrogate stands for what; it has no default.

@@ -232,3 +232,20 @@ def test_dictionary_of_nothing_and_a_failed_day_keep_what_was_there(spark, tmp_p
     with pytest.raises(ValueError):
         lake.write_day(spark.createDataFrame([row, row], schema), str(tmp_path / "ev"), "2024-01-01")
     assert spark.read.schema(schema).parquet(str(tmp_path / "ev" / "event_day=2024-01-01")).count() == 2
+
+
+def test_dense_search_filters_before_ranking(spark):
+    """The nearest document isn't in the list of a query that may not see it; the k best of the rest are."""
+    docs = spark.createDataFrame(
+        [(i, [1.0, i / 10.0], f"2024-01-{i + 1:02d} 00:00:00", "ab"[i % 2], [f"s{i % 3}"], float(i)) for i in range(9)] + [(9, [1.0, 0.0], None, None, None, None)],
+        "doc_id long, embedding array<double>, at string, event_type string, symbols array<string>, importance_score double",
+    ).withColumn("available_at", F.to_timestamp_ntz("at")).drop("at")
+    asks = spark.createDataFrame(
+        [(0, [1.0, 0.0], None, None, None, None), (1, [1.0, 0.0], "2024-01-05 00:00:00", ["b"], None, None), (2, [1.0, 0.0], None, ["a", "b"], ["s0", "s2"], 4.0), (3, [1.0, 0.0], None, [], None, None)],
+        "query_id long, embedding array<double>, at string, types array<string>, symbols array<string>, least double",
+    ).withColumn("as_of", F.to_timestamp_ntz("at")).drop("at")
+    for size in (512, 1):
+        found: dict[int, list[int]] = {}
+        for r in retrieval.dense(asks, docs, 3, size, retrieval.may_see).orderBy("query_id", "rank").collect():
+            found.setdefault(r.query_id, []).append(r.doc_id)
+        assert found == {0: [0, 9, 1], 1: [1, 3], 2: [5, 6, 8]}

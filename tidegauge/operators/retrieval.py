@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,24 +26,44 @@ def best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, docs: DataFrame, k: int = 100, max_queries: int = 512) -> DataFrame:
-    """Cosine search: (query_id, embedding) against all (doc_id, embedding). Filter ``docs`` before.
+def dense(queries: DataFrame, docs: DataFrame, k: int = 100, max_queries: int = 512, allowed: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Cosine search: (query_id, embedding, ...) against all (doc_id, embedding, ...).
 
-    Queries go out in blocks of ``max_queries`` held as literals' worth of data, so that no block grows with the input;
-    each task keeps its k best per query before anything is shuffled.
+    ``allowed`` makes a condition from the struct of a query's other columns and that of a document's; it holds before
+    anything is ranked, so a query gets its k best among the documents that it may see. Queries go out in blocks of
+    ``max_queries`` held as literals' worth of data, so that no block grows with the input; each task keeps its k best
+    per query before anything is shuffled.
     """
-    rows = queries.select("query_id", unit(F.col("embedding")).alias("qv"))
+    of = lambda df: F.struct(*(c for c in df.columns if c != "embedding")) if allowed else F.lit(None)
+    rows = queries.select("query_id", unit(F.col("embedding")).alias("qv"), of(queries).alias("asks"))
     n = rows.count()
     numbered = rows.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // max_queries)))))
+    units = docs.select("doc_id", unit(F.col("embedding")).alias("v"), of(docs).alias("has"))
     out = None
     for b in range(max(1, -(-n // max_queries))):
-        held = numbered.where(F.col("block") == b).agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))
-        pairs = docs.select("doc_id", unit(F.col("embedding")).alias("v")).join(F.broadcast(held), F.lit(True)).select("doc_id", "v", F.explode("qs").alias("q"))  # one row of max_queries
+        held = numbered.where(F.col("block") == b).agg(F.collect_list(F.struct("query_id", "qv", "asks")).alias("qs"))
+        met = units.join(F.broadcast(held), F.lit(True))  # one row of max_queries
+        asking = F.filter("qs", lambda q: allowed(q["asks"], F.col("has"))) if allowed else F.col("qs")
+        pairs = met.select("doc_id", "v", F.explode(asking).alias("q"))
         part = best(pairs.select(F.col("q.query_id").alias("query_id"), "doc_id", F.round(dot(F.col("q.qv"), F.col("v")), 6).alias("score")), k)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def may_see(query: Column, event: Column) -> Column:
+    """The filters of a search for events, for :func:`dense`: known by ``as_of``, of ``types``, about one of ``symbols``, of ``least`` importance.
+
+    A filter that is null lets everything pass; what the event lacks (null) passes no filter.
+    """
+    passes = lambda given, holds: query[given].isNull() | F.coalesce(holds, F.lit(False))
+    return (
+        passes("as_of", event["available_at"] <= query["as_of"])
+        & passes("types", F.array_contains(query["types"], event["event_type"]))
+        & passes("symbols", F.arrays_overlap(event["symbols"], query["symbols"]))
+        & passes("least", event["importance_score"] >= query["least"])
+    )
+
+
 def sparse(queries: DataFrame, docs: DataFrame, k: int = 100) -> DataFrame:
     """Dot product of token weights: (query_id, weights) against (doc_id, weights), maps from token to weight."""
     q = queries.select("query_id", F.explode("weights").alias("token", "qw"))

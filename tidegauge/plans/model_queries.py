@@ -115,7 +115,7 @@ def i8_long_short(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def i13_deflated_sharpe(spark: SparkSession, d: str) -> DataFrame:
     """Every symbol's daily changes as one trial; the best of them, and how far it is beyond luck."""
-    r = M.with_change(_qfq(spark, d)).select(F.dense_rank().over(Window.orderBy("symbol")).cast("long").alias("cell"), (F.col("change_pct") / 100).alias("r"))
+    r = M.with_change(_qfq(spark, d)).select(F.col("symbol").alias("cell"), (F.col("change_pct") / 100).alias("r"))
     return S.rank_trials(S.moments(r, "cell", F.col("r")))
 
 
@@ -222,6 +222,27 @@ def j1_dense_search(spark: SparkSession, d: str) -> DataFrame:
     return J.dense(q, docs, 20)
 
 
+@query(
+    with_(EVENTS)
+    + """, has AS (SELECT vec_id AS doc_id, embedding, label, available_at, event_type, symbols, importance_score FROM embeddings JOIN ev ON vec_id = event_id),
+    asks AS (SELECT doc_id AS query_id, embedding AS qv, CASE WHEN doc_id % 150 <> 0 THEN available_at + INTERVAL 90 DAY END AS as_of, CASE WHEN doc_id % 100 <> 0 THEN event_type END AS kind,
+        CASE WHEN doc_id % 200 = 0 THEN symbols END AS about, CASE WHEN doc_id % 250 <> 0 THEN importance_score / 2 END AS least FROM has WHERE doc_id % 50 = 0),
+    sc AS (SELECT query_id, doc_id, round(list_cosine_similarity(qv::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM asks JOIN has
+        ON (as_of IS NULL OR available_at <= as_of) AND (kind IS NULL OR event_type = kind) AND (about IS NULL OR list_has_any(symbols, about)) AND (least IS NULL OR importance_score >= least))
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 20"""
+)
+def b4_filtered_search(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of events, each query with filters of its own; every fourth or so lacks one."""
+    e = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    has = e.join(B.events(spark, d).select(F.col("event_id").alias("doc_id"), "available_at", "event_type", "symbols", "importance_score"), "doc_id")
+    unless = lambda n, c: F.when(F.col("doc_id") % n != 0, c)
+    asks = has.where("doc_id % 50 = 0").select(
+        F.col("doc_id").alias("query_id"), "embedding", unless(150, F.col("available_at") + F.expr("INTERVAL 90 DAY")).alias("as_of"), unless(100, F.array("event_type")).alias("types"),
+        F.when(F.col("doc_id") % 200 == 0, F.col("symbols")).alias("symbols"), unless(250, F.col("importance_score") / 2).alias("least"),
+    )
+    return J.dense(asks, has, 20, allowed=J.may_see)
+
+
 def _weights(spark, d):
     words = F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: F.length(w) > 3)
     docs = B.table(spark, d, "documents").select("doc_id", F.explode(words).alias("w")).groupBy("doc_id", "w").count()

@@ -21,7 +21,7 @@ def test_events_reach_the_first_session_whose_cutoff_is_not_before_them(spark):
     sessions = spark.createDataFrame([(dt.date(2024, 1, 2), 0), (dt.date(2024, 1, 5), 1)], "trade_date date, session_idx int")
     got = {r.event_id: r.session for r in market.session_buckets(events, sessions).collect()}
     assert got[0] == dt.date(2024, 1, 2) and got[1] == dt.date(2024, 1, 5) and got[2] == dt.date(2024, 1, 2)
-    assert got[3] is None and got[4] is None
+    assert got[3] is None and got[4] is None and got[5] is None
 
 
 def test_limit_bands_round_half_up_and_closes_beyond_are_skipped(spark):

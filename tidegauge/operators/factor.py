@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .market import priced, session_buckets
+from .series import curve, performance
 
+#: Further columns that keep panels apart, such as the world of :func:`in_both_worlds`; all of a report comes from one plan then.
+Keys = tuple[str, ...]
 MAX_RETURN = 0.30
 _EXACT = "decimal(28,10)"
 
@@ -15,10 +18,10 @@ def _mean(value, places: int = 8):
     return F.round(F.sum(F.col(value).cast(_EXACT)).cast("double") / F.count(value), places)
 
 
-def event_panel(events: DataFrame, sessions: DataFrame, stamp: str = "available_at") -> DataFrame:
-    """(trade_date, symbol, value): the mean score of a symbol's events that a session is the first to see."""
+def event_panel(events: DataFrame, sessions: DataFrame, stamp: str = "available_at", by: Keys = ()) -> DataFrame:
+    """(by …, trade_date, symbol, value): the mean score of a symbol's events that a session is the first to see."""
     scored = session_buckets(events.where("score IS NOT NULL"), sessions, stamp).where("session IS NOT NULL")
-    return scored.select(F.col("session").alias("trade_date"), F.explode("symbols").alias("symbol"), "score").groupBy("trade_date", "symbol").agg(_mean("score").alias("value"))
+    return scored.select(*by, F.col("session").alias("trade_date"), F.explode("symbols").alias("symbol"), "score").groupBy(*by, "trade_date", "symbol").agg(_mean("score").alias("value"))
 
 
 def panel_counters(events: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -42,10 +45,10 @@ def forward_returns(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     return one.join(two, ["symbol", "session_idx"]).join(F.broadcast(sessions), "session_idx").select("trade_date", "symbol", F.round(F.col("o2") / F.col("o1") - 1, 8).alias("fwd_ret"))
 
 
-def pools(values: DataFrame, forward: DataFrame, min_pool: int = 20) -> DataFrame:
-    """(trade_date, symbol, value, fwd_ret): values with a return of at most 30 %, of days with at least ``min_pool`` of them."""
+def pools(values: DataFrame, forward: DataFrame, min_pool: int = 20, by: Keys = ()) -> DataFrame:
+    """(by …, trade_date, symbol, value, fwd_ret): values with a return of at most 30 %, of days with at least ``min_pool`` of them."""
     met = values.join(forward, ["trade_date", "symbol"]).where(F.abs("fwd_ret") <= MAX_RETURN)
-    return met.withColumn("n", F.count("*").over(Window.partitionBy("trade_date"))).where(F.col("n") >= min_pool).drop("n")
+    return met.withColumn("n", F.count("*").over(Window.partitionBy(*by, "trade_date"))).where(F.col("n") >= min_pool).drop("n")
 
 
 def pool_counters(values: DataFrame, forward: DataFrame, min_pool: int = 20) -> DataFrame:
@@ -57,57 +60,85 @@ def pool_counters(values: DataFrame, forward: DataFrame, min_pool: int = 20) ->
     )
 
 
-def average_rank(value: str, day: str = "trade_date"):
+def average_rank(value: str, day: str = "trade_date", by: Keys = ()):
     """Rank within the day; ties share the mean of their places."""
-    w = Window.partitionBy(day)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(day, value)) - 1) / 2
+    w = Window.partitionBy(*by, day)
+    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, day, value)) - 1) / 2
 
 
-def rank_ic(pool: DataFrame) -> DataFrame:
-    """Spearman's correlation per day: trade_date, n, ic; under three names or without variance there is none."""
-    ranked = pool.withColumn("rx", average_rank("value")).withColumn("ry", average_rank("fwd_ret"))
-    s = ranked.groupBy("trade_date").agg(F.count("*").alias("n"), F.sum("rx").alias("sx"), F.sum("ry").alias("sy"), F.sum(F.col("rx") * F.col("ry")).alias("sxy"), F.sum(F.col("rx") * F.col("rx")).alias("sxx"), F.sum(F.col("ry") * F.col("ry")).alias("syy"))
+def rank_ic(pool: DataFrame, by: Keys = ()) -> DataFrame:
+    """Spearman's correlation per day: by …, trade_date, n, ic; under three names or without variance there is none."""
+    ranked = pool.withColumn("rx", average_rank("value", by=by)).withColumn("ry", average_rank("fwd_ret", by=by))
+    product = lambda a, b, name: F.sum(F.col(a) * F.col(b)).alias(name)
+    s = ranked.groupBy(*by, "trade_date").agg(
+        F.count("*").alias("n"), F.sum("rx").alias("sx"), F.sum("ry").alias("sy"), product("rx", "ry", "sxy"), product("rx", "rx", "sxx"), product("ry", "ry", "syy")
+    )
     cov, vx, vy = (F.col("n") * F.col(a) - F.col(b) * F.col(c) for a, b, c in (("sxy", "sx", "sy"), ("sxx", "sx", "sx"), ("syy", "sy", "sy")))
-    return s.withColumn("ic", F.round(cov / F.nullif(F.sqrt(vx * vy), F.lit(0.0)), 6)).where("n >= 3 AND ic IS NOT NULL").select("trade_date", "n", "ic")
+    scored = s.withColumn("ic", F.round(cov / F.nullif(F.sqrt(vx * vy), F.lit(0.0)), 6))
+    return scored.where("n >= 3 AND ic IS NOT NULL").select(*by, "trade_date", "n", "ic")
 
 
-def ic_summary(ic: DataFrame) -> DataFrame:
-    """days, mean, sd (0 for one day), icir, t, positive_days."""
-    a = ic.agg(F.count("*").alias("days"), F.avg(F.col("ic").cast("decimal(20,6)")).cast("double").alias("mean"), F.coalesce(F.stddev_samp("ic"), F.lit(0.0)).alias("sd"), F.count_if(F.col("ic") > 0).alias("positive_days"))
+def ic_summary(ic: DataFrame, by: Keys = ()) -> DataFrame:
+    """by …, days, mean, sd (0 for one day), icir, t, positive_days."""
+    a = ic.groupBy(*by).agg(
+        F.count("*").alias("days"), F.avg(F.col("ic").cast("decimal(20,6)")).cast("double").alias("mean"), F.coalesce(F.stddev_samp("ic"), F.lit(0.0)).alias("sd"), F.count_if(F.col("ic") > 0).alias("positive_days")
+    )
     icir = F.col("mean") / F.nullif(F.col("sd"), F.lit(0.0))
-    return a.select("days", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round(icir, 4).alias("icir"), F.round(icir * F.sqrt(F.col("days").cast("double")), 4).alias("t"), "positive_days")
+    t = F.round(icir * F.sqrt(F.col("days").cast("double")), 4)
+    return a.select(*by, "days", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round(icir, 4).alias("icir"), t.alias("t"), "positive_days")
 
 
-def quantile_members(pool: DataFrame, quantiles: int = 5) -> DataFrame:
+def quantile_members(pool: DataFrame, quantiles: int = 5, by: Keys = ()) -> DataFrame:
     """The pool with its slice 0..q-1: n // q names each in order of value and symbol, the rest in the top one."""
-    w = Window.partitionBy("trade_date")
-    numbered = pool.withColumn("rn", F.row_number().over(w.orderBy("value", "symbol")) - 1).withColumn("size", F.expr(f"count(*) over (partition by trade_date) div {quantiles}"))
+    w = Window.partitionBy(*by, "trade_date")
+    size = F.floor(F.count("*").over(w) / quantiles)
+    numbered = pool.withColumn("rn", F.row_number().over(w.orderBy("value", "symbol")) - 1).withColumn("size", size)
     return numbered.where("size > 0").withColumn("q", F.least(F.expr("rn div size"), F.lit(quantiles - 1))).drop("rn", "size")
 
 
-def turnover(members: DataFrame) -> DataFrame:
+def _slices(members: DataFrame, by: Keys = ()) -> DataFrame:
+    """Per day and slice: size, paid (the sum of its returns), stayed (names it held the day before) and size0 (how many it held then; null: none).
+
+    A name remembers when its slice last held it; what a slice kept is counted from these days, so members are read and
+    shuffled once and never joined with themselves. Only rows of (day, slice, last day) go on.
+    """
+    own = Window.partitionBy(*by, "q", "symbol").orderBy("trade_date")
+    last = members.withColumn("last", F.lag("trade_date").over(own))
+    parts = last.groupBy(*by, "q", "trade_date", "last").agg(F.count("*").alias("n"), F.sum(F.col("fwd_ret").cast(_EXACT)).alias("paid"))
+    days = parts.groupBy(*by, "q", "trade_date").agg(F.sum("n").alias("size"), F.sum("paid").alias("paid"), F.collect_list(F.struct("last", "n")).alias("held"))
+    number = F.date_diff("trade_date", F.lit("1970-01-01").cast("date"))
+    before = F.max("trade_date").over(Window.partitionBy(*by).orderBy(number).rangeBetween(Window.unboundedPreceding, -1))  # rows are days and slices
+    line = Window.partitionBy(*by, "q").orderBy("trade_date")
+    known = days.withColumn("before", before).withColumn("size0", F.when(F.lag("trade_date").over(line) == F.col("before"), F.lag("size").over(line)))
+    kept = F.filter("held", lambda h: h["last"] == F.col("before"))
+    return known.withColumn("stayed", F.aggregate(kept, F.lit(0).cast("long"), lambda a, h: a + h["n"])).drop("held", "before")
+
+
+def _with_turnover(slices: DataFrame) -> DataFrame:
+    bought = (F.col("size") - F.col("stayed")) / F.col("size")
+    sold = F.coalesce((F.col("size0") - F.col("stayed")) / F.nullif(F.col("size0"), F.lit(0)), F.lit(0.0))
+    return slices.withColumn("bought", F.round(bought, 6)).withColumn("sold", F.round(sold, 6))
+
+
+def turnover(members: DataFrame, by: Keys = ()) -> DataFrame:
     """Per day and slice: size, bought (entered / size), sold (left / size of the day before); the first day buys all."""
-    days = members.select("trade_date").distinct().withColumn("i", F.row_number().over(Window.orderBy("trade_date")))  # a row per pool day
-    now = members.join(F.broadcast(days), "trade_date").select("i", "trade_date", "q", "symbol")
-    was = now.select((F.col("i") + 1).alias("i"), "q", "symbol", F.lit(1).alias("held"))
-    sizes = now.groupBy("i", "trade_date", "q").agg(F.count("*").alias("size"))
-    stayed = now.join(was, ["i", "q", "symbol"], "left").groupBy("i", "q").agg(F.count("held").alias("stayed"))
-    before = sizes.select((F.col("i") + 1).alias("i"), "q", F.col("size").alias("size0"))
-    both = sizes.join(stayed, ["i", "q"]).join(before, ["i", "q"], "left")
-    return both.select("trade_date", "q", "size", F.round((F.col("size") - F.col("stayed")) / F.col("size"), 6).alias("bought"), F.round(F.coalesce((F.col("size0") - F.col("stayed")) / F.nullif(F.col("size0"), F.lit(0)), F.lit(0.0)), 6).alias("sold"))
+    return _with_turnover(_slices(members, by)).select(*by, "trade_date", "q", "size", "bought", "sold")
 
 
-def quantile_portfolios(members: DataFrame, buy_rate: float = 0.00075, sell_rate: float = 0.00125) -> DataFrame:
+def quantile_portfolios(members: DataFrame, buy_rate: float = 0.00075, sell_rate: float = 0.00125, by: Keys = ()) -> DataFrame:
     """Equal-weight slices per day: gross mean return, net of costs in proportion to what was bought and sold."""
-    gross = members.groupBy("trade_date", "q").agg(_mean("fwd_ret").alias("gross"))
-    return gross.join(turnover(members), ["trade_date", "q"]).withColumn("net", F.round(F.col("gross") - F.col("bought") * buy_rate - F.col("sold") * sell_rate, 8))
+    gross = F.round(F.col("paid").cast("double") / F.col("size"), 8)
+    net = F.round(F.col("gross") - F.col("bought") * buy_rate - F.col("sold") * sell_rate, 8)
+    return _with_turnover(_slices(members, by)).withColumn("gross", gross).select(*by, "trade_date", "q", "gross", "size", "bought", "sold", net.alias("net"))
 
 
-def long_short(portfolios: DataFrame, quantiles: int = 5, buy_rate: float = 0.00075, sell_rate: float = 0.00125) -> DataFrame:
+def long_short(portfolios: DataFrame, quantiles: int = 5, buy_rate: float = 0.00075, sell_rate: float = 0.00125, by: Keys = ()) -> DataFrame:
     """Top less bottom per day: spread, and net with the short leg's costs mirrored."""
-    top, low = portfolios.where(F.col("q") == quantiles - 1), portfolios.where("q = 0").select("trade_date", F.col("gross").alias("g0"), F.col("bought").alias("b0"), F.col("sold").alias("s0"))
-    both = top.join(low, "trade_date")
-    return both.select("trade_date", F.round(F.col("gross") - F.col("g0"), 8).alias("spread"), F.round(F.col("net") - F.col("g0") - F.col("b0") * sell_rate - F.col("s0") * buy_rate, 8).alias("net_spread"))
+    of = lambda q: F.max(F.when(F.col("q") == q, F.struct("gross", "net", "bought", "sold")))
+    both = portfolios.groupBy(*by, "trade_date").agg(of(quantiles - 1).alias("top"), of(0).alias("low")).where("top IS NOT NULL AND low IS NOT NULL")
+    spread = F.round(F.col("top.gross") - F.col("low.gross"), 8)
+    net = F.round(F.col("top.net") - F.col("low.gross") - F.col("low.bought") * sell_rate - F.col("low.sold") * buy_rate, 8)
+    return both.select(*by, "trade_date", spread.alias("spread"), net.alias("net_spread"))
 
 
 def spread_test(spread: DataFrame) -> DataFrame:
@@ -116,13 +147,78 @@ def spread_test(spread: DataFrame) -> DataFrame:
     return a.select("days", F.round("m", 6).alias("mean"), F.round(F.col("m") / F.nullif(F.col("sd"), F.lit(0.0)) * F.sqrt(F.col("days").cast("double")), 3).alias("t"))
 
 
-def tear_sheet(pool: DataFrame, quantiles: int = 5) -> DataFrame:
-    """(part, q, days, mean, t) of a pool: the rank IC (part ic), the top less the bottom slice (spread), and each slice after costs (slice, q).
+def tear_sheet(pool: DataFrame, quantiles: int = 5, by: Keys = ()) -> DataFrame:
+    """(by …, part, q, days, mean, t) of a pool: the rank IC (part ic), the top less the bottom slice (spread), and each slice after costs (slice, q).
 
     The pool is read once for the ranks and once for the slices.
     """
-    test = lambda df, value, part, q: df.agg(F.count("*").alias("days"), F.avg(F.col(value).cast("decimal(20,8)")).cast("double").alias("m"), F.stddev_samp(value).alias("sd")).select(F.lit(part).alias("part"), q, "days", F.round("m", 6).alias("mean"), F.round(F.col("m") / F.nullif(F.col("sd"), F.lit(0.0)) * F.sqrt(F.col("days").cast("double")), 3).alias("t"))
-    portfolios = quantile_portfolios(quantile_members(pool, quantiles))
-    whole = F.lit(-1).alias("q")
-    out = test(rank_ic(pool), "ic", "ic", whole).unionByName(test(long_short(portfolios, quantiles), "spread", "spread", whole))
-    return out.unionByName(test(portfolios.groupBy("q"), "net", "slice", F.col("q").cast("int").alias("q")))
+    portfolios = quantile_portfolios(quantile_members(pool, quantiles, by), by=by)
+
+    def test(rows: DataFrame, value: str, part: str, *keys: str) -> DataFrame:
+        a = rows.groupBy(*by, *keys).agg(F.count("*").alias("days"), F.avg(F.col(value).cast("decimal(20,8)")).cast("double").alias("m"), F.stddev_samp(value).alias("sd"))
+        t = F.round(F.col("m") / F.nullif(F.col("sd"), F.lit(0.0)) * F.sqrt(F.col("days").cast("double")), 3)
+        q = F.col("q").cast("int") if "q" in keys else F.lit(-1)
+        return a.select(*by, F.lit(part).alias("part"), q.alias("q"), "days", F.round("m", 6).alias("mean"), t.alias("t"))
+
+    out = test(rank_ic(pool, by), "ic", "ic").unionByName(test(long_short(portfolios, quantiles, by=by), "spread", "spread"))
+    return out.unionByName(test(portfolios, "net", "slice", "q"))
+
+
+#: The stamp by which an event counts in each world: when it was known, or (the mistake to be measured) when it happened.
+WORLDS = {"pit": "available_at", "non_pit": "event_time"}
+
+
+def in_both_worlds(events: DataFrame) -> DataFrame:
+    """Every event once per world, with the world's stamp: one scan, in which the world is a key like any other."""
+    worlds = [F.struct(F.lit(world).alias("world"), F.col(stamp).alias("stamp")) for world, stamp in WORLDS.items()]
+    return events.select("*", F.inline(F.array(*worlds)))
+
+
+def look_ahead(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    """How many sessions too early a world without knowledge stamps would use events: sessions_early (null: never known in a session), n, scored.
+
+    The direct evidence: both sessions are looked up in small tables along one scan of the events.
+    """
+    index = lambda day, name: F.broadcast(sessions.select(F.col("trade_date").alias(day), F.col("session_idx").alias(name)))
+    known = session_buckets(events, sessions, WORLDS["pit"]).withColumnRenamed("session", "__known")
+    both = session_buckets(known, sessions, WORLDS["non_pit"]).withColumnRenamed("session", "__happened")
+    met = both.join(index("__known", "__a"), "__known", "left").join(index("__happened", "__b"), "__happened", "left")
+    early = (F.col("__a") - F.col("__b")).alias("sessions_early")
+    return met.where("__happened IS NOT NULL").groupBy(early).agg(F.count("*").alias("n"), F.count("score").alias("scored"))
+
+
+def world_metrics(events: DataFrame, sessions: DataFrame, forward: DataFrame, min_pool: int = 20, quantiles: int = 5) -> DataFrame:
+    """(world, metric, value) of the event factor in both worlds: its rank IC, and the curve that its net spread compounds to from 1,000.
+
+    Panel, pools, slices and curves of both worlds are one plan with the world as a key. A world without a day with a pool
+    has no rows; a null value means that the metric doesn't exist (a ratio of one day, say).
+    """
+    by = ("world",)
+    pool = pools(event_panel(in_both_worlds(events), sessions, "stamp", by), forward, min_pool, by)
+    ic = ic_summary(rank_ic(pool, by), by)
+    spread = long_short(quantile_portfolios(quantile_members(pool, quantiles, by), by=by), quantiles, by=by)
+    levels = curve(spread, "trade_date", "net_spread", by=by)
+    wins = F.round(F.avg((F.col("net_spread") > 0).cast("double")), 6)
+    told = performance(levels, "world", "trade_date", "level", 1000.0, F.lit(0.0)).join(spread.groupBy("world").agg(wins.alias("win_rate")), "world")
+    final = F.round((1 + F.col("total")) * 1000, 4)
+    of_curve = {"days": F.col("n"), "final_equity": final, "total_return": F.col("total"), "annual_return": F.col("annual"), "max_drawdown": F.col("max_drawdown"), "sharpe": F.col("sharpe"), "win_rate": F.col("win_rate")}
+    of_ic = {"ic_days": F.col("days"), "ic_mean": F.col("mean"), "icir": F.col("icir")}
+    long = lambda rows, metrics: rows.select("world", F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in metrics.items()])))
+    return long(told, of_curve).unionByName(long(ic, of_ic))
+
+
+#: Shares differ in percentage points, levels as a ratio, everything else plainly.
+_IN_POINTS = ("total_return", "annual_return", "max_drawdown", "win_rate")
+
+
+def world_deltas(metrics: DataFrame) -> DataFrame:
+    """(metric, pit, non_pit, delta, unit): non_pit against pit, null where either is null; unit is ``pp``, ``ratio`` (final equity) or ``abs``.
+
+    The final equity is compared as a ratio, for it is above zero wherever a curve survives, while returns may be near zero; those differ in points.
+    """
+    of = lambda world: F.max(F.when(F.col("world") == world, F.col("value"))).alias(world)
+    both = metrics.groupBy("metric").agg(of("pit"), of("non_pit"))
+    unit = F.when(F.col("metric") == "final_equity", "ratio").when(F.col("metric").isin(*_IN_POINTS), "pp").otherwise("abs")
+    gap = F.col("non_pit") - F.col("pit")
+    delta = F.when(F.col("unit") == "ratio", F.col("non_pit") / F.nullif(F.col("pit"), F.lit(0.0)) - 1).when(F.col("unit") == "pp", gap * 100).otherwise(gap)
+    return both.withColumn("unit", unit).select("metric", "pit", "non_pit", F.round(delta, 6).alias("delta"), "unit")

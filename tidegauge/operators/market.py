@@ -137,7 +137,7 @@ def coverage(rows: DataFrame, day: Column) -> DataFrame:
 
 
 def session_buckets(events: DataFrame, sessions: DataFrame, stamp: str = "available_at") -> DataFrame:
-    """Events with the first session whose 15:00 is not before the stamp; those after the last session have none (null).
+    """Events with the first session whose 15:00 is not before the stamp; those after the last session, or without a stamp, have none (null).
 
     A forward as-of join without a range join: each stamp's day is one bucket, looked up in a table of calendar days
     that the sessions fill backwards. The table has a row per day of the calendar, whatever the number of events.
@@ -147,7 +147,7 @@ def session_buckets(events: DataFrame, sessions: DataFrame, stamp: str = "availa
     first = F.date_add(F.coalesce("before", F.date_sub("trade_date", 0)), F.when(F.col("before").isNull(), 0).otherwise(1))
     days = ends.select(F.col("trade_date").alias("session"), F.explode(F.sequence(first, F.col("trade_date"))).alias("__day"))
     first_session = sessions.agg(F.min("trade_date").alias("__first"))
-    due = events.join(F.broadcast(first_session), F.lit(True)).withColumn("__due", F.greatest(day, "__first"))  # one row
+    due = events.join(F.broadcast(first_session), F.lit(True)).withColumn("__due", F.when(F.col(stamp).isNotNull(), F.greatest(day, "__first")))  # one row
     return due.join(days, F.col("__due") == F.col("__day"), "left").drop("__due", "__day", "__first")
 
 

@@ -114,10 +114,10 @@ def drawdowns(rows: DataFrame, value: str = "close") -> DataFrame:
     return rows.withColumn("dd", (peak - F.col(value)) / F.nullif(peak, F.lit(0.0))).groupBy("symbol").agg(F.round(F.max("dd"), 6).alias("max_drawdown"))
 
 
-def curve(returns: DataFrame, order: str, value: str, initial: float = 1000.0) -> DataFrame:
-    """Levels from fractions per day: ``initial`` times the product so far; a null day is flat. One row a day."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return returns.select(order, F.round(F.product(1 + F.coalesce(F.col(value), F.lit(0.0))).over(w) * initial, 4).alias("level"))
+def curve(returns: DataFrame, order: str, value: str, initial: float = 1000.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Levels from fractions per day: ``initial`` times the product so far; a null day is flat. One row a day (and curve, with ``by``)."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return returns.select(*by, order, F.round(F.product(1 + F.coalesce(F.col(value), F.lit(0.0))).over(w) * initial, 4).alias("level"))
 
 
 def moments(rows: DataFrame, by: str, value: Column) -> DataFrame:

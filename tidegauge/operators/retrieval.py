@@ -72,6 +72,71 @@ def sparse(queries: DataFrame, docs: DataFrame, k: int = 100) -> DataFrame:
     return best(hits, k)
 
 
+#: Documents that a block of the sparse index holds, about; and blocks that a query scores to learn what its k-th best must reach.
+BLOCK_DOCS = 1024
+SEED_BLOCKS = 4
+_SALTS = 32
+
+
+def sparse_postings(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(doc_id, weights) → (block, token, doc_id, weight): postings in blocks of documents that share their heaviest token.
+
+    Documents alike in what weighs most give blocks whose bounds are tight. A token that heads very many documents has
+    its documents dealt over as many blocks as they fill, so no block and no key grows with the corpus. Documents without
+    weights have no postings.
+    """
+    entries = F.transform(F.map_entries("weights"), lambda e: F.struct(e["value"].alias("weight"), e["key"].alias("token")))
+    headed = docs.where(F.size("weights") > 0).select("doc_id", "weights", F.array_max(entries)["token"].alias("head"))
+    salted = headed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "head"), F.lit(_SALTS)))
+    sizes = headed.groupBy("head").agg(F.ceil(F.count("*") / block_docs).alias("pieces")).select("head", "pieces", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("salt"))
+    piece = F.pmod(F.xxhash64("doc_id"), F.col("pieces"))
+    placed = salted.join(sizes, ["head", "salt"]).withColumn("block", F.xxhash64("head", piece))
+    return placed.select("block", "doc_id", F.explode("weights").alias("token", "weight"))
+
+
+def write_sparse_index(docs: DataFrame, folder: str, block_docs: int = BLOCK_DOCS) -> None:
+    """Postings, sorted by block and token, and the bounds of each token in each block (high and low weight), as two Parquet tables of a new folder."""
+    sparse_postings(docs, block_docs).repartitionByRange("block", "token").sortWithinPartitions("block", "token").write.parquet(f"{folder}/postings")
+    postings = docs.sparkSession.read.parquet(f"{folder}/postings")
+    postings.groupBy("block", "token").agg(F.max("weight").alias("high"), F.min("weight").alias("low")).write.parquet(f"{folder}/bounds")
+
+
+def block_bounds(queries: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(query_id, block, most): what no document of a block can exceed; a token that a document lacks adds nothing."""
+    asked = queries.select("query_id", F.explode("weights").alias("token", "qw"))
+    most = F.greatest(F.col("qw") * F.col("high"), F.col("qw") * F.col("low"), F.lit(0.0))
+    return bounds.join(asked, "token").groupBy("query_id", "block").agg(F.sum(most).alias("most"))
+
+
+def _block_scores(queries: DataFrame, postings: DataFrame, blocks: DataFrame) -> DataFrame:
+    asked = queries.select("query_id", F.explode("weights").alias("token", "qw"))
+    met = postings.join(blocks.select("query_id", "block").join(asked, "query_id"), ["block", "token"])
+    score = F.sum((F.col("qw") * F.col("weight")).cast("decimal(28,8)")).cast("double")
+    return met.groupBy("query_id", "doc_id").agg(F.round(score, 6).alias("score"))
+
+
+def blocks_to_score(queries: DataFrame, postings: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
+    """(query_id, block): the blocks that may hold one of the query's k best.
+
+    The blocks with the greatest bounds are scored first; what their k-th document reaches, all of the k best reach. A
+    query that finds fewer than k there goes through all its blocks, so nothing is ever lost.
+    """
+    upper = block_bounds(queries, bounds)
+    w = Window.partitionBy("query_id").orderBy(F.desc("most"), "block")
+    seeds = upper.withColumn("n", F.row_number().over(w)).where(F.col("n") <= SEED_BLOCKS)
+    floor = best(_block_scores(queries, postings, seeds), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    slack = F.lit(1e-5) * (1 + F.abs("floor"))  # scores are rounded, bounds are not
+    return upper.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("most") + slack >= F.col("floor"))).select("query_id", "block")
+
+
+def sparse_by_blocks(queries: DataFrame, postings: DataFrame, bounds: DataFrame, k: int = 100) -> DataFrame:
+    """What :func:`sparse` returns, from a stored index: only postings of blocks that may enter a query's k best are read through.
+
+    Postings meet queries by (block, token): the postings of a common token are spread over all tasks.
+    """
+    return best(_block_scores(queries, postings, blocks_to_score(queries, postings, bounds, k)), k)
+
+
 def fused(*legs: DataFrame, k: int = 50) -> DataFrame:
     """Reciprocal rank fusion: the sum of 1 / (60 + rank) over the legs."""
     both = legs[0].select("query_id", "doc_id", "rank")

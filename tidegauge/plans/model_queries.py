@@ -263,6 +263,16 @@ def j2_sparse_search(spark: SparkSession, d: str) -> DataFrame:
     return J.sparse(*_weights(spark, d), k=20)
 
 
+@query(with_(_SPARSE) + "SELECT * FROM sp")
+def j2_block_search(spark: SparkSession, d: str) -> DataFrame:
+    """The sparse search from a stored index, whose blocks are skipped where they can't hold one of the 20 best."""
+    asked, docs = _weights(spark, d)
+    folder = B.new_folder(spark, "sparse")
+    J.write_sparse_index(docs, folder, 64)
+    stored = lambda name: spark.read.parquet(f"{folder}/{name}")
+    return J.sparse_by_blocks(asked, stored("postings"), stored("bounds"), 20)
+
+
 @query(with_(_DENSE) + ", o AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS rank FROM de), u AS (SELECT query_id, doc_id, rank FROM de UNION ALL SELECT * FROM o WHERE rank <= 10), f AS (SELECT query_id, doc_id, round(sum((1.0::DOUBLE / (60 + rank))::DECIMAL(20,12))::DOUBLE, 10) AS score FROM u GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 15")
 def j3_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
     q, docs = _queries_of(spark, d)

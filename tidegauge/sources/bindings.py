@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,6 +88,11 @@ def _store(spark: SparkSession) -> str:
     return named.rstrip("/") + "/tidegauge"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that nobody else writes, where driver and executors share one."""
+    return f"{_store(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, event_type, event_time, available_at, importance_score, direction, symbols, industries, factor_scores (encoded twice)."""
     rows = table(spark, sf_dir, "events")

@@ -78,12 +78,14 @@ def thinnest_day(bars: DataFrame) -> DataFrame:
     return days.agg(F.min(F.struct("n", "trade_date")).alias("m")).select("m.trade_date", "m.n")
 
 
-def event_gaps(events: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Calendar days without events between the first and the last: day, kind (trading or natural)."""
+def event_gaps(events: DataFrame, sessions: DataFrame, excused: DataFrame | None = None) -> DataFrame:
+    """Calendar days without events between the first and the last: day, kind (trading or natural); ``excused`` days (day) are no gaps."""
     days = events.select(F.to_date("event_time").alias("day")).distinct()
     span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
     trading = sessions.select(F.col("trade_date").alias("day"), F.lit(1).alias("t"))
-    return span.join(days, "day", "left_anti").join(trading, "day", "left").select("day", F.when(F.col("t").isNull(), "natural").otherwise("trading").alias("kind"))
+    gaps = span.join(days, "day", "left_anti")
+    gaps = gaps if excused is None else gaps.join(excused, "day", "left_anti")
+    return gaps.join(trading, "day", "left").select("day", F.when(F.col("t").isNull(), "natural").otherwise("trading").alias("kind"))
 
 
 def shard_differences(manifest: DataFrame, found: DataFrame) -> DataFrame:

@@ -489,3 +489,18 @@ def test_surrogates_of_a_mixed_corpus_are_distinct_and_coherent(spark):
         mine = [next(iter(v)).removeprefix("Mr ").lower() for (k, _), v in stands.items() if k == kind]
         plain = [re.sub(r"\D", "", x) if kind == "phone" else x for x in mine]
         assert len(set(plain)) == len(plain) and not set(plain) & {f for k, f in stands if k == kind}
+
+
+def test_pieces_of_many_words_are_looked_up_together():
+    """The pieces that begin anywhere in 3,000 words take one lookup per length of piece; before, one per character and length."""
+    rng, pieces = random.Random(4), ("a", "ab", "abc", "ca", "\u4e2d", "\U0001f600b", "bca", "")
+    scorer = language.Scorer(language.Model(("x",), np.zeros(1), pieces, np.full((9, 1), 0.1)))
+    words = ["".join(rng.choice("abcd\u4e2d\U0001f600") for _ in range(6)) for _ in range(3000)]
+    asked, steps = [], scorer.steps
+    scorer.steps = type("Counted", (), {"get_indexer": lambda self, keys: asked.append(len(keys)) or steps.get_indexer(keys)})()
+    got, ids = scorer._found(words), {p: i for i, p in enumerate(pieces) if p}
+    assert len(asked) <= max(map(len, pieces))
+    for w, rows in zip(words, got, strict=True):
+        for e, row in enumerate(rows):
+            ending = [ids.get(w[e - k : e + 1], scorer.none) if k <= e else scorer.none for k in range(len(row))]
+            assert row.tolist() == [scorer.other if ending[0] == scorer.none else ending[0], *ending[1:]]

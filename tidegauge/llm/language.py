@@ -32,6 +32,8 @@ BREAK = "▁"
 TOGETHER_CHARS = 24
 #: Every character multiplies by this, so that sums over a word stay near 1; it cancels between languages.
 LIFT = 12.0
+#: Bits of a character's number.
+CODE_BITS = 21
 #: Words whose sums a task holds at most, and the bytes of those sums.
 CACHED_WORDS, CACHED_BYTES = 300_000, 64 << 20
 
@@ -62,6 +64,11 @@ def words_of(text: str) -> list[str]:
     return [w for w in text.lower().split() if any(map(str.isalpha, w))]
 
 
+def counted_words(text: str) -> dict[str, int]:
+    """How often each of :func:`words_of` comes, in order of the first: a word is looked at once, however often it comes."""
+    return {w: n for w, n in Counter(text.lower().split()).items() if w.isalpha() or any(map(str.isalpha, w))}
+
+
 class Scorer:
     """Sums over all segmentations of words, for all languages at once."""
 
@@ -73,8 +80,12 @@ class Scorer:
         self.lifted = np.vstack([model.chance * LIFT ** lengths[:, None], np.zeros((1, model.chance.shape[1]))])
         self.none = len(self.lifted) - 1
         self.model = model
-        #: Pieces by string, and -1 for what only begins one: where neither is there, no longer piece begins so.
-        self.begins = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
+        #: Beginnings of pieces, numbered from 1 in order of length (0: the empty one), by the number of the beginning without its last
+        #: character and that character; the piece that each is, -1 where it only begins one.
+        begins = sorted({p[:k] for p in self.ids for k in range(1, len(p) + 1)}, key=len)
+        number = {"": 0} | {b: n for n, b in enumerate(begins, 1)}
+        self.steps = pd.Index(np.array([number[b[:-1]] << CODE_BITS | ord(b[-1]) for b in begins], np.int64))
+        self.piece = np.array([self.ids.get(b, -1) for b in begins], np.int32)
         langs = max(1, len(model.langs))
         self.room = min(CACHED_WORDS, CACHED_BYTES // (8 * langs))
         self.place: dict[str, int] = {}
@@ -82,24 +93,20 @@ class Scorer:
 
     def _found(self, words: list[str]) -> np.ndarray:
         """words x ends x lengths: the piece that ends there, or none; a lone unknown character is ``other``."""
-        begins, size, other = self.begins, len(words[0]), self.other
+        size = len(words[0])
         most = min(size, self.longest)
-        at, which = [], []
-        for i, w in enumerate(words):
-            base = i * size * most
-            for s in range(size):
-                for k in range(1, min(most, size - s) + 1):
-                    piece = begins.get(w[s : s + k])
-                    if piece is None:
-                        if k == 1:
-                            at.append(base + s * most)
-                            which.append(other)
-                        break
-                    if piece >= 0 or k == 1:
-                        at.append(base + (s + k - 1) * most + k - 1)
-                        which.append(piece if piece >= 0 else other)
-        ids = np.full(len(words) * size * most, self.none, np.int32)
-        ids[at] = which
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ids = np.full(len(codes) * most, self.none, np.int32)
+        ids[::most] = self.other
+        start, begun = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        for k in range(most):
+            end = start + k
+            at = self.steps.get_indexer(begun << CODE_BITS | codes[end])
+            start, end, at = (x[at >= 0] for x in (start, end, at))
+            piece = self.piece[at]
+            ids[end[piece >= 0] * most + k] = piece[piece >= 0]
+            on = start % size + k + 1 < size
+            start, begun = start[on], at[on] + 1
         return ids.reshape(len(words), size, most)
 
     def _together(self, words: list[str]) -> np.ndarray:
@@ -154,7 +161,7 @@ class Scorer:
         self.sums = np.concatenate([self.sums, *new])
 
     def texts(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        counted = [Counter(words_of(t)) for t in texts]
+        counted = [counted_words(t) for t in texts]
         names, scores = [], []
         asked = {w for c in counted for w in c}
         new = [w for w in asked if w not in self.place]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,12 +164,16 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if fs.exists(at) else spark.createDataFrame([], schema)
 
 
-def write_shards(bars: DataFrame, folder: str) -> None:
-    """Bars by adjustment and year, sorted by day and symbol: written aside first, then put in place; what was there is moved aside until then."""
+def write_shards(bars: DataFrame, folder: str, made: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Bars by adjustment and year, sorted by day and symbol: written aside first, then put in place; what was there is moved aside until then.
+
+    ``made`` makes the rows to write of those of a quarter, row by row, after they are dealt; it may add the adjustment.
+    """
     spark = bars.sparkSession
     aside = f"{folder}.staging-{uuid.uuid4().hex}"
     dated = bars.withColumn("year", F.year("trade_date"))
-    dated.repartition("adjustment", "year").sortWithinPartitions("trade_date", "symbol").write.partitionBy("adjustment", "year").parquet(aside)
+    dealt = dated.repartition("year", F.quarter("trade_date")) if made else dated.repartition("adjustment", "year")
+    (made(dealt) if made else dealt).sortWithinPartitions("adjustment", "year", "trade_date", "symbol").write.partitionBy("adjustment", "year").parquet(aside)
     here, fs = _path(spark, aside)
     there, _ = _path(spark, folder)
     was, _ = _path(spark, f"{folder}.replaced-{uuid.uuid4().hex}")

@@ -120,6 +120,25 @@ def test_the_whole_pipeline(spark, tmp_path):
     assert len({r.text for r in out}) >= 300 and all(len(r.text.split()) == r.words for r in out)
 
 
+def test_a_stage_deletes_what_the_written_one_before_staged(spark, tmp_path):
+    """Stages called one by one, as the pipeline's runner may: before, all that each had staged stayed until the session's end."""
+    import glob
+
+    folder = tables.shared_folder(spark) + "/tidegauge"
+    frame = spark.createDataFrame(rows_of([f"word{i % 7} and some more of text {i % 7}" for i in range(30)]), SHAPE)
+    there = lambda: set(glob.glob(f"{folder}/*"))
+    before = there()
+    corpus_pipeline.without_copies(spark, frame, str(tmp_path)).write.parquet(str(tmp_path / "a"))
+    staged = there() - before
+    assert staged
+    chained = corpus_pipeline.without_copies(spark, spark.read.parquet(str(tmp_path / "a")), str(tmp_path))
+    assert not staged & there()
+    last = corpus_pipeline.without_copies(spark, chained, str(tmp_path))  # of a result that isn't written yet
+    assert last.count() == 7 and chained.count() == 7
+    with tables.stage_of(str(tmp_path)):
+        assert there() == before
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     class Conf:
         def get(self, key, default=None):

@@ -257,5 +257,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """The rows of ``docs`` that have no word of a benchmark's passage, with all their columns; rows count, not ids."""
     rows, row = numbered(docs, "indexed-rows")
     index = staged(build_index(rows.select(F.col(row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("body")), block_words), "postings")
-    bad = search(index, benchmark, **how).where(F.size("spans") > 0).select(F.col("row_id").alias(row))
+    # Staged, its size is known: where it is small the documents aren't shuffled.
+    bad = staged(search(index, benchmark, **how).where(F.size("spans") > 0).select(F.col("row_id").alias(row)), "contaminated-rows")
     return rows.join(bad, row, "left_anti").select(*docs.columns)

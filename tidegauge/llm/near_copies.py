@@ -46,5 +46,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     grouped = join_frequent(sets.where("n > 0"), of_set, ["set_id"], "n_rows", total).select(F.col("id").alias("node"), "root")
     named = staged(known.select(F.col(row).alias("node"), F.col(id_col).cast("long").alias("id")).join(grouped, "node"), "members")
     best = staged(named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("best"), F.count("*").alias("n")), "best")
-    gone = join_frequent(named, best, ["root"], "n", total).where("node <> best.node").select(F.col("node").alias(row))
+    gone = staged(join_frequent(named, best, ["root"], "n", total).where("node <> best.node").select(F.col("node").alias(row)), "near-copies")
     return known.join(gone, row, "left_anti").select(*docs.columns)

@@ -51,12 +51,50 @@ def intermediates() -> Iterator[None]:
             _delete(path)
 
 
+#: What stages of a pipeline staged and nobody deleted yet, by the folder of the pipeline's input.
+_left: dict[str, list[str]] = {}
+
+
+@contextmanager
+def stage_of(sf_dir: str, docs: DataFrame | None = None) -> Iterator[None]:
+    """Around the making of a stage's result, or around nothing once the last one is written: what earlier stages over ``sf_dir`` staged is deleted first.
+
+    A stage begins when the one before is written, so nobody needs that any more. Where ``docs`` still reads some of it
+    (stages put together without being written) that much stays.
+    """
+    held = _left.setdefault(sf_dir, [])
+    if held:
+        read = "\n".join(docs.inputFiles()) if docs is not None else ""
+        for path in [p for p in held if p.rsplit("/", 1)[1] not in read]:
+            _delete(path)
+            held.remove(path)
+    _open.append(held)
+    try:
+        yield
+    finally:
+        _open.pop()
+
+
+def _delete_left() -> None:
+    for held in _left.values():
+        for path in held:
+            _delete(path)
+
+
+atexit.register(_delete_left)
+
+
 def _delete(path: str) -> None:
     session = SparkSession.getActiveSession()
     if session is None or session.sparkContext._jsc is None:
         return
-    at = session._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(session._jsc.hadoopConfiguration()).delete(at, True)
+    delete(session, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder; none there: nothing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:

@@ -31,8 +31,11 @@ def panel_counters(events: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def price_panel(bars: DataFrame, lookback: int = 20, direction: int = 1) -> DataFrame:
-    """(trade_date, symbol, value): the change since ``lookback`` of the symbol's own priced bars; absent where there are fewer."""
-    w = Window.partitionBy("symbol").orderBy("trade_date")
+    """(trade_date, symbol, value): the change since ``lookback`` of the symbol's own priced bars; absent where there are fewer.
+
+    Bars of one symbol and day are taken in order of their close, so that reruns agree.
+    """
+    w = Window.partitionBy("symbol").orderBy("trade_date", "close")
     back = F.lag("close", lookback).over(w)
     return priced(bars).withColumn("value", F.round(direction * (F.col("close") / F.nullif(back, F.lit(0.0)) - 1), 8)).where("value IS NOT NULL").select("trade_date", "symbol", "value")
 
@@ -45,6 +48,28 @@ def forward_returns(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     return one.join(two, ["symbol", "session_idx"]).join(F.broadcast(sessions), "session_idx").select("trade_date", "symbol", F.round(F.col("o2") / F.col("o1") - 1, 8).alias("fwd_ret"))
 
 
+def _return(o2, o1):
+    return F.round(o2 / o1 - 1, 8)
+
+
+def return_legs(bars: DataFrame, sessions: DataFrame) -> DataFrame:
+    """What :func:`forward_returns` pairs, unpaired: (trade_date, symbol, o1s, o2s, f, ok), a row per day and symbol.
+
+    o1s are the opens of the next session, o2s those of the one after; f counts the returns they make, ok those of at most
+    30 %. Where many bars share a symbol and day there are far more returns than bars. Quotients and rounding are
+    monotone: where the ends are within the bound, so is every return, and only other days try each.
+    """
+    opens = priced(bars).where("open > 0").join(F.broadcast(sessions), "trade_date")  # a row per trading day
+    leg = lambda k: F.struct((F.col("session_idx") - k).alias("session_idx"), *[F.when(F.lit(k) == j, F.col("open")).alias(f"o{j}") for j in (1, 2)])
+    legs = opens.select("symbol", F.inline(F.array(leg(1), leg(2)))).groupBy("symbol", "session_idx").agg(F.collect_list("o1").alias("o1s"), F.collect_list("o2").alias("o2s"))
+    met = legs.where((F.size("o1s") > 0) & (F.size("o2s") > 0)).join(F.broadcast(sessions), "session_idx")
+    least, most = (_return(f(b), g(a)) for f, g, a, b in ((F.array_min, F.array_max, "o1s", "o2s"), (F.array_max, F.array_min, "o1s", "o2s")))
+    plain = ~F.isnan(F.array_max("o1s")) & ~F.isnan(F.array_max("o2s"))
+    f = F.size("o1s").cast("long") * F.size("o2s")
+    each = F.aggregate("o1s", F.lit(0).cast("long"), lambda n, a: n + F.size(F.filter("o2s", lambda b: F.abs(_return(b, a)) <= MAX_RETURN)))
+    return met.select("trade_date", "symbol", "o1s", "o2s", f.alias("f"), F.when(plain & (least >= -MAX_RETURN) & (most <= MAX_RETURN), f).otherwise(each).alias("ok"))
+
+
 def pools(values: DataFrame, forward: DataFrame, min_pool: int = 20, by: Keys = ()) -> DataFrame:
     """(by …, trade_date, symbol, value, fwd_ret): values with a return of at most 30 %, of days with at least ``min_pool`` of them."""
     met = values.join(forward, ["trade_date", "symbol"]).where(F.abs("fwd_ret") <= MAX_RETURN)
@@ -52,14 +77,29 @@ def pools(values: DataFrame, forward: DataFrame, min_pool: int = 20, by: Keys =
 
 
 def pool_counters(values: DataFrame, forward: DataFrame, min_pool: int = 20) -> DataFrame:
-    """dropped_no_price, dropped_extreme, skipped_thin_days, skipped_no_forward_days."""
-    met = values.join(forward, ["trade_date", "symbol"], "left").withColumn("ok", F.col("fwd_ret").isNotNull() & (F.abs("fwd_ret") <= MAX_RETURN))
-    days = met.groupBy("trade_date").agg(F.count_if("ok").alias("n"), F.count("fwd_ret").alias("f"), F.count_if(F.col("fwd_ret").isNull()).alias("no_price"), F.count_if(F.abs("fwd_ret") > MAX_RETURN).alias("extreme"))
+    """dropped_no_price, dropped_extreme, skipped_thin_days, skipped_no_forward_days; ``forward`` has returns, or their counts as :func:`return_legs`.
+
+    Both sides are counted by day and symbol before they meet.
+    """
+    if "ok" in forward.columns:
+        counts = forward.select("trade_date", "symbol", "f", "ok", (F.col("f") - F.col("ok")).alias("x"), F.lit(0).cast("long").alias("none"))
+    else:
+        size = F.abs("fwd_ret")
+        counts = forward.groupBy("trade_date", "symbol").agg(F.count("fwd_ret").alias("f"), F.count_if(size <= MAX_RETURN).alias("ok"), F.count_if(size > MAX_RETURN).alias("x"), F.count_if(F.col("fwd_ret").isNull()).alias("none"))
+    held = values.groupBy("trade_date", "symbol").agg(F.count("*").alias("v"))
+    of = lambda c, absent=0: F.sum(F.col("v") * F.coalesce(c, F.lit(absent)))
+    days = held.join(counts, ["trade_date", "symbol"], "left").groupBy("trade_date").agg(of("ok").alias("n"), of("f").alias("f"), of("none", 1).alias("no_price"), of("x").alias("extreme"))
     return days.agg(
         F.sum("no_price").alias("dropped_no_price"), F.sum("extreme").alias("dropped_extreme"), F.count_if((F.col("f") > 0) & (F.col("n") < min_pool)).alias("skipped_thin_days"), F.count_if(F.col("f") == 0).alias("skipped_no_forward_days")
     )
 
 
+def _weighted(values: DataFrame, legs: DataFrame, min_pool: int) -> DataFrame:
+    """:func:`pools` unpaired: (trade_date, symbol, value, ok, n), a row per value; it stands for ``ok`` rows of the day's ``n``."""
+    met = values.join(legs.select("trade_date", "symbol", "ok"), ["trade_date", "symbol"]).where("ok > 0")
+    return met.withColumn("n", F.sum("ok").over(Window.partitionBy("trade_date"))).where(F.col("n") >= min_pool)
+
+
 def average_rank(value: str, day: str = "trade_date", by: Keys = ()):
     """Rank within the day; ties share the mean of their places."""
     w = Window.partitionBy(*by, day)
@@ -73,11 +113,46 @@ def rank_ic(pool: DataFrame, by: Keys = ()) -> DataFrame:
     s = ranked.groupBy(*by, "trade_date").agg(
         F.count("*").alias("n"), F.sum("rx").alias("sx"), F.sum("ry").alias("sy"), product("rx", "ry", "sxy"), product("rx", "rx", "sxx"), product("ry", "ry", "syy")
     )
+    return _correlation(s, by)
+
+
+def _correlation(s: DataFrame, by: Keys = ()) -> DataFrame:
     cov, vx, vy = (F.col("n") * F.col(a) - F.col(b) * F.col(c) for a, b, c in (("sxy", "sx", "sy"), ("sxx", "sx", "sx"), ("syy", "sy", "sy")))
     scored = s.withColumn("ic", F.round(cov / F.nullif(F.sqrt(vx * vy), F.lit(0.0)), 6))
     return scored.where("n >= 3 AND ic IS NOT NULL").select(*by, "trade_date", "n", "ic")
 
 
+#: Bands that returns are dealt over, each ranked by itself: this many to a return of 1.
+RETURN_BANDS = 1000
+
+
+def rank_ic_of_legs(values: DataFrame, legs: DataFrame, min_pool: int = 20) -> DataFrame:
+    """:func:`rank_ic` of the pool that ``values`` and :func:`return_legs` make, which is never formed.
+
+    A value stands for as many rows as its day and symbol have returns, a return for as many as they have values. Ranks
+    come from such weights, and the products from a symbol's sum of ranks, which each of its returns carries. Returns are
+    ranked within bands of a day; a band's sums move up by the weights of those below it.
+    """
+    day = Window.partitionBy("trade_date")
+    upto, tied = F.sum("ok").over(day.orderBy("value")), F.sum("ok").over(Window.partitionBy("trade_date", "value"))
+    ranked = _weighted(values, legs, min_pool).withColumn("rx", upto - tied / 2 + 0.5)
+    by_symbol = ranked.groupBy("trade_date", "symbol").agg(F.count("*").alias("u"), F.sum("rx").alias("a"))
+    x = ranked.groupBy("trade_date").agg(F.max("n").alias("n"), F.sum(F.col("ok") * F.col("rx")).alias("sx"), F.sum(F.col("ok") * F.col("rx") * F.col("rx")).alias("sxx"))
+    ones = legs.where("ok > 0").join(by_symbol, ["trade_date", "symbol"]).select("trade_date", "u", "a", F.explode("o1s").alias("o1"), "o2s")
+    pairs = ones.select("trade_date", "u", "a", "o1", F.explode("o2s").alias("o2")).select("trade_date", "u", "a", _return(F.col("o2"), F.col("o1")).alias("y")).where(F.abs("y") <= MAX_RETURN)
+    dealt = pairs.withColumn("band", F.floor(F.col("y") * RETURN_BANDS).cast("int")).repartition("trade_date", "band")
+    places = dealt.groupBy("trade_date", "band", "y").agg(F.sum("u").alias("u"), F.sum("a").alias("a"))
+    inner = F.sum("u").over(Window.partitionBy("trade_date", "band").orderBy("y")) - F.col("u") / 2 + 0.5
+    u, r, a = F.col("u"), F.col("r"), F.col("a")
+    bands = places.withColumn("r", inner).groupBy("trade_date", "band").agg(F.sum(u).alias("u"), F.sum(a).alias("a"), F.sum(u * r).alias("ur"), F.sum(u * r * r).alias("urr"), F.sum(a * r).alias("ar"))
+    below = F.coalesce(F.sum("u").over(day.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    b = F.col("below")
+    y = bands.withColumn("below", below).groupBy("trade_date").agg(
+        F.sum(b * u + F.col("ur")).alias("sy"), F.sum(b * b * u + 2 * b * F.col("ur") + F.col("urr")).alias("syy"), F.sum(b * a + F.col("ar")).alias("sxy")
+    )
+    return _correlation(x.join(y, "trade_date"))
+
+
 def ic_summary(ic: DataFrame, by: Keys = ()) -> DataFrame:
     """by …, days, mean, sd (0 for one day), icir, t, positive_days."""
     a = ic.groupBy(*by).agg(
@@ -96,16 +171,43 @@ def quantile_members(pool: DataFrame, quantiles: int = 5, by: Keys = ()) -> Data
     return numbered.where("size > 0").withColumn("q", F.least(F.expr("rn div size"), F.lit(quantiles - 1))).drop("rn", "size")
 
 
+def members_of_legs(values: DataFrame, legs: DataFrame, min_pool: int = 20, quantiles: int = 5) -> DataFrame:
+    """:func:`quantile_members` of the pool that ``values`` and :func:`return_legs` make, counted: trade_date, symbol, q, n (rows), paid (the sum of their returns).
+
+    A value's rows follow each other, so it goes to the slices that its stretch of the day's places meets. Where a stretch
+    meets more than one, its returns are dealt by a hash of their opens, for value and symbol leave that order open.
+    """
+    w = Window.partitionBy("trade_date").orderBy("value", "symbol").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = _weighted(values, legs, min_pool).withColumn("end", F.sum("ok").over(w)).withColumn("start", F.col("end") - F.col("ok"))
+    sized = placed.withColumn("size", F.expr(f"n div {quantiles}")).where("size > 0")
+    slice_of = lambda place: F.least(F.expr(f"({place}) div size"), F.lit(quantiles - 1).cast("long"))
+    met = sized.select("trade_date", "symbol", "ok", "start", "end", "size", F.explode(F.sequence(slice_of("start"), slice_of("end - 1"))).alias("q"))
+    first = F.greatest(F.col("start"), F.col("q") * F.col("size"))
+    upto = F.when(F.col("q") < quantiles - 1, F.least(F.col("end"), (F.col("q") + 1) * F.col("size"))).otherwise(F.col("end"))
+    parts = met.select("trade_date", "symbol", "ok", F.col("q").cast("int").alias("q"), (first - F.col("start")).alias("skip"), (upto - first).alias("n"))
+    units = lambda b, a: F.round(_return(b, a) * 10**8).try_cast("long")  # noqa: E731  returns have eight digits, or are none
+    bound = F.round(F.lit(MAX_RETURN) * 10**8).cast("long")
+    total = F.aggregate("o1s", F.lit(0).cast("long"), lambda s, a: F.aggregate("o2s", s, lambda t, b: t + F.when(F.abs(units(b, a)) <= bound, units(b, a)).otherwise(F.lit(0).cast("long"))))
+    sums = legs.select("trade_date", "symbol", "o1s", "o2s", total.alias("total"))
+    drawn = F.flatten(F.transform("o1s", lambda a: F.transform("o2s", lambda b: F.struct(F.xxhash64(a, b).alias("at"), units(b, a).alias("u")))))
+    each = F.array_sort(F.filter(drawn, lambda r: F.abs(r["u"]) <= bound))
+    own = F.aggregate(F.slice(each, (F.col("skip") + 1).cast("int"), F.col("n").cast("int")), F.lit(0).cast("long"), lambda s, r: s + r["u"])
+    paid = F.when(F.col("n") == F.col("ok"), F.col("total")).otherwise(own)
+    return parts.join(sums, ["trade_date", "symbol"]).select("trade_date", "symbol", "q", "n", (paid.cast("decimal(20,0)") * F.lit("0.00000001").cast("decimal(8,8)")).cast(_EXACT).alias("paid"))
+
+
 def _slices(members: DataFrame, by: Keys = ()) -> DataFrame:
-    """Per day and slice: size, paid (the sum of its returns), stayed (names it held the day before) and size0 (how many it held then; null: none).
+    """Per day and slice: size, paid (the sum of its returns), stayed (its rows with one of the same name the day before, counted per pair of them) and size0 (how many it held then; null: none).
 
-    A name remembers when its slice last held it; what a slice kept is counted from these days, so members are read and
-    shuffled once and never joined with themselves. Only rows of (day, slice, last day) go on.
+    A name remembers when its slice last held it, and how often; what a slice kept is counted from these days, so members are
+    counted by name once and never joined with themselves. Only rows of (day, slice, last day) go on.
     """
+    n, paid = (F.sum("n"), F.sum("paid")) if "n" in members.columns else (F.count("*"), F.sum(F.col("fwd_ret").cast(_EXACT)))
+    names = members.groupBy(*by, "q", "symbol", "trade_date").agg(n.alias("n"), paid.alias("paid"))
     own = Window.partitionBy(*by, "q", "symbol").orderBy("trade_date")
-    last = members.withColumn("last", F.lag("trade_date").over(own))
-    parts = last.groupBy(*by, "q", "trade_date", "last").agg(F.count("*").alias("n"), F.sum(F.col("fwd_ret").cast(_EXACT)).alias("paid"))
-    days = parts.groupBy(*by, "q", "trade_date").agg(F.sum("n").alias("size"), F.sum("paid").alias("paid"), F.collect_list(F.struct("last", "n")).alias("held"))
+    last = names.withColumn("last", F.lag("trade_date").over(own)).withColumn("pairs", F.col("n") * F.lag("n").over(own))
+    parts = last.groupBy(*by, "q", "trade_date", "last").agg(F.sum("n").alias("size"), F.sum("pairs").alias("n"), F.sum("paid").alias("paid"))
+    days = parts.groupBy(*by, "q", "trade_date").agg(F.sum("size").alias("size"), F.sum("paid").alias("paid"), F.collect_list(F.struct("last", "n")).alias("held"))
     number = F.date_diff("trade_date", F.lit("1970-01-01").cast("date"))
     before = F.max("trade_date").over(Window.partitionBy(*by).orderBy(number).rangeBetween(Window.unboundedPreceding, -1))  # rows are days and slices
     line = Window.partitionBy(*by, "q").orderBy("trade_date")
@@ -152,7 +254,11 @@ def tear_sheet(pool: DataFrame, quantiles: int = 5, by: Keys = ()) -> DataFrame:
 
     The pool is read once for the ranks and once for the slices.
     """
-    portfolios = quantile_portfolios(quantile_members(pool, quantiles, by), by=by)
+    return report(rank_ic(pool, by), quantile_portfolios(quantile_members(pool, quantiles, by), by=by), quantiles, by)
+
+
+def report(ic: DataFrame, portfolios: DataFrame, quantiles: int = 5, by: Keys = ()) -> DataFrame:
+    """:func:`tear_sheet` from the rank IC and the slices of each day."""
 
     def test(rows: DataFrame, value: str, part: str, *keys: str) -> DataFrame:
         a = rows.groupBy(*by, *keys).agg(F.count("*").alias("days"), F.avg(F.col(value).cast("decimal(20,8)")).cast("double").alias("m"), F.stddev_samp(value).alias("sd"))
@@ -160,7 +266,7 @@ def tear_sheet(pool: DataFrame, quantiles: int = 5, by: Keys = ()) -> DataFrame:
         q = F.col("q").cast("int") if "q" in keys else F.lit(-1)
         return a.select(*by, F.lit(part).alias("part"), q.alias("q"), "days", F.round("m", 6).alias("mean"), t.alias("t"))
 
-    out = test(rank_ic(pool, by), "ic", "ic").unionByName(test(long_short(portfolios, quantiles, by=by), "spread", "spread"))
+    out = test(ic, "ic", "ic").unionByName(test(long_short(portfolios, quantiles, by=by), "spread", "spread"))
     return out.unionByName(test(portfolios, "net", "slice", "q"))
 
 

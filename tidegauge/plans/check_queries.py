@@ -13,7 +13,7 @@ from ..operators import series as S
 from ..operators import state as N
 from ..sources import bindings as B
 from .market_queries import _CHANGED, AS_OF, BARS, EVENTS, SESSIONS, with_
-from .model_queries import _DENSE, _FACTOR, MIN_POOL, _queries_of
+from .model_queries import _DENSE, _FACTOR, MIN_POOL, _queries_of, _sides
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,8 +61,7 @@ def i9_curve_metrics(spark: SparkSession, d: str) -> DataFrame:
     SELECT sum(np)::BIGINT AS dropped_no_price, sum(x)::BIGINT AS dropped_extreme, count_if(f > 0 AND n < 20) AS skipped_thin_days, count_if(f = 0) AS skipped_no_forward_days FROM dy"""
 )
 def i4_pool_counters(spark: SparkSession, d: str) -> DataFrame:
-    b = _qfq(spark, d)
-    return I.pool_counters(I.price_panel(b, 5), I.forward_returns(b, B.sessions(b)), MIN_POOL)
+    return I.pool_counters(*_sides(spark, d), MIN_POOL)
 
 
 @query(with_(EVENTS) + f"SELECT event_type, count(*) AS late, min(available_at) AS first_late FROM ev WHERE available_at > TIMESTAMP '{AS_OF}' GROUP BY event_type")

@@ -15,7 +15,7 @@ from ..operators import trades as K
 from ..sources import bindings as B
 from ..sources import lake
 from .market_queries import _CHANGED, _NAMES, _dictionary, AS_OF, BARS, DAY, EVENTS, with_
-from .model_queries import _FACTOR, _IC, _MEMBERS, _PORT, _TRIPS, _TURN, _order_fills, _pool
+from .model_queries import _FACTOR, _IC, _MEMBERS, _PORT, _TRIPS, _TURN, MIN_POOL, _members, _order_fills, _sides
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -288,7 +288,7 @@ def h25_as_of(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'spread', -1, count(*), round(avg(spread::DECIMAL(20,8))::DOUBLE, 6), round(avg(spread::DECIMAL(20,8))::DOUBLE / nullif(stddev_samp(spread), 0) * sqrt(count(*)), 3) FROM ls
     UNION ALL SELECT 'slice', q, count(*), round(avg(net::DECIMAL(20,8))::DOUBLE, 6), round(avg(net::DECIMAL(20,8))::DOUBLE / nullif(stddev_samp(net), 0) * sqrt(count(*)), 3) FROM po GROUP BY q""")
 def i10_tear_sheet(spark: SparkSession, d: str) -> DataFrame:
-    return I.tear_sheet(_pool(spark, d))
+    return I.report(I.rank_ic_of_legs(*_sides(spark, d), MIN_POOL), I.quantile_portfolios(_members(spark, d)))
 
 
 @query(

@@ -140,3 +140,9 @@ def test_escaped_patterns_mean_themselves(spark):
     rows = spark.createDataFrame([("a%b", "a%b"), ("a%b", "axb"), ("a_b", "a_b"), ("a_b", "axb"), ("a\\b", "a\\b"), ("a\\b", "axb")], "asked string, name string")
     told = rows.withColumn("p", F.concat(F.lit("%"), text.like_escaped(F.col("asked")), F.lit("%")))
     assert [r.hit for r in told.select(F.expr("name ILIKE p ESCAPE '\\\\'").alias("hit")).collect()] == [True, False] * 3
+
+
+def test_leaves_unfold_all_levels_in_one_pass(spark):
+    found = claims.leaves(reports(spark, '{"a":{"b":{"c":1}},"d":[2]}'), "body", ["id"])
+    assert {r.path for r in found.collect()} == {"a.b.c", "d"}
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()

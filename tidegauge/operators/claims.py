@@ -25,20 +25,18 @@ def canonical_digest(json: Column) -> Column:
 def leaves(rows: DataFrame, body: str, keys: list[str], depth: int = 12) -> DataFrame:
     """(keys..., path, value): each value of a variant that isn't an object, or is an empty one, by its dotted path.
 
-    Arrays are values. A level of the plan unfolds a level of the bodies; an object below ``depth`` levels raises.
+    Arrays are values. A body is unfolded within its row, a level at a time for as long as it holds objects; one below
+    ``depth`` levels raises.
     """
-    spark, out = rows.sparkSession, None
-    level = rows.select(*keys, F.lit(None).cast("string").alias("path"), F.col(body).alias("value"))
-    is_object = F.schema_of_variant("value").startswith("OBJECT<") & (F.schema_of_variant("value") != "OBJECT<>")
-    for at in range(depth + 1):
-        found = level.where(~is_object & F.col("path").isNotNull())
-        out = found if out is None else out.unionByName(found)
-        if at == depth:
-            break
-        inner = level.where(is_object).withColumnRenamed("value", "outer").withColumnRenamed("path", "above")
-        level = inner.lateralJoin(spark.tvf.variant_explode(F.col("outer").outer())).select(*keys, F.concat_ws(".", "above", "key").alias("path"), "value")
-    deeper = level.where(is_object).select(*keys, "path", F.when(F.raise_error(F.concat(F.lit(f"more than {depth} levels at "), "path")).isNull(), F.col("value")).alias("value"))
-    return out.unionByName(deeper)
+    members = lambda value: F.try_variant_get(value, "$", "map<string,variant>").alias("members")
+    is_object = lambda entry: F.coalesce(F.size(entry["members"]) > 0, F.lit(False))
+    of = lambda entry: F.transform(F.map_entries(entry["members"]), lambda e: F.struct(F.concat_ws(".", entry["path"], e["key"]).alias("path"), e["value"].alias("value"), members(e["value"])))
+    unfolded = lambda entries: F.flatten(F.transform(entries, lambda e: F.when(is_object(e), of(e)).otherwise(F.array(e))))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("path"), F.col(body).alias("value"), members(F.col(body))))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), whole, lambda entries, _: F.when(F.exists(entries, is_object), unfolded(entries)).otherwise(entries))
+    level = rows.select(*keys, F.inline(found))
+    deeper = F.when(is_object(F.struct("members")), F.raise_error(F.concat(F.lit(f"more than {depth} levels at "), "path")).cast("string"))
+    return level.where(F.col("path").isNotNull() & deeper.isNull()).drop("members")
 
 
 def changes(before: DataFrame, after: DataFrame, body: str, keys: list[str]) -> DataFrame:

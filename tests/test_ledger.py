@@ -59,3 +59,11 @@ def test_runs_of_failures_are_stretches_of_days_that_ended_alike(spark):
     gaps = {(r.day.day, r.kind) for r in quality.event_gaps(events, days, ledger.empty_days(states)).collect()}
     assert gaps == {(4, "trading"), (5, "trading"), (6, "natural")}
     assert (8, "trading") in {(r.day.day, r.kind) for r in quality.event_gaps(events, days).collect()}
+
+
+def test_a_line_is_parsed_once_whatever_is_asked_of_it(spark):
+    lines = spark.createDataFrame([(1, '{"day": "2024-01-02", "state": "empty"}'), (2, "[3]"), (3, "{}"), (4, "{"), (5, " ")], "line_no long, text string")
+    states = ledger.empty_days(ledger.day_states(ledger.entries(lines)))
+    assert [r.day.day for r in states.collect()] == [2]
+    assert states._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json(") + states._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert [(r.line_no, r.bad, r.scope) for r in ledger.entries(lines).orderBy("line_no").collect()] == [(1, False, "?"), (2, True, None), (3, False, "?"), (4, True, None)]

@@ -16,12 +16,21 @@ def entries(lines: DataFrame) -> DataFrame:
     A line is bad if it isn't a JSON object; its fields are null. Entries of older kinds lack keys: no scope gives ``?``,
     any other key null. Days that aren't dates are null.
     """
-    told = lines.where(F.col("text").rlike(r"\S")).withColumn("v", F.try_parse_json("text"))
-    read = told.withColumn("bad", ~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
-    of = lambda key: F.when(~F.col("bad"), F.try_variant_get("v", f"$.{key}", "string"))
-    scope = F.when(~F.col("bad"), F.coalesce(of("scope"), F.lit("?")))
-    day = lambda key: of(key).try_cast("date").alias(key)
-    return read.select("line_no", "bad", scope.alias("scope"), of("started_at").alias("started_at"), day("day"), of("state").alias("state"), day("archive_last"))
+    scope = lambda v: F.coalesce(F.try_variant_get(v, "$.scope", "string"), F.lit("?"))
+    of = lambda v, key: F.try_variant_get(v, f"$.{key}", "string")
+    day = lambda v, key: of(v, key).try_cast("date").alias(key)
+    unless = lambda v, c, name: F.when(_is_object(v), c).alias(name)
+
+    def fields(v):
+        told = (unless(v, scope(v), "scope"), unless(v, of(v, "started_at"), "started_at"), unless(v, day(v, "day"), "day"), unless(v, of(v, "state"), "state"), unless(v, day(v, "archive_last"), "archive_last"))
+        return F.struct((~_is_object(v)).alias("bad"), *told)
+
+    # A generator, for what is asked of a line's fields must not make the line be parsed again.
+    return lines.where(F.col("text").rlike(r"\S")).select("line_no", F.inline(F.transform(F.array(F.try_parse_json("text")), fields)))
+
+
+def _is_object(v):
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def health(found: DataFrame) -> DataFrame:

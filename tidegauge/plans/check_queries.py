@@ -121,7 +121,7 @@ def l7_envelope(spark: SparkSession, d: str) -> DataFrame:
     SELECT day, CASE WHEN day IN (SELECT trade_date FROM ses) THEN 'trading' ELSE 'natural' END AS kind FROM sp WHERE day NOT IN (SELECT day FROM dd)"""
 )
 def l15_event_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return Q.event_gaps(B.events(spark, d).where("event_type = 'signup'"), B.sessions(B.bars(spark, d)))
+    return Q.event_gaps(B.events(spark, d).where("event_type = 'signup'"), B.calendar(spark, d))
 
 
 @query(with_(BARS, _CHANGED) + "SELECT symbol, trade_date, close, prev_close FROM qc WHERE open = high AND high = low AND low = close AND close <> prev_close")

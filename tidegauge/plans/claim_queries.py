@@ -134,7 +134,7 @@ def c17_grid_crosses(spark: SparkSession, d: str) -> DataFrame:
     SELECT event_id, day, a.trade_date AS on_or_before, b.trade_date AS on_or_after, c.trade_date AS shifted, j - i AS between FROM p JOIN ses a ON a.session_idx = i JOIN ses b ON b.session_idx = j LEFT JOIN ses c ON c.session_idx = i - 3"""
 )
 def i21_session_lookups(spark: SparkSession, d: str) -> DataFrame:
-    sessions = B.sessions(B.bars(spark, d))
+    sessions = B.calendar(spark, d)
     days = B.events(spark, d).select("event_id", F.to_date("event_time").alias("day"))
     span = sessions.agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))
     inside = days.crossJoin(F.broadcast(span)).where("day BETWEEN a AND b").drop("a", "b")

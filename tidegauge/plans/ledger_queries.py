@@ -50,7 +50,7 @@ def _entries(spark, d):
 
 
 def _sessions(spark, d):
-    return B.sessions(M.of_adjustment(B.bars(spark, d), "qfq"))
+    return B.calendar(spark, d)
 
 
 @query(with_(_ENTRIES) + "SELECT count_if(NOT bad) AS runs, count_if(bad) AS bad, min(line_no) FILTER (bad) AS first_bad, count(DISTINCT scope) AS scopes, CASE WHEN count_if(bad) > 0 THEN 'error' WHEN count(*) = 0 THEN 'warn' ELSE 'info' END AS level FROM en")

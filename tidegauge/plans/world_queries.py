@@ -81,5 +81,4 @@ def i18_pit_delta(spark: SparkSession, d: str) -> DataFrame:
     SELECT a - b AS sessions_early, count(*) AS n, count(score) AS scored FROM x WHERE b IS NOT NULL GROUP BY ALL"""
 )
 def i18_look_ahead(spark: SparkSession, d: str) -> DataFrame:
-    b = M.of_adjustment(B.bars(spark, d), "qfq")
-    return I.look_ahead(B.events(spark, d), B.sessions(b))
+    return I.look_ahead(B.events(spark, d), B.calendar(spark, d))

@@ -56,3 +56,41 @@ def test_counted_grades_give_what_all_grades_give(spark):
     got = {r.query_id: (r.ndcg, r.mrr, r.recall) for r in out.collect()}
     log = np.log2
     assert got == {1: (round(3 / log(3) / (3 + 1 / log(3) + 0.5), 6), 0.5, round(1 / 37, 6)), 2: (0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0)}
+
+
+def filtered(spark):
+    rng = random.Random(8)
+    some = lambda x, share=0.2: None if rng.random() < share else x
+    at = lambda: some(f"2024-01-{rng.randint(1, 28):02d} 00:00:00")
+    names = lambda most: some([some(f"s{rng.randint(0, 9)}", 0.1) for _ in range(rng.randint(0, most))])
+    number = lambda: some(rng.choice([float("nan"), float("inf"), -0.0, 0.0, rng.uniform(-1, 1)]))
+    vector = lambda: [float(np.float32(rng.gauss(0, 1))) for _ in range(6)]
+    docs = [(i, vector(), at(), some(rng.choice("abc")), names(4), number()) for i in range(300)]
+    docs += [(300 + i, docs[i % 3][1], *docs[i][2:]) for i in range(60)]  # copies
+    docs += [(400 + i, v, None, "a", ["s1"], 0.5) for i, v in enumerate([[0.0] * 6, None, [1.0, 2.0], [1.0, None, 1.0, 1.0, 1.0, 1.0], [float("inf")] + [1.0] * 5])]
+    asks = [(i, vector(), at(), some([some(x, 0.1) for x in rng.sample("abcd", rng.randint(0, 3))]), names(3), number()) for i in range(60)]
+    asks += [(60, None, None, None, None, None), (61, vector(), None, None, None, None), (62, vector(), None, ["absent"], None, None)]
+    e = spark.createDataFrame(docs, "doc_id long, embedding array<float>, at string, event_type string, symbols array<string>, importance_score double")
+    q = spark.createDataFrame(asks, "query_id long, embedding array<float>, at string, types array<string>, symbols array<string>, least double")
+    return q.withColumn("as_of", F.to_timestamp_ntz("at")).drop("at"), e.withColumn("available_at", F.to_timestamp_ntz("at")).drop("at")
+
+
+def test_filtered_products_give_what_filtered_pairs_give(spark, monkeypatch):
+    asks, docs = filtered(spark)
+    monkeypatch.setattr(retrieval, "PIECE_DOCS", 100)
+    monkeypatch.setattr(retrieval, "BLOCK_NUMBERS", 150)
+    monkeypatch.setattr(retrieval, "BATCH_SCORES", 400)
+    for k in (4, 500):
+        want = found(retrieval._dense_pairs(asks, docs, k, 512, retrieval.may_see))
+        assert found(retrieval.dense(asks, docs, k, allowed=retrieval.may_see)) == want
+    assert found(retrieval.dense(asks, docs, k, 20, lambda q, d: retrieval.may_see(q, d))) == want  # any other condition
+
+
+def test_filtered_search_scores_no_pairs_in_rows(spark, monkeypatch):
+    """Before, every pair of a query and a document was a row, and the documents were scanned once per block of queries."""
+    asks, docs = filtered(spark)
+    monkeypatch.setattr(retrieval, "_dense_pairs", None)
+    plain = retrieval.dense(asks.where("query_id <> 60"), docs.where("doc_id < 400"), 4, 1, retrieval.may_see)
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "aggregate(" not in plan
+    assert plain.where("query_id = 61").count() == 4 and plain.where("query_id = 62").isEmpty()

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RRF_K = 60
 
@@ -39,14 +44,17 @@ def dense(queries: DataFrame, docs: DataFrame, k: int = 100, max_queries: int =
     ``allowed`` makes a condition from the struct of a query's other columns and that of a document's; it holds before
     anything is ranked, so a query gets its k best among the documents that it may see.
 
-    Without ``allowed``, where ids are integers, pieces of the documents meet blocks of queries, and a task scores the one
-    against the other by matrix products and hands on k of each query. Rows without an id, and vectors that are null, of
-    another length or hold what isn't finite, are scored pair by pair, as everything is with ``allowed``.
+    Where ids are integers and ``allowed`` is missing or :class:`Filters`, pieces of the documents meet blocks of queries,
+    and a task scores the one against the other by matrix products and hands on k of each query. Rows without an id, and
+    vectors that are null, of another length or hold what isn't finite, are scored pair by pair, as everything is with
+    any other ``allowed``.
     """
     ids = {queries.schema["query_id"].dataType.typeName(), docs.schema["doc_id"].dataType.typeName()}
-    if allowed or not ids <= {"integer", "long"}:
+    filters = allowed if isinstance(allowed, Filters) and allowed.fit(queries, docs) else None
+    if (allowed and not filters) or not ids <= {"integer", "long"}:
         return _dense_pairs(queries, docs, k, max_queries, allowed)
-    asked, held = queries.select(F.col("query_id").cast("long"), "embedding"), docs.select(F.col("doc_id").cast("long"), "embedding")
+    given, had = filters.columns() if filters else ([], [])
+    asked, held = queries.select(F.col("query_id").cast("long"), "embedding", *given), docs.select(F.col("doc_id").cast("long"), "embedding", *had)
     seen = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
     width = max(1, seen["width"] or 0)
     plain = lambda c: F.coalesce(F.col(c).isNotNull() & (F.size("embedding") == width) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
@@ -54,16 +62,112 @@ def dense(queries: DataFrame, docs: DataFrame, k: int = 100, max_queries: int =
     n, odd = held.agg(F.count("*"), F.count_if(~plain("doc_id"))).first()
     blocks = max(1, -(-seen["n"] * width // BLOCK_NUMBERS))
     pieces = max(1, -(-n // PIECE_DOCS), min(held.sparkSession.sparkContext.defaultParallelism, n // 1024))
-    dealt = lambda df, c, own, mine, other, many: df.where(plain(c)).select(F.col(c).alias("id"), "embedding", F.pmod(F.xxhash64(c), F.lit(mine)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))).alias(other)).groupBy("piece", "block")
-    met = dealt(held, "doc_id", "piece", pieces, "block", blocks).cogroup(dealt(asked, "query_id", "block", blocks, "piece", pieces))
-    out = met.applyInArrow(lambda d, q: _k_best(d, q, k), "query_id long, doc_id long, score double")
+    dealt = lambda df, c, more, own, mine, other, many: df.where(plain(c)).select(F.col(c).alias("id"), "embedding", *more, F.pmod(F.xxhash64(c), F.lit(mine)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))).alias(other)).groupBy("piece", "block")
+    met = dealt(held, "doc_id", had, "piece", pieces, "block", blocks).cogroup(dealt(asked, "query_id", given, "block", blocks, "piece", pieces))
+    out = met.applyInArrow(lambda d, q: _k_best(d, q, k, filters), "query_id long, doc_id long, score double")
     if odd:
-        out = out.unionByName(_dense_pairs(asked, odd_held, k, max_queries).drop("rank"))
+        out = out.unionByName(_dense_pairs(asked, odd_held, k, max_queries, filters).drop("rank"))
     if not odd_asked.isEmpty():
-        out = out.unionByName(_dense_pairs(odd_asked, held.where(plain("doc_id")), k, max_queries).drop("rank"))
+        out = out.unionByName(_dense_pairs(odd_asked, held.where(plain("doc_id")), k, max_queries, filters).drop("rank"))
     return best(out, k)
 
 
+@dataclass(frozen=True)
+class Filters:
+    """What a query may see, for :func:`dense`: (the query's column, the document's column, how they must meet).
+
+    ``most``: the document's value is at most the query's; ``least``: at least; ``among``: the query's array holds it;
+    ``share``: both arrays hold a value. A filter that is null lets everything pass; what the document lacks (null)
+    passes no filter.
+    """
+
+    parts: tuple[tuple[str, str, str], ...]
+
+    def __call__(self, query: Column, doc: Column) -> Column:
+        meets = {
+            "most": lambda q, d: d <= q,
+            "least": lambda q, d: d >= q,
+            "among": lambda q, d: F.array_contains(q, d),
+            "share": lambda q, d: F.arrays_overlap(d, q),
+        }
+        return reduce(and_, (query[q].isNull() | F.coalesce(meets[how](query[q], doc[d]), F.lit(False)) for q, d, how in self.parts))
+
+    def columns(self) -> tuple[list[str], list[str]]:
+        """The queries' columns and those of the documents, each once."""
+        return list(dict.fromkeys(q for q, _, _ in self.parts)), list(dict.fromkeys(d for _, d, _ in self.parts))
+
+    def fit(self, queries: DataFrame, docs: DataFrame) -> bool:
+        """Whether :meth:`prepared` knows the types: what is compared must be of one type, and order or equality the same in numpy."""
+        ordered = (T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType(), T.DateType(), T.TimestampType(), T.TimestampNTZType())
+        for ask, has, how in self.parts:
+            q, d = queries.schema[ask].dataType, docs.schema[has].dataType
+            if how in ("most", "least"):
+                fits = q == d and d in ordered
+            else:
+                item = d if how == "among" else getattr(d, "elementType", None)
+                fits = getattr(q, "elementType", None) == item and item in (T.StringType(), T.IntegerType(), T.LongType())
+            if not fits:
+                return False
+        return True
+
+    def prepared(self, docs: pa.Table, queries: pa.Table) -> Callable[[int, int], np.ndarray]:
+        """A function that tells for the documents from a row to another which queries (columns) may see them."""
+        tests = [(_in_order if how in ("most", "least") else _in_common)(docs[d].combine_chunks(), queries[q].combine_chunks(), how) for q, d, how in self.parts]
+        return lambda at, to: reduce(np.logical_and, (test(at, to) for test in tests))
+
+
+def _in_order(docs: pa.Array, queries: pa.Array, how: str) -> Callable[[int, int], np.ndarray]:
+    (d, lacks), (q, free) = _numbers(docs), _numbers(queries)
+
+    def test(at: int, to: int) -> np.ndarray:
+        x = d[at:to, None]
+        ok = x <= q if how == "most" else x >= q
+        if d.dtype.kind == "f":
+            ok |= np.isnan(q if how == "most" else x)  # NaN is above all numbers
+        return ok & ~lacks[at:to, None] | free
+
+    return test
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in the order of a column's values, and where it is null."""
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    if not pa.types.is_floating(column.type):
+        column = column.cast(pa.int32() if pa.types.is_date(column.type) else pa.int64())
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False), null
+
+
+def _in_common(docs: pa.Array, queries: pa.Array, how: str) -> Callable[[int, int], np.ndarray]:
+    (rows, values), (asking, wanted), free = _items(docs), _items(queries), queries.is_null().to_numpy(zero_copy_only=False)
+    codes = pa.concat_arrays([values, wanted]).dictionary_encode().indices.to_numpy()
+    codes, wanted = codes[: len(rows)], codes[len(rows) :]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+
+    def test(at: int, to: int) -> np.ndarray:
+        ok = np.repeat(free[None, :], to - at, axis=0)
+        low, high = np.searchsorted(rows, (at, to))
+        for nth in range(place[low:high].max(initial=-1) + 1):  # a document's nth value, so that a table has a row per document at most
+            here = low + np.flatnonzero(place[low:high] == nth)
+            known, which = np.unique(codes[here], return_inverse=True)
+            at_known = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            hit = known[at_known] == wanted
+            holds = np.zeros((len(known), len(free)), bool)
+            holds[at_known[hit], asking[hit]] = True
+            ok[rows[here] - at] |= holds[which]
+        return ok
+
+    return test
+
+
+def _items(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Rows, ascending, and values of a column or of its arrays, without nulls."""
+    nested = pa.types.is_list(column.type) or pa.types.is_large_list(column.type)
+    rows = pc.list_parent_indices(column).to_numpy() if nested else np.arange(len(column))
+    values = pc.list_flatten(column) if nested else column
+    there = values.is_valid()
+    return rows[there.to_numpy(zero_copy_only=False)], values.filter(there)
+
+
 def _units(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Ids in ascending order and their unit vectors; sums run from the first number to the last, as those of :func:`dot` do."""
     ids = table.column("id").to_numpy()
@@ -89,8 +193,8 @@ def _millionths(x: np.ndarray) -> np.ndarray:
     return np.copysign(out, x).astype(np.int64)
 
 
-def _k_best(docs: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The k best documents of a piece for each query of a block, by rounded score, then by id.
+def _k_best(docs: pa.Table, queries: pa.Table, k: int, filters: Filters | None = None) -> pa.Table:
+    """The k best documents of a piece that each query of a block may see, by rounded score, then by id.
 
     Documents come in ascending order of id, so one must beat a query's k-th score by a millionth to enter. The matrix
     product only tells which pairs may; those are scored again number by number.
@@ -98,15 +202,21 @@ def _k_best(docs: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     if not docs.num_rows or not queries.num_rows:
         return pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     (ids, v), (asked, q) = _units(docs), _units(queries)
+    by_id = lambda t: t.drop_columns(["embedding"]).take(np.argsort(t.column("id").to_numpy(), kind="stable"))
+    may = filters.prepared(by_id(docs), by_id(queries)) if filters else None
     least = np.full(len(q), -np.inf)
     best_q, best_d, best_m = (np.zeros(0, np.int64) for _ in range(3))
     found, waiting = [], 0
     step = max(1, BATCH_SCORES // len(q))
     for at in range(0, len(v), step):
         close = v[at : at + step] @ q.T
+        seen = may(at, at + len(close)) if may else None
+        if may:
+            close[~seen] = -np.inf
         if not at and len(close) > k:
             least = np.partition(close, -k, axis=0)[-k] - 2e-6
-        d, n = np.nonzero(close >= least)
+        near = close >= least
+        d, n = np.nonzero(near & seen if may else near)
         for part in range(0, len(d), 1 << 17):
             dd, nn = d[part : part + (1 << 17)] + at, n[part : part + (1 << 17)]
             found.append((nn, dd, _millionths(_dots(q[nn], v[dd]))))
@@ -146,18 +256,8 @@ def _dense_pairs(queries: DataFrame, docs: DataFrame, k: int, max_queries: int,
     return out
 
 
-def may_see(query: Column, event: Column) -> Column:
-    """The filters of a search for events, for :func:`dense`: known by ``as_of``, of ``types``, about one of ``symbols``, of ``least`` importance.
-
-    A filter that is null lets everything pass; what the event lacks (null) passes no filter.
-    """
-    passes = lambda given, holds: query[given].isNull() | F.coalesce(holds, F.lit(False))
-    return (
-        passes("as_of", event["available_at"] <= query["as_of"])
-        & passes("types", F.array_contains(query["types"], event["event_type"]))
-        & passes("symbols", F.arrays_overlap(event["symbols"], query["symbols"]))
-        & passes("least", event["importance_score"] >= query["least"])
-    )
+#: The filters of a search for events: known by ``as_of``, of ``types``, about one of ``symbols``, of ``least`` importance.
+may_see = Filters((("as_of", "available_at", "most"), ("types", "event_type", "among"), ("symbols", "symbols", "share"), ("least", "importance_score", "least")))
 
 
 def sparse(queries: DataFrame, docs: DataFrame, k: int = 100) -> DataFrame:

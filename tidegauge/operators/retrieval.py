@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import lake
+
 RRF_K = 60
 
 
@@ -274,41 +276,155 @@ SEED_BLOCKS = 4
 _SALTS = 32
 
 
+#: Rows that are sent to every task at most, whatever the input's size.
+FEW_ROWS = 100_000
+#: Documents whose words a task holds at once, about.
+STEP_DOCS = 1024
+
+
+def _few(df: DataFrame) -> bool:
+    return df.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+
+
+def counted(docs: DataFrame, shortest: int) -> DataFrame:
+    """(doc_id, text) → (doc_id, weights): how often each word occurs, counted within the row; rows without words are left out.
+
+    Words are the runs of a to z, of ``shortest`` letters at least; the text comes in lower case.
+    """
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: (_counts(b.slice(at, STEP_DOCS), shortest) for b in batches for at in range(0, b.num_rows, STEP_DOCS)), f"doc_id {doc_id}, weights map<string,double>")
+
+
+def _counts(batch: pa.RecordBatch, shortest: int) -> pa.RecordBatch:
+    texts = batch.column("text").fill_null("").cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    letters = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    letter = np.zeros(len(letters) + len(texts) + 1, bool)  # a gap before every text and after the last
+    shift = np.repeat(np.arange(1, len(texts) + 1), np.diff(ends))
+    letter[np.arange(len(letters)) + shift] = (letters >= 97) & (letters <= 122)
+    edges = np.flatnonzero(np.diff(letter, prepend=False))
+    starts, stops = edges[::2], edges[1::2]
+    keep = stops - starts >= shortest
+    starts, stops = starts[keep], stops[keep]
+    row = np.searchsorted(ends + np.arange(len(ends)), starts) - 1
+    sizes = stops - starts
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    chars = letters[np.repeat(starts - row - 1 - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    words = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(chars))]).dictionary_encode()
+    width = max(1, len(words.dictionary))
+    pairs, times = np.unique(row * width + words.indices.to_numpy(), return_counts=True)
+    first = np.searchsorted(pairs, np.arange(batch.num_rows + 1) * width)
+    maps = pa.MapArray.from_arrays(pa.array(first, pa.int32()), words.dictionary.take(pa.array(pairs % width)).cast(pa.string()), pa.array(times, pa.float64()))
+    return pa.record_batch({"doc_id": batch.column("doc_id"), "weights": maps}).filter(pa.array(np.diff(first) > 0))
+
+
+def headed(docs: DataFrame) -> DataFrame:
+    """(doc_id, weights) with the heaviest token of each document that has weights."""
+    entries = F.transform(F.map_entries("weights"), lambda e: F.struct(e["value"].alias("weight"), e["key"].alias("token")))
+    return docs.where(F.size("weights") > 0).select("doc_id", "weights", F.array_max(entries)["token"].alias("head"))
+
+
 def sparse_postings(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(doc_id, weights) → (block, token, doc_id, weight): postings in blocks of documents that share their heaviest token.
+    """:func:`headed` documents → (block, token, doc_id, weight, high, low): postings in blocks of documents that share their heaviest token.
 
     Documents alike in what weighs most give blocks whose bounds are tight. A token that heads very many documents has
     its documents dealt over as many blocks as they fill, so no block and no key grows with the corpus. Documents without
-    weights have no postings.
+    weights have no postings. ``doc_id`` is unique.
+
+    A document is shuffled once, as a row, to where its block is. The postings of a block follow each other by token, and
+    the first of a token holds the highest and the lowest weight of the token in the block; the others have nulls there.
     """
-    entries = F.transform(F.map_entries("weights"), lambda e: F.struct(e["value"].alias("weight"), e["key"].alias("token")))
-    headed = docs.where(F.size("weights") > 0).select("doc_id", "weights", F.array_max(entries)["token"].alias("head"))
-    salted = headed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "head"), F.lit(_SALTS)))
-    sizes = headed.groupBy("head").agg(F.ceil(F.count("*") / block_docs).alias("pieces")).select("head", "pieces", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("salt"))
-    piece = F.pmod(F.xxhash64("doc_id"), F.col("pieces"))
-    placed = salted.join(sizes, ["head", "salt"]).withColumn("block", F.xxhash64("head", piece))
-    return placed.select("block", "doc_id", F.explode("weights").alias("token", "weight"))
+    sizes = docs.groupBy("head").agg(F.ceil(F.count("*") / block_docs).alias("pieces")).where("pieces > 1")  # the others fill one block
+    if _few(sizes):
+        dealt = docs.join(F.broadcast(sizes), "head", "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long")))
+        dealt = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "head"), F.lit(_SALTS))).join(sizes.withColumn("salt", salts), ["head", "salt"], "left")
+    piece = F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1).cast("long")))
+    placed = dealt.select(F.xxhash64("head", piece).alias("block"), "doc_id", "weights")
+    return placed.repartition("block").sortWithinPartitions("block").mapInArrow(_whole_blocks, f"block long, token string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, weight double, high double, low double")
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of documents in order of their blocks, some whole blocks at a time."""
+    left = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP_DOCS):
+            docs = pa.Table.from_batches([batch.slice(at, STEP_DOCS)])
+            docs = pa.concat_tables([left, docs]).combine_chunks() if left else docs
+            block = docs.column("block").to_numpy()
+            cut = int(np.searchsorted(block, block[-1]))
+            if cut:
+                yield from _postings(docs.slice(0, cut)).to_batches()
+            left = docs.slice(cut)
+    if left:
+        yield from _postings(left).to_batches()
+
+
+def _postings(docs: pa.Table) -> pa.Table:
+    weights = docs.column("weights").combine_chunks()
+    ends = weights.offsets.to_numpy()
+    tokens, weight = (x.slice(ends[0], ends[-1] - ends[0]) for x in (weights.keys, weights.items))
+    tokens = tokens.dictionary_encode()
+    place = np.empty(len(tokens.dictionary), np.int64)
+    place[pc.array_sort_indices(tokens.dictionary).to_numpy()] = np.arange(len(place))
+    owner = np.repeat(np.arange(docs.num_rows), np.diff(ends))
+    blocks, of_doc = np.unique(docs.column("block").to_numpy(), return_inverse=True)
+    at = of_doc[owner] * len(place) + place[tokens.indices.to_numpy()]
+    order = np.argsort(at, kind="stable")
+    first = np.diff(at[order], prepend=-1) > 0
+    sizes = pc.fill_null(weight, 0.0).to_numpy(zero_copy_only=False)[order]  # what is null adds nothing, as 0
+
+    def bound(of: np.ufunc) -> pa.Array:
+        out = np.zeros(len(order))
+        out[first] = of.reduceat(sizes, np.flatnonzero(first))
+        return pa.array(out, mask=~first)
+
+    in_order, owners = pa.array(order), owner[order]
+    return pa.table({
+        "block": blocks[of_doc[owners]], "token": tokens.dictionary.take(tokens.indices.take(in_order)), "doc_id": docs.column("doc_id").take(pa.array(owners)),
+        "weight": weight.take(in_order), "high": bound(np.maximum), "low": bound(np.minimum),
+    })
 
 
 def write_sparse_index(docs: DataFrame, folder: str, block_docs: int = BLOCK_DOCS) -> None:
-    """Postings, sorted by block and token, and the bounds of each token in each block (high and low weight), as two Parquet tables of a new folder."""
-    sparse_postings(docs, block_docs).repartitionByRange("block", "token").sortWithinPartitions("block", "token").write.parquet(f"{folder}/postings")
-    postings = docs.sparkSession.read.parquet(f"{folder}/postings")
-    postings.groupBy("block", "token").agg(F.max("weight").alias("high"), F.min("weight").alias("low")).write.parquet(f"{folder}/bounds")
+    """Postings, those of a block by token, and the bounds of each token in each block (high and low weight), as two Parquet tables of a new folder.
+
+    Documents with their heads are stored while the index is made, for their heads are counted before they are dealt.
+    """
+    spark = docs.sparkSession
+    headed(docs).write.parquet(f"{folder}/headed")
+    sparse_postings(spark.read.parquet(f"{folder}/headed"), block_docs).write.parquet(f"{folder}/postings")
+    spark.read.parquet(f"{folder}/postings").where("high IS NOT NULL").select("block", "token", "high", "low").write.parquet(f"{folder}/bounds")
+    lake.delete(spark, f"{folder}/headed")
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode("weights").alias("token", "qw"))
 
 
 def block_bounds(queries: DataFrame, bounds: DataFrame) -> DataFrame:
     """(query_id, block, most): what no document of a block can exceed; a token that a document lacks adds nothing."""
-    asked = queries.select("query_id", F.explode("weights").alias("token", "qw"))
     most = F.greatest(F.col("qw") * F.col("high"), F.col("qw") * F.col("low"), F.lit(0.0))
-    return bounds.join(asked, "token").groupBy("query_id", "block").agg(F.sum(most).alias("most"))
+    asked = _asked(queries)
+    return bounds.join(F.broadcast(asked) if _few(asked) else asked, "token").groupBy("query_id", "block").agg(F.sum(most).alias("most"))
+
 
+def _block_scores(queries: DataFrame, postings: DataFrame, blocks: DataFrame, few: bool = False) -> DataFrame:
+    """Scores of the documents of the blocks that each query asks for (query_id, block); ``few`` blocks are broadcast.
 
-def _block_scores(queries: DataFrame, postings: DataFrame, blocks: DataFrame) -> DataFrame:
-    asked = queries.select("query_id", F.explode("weights").alias("token", "qw"))
-    met = postings.join(blocks.select("query_id", "block").join(asked, "query_id"), ["block", "token"])
+    Postings of tokens that nobody asks for are left out first; the rest goes to where its block is, so that a document's
+    sum is made there; where ``few`` blocks are broadcast, sums are shuffled instead. Queries are told apart by a hash within a
+    block's list: of two with the same one, a block is scored for both, which changes nothing.
+    """
+    asked = _asked(queries)
+    sent = F.broadcast if _few(asked) else lambda df: df
+    wanted = blocks.groupBy("block").agg(F.collect_set(F.xxhash64("query_id")).alias("wanted"))
+    held = postings.select("block", "token", "doc_id", "weight").join(sent(asked.select("token").distinct()), "token", "left_semi")
+    met = held.join(F.broadcast(wanted) if few else wanted, "block").join(sent(asked), "token").where(F.array_contains("wanted", F.xxhash64("query_id")))
     score = F.sum((F.col("qw") * F.col("weight")).cast("decimal(28,8)")).cast("double")
-    return met.groupBy("query_id", "doc_id").agg(F.round(score, 6).alias("score"))
+    return met.groupBy("block", "query_id", "doc_id").agg(F.round(score, 6).alias("score")).drop("block")
 
 
 def blocks_to_score(queries: DataFrame, postings: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
@@ -317,19 +433,17 @@ def blocks_to_score(queries: DataFrame, postings: DataFrame, bounds: DataFrame,
     The blocks with the greatest bounds are scored first; what their k-th document reaches, all of the k best reach. A
     query that finds fewer than k there goes through all its blocks, so nothing is ever lost.
     """
+    few = queries.limit(FEW_ROWS // SEED_BLOCKS + 1).count() <= FEW_ROWS // SEED_BLOCKS
     upper = block_bounds(queries, bounds)
     w = Window.partitionBy("query_id").orderBy(F.desc("most"), "block")
     seeds = upper.withColumn("n", F.row_number().over(w)).where(F.col("n") <= SEED_BLOCKS)
-    floor = best(_block_scores(queries, postings, seeds), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    floor = best(_block_scores(queries, postings, seeds, few), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     slack = F.lit(1e-5) * (1 + F.abs("floor"))  # scores are rounded, bounds are not
-    return upper.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("most") + slack >= F.col("floor"))).select("query_id", "block")
+    return upper.join(F.broadcast(floor) if few else floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("most") + slack >= F.col("floor"))).select("query_id", "block")
 
 
 def sparse_by_blocks(queries: DataFrame, postings: DataFrame, bounds: DataFrame, k: int = 100) -> DataFrame:
-    """What :func:`sparse` returns, from a stored index: only postings of blocks that may enter a query's k best are read through.
-
-    Postings meet queries by (block, token): the postings of a common token are spread over all tasks.
-    """
+    """What :func:`sparse` returns, from a stored index: only postings of blocks that may enter a query's k best are scored."""
     return best(_block_scores(queries, postings, blocks_to_score(queries, postings, bounds, k)), k)
 
 

@@ -35,6 +35,11 @@ def _path(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
+
+
 def scan(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Parquet files below ``path`` under a declared schema; none: :class:`DataMissing`."""
     at, fs = _path(spark, path)

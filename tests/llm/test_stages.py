@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pyarrow.parquet as pq
 import pytest
 
 from tidegauge.llm import decontaminate, exact_dedup, language, simhash, tables, toxicity
@@ -44,6 +45,27 @@ def test_decontamination_stage_goes_by_row(spark):
     assert decontaminate.drop_contaminated(frame, bench.limit(0)).count() == 5
 
 
+def test_blocks_of_an_index_lie_in_small_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(tables, "LARGE_ROWS", 4096, raising=False)
+    written = []
+
+    def kept_in_mind(df, label, *how, **more):
+        out = tables.staged(df, label, *how, **more)
+        if label == "postings":
+            written.append(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(decontaminate, "staged", kept_in_mind)
+    frame = spark.createDataFrame(rows_of([" ".join(f"w{k}x{i}" for k in range(100)) for i in range(40)] + [f"x {PASSAGE}"]), SHAPE).coalesce(1)
+    bench = spark.createDataFrame([("i", PASSAGE)], "item_id string, text string")
+    assert decontaminate.drop_contaminated(frame, bench, block_words=100).count() == 40
+    assert decontaminate.decontaminate(frame, bench, block_words=100).where("contaminated").count() == 1
+    for files in written:
+        groups = [g for f in files for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in [m.row_group(k).num_rows for k in range(m.num_row_groups)]]
+        assert sum(groups) == 41 and max(groups) <= 4
+    assert len(written) == 2
+
+
 def test_one_index_serves_several_benchmarks_against_brute_force(spark):
     rng = random.Random(6)
     word = lambda: rng.choice("abcd") + rng.choice("xy")

@@ -227,7 +227,7 @@ def decontaminate(
     * A document is searched whole; the task that has it holds its words and those of the block's other documents.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("body"))
-    found = search(staged(build_index(rows, block_words), "postings"), benchmark, item_col, item_text_col, window, slop, pass_bytes)
+    found = search(staged(build_index(rows, block_words), "postings", large_rows=True), benchmark, item_col, item_text_col, window, slop, pass_bytes)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return found.select(
         "doc_id",
@@ -256,7 +256,7 @@ def _united(parts: list[DataFrame]) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, **how) -> DataFrame:
     """The rows of ``docs`` that have no word of a benchmark's passage, with all their columns; rows count, not ids."""
     rows, row = numbered(docs, "indexed-rows")
-    index = staged(build_index(rows.select(F.col(row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("body")), block_words), "postings")
+    index = staged(build_index(rows.select(F.col(row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("body")), block_words), "postings", large_rows=True)
     # Staged, its size is known: where it is small the documents aren't shuffled.
     bad = staged(search(index, benchmark, **how).where(F.size("spans") > 0).select(F.col("row_id").alias(row)), "contaminated-rows")
     return rows.join(bad, row, "left_anti").select(*docs.columns)

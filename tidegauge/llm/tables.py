@@ -97,15 +97,22 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+#: Bytes of a row group where rows are large.
+LARGE_ROWS = 16 << 20
+
+
+def staged(df: DataFrame, label: str, codec: str = "zstd", large_rows: bool = False) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder and read back.
 
     It cuts lineage: a lost executor costs later steps no recomputation, and ids made
-    by ``monotonically_increasing_id`` stay what they were.
+    by ``monotonically_increasing_id`` stay what they were. Parquet measures a row group after its hundredth row only, and
+    a group is buffered whole to be written and unfolded whole to be read; with ``large_rows`` it is measured from
+    the first row on, and kept small.
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    how = {"parquet.block.size": str(LARGE_ROWS), "parquet.page.size.row.check.min": "1"} if large_rows else {}
+    df.write.options(compression=codec, **how).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import factor
+from tidegauge import catalog
+from tidegauge.operators import factor, series
 
 START = dt.date(2024, 1, 1)
 
@@ -66,3 +67,20 @@ def test_turnover_counts_a_repeated_name_per_pair(spark):
     row = lambda day, name, times: [(START + dt.timedelta(day), name, 0, 0.01)] * times
     members = spark.createDataFrame(row(0, "a", 3) + row(0, "b", 1) + row(1, "a", 2) + row(1, "c", 6), "trade_date date, symbol string, q int, fwd_ret double")
     assert [tuple(r)[2:] for r in factor.turnover(members).orderBy("trade_date").collect()] == [(4, 1.0, 0.0), (8, 0.25, -0.5)]
+
+
+def test_aligned_curves_are_numbered_before_they_are_paired(spark):
+    rng = random.Random(5)
+    days = [START + dt.timedelta(i) for i in range(9)]
+    rows = [(f"{s:06d}", d, kind, rng.choice([9.0, 10.25, 11.5, p])) for s in range(5) for d in days for kind in ("qfq", "raw", "hfq") for p in [8.0 + rng.random() for _ in range(rng.randrange(s + 1))]]
+    bars = spark.createDataFrame([*rows, (None, days[0], "qfq", 1.0), (None, days[0], "raw", 1.0)], "symbol string, trade_date date, adjustment string, close double")
+    want = []
+    for symbol in sorted({r[0] for r in rows}):
+        closes = lambda d, kind: sorted(r[3] for r in rows if r[:3] == (symbol, d, kind))  # noqa: B023, E731
+        gaps = [round(x - y, 6) for d in days for x in closes(d, "qfq") for y in closes(d, "raw")]
+        want += [(symbol, i, gap) for i, gap in enumerate(gaps)]
+    got = sorted(tuple(r) for r in series.aligned_gaps(bars, "qfq", "raw").collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-6)
+    asked = catalog.QUERIES["c12_aligned_curves"](spark, "/root/testdata/sf0.001")
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.rindex("Generate") < plan.index("Window")

@@ -218,6 +218,22 @@ def hold_curve(bars: DataFrame, cash: float, costs: Costs = Costs()) -> DataFram
     return bars.select("symbol", "trade_date", F.when(first > 0, spent / F.nullif(paid, F.lit(0.0)) * F.col("close")).otherwise(F.lit(float(cash))).alias("level"))
 
 
+def aligned_gaps(bars: DataFrame, one: str, other: str) -> DataFrame:
+    """Closes of two adjustments (priced bars) that meet on symbol and day, less one another: symbol, i, gap; i counts a symbol's pairs from 0 by day, then by both closes.
+
+    Where many bars share a symbol and day there are far more pairs than bars. So days are counted before they are paired,
+    and the pairs are neither shuffled nor sorted.
+    """
+    closes = lambda kind: F.array_sort(F.collect_list(F.when(F.col("adjustment") == kind, F.col("close"))))
+    dealt = bars.where(F.col("adjustment").isin(one, other) & F.col("symbol").isNotNull() & F.col("trade_date").isNotNull()).select("symbol", "trade_date", "adjustment", "close").repartition("symbol")
+    days = dealt.groupBy("symbol", "trade_date").agg(closes(one).alias("xs"), closes(other).alias("ys"))
+    pairs = F.size("xs").cast("long") * F.size("ys")
+    placed = days.withColumn("before", F.coalesce(F.sum(pairs).over(_own().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    left = placed.select("symbol", "before", "ys", F.posexplode("xs").alias("a", "x"))
+    met = left.select("symbol", (F.col("before") + F.col("a").cast("long") * F.size("ys")).alias("before"), "x", F.posexplode("ys").alias("b", "y"))
+    return met.select("symbol", (F.col("before") + F.col("b")).alias("i"), F.round(F.col("x") - F.col("y"), 6).alias("gap"))
+
+
 def performance(levels: DataFrame, by: str, order: str, value: str, initial: float, benchmark_return: Column | None = None) -> DataFrame:
     """Per curve: n, total and annual return against ``initial``, deepest drawdown, Sharpe ratio, annual volatility, excess over a benchmark."""
     w = Window.partitionBy(by).orderBy(order)

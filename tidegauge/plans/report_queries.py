@@ -113,10 +113,7 @@ def i14_hold_curve(spark: SparkSession, d: str) -> DataFrame:
     SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS i, round(x - y, 6) AS gap FROM a JOIN b USING (symbol, trade_date)"""
 )
 def c12_aligned_curves(spark: SparkSession, d: str) -> DataFrame:
-    b = M.priced(B.bars(spark, d))
-    a = M.of_adjustment(b, "qfq").select("symbol", "trade_date", F.col("close").alias("x"))
-    met = a.join(M.of_adjustment(b, "raw").select("symbol", "trade_date", F.col("close").alias("y")), ["symbol", "trade_date"])
-    return met.select("symbol", (F.row_number().over(Window.partitionBy("symbol").orderBy("trade_date")) - 1).alias("i"), F.round(F.col("x") - F.col("y"), 6).alias("gap"))
+    return S.aligned_gaps(M.priced(B.bars(spark, d)), "qfq", "raw")
 
 
 @query(

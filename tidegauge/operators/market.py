@@ -19,6 +19,11 @@ def priced(bars: DataFrame) -> DataFrame:
     return bars.where(keep)
 
 
+def in_order(bars: DataFrame) -> list[str]:
+    """What a symbol's bars are ordered by: the day, and where several have one day, the close and what else there is, so that reruns agree."""
+    return ["trade_date", *[c for c in ("close", "open", "high", "low", "volume", "amount") if c in bars.columns]]
+
+
 def of_adjustment(bars: DataFrame, adjust: str | None) -> DataFrame:
     """One adjustment's bars; None: all."""
     return bars if adjust is None else bars.where(F.col("adjustment") == adjust)
@@ -56,7 +61,7 @@ def with_change(bars: DataFrame) -> DataFrame:
     """Priced bars with prev_close and change_pct (percent, six digits), over each symbol's own priced bars; stored ones are taken as they are."""
     if {"prev_close", "change_pct"} <= set(bars.columns):
         return priced(bars)
-    w = Window.partitionBy("symbol", "adjustment").orderBy("trade_date")
+    w = Window.partitionBy("symbol", "adjustment").orderBy(*in_order(bars))
     prev = F.lag("close").over(w)
     return priced(bars).withColumn("prev_close", prev).withColumn("change_pct", F.round((F.col("close") / F.nullif(prev, F.lit(0.0)) - 1) * 100, 6))
 
@@ -161,7 +166,7 @@ def day_closes(bars: DataFrame, sessions: DataFrame, trade_date, adjust: str = "
     """A day's closes with those of the session before; a symbol that didn't trade then has none."""
     at = sessions.where(F.col("trade_date") <= F.lit(trade_date).cast("date")).orderBy(F.desc("trade_date")).limit(2)
     two = priced(of_adjustment(bars, adjust)).join(F.broadcast(at), "trade_date")  # two sessions
-    w = Window.partitionBy("symbol").orderBy("trade_date")
+    w = Window.partitionBy("symbol").orderBy(*in_order(two))
     return two.withColumn("prev_close", F.lag("close").over(w)).where(F.col("trade_date") == F.lit(trade_date).cast("date")).select("symbol", "close", "prev_close")
 
 

@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import PERIODS_PER_YEAR, Costs
+from .market import in_order
 
 _EXACT = "decimal(28,8)"
 
 
-def _own(*order: str):
-    return Window.partitionBy("symbol").orderBy(*(order or ("trade_date",)))
+def _own(rows: DataFrame):
+    return Window.partitionBy("symbol").orderBy(*in_order(rows))
 
 
 def moving_average(bars: DataFrame, n: int) -> DataFrame:
     """ma: mean of the last n closes, null before there are n."""
-    w = _own().rowsBetween(-n + 1, 0)
+    w = _own(bars).rowsBetween(-n + 1, 0)
     mean = F.sum(F.col("close").cast(_EXACT)).over(w).cast("double") / n
     return bars.withColumn("ma", F.when(F.count("close").over(w) == n, F.round(mean, 8)))
 
@@ -25,14 +26,14 @@ def crosses(bars: DataFrame, fast: int, slow: int) -> DataFrame:
     """Bars where the fast mean crosses the slow one: cross is golden or death; needs slow + 1 bars."""
     slows = moving_average(bars, slow).withColumnRenamed("ma", "slow")
     both = moving_average(slows, fast).withColumnRenamed("ma", "fast")
-    was = both.withColumn("fast0", F.lag("fast").over(_own())).withColumn("slow0", F.lag("slow").over(_own()))
+    was = both.withColumn("fast0", F.lag("fast").over(_own(both))).withColumn("slow0", F.lag("slow").over(_own(both)))
     cross = F.when((F.col("fast0") <= F.col("slow0")) & (F.col("fast") > F.col("slow")), "golden").when((F.col("fast0") >= F.col("slow0")) & (F.col("fast") < F.col("slow")), "death")
     return was.withColumn("cross", F.when(F.col("slow0").isNotNull(), cross)).where("cross IS NOT NULL").select("symbol", "trade_date", "fast", "slow", "cross")
 
 
 def channel(bars: DataFrame, n: int) -> DataFrame:
     """Breakouts: close above the highest high (long) or below the lowest low (exit) of the n bars before."""
-    w = _own().rowsBetween(-n, -1)
+    w = _own(bars).rowsBetween(-n, -1)
     out = bars.withColumn("top", F.max("high").over(w)).withColumn("floor", F.min("low").over(w)).withColumn("n", F.count("high").over(w)).where(F.col("n") == n)
     return out.withColumn("signal", F.when(F.col("close") > F.col("top"), "long").when(F.col("close") < F.col("floor"), "exit")).where("signal IS NOT NULL").select("symbol", "trade_date", "close", "top", "floor", "signal")
 
@@ -64,7 +65,7 @@ def grid_crosses(bars: DataFrame, fasts: list[int], slows: list[int]) -> DataFra
     means = bars.select("symbol", "trade_date", "close")
     for n in sorted({*fasts, *slows}):
         means = moving_average(means, n).withColumnRenamed("ma", f"ma_{n}")
-    lengths = F.create_map(*[x for n in sorted({*fasts, *slows}) for x in (F.lit(n), F.struct(F.col(f"ma_{n}").alias("now"), F.lag(f"ma_{n}").over(_own()).alias("was")))])
+    lengths = F.create_map(*[x for n in sorted({*fasts, *slows}) for x in (F.lit(n), F.struct(F.col(f"ma_{n}").alias("now"), F.lag(f"ma_{n}").over(_own(means)).alias("was")))])
     met = means.select("symbol", lengths.alias("ma")).crossJoin(F.broadcast(cells.where("fast < slow")))
     a, b = F.col("ma")[F.col("fast")], F.col("ma")[F.col("slow")]
     ready = b["was"].isNotNull()
@@ -88,7 +89,7 @@ def gated(signals: DataFrame, buy: Column) -> DataFrame:
 
 def volume_breakouts(bars: DataFrame, n: int, k: float) -> DataFrame:
     """Bars that close above their open on a volume over k times the mean of the n bars before."""
-    w = _own().rowsBetween(-n, -1)
+    w = _own(bars).rowsBetween(-n, -1)
     seen = bars.withColumn("n", F.count("volume").over(w)).withColumn("mean_volume", F.round(F.sum(F.col("volume").cast(_EXACT)).over(w).cast("double") / n, 6))
     return seen.where((F.col("n") == n) & (F.col("volume") > k * F.col("mean_volume")) & (F.col("close") > F.col("open"))).select("symbol", "trade_date", "volume", "mean_volume")
 
@@ -110,7 +111,7 @@ def wilder_rsi(bars: DataFrame, period: int) -> DataFrame:
 
 def drawdowns(rows: DataFrame, value: str = "close") -> DataFrame:
     """The deepest fall from a peak of each symbol, as a fraction."""
-    peak = F.max(value).over(_own().rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max(value).over(_own(rows).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("dd", (peak - F.col(value)) / F.nullif(peak, F.lit(0.0))).groupBy("symbol").agg(F.round(F.max("dd"), 6).alias("max_drawdown"))
 
 
@@ -228,7 +229,7 @@ def aligned_gaps(bars: DataFrame, one: str, other: str) -> DataFrame:
     dealt = bars.where(F.col("adjustment").isin(one, other) & F.col("symbol").isNotNull() & F.col("trade_date").isNotNull()).select("symbol", "trade_date", "adjustment", "close").repartition("symbol")
     days = dealt.groupBy("symbol", "trade_date").agg(closes(one).alias("xs"), closes(other).alias("ys"))
     pairs = F.size("xs").cast("long") * F.size("ys")
-    placed = days.withColumn("before", F.coalesce(F.sum(pairs).over(_own().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = days.withColumn("before", F.coalesce(F.sum(pairs).over(_own(days).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     left = placed.select("symbol", "before", "ys", F.posexplode("xs").alias("a", "x"))
     met = left.select("symbol", (F.col("before") + F.col("a").cast("long") * F.size("ys")).alias("before"), "x", F.posexplode("ys").alias("b", "y"))
     return met.select("symbol", (F.col("before") + F.col("b")).alias("i"), F.round(F.col("x") - F.col("y"), 6).alias("gap"))

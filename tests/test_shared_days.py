@@ -31,6 +31,7 @@ CASES = {
     "volume_breakouts": lambda b: series.volume_breakouts(b, 4, 1.1),
     "with_change": lambda b: market.with_change(b).select("symbol", "trade_date", "close", "prev_close", "change_pct"),
     "day_closes": lambda b: market.day_closes(b, b.select("trade_date").distinct(), START + dt.timedelta(20), "qfq"),
+    "grid_crosses": lambda b: series.grid_crosses(b, [2], [3, 5]),
 }
 
 
@@ -43,6 +44,33 @@ def test_rows_do_not_hang_on_how_bars_lie(spark, bars, case):
     assert found[0] and all(f == found[0] for f in found)
 
 
+def test_means_that_cross_meet_on_symbol_and_day(spark, bars):
+    now, was = {}, {}
+    for symbol in {r[0] for r in bars}:
+        own = sorted((r for r in bars if r[0] == symbol), key=lambda r: (r[2], r[6]))
+        closes = [r[6] for r in own]
+        for n in (2, 3, 5):
+            means = [round(sum(closes[k - n + 1 : k + 1]) / n, 8) if k + 1 >= n else None for k in range(len(closes))]
+            for k, r in enumerate(own):
+                now.setdefault((symbol, r[2], n), []).append(means[k])
+                was.setdefault((symbol, r[2], n), []).append(means[k - 1] if k else None)
+    want = {}
+    for fast in (2, 5):
+        for slow in (3, 5):
+            golden = death = 0
+            for symbol, day, n in now:
+                if n == fast and fast < slow:
+                    for a0, a1 in zip(was[symbol, day, fast], now[symbol, day, fast], strict=True):
+                        for b0, b1 in zip(was[symbol, day, slow], now[symbol, day, slow], strict=True):
+                            if None not in (a0, a1, b0, b1):
+                                golden += a0 <= b0 and a1 > b1
+                                death += a0 >= b0 and a1 < b1
+            want[fast, slow] = (golden, death) if fast < slow else (None, None)
+    got = series.grid_crosses(spark.createDataFrame(bars, SHAPE), [2, 5], [3, 5]).orderBy("cell").collect()
+    assert [r.cell for r in got] == [0, 1, 2, 3] and {(r.fast, r.slow): (r.golden, r.death) for r in got} == want
+    assert all(r.golden is None for r in series.grid_crosses(spark.createDataFrame([], SHAPE), [2], [3]).collect())
+
+
 def test_the_order_of_bars_takes_the_columns_that_are_there(spark, bars):
     frame = spark.createDataFrame(bars, SHAPE)
     assert market.in_order(frame) == ["trade_date", "close", "open", "high", "low", "volume", "amount"]

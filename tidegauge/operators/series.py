@@ -59,19 +59,25 @@ def parameter_cells(spark: SparkSession, axes: dict[str, list[int]], most: int =
 def grid_crosses(bars: DataFrame, fasts: list[int], slows: list[int]) -> DataFrame:
     """(cell, fast, slow, golden, death): how often means cross, over all symbols, for every pair of lengths; a cell whose fast isn't below its slow has nulls.
 
-    All means come from one sort of the bars; cells are columns of a row until their crosses are counted.
+    Means meet on symbol and day: where several bars share these, each one's fast mean meets each one's slow mean. All means
+    come from one sort of the bars. Pairs are made and counted in place, once for all cells, which are columns of a row until then.
     """
     cells = parameter_cells(bars.sparkSession, {"fast": fasts, "slow": slows})
-    means = bars.select("symbol", "trade_date", "close")
-    for n in sorted({*fasts, *slows}):
-        means = moving_average(means, n).withColumnRenamed("ma", f"ma_{n}")
-    lengths = F.create_map(*[x for n in sorted({*fasts, *slows}) for x in (F.lit(n), F.struct(F.col(f"ma_{n}").alias("now"), F.lag(f"ma_{n}").over(_own(means)).alias("was")))])
-    met = means.select("symbol", lengths.alias("ma")).crossJoin(F.broadcast(cells.where("fast < slow")))
-    a, b = F.col("ma")[F.col("fast")], F.col("ma")[F.col("slow")]
-    ready = b["was"].isNotNull()
-    golden, death = ready & (a["was"] <= b["was"]) & (a["now"] > b["now"]), ready & (a["was"] >= b["was"]) & (a["now"] < b["now"])
-    counted = met.groupBy("cell").agg(F.count_if(golden).alias("golden"), F.count_if(death).alias("death"))
-    return cells.join(counted, "cell", "left").select("cell", "fast", "slow", "golden", "death")
+    means = bars.where(F.col("symbol").isNotNull() & F.col("trade_date").isNotNull()).select("symbol", "trade_date", "close")
+    lengths = sorted({*fasts, *slows})
+    for n in lengths:
+        means = moving_average(means, n).withColumnRenamed("ma", f"now_{n}")
+    for n in lengths:
+        means = means.withColumn(f"was_{n}", F.lag(f"now_{n}").over(_own(means)))
+    days = means.groupBy("symbol", "trade_date").agg(F.collect_list(F.struct(*[f"{at}_{n}" for n in lengths for at in ("now", "was")])).alias("bars"))
+    met = days.select("bars", F.explode("bars").alias("a")).select("a", F.explode("bars").alias("b"))
+    golden = lambda f, s: (F.col(f"a.was_{f}") <= F.col(f"b.was_{s}")) & (F.col(f"a.now_{f}") > F.col(f"b.now_{s}"))
+    death = lambda f, s: (F.col(f"a.was_{f}") >= F.col(f"b.was_{s}")) & (F.col(f"a.now_{f}") < F.col(f"b.now_{s}"))
+    none = F.lit(None).cast("long")
+    each = lambda what: F.array(*[F.count_if(what(f, s)) if f < s else none for f in fasts for s in slows])
+    counted = met.agg(F.count("*").alias("pairs"), each(golden).alias("goldens"), each(death).alias("deaths"))
+    of_cell = lambda c: F.when(F.col("pairs") > 0, F.get(c, F.col("cell").cast("int")))
+    return cells.crossJoin(F.broadcast(counted)).select("cell", "fast", "slow", of_cell("goldens").alias("golden"), of_cell("deaths").alias("death"))
 
 
 def gated(signals: DataFrame, buy: Column) -> DataFrame:

@@ -226,7 +226,7 @@ def hold_curve(bars: DataFrame, cash: float, costs: Costs = Costs()) -> DataFram
 
 
 def aligned_gaps(bars: DataFrame, one: str, other: str) -> DataFrame:
-    """Closes of two adjustments (priced bars) that meet on symbol and day, less one another: symbol, i, gap; i counts a symbol's pairs from 0 by day, then by both closes.
+    """Closes of two adjustments (priced bars) that meet on symbol and day, less one another: symbol, i, gap; i counts a symbol's pairs from 0 by day, then bar by bar of ``one``, both by close.
 
     Where many bars share a symbol and day there are far more pairs than bars. So days are counted before they are paired,
     and the pairs are neither shuffled nor sorted.
